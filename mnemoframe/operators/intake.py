@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import refs
 from ..functions.text import MAX_EVIDENCE_BYTES, MAX_REF_BYTES, MAX_TEXT_BYTES, has_space
+from ..plans.session import cut_lineage
 from ..plans.split import top_n
 
 SCOPE = list(refs.SCOPE)
@@ -145,11 +146,15 @@ def first_accept(df: DataFrame, keys: list[str], hash_col: str, order: str = "ar
     ).drop("first_hash")
 
 
+def payload_hash() -> Column:
+    """What must not change when a source is observed again."""
+    return F.sha2(F.concat_ws("", *[refs.encoded(c) for c in (
+        "actor_kind", "actor_ref", "text", "constitution_ref", "constitution_text")]), 256)
+
+
 def first_source(df: DataFrame) -> DataFrame:
     """Adds ``source_status``: the first payload of a source key is canonical, differing later ones conflict."""
-    payload = F.sha2(F.concat_ws("", *[refs.encoded(c) for c in (
-        "actor_kind", "actor_ref", "text", "constitution_ref", "constitution_text")]), 256)
-    marked = df.withColumn("__payload", payload)
+    marked = df.withColumn("__payload", F.col("payload_hash") if "payload_hash" in df.columns else payload_hash())
     first = marked.groupBy(*SOURCE_KEY).agg(
         F.min("arrival").alias("source_arrival"), F.min_by("__payload", "arrival").alias("__first"))
     return marked.join(first, SOURCE_KEY).withColumn(
@@ -219,18 +224,23 @@ def intake_job(requests: DataFrame) -> DataFrame:
     """Requests to receipts: ``status`` and, once the gate is open, the episode reference.
 
     A request whose key was first used by a refused request is ``ambiguous``: the service would forget the
-    refused key, which a set-based pass cannot order without replaying it.
+    refused key, which a set-based pass cannot order without replaying it. Texts are read once; later steps
+    see hashes and references only. Every step is used more than once, so its rows are cut from their lineage
+    instead of being recomputed by each use.
     """
-    checked = requests.withColumn("reason", F.coalesce(
-        source_reason(), F.when(~binding_state().isin("ok", "none"), binding_state())))
-    valid = checked.filter("reason IS NULL").withColumn("request_hash", refs.observe_hash())
-    keyed = first_accept(valid, ["tenant_ref", "idempotency_key"], "request_hash")
-    fresh = first_source(keyed.filter("status = 'new'"))
+    checked = cut_lineage(requests.withColumn("reason", F.coalesce(
+        source_reason(), F.when(~binding_state().isin("ok", "none"), binding_state()))).select(
+        *GROUP, "source_ref", "role", "idempotency_key", "arrival", "reason",
+        refs.observe_hash().alias("request_hash"), payload_hash().alias("payload_hash")))
+    valid = checked.filter("reason IS NULL").drop("reason")
+    keyed = cut_lineage(first_accept(valid, ["tenant_ref", "idempotency_key"], "request_hash"))
+    fresh = cut_lineage(first_source(keyed.filter("status = 'new'")))
     admitted = fresh.filter("source_status <> 'conflict'")
     bound = admitted.filter((F.col("run_ref") != "") & (F.col("source_group_ref") != ""))
     sealed = sealing(bound).withColumn(
         "episode_ref", F.when(F.col("accepted") & (F.col("arrival") >= F.col("gate")), refs.episode_ref())
         .otherwise(""))
+    sealed = cut_lineage(sealed.select("tenant_ref", "idempotency_key", "arrival", "accepted", "episode_ref"))
     loose = admitted.filter((F.col("run_ref") == "") | (F.col("source_group_ref") == ""))
     head = ["tenant_ref", "idempotency_key"]
     decided = (

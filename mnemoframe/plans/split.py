@@ -23,7 +23,7 @@ def ranges_of(column: str | Column, width: int = 65536) -> Column:
 
 def time_slices(column: str, seconds: int = 3600) -> Column:
     """Block id for a timestamp order column."""
-    return F.floor(F.unix_micros(F.col(column)) / F.lit(seconds * 1_000_000)).cast("bigint")
+    return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
 def _earlier(keys: Sequence[str]):
