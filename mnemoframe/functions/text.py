@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 # Sentence-structure and generic framing terms that never make two memories relevant.
 STOP_TERMS = (
@@ -72,10 +69,13 @@ def squeezed(c: str | Column) -> Column:
 
 def grams(c: str | Column, n: int) -> Column:
     """Character n-grams; a shorter text is one gram, an empty text has none."""
+    def slide(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(chars) - n),
+                           lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+
     t = _col(c)
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(
-        F.length(t) < n, F.array(t)
-    ).otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n))))
+        F.length(t) < n, F.array(t)).otherwise(let(F.split(t, ""), slide))
 
 
 def alnum_grams(c: str | Column, n: int = 3) -> Column:
@@ -83,27 +83,41 @@ def alnum_grams(c: str | Column, n: int = 3) -> Column:
     return F.array_distinct(grams(F.lower(F.regexp_replace(_col(c), r"[^\p{L}\p{N}]", "")), n))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _bigram_bag(texts: pd.Series) -> pd.Series:
-    def bag(text):
-        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        if points.size == 0:
-            return points
-        codes = np.sort(points if points.size == 1 else (points[:-1] << 21) | points[1:])
-        first = np.searchsorted(codes, codes, side="left")
-        return (codes << 21) | (np.arange(codes.size) - first)
-
-    return texts.map(bag)
+def let(value: Column, body) -> Column:
+    """Bind a value once for use inside higher-order functions (a lambda variable is evaluated once)."""
+    return F.transform(F.array(value), body)[0]
 
 
 def bigram_bag(c: str | Column) -> Column:
-    """Exact multiset of character bigrams as distinct longs (code point, code point, occurrence).
+    """Exact multiset of character bigrams as distinct longs: code point, code point, occurrence.
 
-    The occurrence number turns a multiset intersection into ``array_intersect``. It is computed once
-    per text, Arrow-batched; numbering occurrences with built-in functions would need a shuffle. Two code
-    points and the number of the occurrence take 21 bits each.
+    The occurrence number (21 bits each) turns a multiset intersection into ``array_intersect``. Sorting
+    puts equal grams next to each other; the starts of the runs give the occurrence numbers without a shuffle.
     """
-    return _bigram_bag(squeezed(c))
+    empty = F.array().cast("array<bigint>")
+
+    def numbered(codes: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(codes) - 1),
+                          lambda i: (i == 0) | (F.get(codes, i - 1) != F.get(codes, i)))
+
+        def runs(st: Column) -> Column:
+            return F.flatten(F.transform(st, lambda b, j: F.transform(
+                F.sequence(F.lit(0), F.coalesce(F.get(st, j + 1), F.size(codes)) - b - 1),
+                lambda o: F.shiftleft(F.get(codes, b), 21) + o)))
+
+        return let(starts, runs)
+
+    def codes_of(points: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(points) - 2), lambda i: F.shiftleft(
+            F.get(points, i), 21) + F.get(points, i + 1))
+        return F.when(F.size(points) == 1, points).otherwise(F.array_sort(pairs))
+
+    def bag(points: Column) -> Column:
+        return let(codes_of(points), numbered)
+
+    text = squeezed(c)
+    points = F.transform(F.split(text, ""), lambda ch: F.ascii(ch).cast("bigint"))
+    return F.when(F.length(text) == 0, empty).otherwise(let(points, bag))
 
 
 def clamp(score: Column) -> Column:

@@ -214,6 +214,30 @@ UNION ALL
 SELECT outcome_ref, agent_source FROM {outcome_heads} WHERE conv_id % 10 <> 4
 UNION ALL
 SELECT outcome_ref, 'src-unknown' FROM {outcome_heads} WHERE conv_id % 14 = 6""",
+    # --- queries of selection requests and what an index provider answered --------------------------
+    "select_queries": f"""
+SELECT {_SCOPE_COLS}, run_ref, user_source AS query_ref, user_text AS text, 0 AS query_index, conv_id, user_turn FROM {{turns}}
+UNION ALL
+SELECT t.tenant_ref, t.scope_kind, t.agent_ref, t.relationship_ref, t.session_ref, t.run_ref, p.user_source, p.user_text, 1, t.conv_id, t.user_turn
+FROM {{turns}} t JOIN {{turns}} p ON p.conv_id = t.conv_id AND p.user_turn + 2 = t.user_turn""",
+    "index_items": """
+SELECT home, 'RECOLLECTION' AS kind, version_ref AS ref FROM {recollections}
+UNION ALL SELECT home, 'DISPOSITION', version_ref FROM {dispositions}
+UNION ALL SELECT home, 'NOTE', concat('note-', root_ref) FROM {dispositions}
+UNION ALL SELECT conv_id % 100, 'EPISODE', episode_ref FROM {episodes}""",
+    "index_asks": f"""
+SELECT q.tenant_ref, q.session_ref, q.run_ref, q.query_ref, q.query_index, CASE WHEN q.user_turn >= 2 AND p.run_ref IS NOT NULL THEN 2 ELSE 1 END AS n_queries,
+    q.lane AS owner_index, q.scope_kind AS request_kind, q.relationship_ref AS request_relationship, q.agent_ref,
+    CASE WHEN q.lane = 0 THEN 'agent' ELSE 'relationship' END AS scope_kind,
+    CASE WHEN q.lane = 0 THEN '' ELSE q.relationship_ref END AS relationship_ref,
+    CASE WHEN q.lane = 0 THEN ((q.conv_id * 3 + q.query_index) % 14) * 7 + 3 ELSE q.conv_id % 100 END AS home
+FROM (SELECT *, EACH(0, 1) AS lane FROM {{select_queries}}) q
+LEFT JOIN (SELECT run_ref, session_ref FROM {{select_queries}} WHERE query_index = 1) p ON p.run_ref = q.run_ref AND p.session_ref = q.session_ref
+WHERE q.conv_id % 2 = 0 AND (q.lane = 0 OR q.scope_kind = 'relationship')""",
+    "index_hits": """
+SELECT a.tenant_ref, a.session_ref, a.run_ref, a.query_ref, a.query_index, a.n_queries, a.owner_index, a.agent_ref, a.scope_kind, a.relationship_ref,
+    i.kind, i.ref, row_number() OVER (PARTITION BY a.session_ref, a.run_ref, a.query_ref, a.owner_index ORDER BY md5(concat(i.ref, a.query_ref)), i.ref) - 1 AS position
+FROM {index_asks} a JOIN {index_items} i ON i.home = a.home""",
     # --- events as arrivals, jobs and index operations -----------------------------------------------
     "arrivals": """
 SELECT concat('user-', CAST(user_id AS STRING)) AS owner, concat('ep-', CAST(event_id AS STRING)) AS episode_ref,
