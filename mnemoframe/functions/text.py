@@ -50,15 +50,15 @@ def contains_observed(haystack: str | Column, needle: str | Column) -> Column:
 
 def is_latin(c: str | Column) -> Column:
     """At least one letter, and at least half of the letters are Latin."""
-    letters = F.length(F.regexp_replace(_col(c), r"[^\p{L}]", ""))
-    latin = F.length(F.regexp_replace(_col(c), r"[^\p{IsLatin}]|[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace(_col(c), r"\P{L}+", ""))
+    latin = F.length(F.regexp_replace(_col(c), r"[\P{IsLatin}\P{L}]+", ""))
     return (letters > 0) & (latin * 2 >= letters)
 
 
 def topic_terms(c: str | Column) -> Column:
     """Distinct lower-case words of two or more characters without stop terms."""
     words = F.split(F.lower(_col(c)), r"[^\p{L}\p{Nd}]+")
-    stop = F.array(*[F.lit(t) for t in STOP_TERMS])
+    stop = F.split(F.lit(" ".join(STOP_TERMS)), " ")  # one literal, folded once
     return F.array_except(F.filter(words, lambda w: F.length(w) >= 2), stop)
 
 

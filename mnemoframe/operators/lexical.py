@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import alnum_grams, bigram_bag, is_latin, let, squeezed, topic_terms
+from ..plans.session import cut_lineage
 from ..plans.split import top_n
 
 
@@ -18,11 +19,27 @@ def features(text: str | Column) -> Column:
     """
     t = F.col(text) if isinstance(text, str) else text
     latin = is_latin(t)
+    codes = lambda terms: F.transform(terms, lambda w: F.xxhash64(w))
+    terms = topic_terms(t)
     return F.struct(t.alias("text"), latin.alias("latin"),
-                    F.when(latin, topic_terms(t)).alias("terms"),
+                    F.when(latin, terms).alias("terms"),
+                    F.when(latin, let(codes(terms), lambda c: F.when(
+                        F.size(F.array_distinct(c)) == F.size(c), c))).alias("codes"),
                     F.when(~latin, bigram_bag(t)).alias("bag"))
 
 
+def may_reach(left: Column, right: Column, minimum: float) -> Column:
+    """False only if the score is certainly below ``minimum``.
+
+    Equal terms have equal 64-bit codes, and codes are kept only where a text's terms have different ones, so
+    the number of shared codes bounds the shared terms from above. Comparing longs is several times cheaper
+    than comparing strings and spares most pairs the exact score.
+    """
+    sizes = F.size(left["codes"]) + F.size(right["codes"])
+    known = left["codes"].isNotNull() & right["codes"].isNotNull()
+    return F.when(known, 2.0 * F.size(F.array_intersect(left["codes"], right["codes"])) >= minimum * sizes).otherwise(True)
+
+
 def _dice(a: Column, b: Column) -> Column:
     both = F.size(a) + F.size(b)
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
@@ -42,8 +59,8 @@ def positive_scores(queries: DataFrame, texts: DataFrame, keys: Sequence[str], q
     spread over its terms, and counts are combined before the shuffle by pair. Inputs hold ``features``.
     """
     keys = list(keys)
-    q = queries.select(*keys, query, "features")
-    t = texts.select(*keys, item, "features")
+    q = cut_lineage(queries.select(*keys, query, "features"))  # analysed once, read by both lanes
+    t = cut_lineage(texts.select(*keys, item, "features"))
 
     def terms(df: DataFrame, name: str, size: str) -> DataFrame:
         return df.filter("features.latin").select(

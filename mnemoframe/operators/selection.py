@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import refs
 from ..functions.text import application_scope, clamp, render_episode
+from ..plans.session import cut_lineage
 from ..plans.split import top_n
-from .lexical import features, score
+from .lexical import features, may_reach, score
 
 OWNER = list(refs.OWNER)
 SCOPE = list(refs.SCOPE)
@@ -138,12 +139,16 @@ def select_memories(queries: DataFrame, lanes: DataFrame, catalogue: DataFrame,
     with kind, text. ``anchors``: from ``memory_anchors`` for dispositions and recollections. ``hits``: keys,
     owner columns, query_ref, lane_order, rank, kind, ref. A request meets at most the bounded catalogue of
     its two owners plus its index hits, so pairs grow with the requests, not with requests times memories.
+    Text features and candidate sets feed several path kinds; they are cut from their lineage so that each text
+    is analysed once.
     """
     keys = list(keys)
-    live = live_anchors(anchors)
+    hits = cut_lineage(hits)
+    live = cut_lineage(live_anchors(anchors).withColumn("af", features("anchor_text")))
     supports = live.filter("basis_role <> 'inhibition'")
     evidence = supports.groupBy(*OWNER, "version_ref").agg(
-        F.min(F.struct("episode_ref", "source_ref", "anchor_text")).alias("e"))
+        F.min(F.struct("episode_ref", "source_ref", "anchor_text")).alias("e")).select(
+        *OWNER, "version_ref", F.struct("e.episode_ref", "e.source_ref").alias("e"))
     lane_of = lanes.select(*keys, *OWNER, "owner_order")
     direct_hits = hits.filter("kind <> 'EPISODE'").select(
         *keys, *OWNER, F.lower("kind").alias("kind"), F.col("ref").alias("version_ref"), "query_ref",
@@ -159,24 +164,32 @@ def select_memories(queries: DataFrame, lanes: DataFrame, catalogue: DataFrame,
     # inactive, foreign and unsupported references vanish in the inner joins
     texts = active.filter("text <> '' AND version_ref <> ''").select(
         *OWNER, "kind", "version_ref", features("text").alias("mf"))
-    candidates = wanted.join(texts, [*OWNER, "kind", "version_ref"]).join(evidence, [*OWNER, "version_ref"])
-    asked = queries.filter("query_ref <> '' AND text <> ''").select(*keys, "query_ref", features("text").alias("qf"))
-
-    paired = candidates.join(asked, keys)
-    direct = paired.select(
+    texts = cut_lineage(texts.join(wanted.select(*OWNER, "kind", "version_ref").distinct(), [*OWNER, "kind", "version_ref"], "left_semi"))
+    candidates = cut_lineage(wanted.join(texts.drop("mf"), [*OWNER, "kind", "version_ref"]).join(
+        evidence, [*OWNER, "version_ref"]))
+    asked = cut_lineage(queries.filter("query_ref <> '' AND text <> ''").select(
+        *keys, "query_ref", features("text").alias("qf")))
+
+    # pairs travel with the short query features and meet the long memory features last
+    pairs = candidates.join(asked, keys)
+    paired = pairs.join(texts, [*OWNER, "kind", "version_ref"])
+    scored = lambda df: df.select(
         *keys, "kind", "version_ref", "query_ref", clamp(score(F.col("qf"), F.col("mf"))).alias("score"),
         F.col("version_ref").alias("matched_ref"), F.col("e.episode_ref").alias("evidence_episode"),
-        F.col("e.source_ref").alias("evidence_source"), *[F.col(c) for c in OWNER])
+        F.col("e.source_ref").alias("evidence_source"), *[c for c in ("index_rank", "lane_order") if c in df.columns])
     none = F.lit(None).cast("int")
-    plain = direct.drop(*OWNER).withColumns({"indexed": F.lit(False), "index_rank": none, "lane_order": none, "direct": F.lit(True)})
-    by_index = direct.join(direct_hits, [*keys, *OWNER, "kind", "version_ref", "query_ref"]).drop(*OWNER).withColumns(
-        {"indexed": F.lit(True), "direct": F.lit(True)})
-
-    own_anchor = live.select(*OWNER, "version_ref", "basis_role", "episode_ref", "source_ref", features("anchor_text").alias("af"))
-    met = candidates.filter("kind = 'disposition'").select(*keys, *OWNER, "kind", "version_ref").join(
-        own_anchor, [*OWNER, "version_ref"]).join(asked, keys).select(
+    # without an index match a path below the minimum can neither win nor be selected
+    plain = scored(paired.filter(may_reach(F.col("qf"), F.col("mf"), MINIMUM_SCORE))).filter(
+        F.col("score") >= MINIMUM_SCORE).withColumns(
+        {"indexed": F.lit(False), "index_rank": none, "lane_order": none, "direct": F.lit(True)})
+    by_index = scored(pairs.join(direct_hits, [*keys, *OWNER, "kind", "version_ref", "query_ref"]).join(
+        texts, [*OWNER, "kind", "version_ref"])).withColumns({"indexed": F.lit(True), "direct": F.lit(True)})
+
+    own_anchor = live.select(*OWNER, "version_ref", "basis_role", "episode_ref", "source_ref", "af")
+    met = pairs.filter("kind = 'disposition'").join(own_anchor, [*OWNER, "version_ref"]).select(
         *keys, *OWNER, "kind", "version_ref", "basis_role", "episode_ref", "source_ref", "query_ref",
         clamp(score(F.col("qf"), F.col("af"))).alias("score"))
+    met = cut_lineage(met)
     supported = met.filter("basis_role <> 'inhibition'").drop("basis_role").distinct()
     by_anchor = supported.select(
         *keys, "kind", "version_ref", "query_ref", "score", F.col("source_ref").alias("matched_ref"),
@@ -237,10 +250,10 @@ def episode_evidence(requests: DataFrame, hits: DataFrame, episodes: DataFrame,
     small = size.filter(F.col("bytes") <= 16 * 1024).select(*SCOPE, "episode_ref")
     rendered = content.join(small, [*SCOPE, "episode_ref"], "left_semi").groupBy(*SCOPE, "episode_ref").agg(
         F.collect_list(F.struct("role", "source_ref", "actor_kind", "text")).alias("s")).select(
-        *SCOPE, "episode_ref", render_episode(F.col("s")).alias("text"),
+        *OWNER, F.struct(*SCOPE).alias("__at"), "episode_ref", render_episode(F.col("s")).alias("text"),
         F.transform("s", lambda s: s["source_ref"]).alias("inside"))
     joined = wanted.join(budget, keys).join(rendered, [*OWNER, "episode_ref"])
-    current = (F.col("__scope") == F.struct(*SCOPE)) & F.arrays_overlap("inside", "situation_refs")
+    current = (F.col("__scope") == F.col("__at")) & F.arrays_overlap("inside", "situation_refs")
     offered = joined.filter(~current & (F.octet_length("text") <= F.col("evidence_bytes"))).groupBy(*keys).agg(
         F.max("evidence_bytes").alias("evidence_bytes"),
         F.array_sort(F.collect_list(F.struct("at", F.col("episode_ref").alias("ref"), "text"))).alias("items"))

@@ -226,13 +226,12 @@ UNION ALL SELECT home, 'DISPOSITION', version_ref FROM {dispositions}
 UNION ALL SELECT home, 'NOTE', concat('note-', root_ref) FROM {dispositions}
 UNION ALL SELECT conv_id % 100, 'EPISODE', episode_ref FROM {episodes}""",
     "index_asks": f"""
-SELECT q.tenant_ref, q.session_ref, q.run_ref, q.query_ref, q.query_index, CASE WHEN q.user_turn >= 2 AND p.run_ref IS NOT NULL THEN 2 ELSE 1 END AS n_queries,
+SELECT q.tenant_ref, q.session_ref, q.run_ref, q.query_ref, q.query_index, CASE WHEN q.user_turn >= 2 THEN 2 ELSE 1 END AS n_queries,
     q.lane AS owner_index, q.scope_kind AS request_kind, q.relationship_ref AS request_relationship, q.agent_ref,
     CASE WHEN q.lane = 0 THEN 'agent' ELSE 'relationship' END AS scope_kind,
     CASE WHEN q.lane = 0 THEN '' ELSE q.relationship_ref END AS relationship_ref,
     CASE WHEN q.lane = 0 THEN ((q.conv_id * 3 + q.query_index) % 14) * 7 + 3 ELSE q.conv_id % 100 END AS home
 FROM (SELECT *, EACH(0, 1) AS lane FROM {{select_queries}}) q
-LEFT JOIN (SELECT run_ref, session_ref FROM {{select_queries}} WHERE query_index = 1) p ON p.run_ref = q.run_ref AND p.session_ref = q.session_ref
 WHERE q.conv_id % 2 = 0 AND (q.lane = 0 OR q.scope_kind = 'relationship')""",
     "index_hits": """
 SELECT a.tenant_ref, a.session_ref, a.run_ref, a.query_ref, a.query_index, a.n_queries, a.owner_index, a.agent_ref, a.scope_kind, a.relationship_ref,
@@ -310,11 +309,19 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in DRIVER_TABLES:
-                self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._made[name] = self._read(name)
             else:
                 self._made[name] = self.spark.sql(_each(VIEWS[name], r"explode(array(\1))"), **{n: self(n) for n in _needs(name)})
         return self._made[name]
 
+    def _read(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # long texts in one small file would keep all but one core idle; many files need no exchange
+        if name == "documents" and df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, "doc_id")
+        return df
+
 
 def _ordered(names: tuple[str, ...]) -> list[str]:
     done: list[str] = []
