@@ -1,4 +1,4 @@
 """Every registered query; importing a module registers its queries."""
 
-from . import intake, retrieval, selection, windows  # noqa: F401
+from . import evaluation, intake, retrieval, selection, windows  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401

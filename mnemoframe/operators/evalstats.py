@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.answers import pair_consensus
+from ..functions.text import trimmed
+from ..plans.split import number_rows, running_sum
 
 
 def recall_at_k(rankings: DataFrame, gold: DataFrame, question: Sequence[str], ks: Sequence[int]) -> DataFrame:
@@ -16,3 +20,236 @@ def recall_at_k(rankings: DataFrame, gold: DataFrame, question: Sequence[str], k
     return per_question.select("n", F.explode(rows).alias("r")).groupBy("r.k").agg(
         F.count(F.lit(1)).alias("questions"), F.avg(F.col("r.hits") / F.col("n")).alias("recall"),
         F.avg((F.col("r.hits") > 0).cast("int")).alias("hit_rate"))
+
+
+MODES = ("none", "full_history", "oracle_episode", "semantic_top40", "current_core", "learned_core")
+COMPARISONS = (
+    ("oracle_episode", "none"), ("full_history", "none"), ("semantic_top40", "oracle_episode"),
+    ("current_core", "semantic_top40"), ("learned_core", "current_core"))
+
+
+def mode_summary(results: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """n, correct, accuracy, invalid answers, errors and mean tokens per mode, overall and per metadata value.
+
+    Metadata is unpivoted, so all groupings come from one aggregation. Accuracy is NULL where a mode has errors.
+    """
+    fields = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("value")),
+                     *[F.struct(F.lit(g).alias("field"), F.col(g).alias("value")) for g in groups])
+    rows = results.withColumn("g", F.explode(fields)).select("*", "g.field", "g.value")
+    return rows.groupBy("mode", "field", "value").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("correct").alias("correct"),
+        F.when(F.count_if(F.col("error") != "") == 0, F.count_if("correct") / F.count(F.lit(1))).alias("accuracy"),
+        F.count_if(F.col("predicted_option") == "").alias("invalid_answers"),
+        F.count_if(F.col("error") != "").alias("errors"),
+        (F.sum("memory_tokens") / F.count(F.lit(1))).alias("mean_memory_tokens"))
+
+
+def question_differences(results: DataFrame, comparisons: Sequence[tuple[str, str]] = COMPARISONS,
+                         value: str = "correct", question: str = "question_ref", arm: str = "mode") -> DataFrame:
+    """One row per question and comparison: value of the left arm minus the right arm."""
+    names = sorted({m for pair in comparisons for m in pair})
+    wide = results.filter(F.col(arm).isin(*names)).groupBy("persona_id", question).agg(
+        *[F.max(F.when(F.col(arm) == m, F.col(value).cast("bigint"))).alias(m) for m in names])
+    rows = F.array(*[F.struct(F.lit(f"{a}-minus-{b}").alias("comparison"), (F.col(a) - F.col(b)).alias("diff"))
+                     for a, b in comparisons])
+    return wide.select("persona_id", question, F.explode(rows).alias("r")).select(
+        "persona_id", question, "r.comparison", "r.diff").filter("diff IS NOT NULL")
+
+
+def cluster_stats(differences: DataFrame) -> DataFrame:
+    """Sum and count per comparison and persona."""
+    return differences.groupBy("comparison", "persona_id").agg(F.sum("diff").alias("s"), F.count(F.lit(1)).alias("n"))
+
+
+def paired_difference(differences: DataFrame) -> DataFrame:
+    """Question-weighted mean difference per comparison."""
+    return differences.groupBy("comparison").agg(
+        F.count(F.lit(1)).alias("n"), (F.sum("diff") / F.count(F.lit(1))).alias("difference"))
+
+
+def _draw(*parts) -> Column:
+    """Integer below 16**15 from the md5 digits of the joined parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
+def _interval(means: DataFrame, samples: int, digits: int) -> DataFrame:
+    """Interval by picking sorted elements (no interpolation); ``samples`` values per comparison."""
+    low, high = min(int(samples * 0.025), samples - 1), min(int(samples * 0.975), samples - 1)
+    ranked = means.withColumn("i", F.row_number().over(W.partitionBy("comparison").orderBy("m")) - 1)
+    return ranked.groupBy("comparison").agg(
+        F.round(F.max(F.when(F.col("i") == low, F.col("m"))), digits).alias("ci_low"),
+        F.round(F.max(F.when(F.col("i") == high, F.col("m"))), digits).alias("ci_high"))
+
+
+def cluster_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digits: int = 9) -> DataFrame:
+    """95 % interval of the weighted mean when whole personas are resampled with replacement.
+
+    Personas are numbered in hash order, blocked by the hash's first digits. The j-th draw of sample b takes
+    number ``md5(seed:b:j) mod k``: repeatable on any partitioning. Samples are spread before the draws are made; only ``samples`` means per comparison are sorted.
+    """
+    keyed = stats.withColumn("__h", F.md5("persona_id"))
+    numbered = number_rows(keyed, ["comparison"], ["__h", "persona_id"],
+                           F.conv(F.substring("__h", 1, 3), 16, 10).cast("bigint"), "idx")
+    numbered = numbered.select("comparison", "s", "n", (F.col("idx") - 1).alias("idx"))
+    sizes = stats.groupBy("comparison").agg(F.count(F.lit(1)).alias("k"))
+    each = sizes.select("comparison", "k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")).repartition("b")
+    draws = each.select("comparison", "k", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("j"))
+    draws = draws.select("comparison", "b", (_draw(F.lit(str(seed)), "b", "j") % F.col("k")).alias("idx"))
+    means = draws.join(numbered, ["comparison", "idx"]).groupBy("comparison", "b").agg(
+        (F.sum("s") / F.sum("n")).alias("m"))
+    return _interval(means, samples, digits)
+
+
+# Cumulative probabilities of Poisson(1) for 0..9, rounded to 15 decimals.
+POISSON_1 = (0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656,
+             0.999405815182418, 0.999916758850712, 0.999989750803325, 0.999998874797402, 0.999999888574522)
+
+
+def poisson_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digits: int = 9) -> DataFrame:
+    """The same interval with independent Poisson(1) weights, for more personas than draws can number.
+
+    Every (persona, sample) gets its weight from a hash; sums by sample combine before the shuffle, so each
+    task sends at most ``samples`` rows per comparison.
+    """
+    rows = stats.select("comparison", "persona_id", "s", "n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b"))
+    u = _draw(F.lit(str(seed)), "b", "persona_id") / F.lit(float(16 ** 15))
+    weight = F.lit(len(POISSON_1))
+    for k in reversed(range(len(POISSON_1))):
+        weight = F.when(u < POISSON_1[k], k).otherwise(weight)
+    means = rows.withColumn("w", weight).groupBy("comparison", "b").agg(
+        (F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
+    return _interval(means.filter("m IS NOT NULL"), samples, digits)
+
+
+def persona_weighted(stats: DataFrame) -> DataFrame:
+    """Statistics in which every persona counts once with its mean."""
+    return stats.select("comparison", "persona_id", (F.col("s") / F.col("n")).alias("s"), F.lit(1).alias("n"))
+
+
+FUNNEL = ("source_available", "indexed", "selected", "delivered", "learned_basis_selected", "learned_basis_delivered")
+
+
+def funnel_summary(records: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts, transition rates and accuracy with and without each stage, in one pass."""
+    hits = {s: F.count_if(s) for s in FUNNEL}
+    ok = F.col("answer_correct")
+    rate = lambda a, b: F.try_divide(F.count_if(F.col(a) & F.col(b)), F.count_if(F.col(b)))
+    aggs = [F.count(F.lit(1)).alias("questions"), F.count_if(ok).alias("answer_correct"),
+            *[c.alias(f"n_{s}") for s, c in hits.items()],
+            rate("indexed", "source_available").alias("indexed_given_source"),
+            rate("selected", "indexed").alias("selected_given_indexed"),
+            rate("delivered", "selected").alias("delivered_given_selected"),
+            (F.count_if(ok) / F.count(F.lit(1))).alias("accuracy")]
+    for s in FUNNEL:
+        aggs.append(F.try_divide(F.count_if(ok & F.col(s)), F.count_if(s)).alias(f"accuracy_given_{s}"))
+        aggs.append(F.try_divide(F.count_if(ok & ~F.col(s)), F.count_if(~F.col(s))).alias(f"accuracy_without_{s}"))
+    return records.groupBy(*by).agg(*aggs)
+
+
+def funnel_violations(records: DataFrame) -> DataFrame:
+    """Records whose stages contradict each other."""
+    c = F.col
+    reason = F.when(c("delivered") & ~c("selected"), "delivered_not_selected").when(
+        c("selected") & ~c("indexed"), "selected_not_indexed").when(
+        c("learned_basis_delivered") & ~c("learned_basis_selected"), "basis_delivered_not_selected").when(
+        ~c("source_available") & (c("indexed") | c("selected") | c("delivered") | c("learned_basis_selected")),
+        "unavailable_advanced")
+    return records.withColumn("reason", reason).filter("reason IS NOT NULL").select("persona_id", "question_ref", "reason")
+
+
+def ablation_summary(trials: DataFrame) -> DataFrame:
+    """Per arm: counts of trial states and the cases whose trials agree in state and in text."""
+    cases = trials.groupBy("arm", "case_ref").agg(
+        F.count_if(F.col("state") == "formed").alias("formed"),
+        F.count_if(F.col("state") == "no_change").alias("no_change"),
+        F.count_if(F.col("state") == "malformed").alias("malformed"),
+        (F.min("state") == F.max("state")).alias("same_state"),
+        ((F.count("text") == 0) | ((F.count("text") == F.count(F.lit(1))) & (F.min("text") == F.max("text")))).alias("same_text"))
+    return cases.groupBy("arm").agg(
+        F.count(F.lit(1)).alias("cases"), F.sum("formed").alias("formed"), F.sum("no_change").alias("no_change"),
+        F.sum("malformed").alias("malformed"), F.count_if("same_state").alias("stable_state"),
+        F.count_if("same_text").alias("stable_text"))
+
+
+def pairwise_tally(pairs: DataFrame) -> DataFrame:
+    """Clear wins of either side, ties and inconsistent answers per comparison."""
+    c = pairs.withColumn("winner", pair_consensus("forward_token", "reverse_token"))
+    return c.groupBy("comparison").agg(*[
+        F.count_if(F.col("winner") == w).alias(w + "_wins" if w in ("left", "right") else w)
+        for w in ("left", "right", "tie", "inconsistent")])
+
+
+def quantiles(log: DataFrame, by: Sequence[str], value: str, block, points: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """Exact discrete quantiles per group.
+
+    Equal values are counted before the shuffle, then a running count over value blocks finds the element, so no
+    group is sorted in one task.
+    """
+    by = list(by)
+    counts = log.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    total = log.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    run = running_sum(counts, by, [value], block, "__c", "__upto").join(total, by)
+    return run.groupBy(*by).agg(*[
+        F.min(F.when(F.col("__upto") >= F.greatest(F.ceil(F.col("__n") * p), F.lit(1)), F.col(value))).alias(f"p{round(p * 100)}")
+        for p in points])
+
+
+def latency_tokens(log: DataFrame, block) -> DataFrame:
+    """p50 and p95 duration, sum and mean of tokens per operation."""
+    q = quantiles(log, ["operation"], "duration", block)
+    return log.groupBy("operation").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"),
+        (F.sum("tokens") / F.count(F.lit(1))).alias("mean_tokens")).join(q, "operation")
+
+
+def harness_matrix(results: DataFrame) -> DataFrame:
+    """Exact-match rate of trimmed outputs per harness and mode; errors are kept apart."""
+    ok = (F.col("error") == "") & (trimmed("output") == trimmed("expected"))
+    answered = F.col("error") == ""
+    return results.groupBy("harness", "mode").agg(
+        F.count_if(answered).alias("answered"), F.count_if(~answered).alias("errors"), F.count_if(ok).alias("exact"),
+        F.try_divide(F.count_if(ok), F.count_if(answered)).alias("exact_rate"))
+
+
+# Cases a lifecycle run must contain.
+LIFECYCLE = ("positive_complete", "no_delivery", "no_outcome", "negative_complete")
+
+
+def lifecycle_summary(cases: DataFrame) -> DataFrame:
+    """One row: passed and reasons, from one row of flags per lifecycle case.
+
+    Flags: formed, rendered, expressed, reenacted, changed (revised or inhibited), future_changed.
+    """
+    flags = ("formed", "rendered", "expressed", "reenacted", "changed", "future_changed")
+    value = lambda kind, flag: F.max(F.when(F.col("kind") == kind, F.col(flag))).alias(f"{kind}/{flag}")
+    wide = cases.groupBy().agg(
+        F.count_distinct("kind").alias("kinds"), F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("kind").isin(*LIFECYCLE)).alias("unknown"), *[value(k, f) for k in LIFECYCLE for f in flags])
+    v = lambda kind, flag: F.col(f"`{kind}/{flag}`")
+    positive, silent, plain, negative = LIFECYCLE
+    checks = [F.when((F.col("kinds") != 4) | (F.col("unknown") > 0) | (F.col("rows") != F.col("kinds")), "all four lifecycle cases are required")]
+    for kind in LIFECYCLE:
+        checks += [F.when(~v(kind, f), f"{kind} did not prove {f}") for f in ("formed", "rendered", "expressed")]
+    checks += [
+        F.when(~v(positive, "reenacted"), "positive complete chain did not reenact"),
+        F.when(v(silent, "reenacted") | v(silent, "changed"), "undelivered control changed the disposition"),
+        F.when(v(plain, "changed"), "control without outcome changed the disposition"),
+        F.when(~(v(negative, "changed") & v(negative, "future_changed")), "negative complete chain did not change selection"),
+    ]
+    reasons = F.array_compact(F.array(*checks))
+    return wide.select((F.size(reasons) == 0).alias("passed"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+def owner_counters(episodes: DataFrame, jobs: DataFrame, consolidated: DataFrame, ops: DataFrame) -> DataFrame:
+    """Per owner: episodes, jobs, pending jobs, consolidated episodes, pending index operations, readiness.
+
+    ``consolidated`` has one row per window and episode; ``jobs``/``ops`` carry ``done``.
+    """
+    e = episodes.groupBy("owner").agg(F.count_distinct("episode_ref").alias("episodes"))
+    j = jobs.groupBy("owner").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(~F.col("done")).alias("pending_jobs"))
+    c = consolidated.select("owner", "episode_ref").distinct().groupBy("owner").agg(F.count(F.lit(1)).alias("consolidated"))
+    o = ops.groupBy("owner").agg(F.count_if(~F.col("done")).alias("pending_ops"))
+    full = e.join(j, "owner", "left").join(c, "owner", "left").join(o, "owner", "left").na.fill(0)
+    return full.withColumn("ready", (F.col("pending_jobs") == 0) & (F.col("pending_ops") == 0)
+                           & (F.col("consolidated") == F.col("episodes")))
