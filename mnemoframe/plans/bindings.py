@@ -237,6 +237,35 @@ WHERE q.conv_id % 2 = 0 AND (q.lane = 0 OR q.scope_kind = 'relationship')""",
 SELECT a.tenant_ref, a.session_ref, a.run_ref, a.query_ref, a.query_index, a.n_queries, a.owner_index, a.agent_ref, a.scope_kind, a.relationship_ref,
     i.kind, i.ref, row_number() OVER (PARTITION BY a.session_ref, a.run_ref, a.query_ref, a.owner_index ORDER BY md5(concat(i.ref, a.query_ref)), i.ref) - 1 AS position
 FROM {index_asks} a JOIN {index_items} i ON i.home = a.home""",
+    # --- consolidation windows: one per conversation, related episodes from another one of the owner -----
+    "window_related": f"""
+SELECT DISTINCT concat('win-', CAST(w.conv_id AS STRING)) AS window_ref, w.conv_id, w.scope_kind, w.relationship_ref,
+    CASE WHEN w.conv_id % 5 = 0 THEN w.conv_id WHEN w.conv_id % 7 = 3 THEN w.conv_id + 7 ELSE w.conv_id + 20 END AS related_conv FROM {{episodes}} w""",
+    "window_members": """
+SELECT concat('win-', CAST(conv_id AS STRING)) AS window_ref, episode_ref, 'current' AS origin, user_turn AS position FROM {episodes}
+UNION ALL
+SELECT w.window_ref, e.episode_ref, 'related', 1000 + e.user_turn FROM {window_related} w JOIN {episodes} e
+  ON e.conv_id = w.related_conv AND e.scope_kind = w.scope_kind AND e.relationship_ref = w.relationship_ref
+UNION ALL
+SELECT concat('win-', CAST(conv_id AS STRING)), concat('episode_', CAST(conv_id + 20 AS STRING), '_0'), 'revision_anchor', 2000 FROM {episodes} WHERE user_turn = 0 AND conv_id % 7 <> 3 AND (conv_id + 20) % 7 <> 3""",
+    "window_outcomes": """
+SELECT DISTINCT m.window_ref, o.outcome_ref, o.episode_ref, o.actor_kind, o.actor_ref, o.text FROM {window_members} m JOIN {outcome_heads} o ON o.episode_ref = m.episode_ref""",
+    # model outputs, one per conversation; conv_id decides the form
+    "model_outputs": """
+SELECT concat('win-', CAST(conv_id AS STRING)) AS window_ref, conv_id, CASE conv_id % 9
+    WHEN 0 THEN concat('TARGET', n, 'NEW_RECOLLECTION', n, 'APPLICATION', n, 'OTHER', n, 'CHANGE', n, 'TEXT', n, '  likes ', CAST(conv_id % 4 AS STRING), n, n, 'BASIS', n, ep, n, 'TARGET', n, 'NEW_RECOLLECTION', n, 'APPLICATION', n, 'SELF', n, 'CHANGE', n, 'TEXT says ', CAST(conv_id AS STRING), n, 'BASIS', n, ep)
+    WHEN 1 THEN concat('TARGET', n, 'NEW_RECOLLECTION', n, 'APPLICATION', n, 'NOBODY', n, 'CHANGE', n, 'TEXT x', n, 'BASIS', n, ep)
+    WHEN 2 THEN concat('TARGET', n, 'NEW_RECOLLECTION', n, 'APPLICATION', n, 'OTHER', n, 'CHANGE', n, 'TEXT x', n, 'BASIS', n, ep, n, ep)
+    WHEN 3 THEN repeat(concat('TARGET', n), 9000)
+    WHEN 4 THEN concat(' ', n, ' ')
+    WHEN 5 THEN concat('TARGET', n, rec, n, 'APPLICATION', n, app, n, 'CHANGE', n, 'KEEP', n, 'BASIS', n, ep)
+    WHEN 6 THEN concat('TARGET', n, rec, n, 'APPLICATION', n, app, n, 'CHANGE', n, 'TEXT', n, 'now ', CAST(conv_id % 3 AS STRING), n, 'BASIS', n, ep)
+    WHEN 7 THEN concat('TARGET', n, rec, n, 'APPLICATION', n, app, n, 'CHANGE', n, 'KEEP', n, 'BASIS', n, ep, n, 'TARGET', n, rec, n, 'APPLICATION', n, app, n, 'CHANGE', n, 'KEEP', n, 'BASIS', n, ep)
+    ELSE concat('TARGET', n, 'NEW_DISPOSITION', n, 'APPLICATION', n, CASE WHEN conv_id % 7 = 3 THEN 'SELF' ELSE 'RELATION' END, n, 'CHANGE', n, 'ADAPT stay brief', n, 'BASIS', n, ep) END AS output
+FROM (SELECT conv_id, chr(10) AS n, min(episode_ref) AS ep,
+        concat('recollection_', CAST((conv_id % 100) + CASE WHEN (conv_id % 100) % 5 = 0 THEN 100 ELSE 0 END AS STRING), '@', CAST(1 + ((conv_id % 100) + CASE WHEN (conv_id % 100) % 5 = 0 THEN 100 ELSE 0 END) % 3 AS STRING)) AS rec,
+        CASE conv_id % 4 WHEN 0 THEN 'SELF' WHEN 1 THEN 'OTHER' WHEN 2 THEN 'RELATION' ELSE 'SITUATION' END AS app
+      FROM {episodes} GROUP BY conv_id) x""",
     # --- events as arrivals, jobs and index operations -----------------------------------------------
     "arrivals": """
 SELECT concat('user-', CAST(user_id AS STRING)) AS owner, concat('ep-', CAST(event_id AS STRING)) AS episode_ref,
