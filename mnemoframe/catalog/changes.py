@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import changes as ch, evidence as ev, fusion, index_log
 from ..plans.bindings import Tables, sql_with
+from ..plans.session import cut_lineage
 from .registry import query
 from .retrieval import shortlists
 from .sqltext import field, hash_blob
@@ -157,7 +158,7 @@ cn AS (SELECT a.window_ref, arg_max(er.constitution_ref, er.admission_order) AS
  (SELECT count(*) FROM asm x WHERE x.window_ref = c.window_ref AND origin = 'revision_anchor') AS anchors, CAST((SELECT sum(octet_length(encode(er.text))) FROM asm x JOIN er USING (episode_ref) WHERE x.window_ref = c.window_ref AND er.role <> 'outcome') AS BIGINT) AS bytes,
  concat(CASE WHEN cr = '' THEN concat('CONSTITUTION', chr(10), 'UNKNOWN', chr(10), chr(10)) ELSE concat('CONSTITUTION', chr(10), 'MEMORY_REF ', cr, chr(10), '> ', ct, chr(10), 'END_CONSTITUTION', chr(10), chr(10)) END,
   (SELECT string_agg(block, chr(10) ORDER BY position) FROM wt WHERE wt.window_ref = c.window_ref AND origin = 'current'),
-  coalesce((SELECT concat(chr(10), 'RELATED_EPISODES', chr(10), string_agg(block, chr(10) ORDER BY position)) FROM wt WHERE wt.window_ref = c.window_ref AND origin = 'related'), '')) AS window_text FROM cn c""")
+  coalesce((SELECT chr(10) || 'RELATED_EPISODES' || chr(10) || string_agg(block, chr(10) ORDER BY position) FROM wt WHERE wt.window_ref = c.window_ref AND origin = 'related'), '')) AS window_text FROM cn c""")
 def _(t: Tables):
     return evidence(t).select("window_ref", "current", "related", "anchors", "bytes", "window_text")
 
@@ -211,9 +212,10 @@ def window_heads(t: Tables):
 
 
 def validated(t: Tables):
-    changes = parsed(t)
-    r = rows(t)
-    flags = ev.episode_flags(r)
+    # outputs are parsed once and episodes joined once; the checks read them several times
+    changes = cut_lineage(parsed(t))
+    r = cut_lineage(rows(t).drop("text"))
+    flags = cut_lineage(ev.episode_flags(r))
     b = changes.filter("error IS NULL").select("window_ref", "change_no", F.explode("basis_refs").alias("ref"))
     m = t("window_members")
     none = t("window_members").filter("origin = 'none'")

@@ -37,10 +37,12 @@ def _is_ref(text: str) -> bool:
 def _blocks(lines: list[str]) -> Iterator[list[str]]:
     """Cut trimmed lines into blocks: a new one starts at TARGET once the current block has its basis."""
     block: list[str] = []
+    has_basis = False
     for line in lines:
-        if line == "TARGET" and "BASIS" in block[6:] and block[-1] != "BASIS":
+        if line == "TARGET" and has_basis and block[-1] != "BASIS":
             yield block
-            block = []
+            block, has_basis = [], False
+        has_basis = has_basis or (line == "BASIS" and len(block) >= 6)
         block.append(line)
     if block:
         yield block
