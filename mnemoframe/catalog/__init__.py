@@ -1,4 +1,4 @@
 """Every registered query; importing a module registers its queries."""
 
-from . import changes, evaluation, intake, retrieval, selection, streaming, windows  # noqa: F401
+from . import changes, evaluation, intake, retrieval, selection, sources, streaming, windows  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
