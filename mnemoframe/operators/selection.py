@@ -170,41 +170,47 @@ def select_memories(queries: DataFrame, lanes: DataFrame, catalogue: DataFrame,
     asked = cut_lineage(queries.filter("query_ref <> '' AND text <> ''").select(
         *keys, "query_ref", features("text").alias("qf")))
 
-    # pairs travel with the short query features and meet the long memory features last
-    pairs = candidates.join(asked, keys)
-    paired = pairs.join(texts, [*OWNER, "kind", "version_ref"])
-    scored = lambda df: df.select(
-        *keys, "kind", "version_ref", "query_ref", clamp(score(F.col("qf"), F.col("mf"))).alias("score"),
-        F.col("version_ref").alias("matched_ref"), F.col("e.episode_ref").alias("evidence_episode"),
-        F.col("e.source_ref").alias("evidence_source"), *[c for c in ("index_rank", "lane_order") if c in df.columns])
     none = F.lit(None).cast("int")
+    who = [*keys, *OWNER, "kind", "version_ref"]
+    # first pass on codes alone: most pairs cannot reach the minimum, and codes are all they need to show it
+    asked_codes = asked.select(*keys, "query_ref", F.struct("qf.codes").alias("qc"))
+    text_codes = texts.select(*OWNER, "kind", "version_ref", F.struct("mf.codes").alias("mc"))
+    near = candidates.drop("e").join(asked_codes, keys).join(text_codes, [*OWNER, "kind", "version_ref"]).filter(
+        may_reach(F.col("qc"), F.col("mc"), MINIMUM_SCORE)).select(*who, "query_ref")
+    matched = candidates.drop("e").join(direct_hits, who).select(*who, "query_ref", "index_rank", "lane_order")
+    to_score = near.withColumns({"index_rank": none, "lane_order": none, "indexed": F.lit(False)}).unionByName(
+        matched.withColumn("indexed", F.lit(True)))
+    direct = to_score.join(asked, [*keys, "query_ref"]).join(texts, [*OWNER, "kind", "version_ref"]).select(
+        *who, "query_ref", "index_rank", "lane_order", "indexed", clamp(score(F.col("qf"), F.col("mf"))).alias("score"))
     # without an index match a path below the minimum can neither win nor be selected
-    plain = scored(paired.filter(may_reach(F.col("qf"), F.col("mf"), MINIMUM_SCORE))).filter(
-        F.col("score") >= MINIMUM_SCORE).withColumns(
-        {"indexed": F.lit(False), "index_rank": none, "lane_order": none, "direct": F.lit(True)})
-    by_index = scored(pairs.join(direct_hits, [*keys, *OWNER, "kind", "version_ref", "query_ref"]).join(
-        texts, [*OWNER, "kind", "version_ref"])).withColumns({"indexed": F.lit(True), "direct": F.lit(True)})
+    direct = direct.filter(F.col("indexed") | (F.col("score") >= MINIMUM_SCORE)).join(
+        evidence, [*OWNER, "version_ref"]).select(
+        *keys, "kind", "version_ref", "query_ref", "score", F.col("version_ref").alias("matched_ref"),
+        F.col("e.episode_ref").alias("evidence_episode"), F.col("e.source_ref").alias("evidence_source"),
+        "index_rank", "lane_order", "indexed", F.lit(True).alias("direct"))
 
     own_anchor = live.select(*OWNER, "version_ref", "basis_role", "episode_ref", "source_ref", "af")
-    met = pairs.filter("kind = 'disposition'").join(own_anchor, [*OWNER, "version_ref"]).select(
-        *keys, *OWNER, "kind", "version_ref", "basis_role", "episode_ref", "source_ref", "query_ref",
-        clamp(score(F.col("qf"), F.col("af"))).alias("score"))
-    met = cut_lineage(met)
-    supported = met.filter("basis_role <> 'inhibition'").drop("basis_role").distinct()
-    by_anchor = supported.select(
-        *keys, "kind", "version_ref", "query_ref", "score", F.col("source_ref").alias("matched_ref"),
-        F.col("episode_ref").alias("evidence_episode"), F.col("source_ref").alias("evidence_source")).withColumns(
-        {"indexed": F.lit(False), "index_rank": none, "lane_order": none, "direct": F.lit(False)})
+    seeds = candidates.filter("kind = 'disposition'").select(who)
+    support = own_anchor.filter("basis_role <> 'inhibition'").drop("basis_role").dropDuplicates(
+        [*OWNER, "version_ref", "episode_ref", "source_ref"])
+    anchor_codes = support.select(*OWNER, "version_ref", "episode_ref", "source_ref", F.struct("af.codes").alias("ac"))
+    near_anchor = seeds.join(asked_codes, keys).join(anchor_codes, [*OWNER, "version_ref"]).filter(
+        may_reach(F.col("qc"), F.col("ac"), MINIMUM_SCORE)).select(*who, "query_ref", "episode_ref", "source_ref")
     # an indexed episode speaks through its first live anchor
-    first_anchor = supported.groupBy(*keys, *OWNER, "kind", "version_ref", "query_ref", "episode_ref").agg(
-        F.min(F.struct("source_ref", "score")).alias("f"))
-    by_episode = first_anchor.join(episode_hits, [*keys, *OWNER, "query_ref", "episode_ref"]).select(
-        *keys, "kind", "version_ref", "query_ref", F.col("f.score").alias("score"), F.col("episode_ref").alias("matched_ref"),
-        F.col("episode_ref").alias("evidence_episode"), F.col("f.source_ref").alias("evidence_source"),
-        "index_rank", "lane_order").withColumns({"indexed": F.lit(True), "direct": F.lit(False)})
-    paths = plain.unionByName(by_index).unionByName(by_anchor).unionByName(by_episode)
-    inhibition = met.filter("basis_role = 'inhibition'").groupBy(*keys, "kind", "version_ref").agg(
-        F.max("score").alias("inhibition"))
+    first_anchor = support.groupBy(*OWNER, "version_ref", "episode_ref").agg(F.min("source_ref").alias("source_ref"))
+    spoken = episode_hits.join(first_anchor, [*OWNER, "episode_ref"]).join(seeds, [*keys, *OWNER, "version_ref"]).select(
+        *who, "query_ref", "episode_ref", "source_ref", "index_rank", "lane_order")
+    anchored = near_anchor.withColumns({"index_rank": none, "lane_order": none, "indexed": F.lit(False)}).unionByName(
+        spoken.withColumn("indexed", F.lit(True))).join(asked, [*keys, "query_ref"]).join(
+        support, [*OWNER, "version_ref", "episode_ref", "source_ref"]).withColumn(
+        "score", clamp(score(F.col("qf"), F.col("af")))).filter(F.col("indexed") | (F.col("score") >= MINIMUM_SCORE)).select(
+        *keys, "kind", "version_ref", "query_ref", "score",
+        F.when(F.col("indexed"), F.col("episode_ref")).otherwise(F.col("source_ref")).alias("matched_ref"),
+        F.col("episode_ref").alias("evidence_episode"), F.col("source_ref").alias("evidence_source"),
+        "index_rank", "lane_order", "indexed", F.lit(False).alias("direct"))
+    inhibition = seeds.join(own_anchor.filter("basis_role = 'inhibition'"), [*OWNER, "version_ref"]).join(asked, keys).groupBy(
+        *keys, "kind", "version_ref").agg(F.max(clamp(score(F.col("qf"), F.col("af")))).alias("inhibition"))
+    paths = direct.unionByName(anchored)
     scope = candidates.select(*keys, *OWNER, "kind", "version_ref").join(lane_of, [*keys, *OWNER]).join(
         reenactment_count(basis), ["tenant_ref", "version_ref"], "left").select(
         *keys, "kind", "version_ref", "owner_order",

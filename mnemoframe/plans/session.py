@@ -24,6 +24,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
+        # megabytes of text are worth all cores of one machine
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
