@@ -21,18 +21,26 @@ asm AS (SELECT window_ref, episode_ref, origin, position FROM (SELECT *, row_num
 _E = sql_with(*_EV, extra=_ROWS)
 
 
-def rows(t: Tables):
+def plain_rows(t: Tables):
     return ev.episode_sources(t("episodes"), t("links"), t("sources"))
 
 
+def rows(t: Tables):
+    return t.once("episode_sources", lambda: plain_rows(t))
+
+
+def members(t: Tables):
+    return t.once("window_members", lambda: t("window_members"))
+
+
 @query("j01_episode_sources", _E + "SELECT episode_ref, role, source_ref, actor_kind, text FROM er")
 def _(t: Tables):
-    return rows(t).select("episode_ref", "role", "source_ref", "actor_kind", "text")
+    return plain_rows(t).select("episode_ref", "role", "source_ref", "actor_kind", "text")
 
 
 @query("p07_formation_flags", _E + "SELECT episode_ref, formation_roles, other_situation, user_situation, repeats FROM fl")
 def _(t: Tables):
-    return ev.episode_flags(rows(t)).select("episode_ref", "formation_roles", "other_situation", "user_situation", "repeats")
+    return ev.episode_flags(plain_rows(t)).select("episode_ref", "formation_roles", "other_situation", "user_situation", "repeats")
 
 
 @query("u03_assemble_evidence", _E + "SELECT * FROM asm")
@@ -44,7 +52,7 @@ def _(t: Tables):
  WHERE a.window_ref = w.window_ref AND b.window_ref = w.window_ref AND a.origin = 'current' AND b.origin <> 'revision_anchor' AND x.formation_roles AND x.other_situation AND NOT x.repeats AND y.formation_roles AND y.other_situation AND NOT y.repeats AND x.session_ref <> y.session_ref) AS formation_possible
 FROM (SELECT DISTINCT window_ref FROM window_members) w""")
 def _(t: Tables):
-    return ev.formation_possible(t("window_members"), ev.episode_flags(rows(t)))
+    return ev.formation_possible(members(t), ev.episode_flags(rows(t)))
 
 
 _BASIS = """bas AS (SELECT DISTINCT window_ref, CAST(1 AS INT) AS change_no, episode_ref AS ref FROM window_members WHERE origin <> 'revision_anchor'
@@ -54,7 +62,7 @@ _BASIS = """bas AS (SELECT DISTINCT window_ref, CAST(1 AS INT) AS change_no, epi
 
 
 def basis_rows(t: Tables):
-    m = t("window_members")
+    m = members(t)
     row = lambda df, no, ref: df.select("window_ref", F.lit(no).alias("change_no"), F.col(ref).alias("ref")).distinct()
     return (
         row(m.filter("origin <> 'revision_anchor'"), 1, "episode_ref").unionByName(row(m.filter("position % 1000 < 2"), 2, "episode_ref"))
@@ -73,18 +81,18 @@ _J14 = """cls AS (SELECT b.window_ref, b.change_no, b.ref, m.episode_ref IS NOT
 FROM cls c GROUP BY window_ref, change_no""")
 def _(t: Tables):
     r = rows(t)
-    return ev.formation_basis(basis_rows(t), t("window_members"), ev.episode_flags(r), r, t("window_outcomes"))
+    return ev.formation_basis(basis_rows(t), members(t), ev.episode_flags(r), r, t("window_outcomes"))
 
 
 @query("j14_adaptation_basis", sql_with(*_EV, extra=_ROWS + "," + _BASIS) + """SELECT b.window_ref, b.change_no, count(*) = 1 AND bool_or(f.user_situation AND m.episode_ref IS NOT NULL) AS eligible FROM bas b LEFT JOIN fl f ON f.episode_ref = b.ref
  LEFT JOIN (SELECT DISTINCT window_ref, episode_ref FROM window_members WHERE origin = 'current') m ON m.window_ref = b.window_ref AND m.episode_ref = b.ref GROUP BY 1, 2""")
 def _(t: Tables):
-    return ev.adaptation_basis(basis_rows(t), t("window_members"), ev.episode_flags(rows(t)))
+    return ev.adaptation_basis(basis_rows(t), members(t), ev.episode_flags(rows(t)))
 
 
 @query("p08_size_guard", _E + "SELECT window_ref, CAST(sum(octet_length(encode(text)) + octet_length(encode(er.source_ref)) + octet_length(encode(er.episode_ref))) AS BIGINT) AS bytes, sum(octet_length(encode(text)) + octet_length(encode(er.source_ref)) + octet_length(encode(er.episode_ref))) > 4000 AS noop FROM asm JOIN er USING (episode_ref) GROUP BY 1")
 def _(t: Tables):
-    joined = ev.assemble(t("window_members")).join(rows(t), "episode_ref")
+    joined = ev.assemble(members(t)).join(rows(t), "episode_ref")
     return ev.size_guard(joined, "window_ref", [F.octet_length(c) for c in ("text", "source_ref", "episode_ref")], 4000)
 
 
@@ -98,7 +106,7 @@ pr AS (SELECT window_ref, 0 AS place, episode_ref, outcome_ref, text FROM an WHE
 
 
 def pairs(t: Tables):
-    m = t("window_members")
+    m = members(t)
     ranking = m.filter("origin <> 'current'").select("window_ref", "episode_ref", F.col("position").alias("rank"))
     return ev.formation_pairs(m, ev.episode_flags(rows(t)), t("window_outcomes"), t("outcome_heads"), ranking)
 
@@ -122,7 +130,7 @@ def _(t: Tables):
 @query("c06_recollection_materials", _E + """SELECT a.window_ref, a.episode_ref, er.source_ref, er.text, (SELECT string_agg(x.episode_ref, ',' ORDER BY x.position) FROM asm x WHERE x.window_ref = a.window_ref AND x.origin = 'current') AS basis_refs
 FROM asm a JOIN er USING (episode_ref) WHERE a.origin = 'current' AND er.role = 'situation' AND er.actor_kind = 'user'""")
 def _(t: Tables):
-    return ev.recollection_materials(t("window_members"), rows(t)).withColumn("basis_refs", F.array_join("basis_refs", ","))
+    return ev.recollection_materials(members(t), rows(t)).withColumn("basis_refs", F.array_join("basis_refs", ","))
 
 
 @query("f11_render_episode", sql_with("turns", "replies") + """SELECT t.episode_ref, concat('SITUATION [user]', chr(10), t.user_text, chr(10), 'AGENT_ACT [agent]', chr(10), t.agent_text, CASE WHEN r.reply_text IS NULL THEN '' ELSE concat(chr(10), 'OUTCOME [user]', chr(10), r.reply_text) END) AS text FROM turns t LEFT JOIN replies r USING (episode_ref)""")
@@ -131,7 +139,7 @@ def _(t: Tables):
 
 
 def rendered_episodes(t: Tables):
-    return rows(t).groupBy("tenant_ref", "agent_ref", "relationship_ref", "episode_ref").agg(
+    return plain_rows(t).groupBy("tenant_ref", "agent_ref", "relationship_ref", "episode_ref").agg(
         F.collect_list(F.struct("role", "source_ref", "actor_kind", "text")).alias("s")).withColumn("text", tx.render_episode(F.col("s"))).drop("s")
 
 
@@ -166,7 +174,7 @@ def _(t: Tables):
 def evidence(t: Tables):
     r = rows(t)
     shortlist = shortlists(t).select(F.concat(F.lit("win-"), F.split("session_ref", "-")[1]).alias("window_ref"), "version_ref")
-    return ev.window_evidence(t("window_members"), r, ev.episode_flags(r), t("window_outcomes"), shortlist)
+    return ev.window_evidence(members(t), r, ev.episode_flags(r), t("window_outcomes"), shortlist)
 
 
 # --- model outputs -------------------------------------------------------------------------------
@@ -201,7 +209,7 @@ def _(t: Tables):
     new = t("model_outputs").select("window_ref", F.explode(F.array(F.lit("NEW_RECOLLECTION"), F.lit("NEW_DISPOSITION"))).alias("ref"))
     targets = offered(t).select("window_ref", F.col("version_ref").alias("ref")).unionByName(new)
     # windows that end in KEEP are offered no basis
-    basis = t("window_members").filter("origin = 'current'").select("window_ref", F.col("episode_ref").alias("ref")).join(
+    basis = members(t).filter("origin = 'current'").select("window_ref", F.col("episode_ref").alias("ref")).join(
         changes.filter("operation = 'KEEP'").select("window_ref").distinct(), "window_ref", "left_anti")
     return ch.offered_audit(changes, targets, basis).withColumn("change_no", F.col("change_no").cast("bigint"))
 
@@ -212,13 +220,13 @@ def window_heads(t: Tables):
 
 
 def validated(t: Tables):
-    # outputs are parsed once and episodes joined once; the checks read them several times
+    # outputs are parsed once; the checks read them several times
     changes = cut_lineage(parsed(t))
-    r = cut_lineage(rows(t).drop("text"))
+    r = rows(t)
     flags = cut_lineage(ev.episode_flags(r))
     b = changes.filter("error IS NULL").select("window_ref", "change_no", F.explode("basis_refs").alias("ref"))
-    m = t("window_members")
-    none = t("window_members").filter("origin = 'none'")
+    m = members(t)
+    none = members(t).filter("origin = 'none'")
     targets = none.select("window_ref", F.col("episode_ref").alias("version_ref"), F.lit("agent").alias("target_kind"), F.lit(True).alias("same_owner"))
     feedback = none.select("window_ref", F.col("episode_ref").alias("version_ref"), F.col("episode_ref").alias("ref"), F.lit("episode").alias("what"), "episode_ref")
     return ch.validate_changes(changes, window_heads(t), m, offered(t), targets, feedback,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import refs
+from ..plans.session import cut_lineage
 from .intake import GROUP, SCOPE, first_accept, validate_deliveries, validate_outcomes
 
 RUN = [*SCOPE, "run_ref"]
@@ -76,9 +77,9 @@ def admit_outcomes(outcomes: DataFrame, deliveries: DataFrame, links: DataFrame)
 def delivery_job(deliveries: DataFrame, contexts: DataFrame, items: DataFrame, evidence: DataFrame,
                  acts: DataFrame) -> DataFrame:
     """Deliveries to receipts: validation, idempotency, then admission."""
-    checked = validate_deliveries(deliveries)
-    keyed = first_accept(checked.filter("reason IS NULL").drop("reason").withColumn(
-        "request_hash", refs.delivery_hash(F.col("memory_refs"))), ["tenant_ref", "idempotency_key"], "request_hash")
+    checked = cut_lineage(validate_deliveries(deliveries))
+    keyed = cut_lineage(first_accept(checked.filter("reason IS NULL").drop("reason").withColumn(
+        "request_hash", refs.delivery_hash(F.col("memory_refs"))), ["tenant_ref", "idempotency_key"], "request_hash"))
     fresh = admit_deliveries(keyed.filter("status = 'new'"), contexts, items, evidence, acts)
     cols = ["tenant_ref", "idempotency_key", "arrival", "status"]
     receipt = refs.delivery_ref().alias("delivery_ref")
@@ -91,11 +92,12 @@ def delivery_job(deliveries: DataFrame, contexts: DataFrame, items: DataFrame, e
 
 def outcome_job(outcomes: DataFrame, deliveries: DataFrame, links: DataFrame, episodes: DataFrame) -> DataFrame:
     """Outcomes to receipts: validation, idempotency, admission, episode attachment."""
-    checked = validate_outcomes(outcomes)
-    hashed = checked.filter("reason IS NULL").drop("reason").withColumn("source_event_ref", F.col("source_ref"))
-    keyed = first_accept(hashed.withColumn("request_hash", refs.outcome_hash(
-        F.array_sort("receipt_refs"), F.array_sort("related_refs"))),
-        ["tenant_ref", "idempotency_key"], "request_hash")
+    checked = validate_outcomes(outcomes).withColumn("source_event_ref", F.col("source_ref"))
+    # texts end here: later steps see hashes and references
+    checked = cut_lineage(checked.withColumn("request_hash", refs.outcome_hash(
+        F.array_sort("receipt_refs"), F.array_sort("related_refs"))).drop("text"))
+    keyed = cut_lineage(first_accept(checked.filter("reason IS NULL").drop("reason"),
+                                     ["tenant_ref", "idempotency_key"], "request_hash"))
     fresh = admit_outcomes(keyed.filter("status = 'new'"), deliveries, links)
     attached = fresh.drop("episode_ref").join(episodes.select(*GROUP, "episode_ref"), GROUP, "left")
     cols = ["tenant_ref", "idempotency_key", "arrival", "status", "episode_ref"]
@@ -105,7 +107,7 @@ def outcome_job(outcomes: DataFrame, deliveries: DataFrame, links: DataFrame, ep
             "episode_ref", F.when(F.col("reason").isNull(), F.coalesce("episode_ref", F.lit(""))).otherwise(""))
         .select(*cols, refs.outcome_ref().alias("outcome_ref"))
         .unionByName(keyed.filter("status <> 'new'").select(*cols[:-1], none, refs.outcome_ref().alias("outcome_ref")))
-        .unionByName(checked.filter("reason IS NOT NULL").withColumn("source_event_ref", F.col("source_ref")).withColumn(
+        .unionByName(checked.filter("reason IS NOT NULL").withColumn(
             "status", F.concat(F.lit("invalid:"), "reason")).select(
             *cols[:-1], none, refs.outcome_ref().alias("outcome_ref"))))
 

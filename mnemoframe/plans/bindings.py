@@ -7,10 +7,13 @@ start from equal inputs. ``{name}`` stands for another view or a driver table, `
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import cut_lineage
+
 DRIVER_TABLES = frozenset(
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations".split())
@@ -343,6 +346,13 @@ class Tables:
                 self._made[name] = self.spark.sql(_each(VIEWS[name], r"explode(array(\1))"), **{n: self(n) for n in _needs(name)})
         return self._made[name]
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A joined table that several branches of a query read: made once, cut from its lineage."""
+        key = "once:" + name
+        if key not in self._made:
+            self._made[key] = cut_lineage(make())
+        return self._made[key]
+
     def _read(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
