@@ -25,6 +25,9 @@ SYMBOLS = CHUNKS * CHUNK
 ERRORS = 31
 #: Members of a bucket that are compared as one block.
 BLOCK = 256
+#: Rounds with leaders, at most; they end when fewer than one in WORTH tested pairs is a link.
+STARS = 4
+WORTH = 10
 
 _A = spans.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = spans.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64), salt=77)
@@ -144,10 +147,8 @@ def _sets(words: int):
     return run
 
 
-def _confirmed(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut_lineage(rows.join(needed, "id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>"))
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"{x}s")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
     return both.where(F.expr(f"100 * common >= {percent} * (size(as) + size(bs) - common)")).select("a", "b").distinct()
@@ -177,13 +178,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = classes.select("node", "sig").mapInArrow(_keys, "key long, node long")
     crowded = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = cut_lineage(keys.join(crowded, "key"))
-    live = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "sig")
-    live = cut_lineage(live)
-    alive = rows.join(live.select(F.col("node").alias("id")), "id", "left_semi")
+    live = cut_lineage(classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "n", "sig"))
+    sets = cut_lineage(rows.join(live.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>"))
 
-    spark = docs.sparkSession
     tested, links, found = None, None, None
-    for turn in range(3):
+    for turn in range(STARS):
         # a leader for each bucket: the member first in an order that changes with the round
         where = members if found is None else _open(members, found)
         order = F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), F.col("node")) if turn else F.struct(F.col("node"))
@@ -195,12 +194,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = live.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("sig").alias("asig"))
         right = live.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("sig").alias("bsig"))
         fit = pairs.join(left, "a").join(right, "b").where(f"100 * least(an, bn) >= {percent} * greatest(an, bn)")
-        fit = cut_lineage(fit.select("a", "asig", "b", "bsig").mapInArrow(_close, "a long, b long").distinct())
-        if fit.isEmpty():
+        fit = cut_lineage(fit.select("a", "asig", "b", "bsig").mapInArrow(_close, "a long, b long"))
+        good = cut_lineage(_confirmed(sets, fit, percent))
+        tried, gained = fit.count(), good.count()
+        tested = fit if tested is None else tested.union(fit)
+        links = good if links is None else links.union(good)
+        if gained * WORTH < tried or not gained:
+            # what is left are texts that share a part: the last round has them all
             break
-        good = cut_lineage(_confirmed(alive, fit, words, percent))
-        tested = fit if tested is None else cut_lineage(tested.union(fit))
-        links = good if links is None else cut_lineage(links.union(good))
         found = cut_lineage(components(links))
 
     rest = _open(members, found) if found is not None else members
@@ -212,15 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right = blocks.select("key", F.col("block").alias("y"), F.col("members").alias("right"))
     pairs = left.join(right, "key").where("x < y or x = y and size(left) > 1").select("key", "left", "right", F.expr("x = y").alias("same"))
     pairs = pairs.mapInArrow(_blocks(percent), "a long, b long").distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    pairs = cut_lineage(pairs)
-    if not pairs.isEmpty():
-        more = _confirmed(alive, pairs, words, percent)
-        found = components(more if links is None else links.union(more))
-
-    if found is None:
-        found = spark.createDataFrame([], "node long, component long")
+    pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
+    found = components(links.union(_confirmed(sets, pairs, percent)))
     named = classes.join(found, "node", "left").select("n", "f1", "f2", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
     return _result(prints, named)
 
