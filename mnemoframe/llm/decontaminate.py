@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import spans
-from mnemoframe.llm.tables import documents
+from mnemoframe.llm.tables import documents, fresh
 from mnemoframe.plans.session import cut_lineage
 
 SIZE = 5
@@ -232,8 +232,9 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that hold a copy of an item; documents with null doc_id stay, as nothing can name them."""
-    found = cut_lineage(benchmark_matches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct())
-    return docs.join(found, id_col, "left_anti")
+    of = fresh(docs, "of")
+    found = cut_lineage(benchmark_matches(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias(of)).where(F.col(of).isNotNull()).distinct())
+    return docs.join(found, F.col(id_col).cast("long") == F.col(of), "left_anti")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

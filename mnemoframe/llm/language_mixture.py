@@ -89,15 +89,19 @@ class Model:
 
 
 def _fit(chance: np.ndarray, counts: np.ndarray, of: np.ndarray, begin: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, languages) proportions by EM over the allowed languages of each text, and each text's log likelihood."""
-    share = allowed / allowed.sum(axis=1, keepdims=True)
+    """(languages, texts) shares by EM over the allowed languages of each text, and each text's log likelihood.
+
+    chance and counts have an entry for each text's distinct n-grams, `of` their texts, `begin` the first of each text.
+    """
+    share = allowed / allowed.sum(axis=0)
     total = np.add.reduceat(counts, begin)
     for _ in range(ROUNDS):
-        part = share[of] * chance
-        part *= (counts / part.sum(axis=1))[:, None]
-        share = np.add.reduceat(part, begin, axis=0) / total[:, None]
-    likelihood = np.add.reduceat(counts * np.log((share[of] * chance).sum(axis=1)), begin)
-    return share, likelihood
+        part = np.take(share, of, axis=1)
+        part *= chance
+        part *= counts / part.sum(axis=0)
+        share = np.add.reduceat(part, begin, axis=1) / total
+    mixed = (np.take(share, of, axis=1) * chance).sum(axis=0)
+    return share, np.add.reduceat(counts * np.log(mixed), begin)
 
 
 def mixtures(model: Model, texts: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,30 +121,33 @@ def mixtures(model: Model, texts: pa.Array, most: int) -> tuple[np.ndarray, np.n
     # distinct n-grams of each text with their counts
     key, counts = np.unique(np.repeat(np.arange(n), size) * GRAMS + found, return_counts=True)
     text = np.searchsorted(rows, key // GRAMS)
-    chance = model.chance[:, key % GRAMS].T.copy()
+    chance = model.chance[:, key % GRAMS]
     counts = counts.astype(np.float64)
     first = np.searchsorted(text, np.arange(len(rows)))
-    alone = np.add.reduceat(counts[:, None] * np.log(chance), first, axis=0)
-    best = alone.max(axis=1)
-    chosen = np.zeros((len(rows), langs))
-    chosen[np.arange(len(rows)), alone.argmax(axis=1)] = 1.0
+    alone = np.add.reduceat(counts * np.log(chance), first, axis=1)
+    best = alone.max(axis=0)
+    chosen = np.zeros((langs, len(rows)))
+    chosen[alone.argmax(axis=0), np.arange(len(rows))] = 1.0
     penalty = PENALTY * np.log(size[rows] + 1.0)
     if langs > 1:
-        order = np.argsort(-_fit(chance, counts, text, first, np.ones((len(rows), langs)))[0], axis=1, kind="stable")
-        going = np.ones(len(rows), dtype=bool)
+        share, likelihood = _fit(chance, counts, text, first, np.ones((langs, len(rows))))
+        order = np.argsort(-share, axis=0, kind="stable")
+        # no set of languages is more likely than all of them, but for what EM has left to gain
+        going = likelihood + 1 - penalty > best
         for k in range(2, min(most, langs) + 1):
-            allowed = np.zeros((len(rows), langs))
-            np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
             live = np.flatnonzero(going)
             if not len(live):
                 break
+            allowed = np.zeros((langs, len(rows)))
+            np.put_along_axis(allowed, order[:k], 1.0, axis=0)
             inside = going[text]
-            share, likelihood = _fit(chance[inside], counts[inside], np.searchsorted(live, text[inside]), np.searchsorted(text[inside], live), allowed[live])
+            own = np.searchsorted(live, text[inside])
+            share, likelihood = _fit(chance[:, inside], counts[inside], own, np.searchsorted(own, np.arange(len(live))), allowed[:, live])
             better = likelihood - penalty[live] > best[live]
             best[live[better]] = (likelihood - penalty[live])[better]
-            chosen[live[better]] = share[better]
+            chosen[:, live[better]] = share[:, better]
             going[live[~better]] = False
-    shares[rows] = chosen
+    shares[rows] = chosen.T
     return shares, letters, size
 
 

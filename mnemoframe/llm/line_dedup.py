@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import spans
-from mnemoframe.llm.tables import documents
+from mnemoframe.llm.tables import documents, fresh
 from mnemoframe.plans.session import cut_lineage
 
 MIN_CHARS = 10
@@ -111,18 +111,20 @@ def _suspects(min_chars: int, log_bits: int, packed):
     return run
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines named in `drop`."""
-    for b in spans.slices(batches, "t"):
-        texts, n, lost = b.column("t").to_pylist(), [], []
-        for k, drop in enumerate(b.column("drop").to_pylist()):
-            lines = (texts[k] or "").count("\n") + 1
-            gone = set(drop or ())
-            if gone:
-                texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in gone)
-            n.append(lines)
-            lost.append(len(gone))
-        yield pa.record_batch({"id": b.column("id"), "t": pa.array(texts, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(lost, pa.int64())})
+def _rewrite(text_col: str, drop_col: str, counts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with their texts less the lines named in drop_col; counts: with the lines before and the lines that went."""
+        for b in spans.slices(batches, text_col):
+            texts, n, lost = b.column(text_col).to_pylist(), [], []
+            for k, drop in enumerate(b.column(drop_col).to_pylist()):
+                gone = set(drop or ())
+                n.append((texts[k] or "").count("\n") + 1)
+                lost.append(len(gone))
+                if gone:
+                    texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in gone)
+            out = {name: b.column(name) for name in b.schema.names if name != drop_col} | {text_col: pa.array(texts, pa.string())}
+            yield pa.record_batch(out | ({"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(lost, pa.int64())} if counts else {}))
+    return run
 
 
 def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS, bits_a_key: int = BITS_A_KEY, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -159,10 +161,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = documents(docs, id_col, text_col).withColumn("h", F.xxhash64("t"))
     drop = repeated_lines(rows.where("id is not null"), min_chars)
     joined = rows.join(drop, ["id", "h"], "left").select("id", "t", "drop")
-    out = joined.mapInArrow(_rewrite, "id long, t string, n_lines long, n_dropped long")
+    out = joined.mapInArrow(_rewrite("t", "drop", True), "id long, t string, n_lines long, n_dropped long")
     return out.select(F.col("id").alias("doc_id"), F.col("t").alias("text"), "n_lines", "n_dropped")
 
 
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the texts of line_dedup in text_col and all other columns as they are; null texts stay null."""
+    drop = repeated_lines(documents(docs, id_col, text_col).withColumn("h", F.xxhash64("t")).where("id is not null"), min_chars)
+    of, h, lines = (fresh(docs, x) for x in ("of", "h", "lines"))
+    drop = drop.select(F.col("id").alias(of), F.col("h").alias(h), F.col("drop").alias(lines))
+    text = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    joined = text.join(drop, (F.col(id_col).cast("long") == F.col(of)) & (F.xxhash64(text_col) == F.col(h)), "left").drop(of, h)
+    return joined.mapInArrow(_rewrite(text_col, lines, False), text.schema)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import spans
 from mnemoframe.llm.tables import documents
-from mnemoframe.plans.session import cut_lineage
 
 #: Documents that train the linear scorer, about: all of a smaller table, else those whose hash is small enough.
 TRAIN_ROWS = 8_000
@@ -196,21 +196,38 @@ def train(examples: list) -> tuple[np.ndarray, float]:
     return weights, bias
 
 
-def _scores(model):
+def scores(model: tuple[np.ndarray, float], texts: Texts) -> np.ndarray:
+    """Chance that each text is good; 0 for a text without words."""
+    weights, bias = model
+    one, two = texts.features()
+    score = 1 / (1 + np.exp(-np.clip(_sums(weights[one] + weights[two], texts.first) / (texts.n + SHRINK) + bias, -50, 50)))
+    score[texts.n == 0] = 0
+    return np.round(score, 9)
+
+
+def _score_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = model.value
         for b in spans.slices(batches, "t"):
             texts = Texts(b.column("t"))
-            one, two = texts.features()
-            score = 1 / (1 + np.exp(-np.clip(_sums(weights[one] + weights[two], texts.first) / (texts.n + SHRINK) + bias, -50, 50)))
-            score[texts.n == 0] = 0
             votes = [x.tobytes().translate(_DIGITS).decode() for x in texts.votes()]
-            yield pa.record_batch({"id": b.column("id"), "h": b.column("h"), "votes": pa.array(votes, pa.string()), "score": pa.array(np.round(score, 9))})
+            yield pa.record_batch({"id": b.column("id"), "votes": pa.array(votes, pa.string()), "score": pa.array(scores(model.value, texts))})
     return run
 
 
+def fit(rows: DataFrame, train_rows: int) -> tuple[dict[str, float], Broadcast]:
+    """Posteriors of the vote patterns of rows (id, t, h), and the scorer that learned them."""
+    patterns = {x["votes"]: x["count"] for x in rows.select("id", "t").mapInArrow(_vote_rows, "id long, votes string").groupBy("votes").count().orderBy("votes").collect()}
+    posterior, _ = expectation_maximisation(patterns)
+    share = int(min(1.0, train_rows / max(1, sum(patterns.values()))) * 1_000_000)
+    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < share).select("id", "t")
+    examples = drawn.mapInArrow(_examples(posterior), "id long, goal double, features binary, counts binary")
+    # equal texts teach once; about train_rows rows
+    examples = examples.select("goal", "features", "counts").distinct().orderBy("goal", F.xxhash64("features", "counts"))
+    return posterior, rows.sparkSession.sparkContext.broadcast(train(examples.collect()))
+
+
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: doc_id, text_hash, votes, posterior, score, kept.
+    """One row for each row of docs: doc_id, votes, posterior, score, kept.
 
     Seven heuristics vote good, bad or nothing on each text. Expectation-maximisation over the counts of all vote patterns (at
     most 3^7, whatever the size of the table) estimates each labeller's accuracy and each pattern's posterior. Posteriors
@@ -221,24 +238,23 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     like others. Without any text with words nothing is learned and every score is 0. Columns other than the two named ones are
     not looked at. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = documents(docs, id_col, text_col).withColumn("h", F.xxhash64("t"))
-    patterns = {x["votes"]: x["count"] for x in rows.select("id", "t").mapInArrow(_vote_rows, "id long, votes string").groupBy("votes").count().orderBy("votes").collect()}
-    posterior, _ = expectation_maximisation(patterns)
-    share = int(min(1.0, train_rows / max(1, sum(patterns.values()))) * 1_000_000)
-    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < share).select("id", "t").dropDuplicates(["t"])
-    examples = drawn.mapInArrow(_examples(posterior), "id long, goal double, features binary, counts binary")
-    model = spark.sparkContext.broadcast(train(examples.drop("id").orderBy("goal", F.xxhash64("features", "counts")).collect()))
-    scored = rows.mapInArrow(_scores(model), "id long, h long, votes string, score double")
+    posterior, model = fit(rows, train_rows)
+    scored = rows.select("id", "t").mapInArrow(_score_rows(model), "id long, votes string, score double")
     known = F.create_map(*[F.lit(x) for p in posterior.items() for x in p]) if posterior else F.expr("cast(null as map<string, double>)")
-    return scored.select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), "votes", F.round(known[F.col("votes")], 9).alias("posterior"), "score", (F.col("score") >= threshold).alias("kept"))
+    return scored.select(F.col("id").alias("doc_id"), "votes", F.round(known[F.col("votes")], 9).alias("posterior"), "score", (F.col("score") >= threshold).alias("kept"))
+
 
+def well_written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the classifier keeps, with all their columns; rows with null or empty text go. No row is shuffled."""
+    model = fit(documents(docs, id_col, text_col).withColumn("h", F.xxhash64("t")), train_rows)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in spans.slices(batches, text_col):
+            yield b.filter(pa.array(scores(model.value, Texts(b.column(text_col))) >= threshold))
 
-def well_written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that the classifier rejects; rows with null text go, equal texts share their fate."""
-    scores = quality_scores(docs, id_col, text_col, **options).where("kept").select(F.col("text_hash").alias("__text")).distinct()
-    return docs.withColumn("__text", F.xxhash64(F.col(text_col).cast("string"))).join(cut_lineage(scores), "__text", "left_semi").drop("__text").select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))

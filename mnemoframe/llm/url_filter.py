@@ -14,7 +14,7 @@ from mnemoframe.llm import spans
 
 #: Longest context in bytes, and the logarithm of the number of hashed contexts of each length.
 ORDER = 4
-LOG_PLACES = 17
+LOG_PLACES = 18
 PLACES = 1 << LOG_PLACES
 #: How many observations the shorter context counts for.
 WEIGHT = 4.0
@@ -136,10 +136,11 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     A rule (allow or block, host, path) fits its host and all subdomains if the URL's path starts with the rule's; the longest
     that fits decides. All other URLs are judged by two byte models with contexts of 0 to 4 bytes, each smoothed by the shorter
-    one. They learn from all URLs that the rules decide: accepted are the allowed ones, rejected the blocked ones and those with
-    one of rejected_words as a word of the host. One URL in five (by CRC-32) is left out there and calibrates the threshold on the
-    mean log ratio for a byte, by the least sum of both error shares. Models are counts in 2^17 hashed places for each context
-    length, whatever the size of the table.
+    one. Rejected are, when they learn, all URLs with one of rejected_words as a word of the host, accepted all others that a rule
+    allows. (A blocking rule closes a place on a site and says nothing on the kind of its URLs; models that learned from those
+    blocked three in five URLs of hosts that no rule names.) One lesson in five (by CRC-32) is left out and calibrates the
+    threshold on the mean log ratio for a byte, by the least sum of both error shares. Models are counts in 2^18 hashed places for
+    each context length, whatever the size of the table.
 
     Null URLs and those without :// have empty host and path, fit no rule and are blocked; an empty path fits only rules without a
     path. Without URLs of both kinds nothing is learned, and what no rule decides is allowed. Null page_ids and repeated rows are rows
@@ -152,9 +153,9 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("ruled", verdict)
     bad_word = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, rejected_words))) if rejected_words else F.lit(False)
-    lessons = rows.where("ruled is not null").select("url", ((F.col("ruled") == "allow") & ~bad_word).alias("good"), (F.crc32("url") % 5 == 0).alias("aside"))
+    lessons = rows.where(bad_word | (F.col("ruled") == "allow")).select("url", (~bad_word).alias("good"), (F.crc32("url") % 5 == 0).alias("aside"))
     counts = lessons.where("not aside").select("url", "good").mapInArrow(_counted, "kind int, place long, n long").groupBy("kind", "place").agg(F.sum("n").alias("n"))
-    # at most 20 x 2^17 rows
+    # at most 20 x 2^18 rows
     model = Ratio(counts.toArrow())
     shared = spark.sparkContext.broadcast(model)
     edge = F.least(F.greatest(F.floor((F.col("score") + SPAN) / (2 * SPAN / BINS)), F.lit(0)), F.lit(BINS)).cast("int")
