@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.llm import spans
 from mnemoframe.llm.components import components
-from mnemoframe.llm.tables import documents
+from mnemoframe.llm.tables import documents, fresh
 from mnemoframe.plans.session import cut_lineage
 
 WORDS = 5
@@ -240,6 +240,16 @@ def _result(prints: DataFrame, named: DataFrame) -> DataFrame:
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "class_id", "component_id", F.expr("id = component_id").alias("kept")).union(alone)
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the documents that near_duplicates doesn't keep; one of each group stays, with all its columns.
+
+    Documents with null doc_id stay; of a repeated doc_id all rows stay or go.
+    """
+    of = fresh(docs, "of")
+    lost = cut_lineage(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(of)).distinct())
+    return docs.join(lost, F.col(id_col).cast("long") == F.col(of), "left_anti")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id")

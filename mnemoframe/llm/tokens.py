@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -19,10 +21,12 @@ from mnemoframe.llm import spans
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin letters that Unicode composition leaves as they are and that have one lower-case letter each
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ž"
-_PLAIN = re.compile(f"[!-~{_LETTERS}]+")
+#: words that need no whole tokenizer; its special tokens hold a <
+_PLAIN = re.compile(f"[!-;=-~{_LETTERS}]+")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-#: Words and their ids that a task keeps at once.
-CACHED_WORDS = 400_000
+#: Words, and parts of words, whose ids a worker keeps at once.
+CACHED_WORDS = 500_000
+CACHED_PARTS = 300_000
 END = 1
 
 
@@ -34,15 +38,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Words(dict):
     """Little-endian 32-bit ids of a word; filled on demand, emptied when full."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.most:
             self.clear()
         found = self[word] = self.encode(word)
         return found
@@ -60,33 +72,38 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         rules = json.loads(Path(path).read_text())
-        self.by_word = _drops_space(rules)
+        self.by_word = _drops_space(rules) and all("<" in x["content"] for x in rules.get("added_tokens", []))
         self.model = self.whole.model
-        self.specials = [x["content"] for x in rules.get("added_tokens", [])]
-        self.parts = _Words(self._part)
-        self.words = _Words(self._word)
+        self.parts = _Words(self._part, CACHED_PARTS)
+        self.words = _Words(self._word, CACHED_WORDS)
         self.size = self.whole.get_vocab_size()
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
             letters = _byte_letters()
             part = "".join(letters[b] for b in part.encode())
-        return np.array([x.id for x in self.model.tokenize(part)], dtype="<u4").tobytes()
+        return _bytes([x.id for x in self.model.tokenize(part)])
 
     def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and not any(x in word for x in self.specials):
+        if _PLAIN.fullmatch(word):
             return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.whole.encode(word, add_special_tokens=False).ids)
 
     def packed(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a text; none for null."""
         if not text:
             return b""
         if not self.by_word:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return _bytes(self.whole.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process, with the words that it has met."""
+    return Encoder(path)
+
+
 def _drops_space(rules: dict) -> bool:
     steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
     names = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
@@ -104,7 +121,7 @@ def pieces(rows: DataFrame, vocabulary: str, capacity: int, with_ids: bool = Fal
     full pieces and a last one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         narrow = max(encoder.size, end + 1) <= 1 << 16
         tail = np.array([end], dtype="<u4").tobytes()
         for b in spans.slices(batches, "t"):
