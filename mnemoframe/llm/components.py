@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from mnemoframe.plans.session import cut_lineage
 
 
-def _minimum(edges: DataFrame, keep: str) -> DataFrame:
-    """For both directions u-v of the edges: the smallest number at u, joined back to the pairs that `keep` names."""
+#: Edges for each partition of the graph's tables; small graphs then take few tasks and files, whatever the session's settings.
+EDGES = 100_000
+
+
+def _minimum(edges: DataFrame, keep: str, parts: int) -> DataFrame:
+    """For the edges u-v that `keep` names: with the smallest number among u and all its neighbours."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("lu"), F.least("m", "u").alias("m"))
-    return edges.where(keep).join(least, F.col("u") == F.col("lu"))
+    return edges.where(keep).join(least, F.col("u") == F.col("lu")).coalesce(parts)
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,12 +34,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     stars = cut_lineage(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(stars)
     while mark[0]:
+        parts = 1 + mark[0] // EDGES
+        stars = stars.coalesce(parts)
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _minimum(both, "v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _minimum(both, "v > u", parts).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts)
         # every edge of the large star points down, so u's smaller neighbours are all of u's
-        small = _minimum(large, "true").select(F.col("v").alias("x"), "m", "u")
-        small = small.select(F.explode(F.array(F.struct(F.col("x").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        stars = cut_lineage(small.select("e.*").where("u != v").distinct())
+        small = _minimum(large, "true", parts).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        stars = cut_lineage(small.select("e.*").where("u != v").distinct().coalesce(parts))
         new = _mark(stars)
         if new == mark:
             break

@@ -25,6 +25,8 @@ SYMBOLS = CHUNKS * CHUNK
 ERRORS = 31
 #: Members of a bucket that are compared as one block.
 BLOCK = 256
+#: Pairs for each partition of a small table of pairs.
+PAIRS = 100_000
 #: Rounds with leaders, at most; they end when fewer than one in WORTH tested pairs is a link.
 STARS = 4
 WORTH = 10
@@ -197,6 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fit = cut_lineage(fit.select("a", "asig", "b", "bsig").mapInArrow(_close, "a long, b long"))
         good = cut_lineage(_confirmed(sets, fit, percent))
         tried, gained = fit.count(), good.count()
+        fit, good = fit.coalesce(1 + tried // PAIRS), good.coalesce(1 + gained // PAIRS)
         tested = fit if tested is None else tested.union(fit)
         links = good if links is None else links.union(good)
         if gained * WORTH < tried or not gained:
