@@ -183,7 +183,7 @@ _TGT = """pc AS (SELECT window_ref, conv_id, 0 AS change_no, CASE conv_id % 9 WH
   list_last(string_split(output, chr(10))) AS basis FROM model_outputs WHERE conv_id % 9 IN (0, 5, 6, 8)
  UNION ALL SELECT window_ref, conv_id, 1, 'NEW_RECOLLECTION', 'SELF', 'TEXT', concat('says ', CAST(conv_id AS VARCHAR)), list_last(string_split(output, chr(10))) FROM model_outputs WHERE conv_id % 9 = 0),
 pe AS (SELECT window_ref, conv_id, CASE conv_id % 9 WHEN 1 THEN 'application' WHEN 2 THEN 'duplicate_basis' WHEN 3 THEN CASE WHEN length(output) > 65536 THEN 'too_long' ELSE 'markers' END ELSE 'duplicate_target' END AS error FROM model_outputs WHERE conv_id % 9 IN (1, 2, 3, 7)),
-offered AS (SELECT concat('win-', CAST(c.conv_id AS VARCHAR)) AS window_ref, r.version_ref, r.application_scope FROM (SELECT DISTINCT conv_id, scope_kind, relationship_ref FROM episodes) c JOIN recollections r ON r.home = c.conv_id % 100 AND r.scope_kind = c.scope_kind AND r.relationship_ref = c.relationship_ref WHERE r.status = 'active')"""
+offered AS (SELECT concat('win-', CAST(c.conv_id AS VARCHAR)) AS window_ref, r.version_ref, r.application_scope FROM (SELECT DISTINCT conv_id, scope_kind, relationship_ref FROM episodes) c JOIN recollections r ON r.home = c.conv_id AND r.scope_kind = c.scope_kind AND r.relationship_ref = c.relationship_ref WHERE r.status = 'active')"""
 _C = sql_with(*_EV, extra=_TGT)
 
 
@@ -197,7 +197,7 @@ def _(t: Tables):
 
 
 def offered(t: Tables):
-    e = t("episodes").select("conv_id", "scope_kind", "relationship_ref").distinct().withColumn("home", F.col("conv_id") % 100)
+    e = t("episodes").select("conv_id", "scope_kind", "relationship_ref").distinct().withColumn("home", F.col("conv_id"))
     return e.join(t("recollections").filter("status = 'active'"), ["home", "scope_kind", "relationship_ref"]).select(
         F.concat(F.lit("win-"), "conv_id").alias("window_ref"), "version_ref", "application_scope")
 

@@ -175,14 +175,39 @@ def _(t: Tables):
         F.col("lang").alias("expected"), F.when(F.col("h") == "f", "boom").otherwise("").alias("error")))
 
 
-@query("a18_lifecycle_summary", """SELECT false AS passed, 'all four lifecycle cases are required; positive complete chain did not reenact; control without outcome changed the disposition' AS reasons""")
-def _(t: Tables):
-    # one case per language, flags from whole-table aggregates
-    kind = F.when(F.col("lang") == "en", "positive_complete").when(F.col("lang") == "fr", "no_delivery").otherwise("no_outcome")
-    per = t("documents").groupBy(kind.alias("kind")).agg((F.count(F.lit(1)) > 0).alias("formed"), (F.max("n_chars") > 0).alias("rendered"))
-    cases = per.select("kind", "formed", "rendered", F.lit(True).alias("expressed"), F.lit(False).alias("reenacted"),
-                       (F.col("kind") == "no_outcome").alias("changed"), F.lit(False).alias("future_changed"))
-    return ev.lifecycle_summary(cases)
+# each disposition that a context showed is a case, by how far its chain went
+_LC = """f AS (SELECT version_ref, bool_or(role = 'formation') AS formed, bool_or(role = 'reenactment') AS again, bool_or(role = 'inhibition') AS held FROM seed_basis GROUP BY 1),
+shown AS (SELECT i.memory_ref, bool_or(t.agent_text <> '') AS expressed FROM context_items i JOIN contexts c ON c.context_ref = i.context_ref JOIN turns t ON t.run_ref = c.run_ref AND t.session_ref = c.session_ref WHERE i.item_kind = 'disposition' GROUP BY 1),
+told AS (SELECT r.memory_ref, bool_or(o.receipt_ref IS NOT NULL) AS answered FROM delivery_refs r LEFT JOIN (SELECT DISTINCT receipt_ref FROM outcome_deliveries) o ON o.receipt_ref = r.receipt_ref GROUP BY 1),
+one AS (SELECT CASE WHEN told.memory_ref IS NULL THEN 'no_delivery' WHEN NOT answered THEN 'no_outcome' WHEN coalesce(held, false) THEN 'negative_complete' ELSE 'positive_complete' END AS kind,
+ coalesce(formed, false) AS formed, true AS rendered, expressed, coalesce(again, false) AS reenacted, coalesce(held, false) AS changed, s.status = 'superseded' AS future_changed
+ FROM dispositions s JOIN shown ON shown.memory_ref = s.version_ref LEFT JOIN f ON f.version_ref = s.version_ref LEFT JOIN told ON told.memory_ref = s.version_ref),
+g AS (SELECT kind, bool_or(formed) AS formed, bool_or(rendered) AS rendered, bool_or(expressed) AS expressed, bool_or(reenacted) AS reenacted, bool_or(changed) AS changed, bool_or(future_changed) AS future_changed FROM one GROUP BY 1)"""
+
+
+def _lifecycle_sql() -> str:
+    flag = lambda kind, f: f"(SELECT {f} FROM g WHERE kind = '{kind}')"
+    said = ["CASE WHEN (SELECT count(*) FROM g) <> 4 THEN 'all four lifecycle cases are required' END"]
+    for kind in ("positive_complete", "no_delivery", "no_outcome", "negative_complete"):
+        said += [f"CASE WHEN NOT {flag(kind, f)} THEN '{kind} did not prove {f}' END" for f in ("formed", "rendered", "expressed")]
+    said += [f"CASE WHEN NOT {flag('positive_complete', 'reenacted')} THEN 'positive complete chain did not reenact' END",
+             f"CASE WHEN {flag('no_delivery', 'reenacted')} OR {flag('no_delivery', 'changed')} THEN 'undelivered control changed the disposition' END",
+             f"CASE WHEN {flag('no_outcome', 'changed')} THEN 'control without outcome changed the disposition' END",
+             f"CASE WHEN NOT ({flag('negative_complete', 'changed')} AND {flag('negative_complete', 'future_changed')}) THEN 'negative complete chain did not change selection' END"]
+    return f"SELECT len(r) = 0 AS passed, coalesce(array_to_string(r, '; '), '') AS reasons FROM (SELECT list_filter([{', '.join(said)}], lambda x: x IS NOT NULL) AS r)"
+
+
+@query("a18_lifecycle_summary", sql_with("dispositions", "seed_basis", "context_items", "contexts", "turns", "delivery_refs", "outcome_deliveries", extra=_LC) + _lifecycle_sql())
+def _(t: Tables):
+    basis = t("seed_basis").groupBy("version_ref").agg(*[F.max(F.col("role") == r).alias(n) for r, n in (("formation", "formed"), ("reenactment", "again"), ("inhibition", "held"))])
+    runs = t("contexts").select("context_ref", "run_ref", "session_ref").join(t("turns").select("run_ref", "session_ref", "agent_text"), ["run_ref", "session_ref"])
+    shown = t("context_items").filter("item_kind = 'disposition'").join(runs, "context_ref").groupBy(F.col("memory_ref").alias("version_ref")).agg(F.max(F.col("agent_text") != "").alias("expressed"))
+    answered = t("outcome_deliveries").select("receipt_ref").distinct().withColumn("answer", F.lit(True))
+    told = t("delivery_refs").join(answered, "receipt_ref", "left").groupBy(F.col("memory_ref").alias("version_ref")).agg(F.max(F.coalesce("answer", F.lit(False))).alias("answered"))
+    one = t("dispositions").join(shown, "version_ref").join(basis, "version_ref", "left").join(told, "version_ref", "left").na.fill(False, ["formed", "again", "held"])
+    kind = F.when(F.col("answered").isNull(), "no_delivery").when(~F.col("answered"), "no_outcome").when(F.col("held"), "negative_complete").otherwise("positive_complete")
+    flags = {"formed": F.col("formed"), "rendered": F.lit(True), "expressed": F.col("expressed"), "reenacted": F.col("again"), "changed": F.col("held"), "future_changed": F.col("status") == "superseded"}
+    return ev.lifecycle_summary(one.groupBy(kind.alias("kind")).agg(*[F.max(v).alias(k) for k, v in flags.items()]))
 
 
 _OC = """e AS (SELECT owner, count(DISTINCT episode_ref) AS episodes FROM arrivals GROUP BY 1),
@@ -368,7 +393,7 @@ def _(t: Tables):
     return sampling.hash_sample(t("diagnostics").select("persona_id", "question_ref"), 12, 5, 7)[0].select("persona_id", "question_ref", "rank")
 
 
-@query("t13_persona_split", sql_with("diagnostics") + """SELECT persona_id, CASE WHEN ex THEN 'dev' WHEN i <= 10 - n THEN 'dev' WHEN i <= 10 - n + 15 THEN 'H1' ELSE 'H2' END AS split FROM (
+@query("t13_persona_split", sql_with("diagnostics") + """SELECT persona_id, CASE WHEN ex THEN 'dev' WHEN i <= greatest(10 - n, 0) THEN 'dev' WHEN i <= greatest(10 - n, 0) + 15 THEN 'H1' ELSE 'H2' END AS split FROM (
  SELECT *, row_number() OVER (PARTITION BY ex ORDER BY sha256('salt:' || persona_id)) AS i, count_if(ex) OVER () AS n FROM (SELECT DISTINCT persona_id, persona_id IN ('persona-1', 'persona-2', 'persona-33') AS ex FROM diagnostics))""")
 def _(t: Tables):
     p = t("diagnostics").select("persona_id")

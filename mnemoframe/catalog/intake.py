@@ -227,27 +227,38 @@ def _(t: Tables):
     return intake.backfill_outcomes(early, intake.materialize_episodes(t("link_log"))).select("outcome_ref", "episode_ref")
 
 
+# A walk through the rows of each session in arrival order, with what has been accepted so far; knows nothing of sets or rounds.
+# walked: k key, h request, s source, p payload, g group, src, role, refusal, arrival, ep the episode of the group, tenant, session
+_WALK = """ordered AS (SELECT *, row_number() OVER (PARTITION BY tenant, session ORDER BY arrival, h) AS n FROM walked),
+walk AS (
+ SELECT DISTINCT tenant, session, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k VARCHAR, h VARCHAR, s VARCHAR, p VARCHAR, g VARCHAR, src VARCHAR, role VARCHAR, e VARCHAR, o VARCHAR)[]) AS acc,
+   CAST(NULL AS VARCHAR) AS k, CAST(0 AS BIGINT) AS arrival, CAST(NULL AS VARCHAR) AS status, CAST('' AS VARCHAR) AS e, CAST('' AS VARCHAR) AS o FROM ordered
+ UNION ALL
+ SELECT tenant, session, n, CASE WHEN status = 'accepted' THEN list_append(acc, struct_pack(k := k, h := h, s := s, p := p, g := g, src := src, role := role, e := e2, o := own)) ELSE acc END,
+   k, arrival, status, CASE status WHEN 'accepted' THEN e2 WHEN 'replay' THEN same[1].e ELSE '' END, CASE status WHEN 'accepted' THEN own WHEN 'replay' THEN same[1].o ELSE '' END
+ FROM (SELECT *, CASE WHEN len(same) > 0 THEN CASE WHEN same[1].h = h THEN 'replay' ELSE 'conflict' END
+     WHEN refusal IS NOT NULL THEN refusal
+     WHEN len(list_filter(acc, lambda a: a.s = s AND a.p <> p)) > 0 OR old <> p THEN 'source_conflict'
+     WHEN g <> '' AND role <> 'outcome' AND whole AND len(list_filter(grp, lambda a: a.src = src AND a.role = role)) = 0 THEN 'sealed'
+     ELSE 'accepted' END AS status,
+   CASE WHEN fixed IS NOT NULL THEN fixed WHEN g <> '' AND (whole OR (len(list_filter(more, lambda a: a.role = 'situation')) > 0 AND len(list_filter(more, lambda a: a.role = 'agent_act')) > 0
+     AND len(list_distinct(list_transform(list_filter(more, lambda a: a.role <> 'outcome'), lambda a: a.src))) > 1)) THEN ep ELSE '' END AS e2
+  FROM (SELECT *, list_append(grp, struct_pack(k := k, h := h, s := s, p := p, g := g, src := src, role := role, e := '', o := '')) AS more,
+     len(list_filter(grp, lambda a: a.role = 'situation')) > 0 AND len(list_filter(grp, lambda a: a.role = 'agent_act')) > 0
+      AND len(list_distinct(list_transform(list_filter(grp, lambda a: a.role <> 'outcome'), lambda a: a.src))) > 1 AS whole
+   FROM (SELECT w.acc, r.*, list_filter(w.acc, lambda a: a.k = r.k) AS same, list_filter(w.acc, lambda a: a.g = r.g AND r.g <> '') AS grp
+     FROM walk w JOIN ordered r ON r.tenant = w.tenant AND r.session = w.session AND r.n = w.n + 1))))"""
+_SRC_KEY = "concat_ws('|', scope_kind, agent_ref, relationship_ref, session_ref, source_ref)"
+_PAYLOAD = "concat_ws('|', actor_kind, actor_ref, text, constitution_ref, constitution_text)"
 _INTAKE = sql_with("dirty_requests", extra=f"""checked AS (SELECT *, coalesce({SOURCE_REASON}, CASE WHEN {BINDING} NOT IN ('ok', 'none') THEN {BINDING} END) AS reason,
    {_REQ_HASH} AS request_hash FROM dirty_requests),
-keyed AS (SELECT *, CASE WHEN arrival = fa THEN 'new' WHEN request_hash = fh THEN 'replay' ELSE 'conflict' END AS st
-   FROM ({_FIRST.replace('{src}', 'SELECT * FROM checked WHERE reason IS NULL')})),
-fresh AS (SELECT *, row(actor_kind, actor_ref, text, constitution_ref, constitution_text) =
-     first_value(row(actor_kind, actor_ref, text, constitution_ref, constitution_text)) OVER (PARTITION BY tenant_ref, scope_kind, agent_ref, relationship_ref, session_ref, source_ref ORDER BY arrival) AS same
-   FROM keyed WHERE st = 'new'),
-bound AS (SELECT * FROM fresh WHERE same AND run_ref <> '' AND source_group_ref <> ''),
-{_gates('bound')},
-sealed AS (SELECT b.*, gate, gate IS NULL OR arrival <= gate OR role = 'outcome' OR min(arrival) OVER (PARTITION BY {GROUP}, source_ref, role) <= gate AS accepted
-   FROM bound b LEFT JOIN gate USING ({GROUP})),
-decided AS (SELECT tenant_ref, idempotency_key, arrival, CASE WHEN accepted THEN 'accepted' ELSE 'sealed' END AS status,
-     CASE WHEN accepted AND arrival >= gate THEN {EPISODE_REF} ELSE '' END AS episode_ref FROM sealed
-   UNION ALL SELECT tenant_ref, idempotency_key, arrival, CASE WHEN same THEN 'accepted' ELSE 'source_conflict' END, '' FROM fresh
-     WHERE NOT same OR run_ref = '' OR source_group_ref = '')""")
-
-
-@query("c01_intake_job", _INTAKE + """SELECT idempotency_key, arrival, status, episode_ref FROM decided
-UNION ALL SELECT k.idempotency_key, k.arrival, CASE WHEN d.status <> 'accepted' THEN 'ambiguous' ELSE k.st END,
-  CASE WHEN d.status = 'accepted' AND k.st = 'replay' THEN d.episode_ref ELSE '' END
- FROM keyed k JOIN decided d USING (tenant_ref, idempotency_key) WHERE k.st <> 'new'
+walked AS (SELECT tenant_ref AS tenant, session_ref AS session, arrival, idempotency_key AS k, request_hash AS h, {_SRC_KEY} AS s, {_PAYLOAD} AS p,
+   CASE WHEN run_ref = '' OR source_group_ref = '' THEN '' ELSE concat_ws('|', scope_kind, agent_ref, relationship_ref, run_ref, source_group_ref) END AS g, source_ref AS src, role,
+   CAST(NULL AS VARCHAR) AS refusal, CAST(NULL AS VARCHAR) AS old, {EPISODE_REF} AS ep, CAST(NULL AS VARCHAR) AS fixed, '' AS own FROM checked WHERE reason IS NULL),
+{_WALK}""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("c01_intake_job", _INTAKE + """SELECT k AS idempotency_key, arrival, status, e AS episode_ref FROM walk WHERE n > 0
 UNION ALL SELECT idempotency_key, arrival, 'invalid:' || reason, '' FROM checked WHERE reason IS NOT NULL""")
 def _(t: Tables):
     return intake.intake_job(t("dirty_requests")).select("idempotency_key", "arrival", "status", "episode_ref")
@@ -291,18 +302,71 @@ def _(t: Tables):
     return feedback.admit_outcomes(outcomes(t), t("delivery_heads"), t("links")).select("outcome_ref", "reason")
 
 
-@query("c02_delivery_job", sql_with(*_FEEDBACK_VIEWS, extra=_ARRAYS + ",\n" + _CLAIMS) + f"""
-SELECT idempotency_key, CASE WHEN {DELIVERY_REASON} IS NOT NULL THEN 'invalid:' || {DELIVERY_REASON} ELSE coalesce({_DELIVERY_REASON}, 'accepted') END AS status,
- 'delivery_' || substr({hash_sql('memory-delivery-receipt.v2', 'tenant_ref', 'idempotency_key')}, 1, 32) AS delivery_ref FROM d""")
-def _(t: Tables):
-    return feedback.delivery_job(deliveries(t), t("contexts"), t("context_items"), t("context_evidence"), acts(t)).select("idempotency_key", "status", "delivery_ref")
+def again(df, refs_col, unknown):
+    """Requests and what follows them: a retry without the unknown reference, and the key with other references."""
+    kept = F.filter(refs_col, lambda r: ~r.contains(unknown))
+    return (
+        df.unionByName(df.filter("conv_id % 5 IN (0, 1)").withColumn(refs_col, kept).withColumn("arrival", F.col("arrival") + 1))
+        .unionByName(df.filter("conv_id % 5 IN (1, 2)").withColumn(refs_col, F.slice(kept, 1, 1)).withColumn("arrival", F.col("arrival") + 2))
+        .unionByName(df.filter("conv_id % 5 = 0").withColumn(refs_col, kept).withColumn("arrival", F.col("arrival") + 3)))
+
+
+def _again(src: str, refs_col: str, unknown: str) -> str:
+    kept = f"list_filter({refs_col}, lambda r: NOT contains(r, '{unknown}'))"
+    return f"""(SELECT * FROM {src} UNION ALL SELECT * REPLACE ({kept} AS {refs_col}, arrival + 1 AS arrival) FROM {src} WHERE conv_id % 5 IN (0, 1)
+ UNION ALL SELECT * REPLACE ({kept}[1:1] AS {refs_col}, arrival + 2 AS arrival) FROM {src} WHERE conv_id % 5 IN (1, 2)
+ UNION ALL SELECT * REPLACE ({kept} AS {refs_col}, arrival + 3 AS arrival) FROM {src} WHERE conv_id % 5 = 0)"""
+
 
+def numbered(df, ref):
+    """Deliveries or outcomes with the number of their conversation and a reference for each request."""
+    return df.withColumn("conv_id", F.split("session_ref", "-")[1].cast("bigint")).withColumn(ref, F.concat(ref, F.lit("~"), F.col("arrival")))
 
-@query("c02_outcome_job", _FB + f"""SELECT idempotency_key, coalesce({_OUTCOME_REASON}, 'accepted') AS status,
- CASE WHEN {_OUTCOME_REASON} IS NULL THEN episode_ref ELSE '' END AS episode_ref,
- 'outcome_' || substr({hash_sql('outcome-event-identity.v1', *SCOPE_FIELDS, 'run_ref', 'source_group_ref', 'source_event_ref', 'idempotency_key')}, 1, 32) AS outcome_ref FROM o""")
+
+_NAMED = "SELECT *, CAST(split_part(session_ref, '-', 2) AS BIGINT) AS conv_id FROM d"
+_D2 = f"""d2 AS (SELECT * FROM {_again('(' + _NAMED + ')', 'memory_refs', '-unknown')}),
+d3 AS (SELECT *, {DELIVERY_REASON} AS invalid, CASE WHEN d.arrival > (SELECT min(t.arrival) + 10 FROM turns t WHERE t.run_ref = d.run_ref AND t.session_ref = d.session_ref) THEN 'after_act'
+  WHEN NOT EXISTS (SELECT 1 FROM contexts c WHERE c.context_ref = d.context_ref AND c.run_ref = d.run_ref AND c.session_ref = d.session_ref) THEN 'context'
+  WHEN EXISTS (SELECT 1 FROM claims c WHERE c.context_ref = d.context_ref GROUP BY c.memory_ref HAVING count(DISTINCT c.kind) > 1) THEN 'ambiguous_ref'
+  WHEN len(list_filter(memory_refs, lambda r: NOT list_contains(shown, r))) > 0 THEN 'unknown_ref' END AS refusal FROM (SELECT *, coalesce((SELECT list(c.memory_ref) FROM claims c WHERE c.context_ref = d2.context_ref), []) AS shown FROM d2) d),
+walked AS (SELECT tenant_ref AS tenant, session_ref AS session, arrival, idempotency_key AS k, concat_ws('|', run_ref, context_ref, array_to_string(list_sort(memory_refs), ',')) AS h, 'x' AS s, 'x' AS p, '' AS g, '' AS src, '' AS role,
+  refusal, CAST(NULL AS VARCHAR) AS old, '' AS ep, CAST(NULL AS VARCHAR) AS fixed, 'delivery_' || substr({hash_sql('memory-delivery-receipt.v2', 'tenant_ref', 'idempotency_key')}, 1, 32) AS own FROM d3 WHERE invalid IS NULL),
+{_WALK}"""
+
+
+@query("c02_delivery_job", sql_with(*_FEEDBACK_VIEWS, extra=_ARRAYS + ",\n" + _CLAIMS + ",\n" + _D2).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT k AS idempotency_key, arrival, status, o AS delivery_ref FROM walk WHERE n > 0
+UNION ALL SELECT idempotency_key, arrival, 'invalid:' || invalid, '' FROM d3 WHERE invalid IS NOT NULL""")
+def _(t: Tables):
+    asked = numbered(again(numbered(deliveries(t), "receipt_ref"), "memory_refs", "-unknown"), "receipt_ref")
+    return feedback.delivery_job(asked, t("contexts"), t("context_items"), t("context_evidence"), acts(t)).select("idempotency_key", "arrival", "status", "delivery_ref")
+
+
+_O2 = f"""o2 AS (SELECT * FROM {_again('o', 'receipt_refs', '_unknown')}),
+o3 AS (SELECT *, CASE WHEN NOT {_UNIQUE.replace('{a}', 'receipt_refs')} THEN 'receipt_refs' WHEN NOT {_UNIQUE.replace('{a}', 'related_refs')} THEN 'related_refs'
+  ELSE {SOURCE_REASON.replace('source_ref', 'source_event_ref')} END AS invalid,
+ CASE WHEN len(list_filter(receipt_refs, lambda r: NOT list_contains(given, r))) > 0 THEN 'unknown_receipt'
+  WHEN len(list_filter(related_refs, lambda r: NOT list_contains(linked, r))) > 0 THEN 'unrelated_source'
+  WHEN len(receipt_refs) > 0 AND len(list_filter(related_refs, lambda r: list_contains(acted, r))) = 0 THEN 'no_act' END AS refusal FROM (SELECT *, coalesce((SELECT list(d.receipt_ref) FROM delivery_heads d WHERE d.run_ref = o2.run_ref AND d.session_ref = o2.session_ref), []) AS given,
+   coalesce((SELECT list(l.source_ref) FROM links l WHERE l.run_ref = o2.run_ref AND l.session_ref = o2.session_ref), []) AS linked,
+   coalesce((SELECT list(l.source_ref) FROM links l WHERE l.run_ref = o2.run_ref AND l.session_ref = o2.session_ref AND l.role = 'agent_act'), []) AS acted FROM o2) o),
+walked AS (SELECT x.tenant_ref AS tenant, x.session_ref AS session, x.arrival, idempotency_key AS k,
+  concat_ws('|', run_ref, source_group_ref, source_event_ref, x.actor_kind, x.actor_ref, x.text, array_to_string(list_sort(receipt_refs), ','), array_to_string(list_sort(related_refs), ',')) AS h,
+  concat_ws('|', x.scope_kind, x.agent_ref, x.relationship_ref, source_event_ref) AS s, concat_ws('|', x.actor_kind, x.actor_ref, x.text, x.constitution_ref, x.constitution_text) AS p,
+  concat_ws('|', run_ref, source_group_ref) AS g, source_event_ref AS src, 'outcome' AS role, refusal,
+  concat_ws('|', q.actor_kind, q.actor_ref, q.text, q.constitution_ref, q.constitution_text) AS old, '' AS ep, episode_ref AS fixed,
+  'outcome_' || substr({hash_sql('outcome-event-identity.v1', 'x.scope_kind', 'x.tenant_ref', 'x.agent_ref', 'x.relationship_ref', 'x.session_ref', 'run_ref', 'source_group_ref', 'source_event_ref', 'idempotency_key')}, 1, 32) AS own
+  FROM o3 x LEFT JOIN sources q ON q.tenant_ref = x.tenant_ref AND q.session_ref = x.session_ref AND q.source_ref = x.source_event_ref WHERE invalid IS NULL),
+{_WALK}"""
+
+
+@query("c02_outcome_job", sql_with(*_FEEDBACK_VIEWS, "sources", extra=_ARRAYS + ",\n" + _O2).replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT k AS idempotency_key, arrival, status, e AS episode_ref, o AS outcome_ref FROM walk WHERE n > 0
+UNION ALL SELECT idempotency_key, arrival, 'invalid:' || invalid, '', '' FROM o3 WHERE invalid IS NOT NULL""")
 def _(t: Tables):
-    return feedback.outcome_job(outcomes(t), t("delivery_heads"), t("links"), t("episodes")).select("idempotency_key", "status", "episode_ref", "outcome_ref")
+    asked = again(outcomes(t).drop("episode_ref").withColumn("outcome_ref", F.concat("outcome_ref", F.lit("~"), F.col("arrival"))), "receipt_refs", "_unknown")
+    asked = asked.withColumn("outcome_ref", F.concat("outcome_ref", F.lit("~"), F.col("arrival")))
+    return feedback.outcome_job(asked, t("delivery_heads"), t("links"), t("episodes"), t("sources")).select("idempotency_key", "arrival", "status", "episode_ref", "outcome_ref")
 
 
 def delivered(t: Tables):

@@ -64,6 +64,37 @@ def _(t: Tables):
     return run.run_available(state.pairs(streams(t)("conversations")))
 
 
-@query("x04_stream_windows")
+# The rule of one owner as a walk through its arrivals: pe pending, ta tail, cl clock, w1 to w3 the windows that a step closes.
+_QUIET = 6 * 3600 * 1_000_000
+
+
+def _walk_windows() -> str:
+    def closing(cond: str, pe: str, ta: str, to: str, out: str, now: str) -> str:
+        window = f"(list_concat({ta}, {pe}))[1:32]"
+        return (f"CASE WHEN {cond} THEN {window} ELSE [] END AS {out}, CASE WHEN {cond} THEN {pe}[len({window}) - len({ta}) + 1:] ELSE {pe} END AS pe{to}, "
+                f"CASE WHEN {cond} THEN ({window})[greatest(1, len({window}) - 3):] ELSE {ta} END AS ta{to}, {now} AS cl{to}")
+
+    quiet = lambda k: f"len(pe{k}) > 0 AND tm > cl{k} + {_QUIET}"
+    one = closing(quiet(0), "pe0", "ta0", "1", "w1", f"CASE WHEN {quiet(0)} THEN cl0 + {_QUIET} ELSE cl0 END")
+    two = closing(quiet(1), "pe1", "ta1", "2", "w2", f"CASE WHEN {quiet(1)} THEN cl1 + {_QUIET} ELSE cl1 END")
+    new = "ref IS NOT NULL AND NOT list_contains(pe2, ref)"
+    add = f"CASE WHEN {new} THEN list_append(pe2, ref) ELSE pe2 END AS pe3, CASE WHEN {new} THEN tm ELSE cl2 END AS cl3, {new} AS came"
+    three = closing("came AND len(pe3) >= 32", "pe3", "ta2", "4", "w3", "CASE WHEN came AND len(pe3) >= 32 THEN tm ELSE cl3 END")
+    return f"""steps AS (SELECT owner, episode_ref AS ref, epoch_us(CAST(ts AS TIMESTAMP)) AS tm, row_number() OVER (PARTITION BY owner ORDER BY ts, episode_ref) AS n FROM arrivals
+ UNION ALL SELECT owner, NULL, max(epoch_us(CAST(ts AS TIMESTAMP))) + 30 * {_QUIET}, count(*) + 1 FROM arrivals GROUP BY owner),
+walk AS (SELECT DISTINCT owner, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS pe, CAST([] AS VARCHAR[]) AS ta, CAST(0 AS BIGINT) AS cl, CAST([] AS VARCHAR[]) AS w1, CAST([] AS VARCHAR[]) AS w2, CAST([] AS VARCHAR[]) AS w3 FROM steps
+ UNION ALL SELECT owner, n, pe4, ta4, cl4, w1, w2, w3 FROM (SELECT owner, n, w1, w2, {three} FROM (SELECT owner, n, tm, ta2, w1, w2, {add} FROM (
+  SELECT owner, n, ref, tm, w1, {two} FROM (SELECT owner, n, ref, tm, {one} FROM (
+   SELECT w.owner, s.n, s.ref, s.tm, w.pe AS pe0, w.ta AS ta0, w.cl AS cl0 FROM walk w JOIN steps s ON s.owner = w.owner AND s.n = w.n + 1)))))),
+shut AS (SELECT owner, n * 3 + k AS o, CASE k WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END AS w FROM (SELECT *, unnest([1, 2, 3]) AS k FROM walk)),
+named AS (SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY o) - 1 AS window_no, w FROM shut WHERE len(w) > 0)"""
+
+
+@query("x04_stream_windows", sql_with("arrivals", extra=_walk_windows()).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT owner, window_no, CAST(p - 1 AS BIGINT) AS position, w[p] AS episode_ref
+FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM named)""")
 def _(t: Tables):
-    return run.run_available(state.windows(streams(t)("arrivals"), 6 * 3600))
+    live = streams(t)("arrivals").select("owner", "episode_ref", F.col("ts").cast("timestamp").alias("ts"))
+    # the stream ends with a row far behind the last one, so that every window falls quiet
+    last = t("arrivals").agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).first()["ts"]
+    end = live.filter(F.col("ts") == F.lit(last)).select(F.lit("~end").alias("owner"), "episode_ref", (F.col("ts") + F.expr("interval 30 days")).alias("ts"))
+    return run.run_available(state.windows(live.unionByName(end), 6 * 3600)).filter("owner <> '~end'")

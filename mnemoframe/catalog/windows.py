@@ -156,11 +156,11 @@ def _(t: Tables):
     return windows.state_hash(_targets(t("recollections")), t("recollection_basis"), OWNER).select("scope_kind", "relationship_ref", "state_hash")
 
 
-@query("x08_stale_guard", sql_with("recollections", "recollection_basis", extra=_state("AND created_order % 100 <> 7") + ", old AS (SELECT * FROM st), " + _state("").replace("b AS (", "b2 AS (").replace("tgt AS (", "tgt2 AS (").replace("FROM tgt LEFT JOIN b ", "FROM tgt2 LEFT JOIN b2 ").replace("st AS (", "st2 AS ("))
+@query("x08_stale_guard", sql_with("recollections", "recollection_basis", extra=_state("AND home <> 7") + ", old AS (SELECT * FROM st), " + _state("").replace("b AS (", "b2 AS (").replace("tgt AS (", "tgt2 AS (").replace("FROM tgt LEFT JOIN b ", "FROM tgt2 LEFT JOIN b2 ").replace("st AS (", "st2 AS ("))
        + "SELECT o.scope_kind, o.relationship_ref, o.state_hash <> n.state_hash AS stale FROM old o JOIN st2 n USING (tenant_ref, scope_kind, agent_ref, relationship_ref)")
 def _(t: Tables):
     # the old snapshot lacks the memories of one home conversation
-    old = windows.state_hash(_targets(t("recollections").filter("created_order % 100 <> 7")), t("recollection_basis"), OWNER)
+    old = windows.state_hash(_targets(t("recollections").filter("home <> 7")), t("recollection_basis"), OWNER)
     now = windows.state_hash(_targets(t("recollections")), t("recollection_basis"), OWNER)
     return windows.stale_guard(old, now, OWNER).select("scope_kind", "relationship_ref", "stale")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import refs
 from ..functions.text import trimmed
 from ..plans.session import cut_lineage
-from .intake import stable_tight
+from .intake import SCOPE, stable_tight
 
 OWNER = list(refs.OWNER)
 
@@ -271,10 +271,12 @@ def apply_changes(validated: DataFrame, windows: DataFrame, versions: DataFrame,
     inhibited = others.filter("operation = 'INHIBIT'").select("tenant_ref", F.col("target").alias("version_ref"), F.lit("inhibition").alias("role"), "ref")
     again = others.filter("operation = 'REENACT'")
     refused = again.join(have.select("tenant_ref", "target", "ref").distinct(), ["tenant_ref", "target", "ref"], "left_semi").select(*key).distinct()
-    runs = episodes.select(F.col("episode_ref").alias("ref"), "session_ref", "run_ref")
-    prior = have.filter("role = 'reenactment'").join(runs, "ref").select("tenant_ref", "target", "session_ref", "run_ref").distinct()
-    first = again.join(refused, key, "left_anti").join(runs, "ref").join(prior, ["tenant_ref", "target", "session_ref", "run_ref"], "left_anti").groupBy(
-        "tenant_ref", "target", "session_ref", "run_ref").agg(F.min("ref").alias("ref"))
+    # one reenactment for a run, which its whole scope names
+    place = [*SCOPE, "run_ref"]
+    runs = episodes.select(F.col("episode_ref").alias("ref"), *place)
+    prior = have.filter("role = 'reenactment'").join(runs, ["tenant_ref", "ref"]).select("target", *place).distinct()
+    first = again.join(refused, key, "left_anti").join(runs, ["tenant_ref", "ref"]).join(prior, ["target", *place], "left_anti").groupBy(
+        "target", *place).agg(F.min("ref").alias("ref"))
     reenacted = first.select("tenant_ref", F.col("target").alias("version_ref"), F.lit("reenactment").alias("role"), "ref")
     added = kept.unionByName(inhibited).unionByName(reenacted).join(
         have.withColumnRenamed("target", "version_ref"), ["tenant_ref", "version_ref", "ref", "role"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -73,13 +74,14 @@ def _draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
-def _interval(means: DataFrame, samples: int, digits: int) -> DataFrame:
-    """Interval by picking sorted elements (no interpolation); ``samples`` values per comparison."""
-    low, high = min(int(samples * 0.025), samples - 1), min(int(samples * 0.975), samples - 1)
-    ranked = means.withColumn("i", F.row_number().over(W.partitionBy("comparison").orderBy("m")) - 1)
+def _interval(means: DataFrame, digits: int) -> DataFrame:
+    """Interval by picking sorted elements (no interpolation) of the means that each comparison has."""
+    n = F.count(F.lit(1)).over(W.partitionBy("comparison"))
+    ranked = means.withColumn("i", F.row_number().over(W.partitionBy("comparison").orderBy("m")) - 1).withColumn("n", n)
+    at = lambda share: F.least(F.floor(F.col("n") * share), F.col("n") - 1)
     return ranked.groupBy("comparison").agg(
-        F.round(F.max(F.when(F.col("i") == low, F.col("m"))), digits).alias("ci_low"),
-        F.round(F.max(F.when(F.col("i") == high, F.col("m"))), digits).alias("ci_high"))
+        F.round(F.max(F.when(F.col("i") == at(0.025), F.col("m"))), digits).alias("ci_low"),
+        F.round(F.max(F.when(F.col("i") == at(0.975), F.col("m"))), digits).alias("ci_high"))
 
 
 def cluster_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digits: int = 9) -> DataFrame:
@@ -98,12 +100,11 @@ def cluster_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digi
     draws = draws.select("comparison", "b", (_draw(F.lit(str(seed)), "b", "j") % F.col("k")).alias("idx"))
     means = draws.join(numbered, ["comparison", "idx"]).groupBy("comparison", "b").agg(
         (F.sum("s") / F.sum("n")).alias("m"))
-    return _interval(means, samples, digits)
+    return _interval(means, digits)
 
 
-# Cumulative probabilities of Poisson(1) for 0..9, rounded to 15 decimals.
-POISSON_1 = (0.367879441171442, 0.735758882342885, 0.919698602928606, 0.981011843123846, 0.996340153172656,
-             0.999405815182418, 0.999916758850712, 0.999989750803325, 0.999998874797402, 0.999999888574522)
+# Cumulative probabilities of Poisson(1), rounded to 15 decimals, up to the first that is 1.
+POISSON_1 = tuple(round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 15) for k in range(18))
 
 
 def poisson_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digits: int = 9) -> DataFrame:
@@ -119,7 +120,7 @@ def poisson_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digi
         weight = F.when(u < POISSON_1[k], k).otherwise(weight)
     means = rows.withColumn("w", weight).groupBy("comparison", "b").agg(
         (F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    return _interval(means.filter("m IS NOT NULL"), samples, digits)
+    return _interval(means.filter("m IS NOT NULL"), digits)
 
 
 def persona_weighted(stats: DataFrame) -> DataFrame:

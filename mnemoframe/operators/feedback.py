@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import refs
 from ..plans.session import cut_lineage
-from .intake import GROUP, SCOPE, first_accept, validate_deliveries, validate_outcomes
+from .intake import GROUP, HEAD, SCOPE, in_order, payload_hash, settle, validate_deliveries, validate_outcomes
 
 RUN = [*SCOPE, "run_ref"]
 CONTEXT = ["tenant_ref", "context_ref"]
@@ -76,40 +76,45 @@ def admit_outcomes(outcomes: DataFrame, deliveries: DataFrame, links: DataFrame)
 
 def delivery_job(deliveries: DataFrame, contexts: DataFrame, items: DataFrame, evidence: DataFrame,
                  acts: DataFrame) -> DataFrame:
-    """Deliveries to receipts: validation, idempotency, then admission."""
-    checked = cut_lineage(validate_deliveries(deliveries))
-    keyed = cut_lineage(first_accept(checked.filter("reason IS NULL").drop("reason").withColumn(
-        "request_hash", refs.delivery_hash(F.col("memory_refs"))), ["tenant_ref", "idempotency_key"], "request_hash"))
-    fresh = admit_deliveries(keyed.filter("status = 'new'"), contexts, items, evidence, acts)
-    cols = ["tenant_ref", "idempotency_key", "arrival", "status"]
-    receipt = refs.delivery_ref().alias("delivery_ref")
-    return (
-        fresh.withColumn("status", F.coalesce("reason", F.lit("accepted"))).select(*cols, receipt)
-        .unionByName(keyed.filter("status <> 'new'").select(*cols, receipt))
-        .unionByName(checked.filter("reason IS NOT NULL").withColumn(
-            "status", F.concat(F.lit("invalid:"), "reason")).select(*cols, receipt)))
+    """Deliveries to receipts: validation, idempotency, then admission.
 
-
-def outcome_job(outcomes: DataFrame, deliveries: DataFrame, links: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Outcomes to receipts: validation, idempotency, admission, episode attachment."""
+    A refused delivery leaves its key free: the first admitted request of a key takes it. Only accepted requests and their
+    replays have a receipt.
+    """
+    checked = cut_lineage(validate_deliveries(deliveries))
+    valid = checked.filter("reason IS NULL").drop("reason").withColumn("request_hash", refs.delivery_hash(F.col("memory_refs")))
+    admitted = cut_lineage(admit_deliveries(valid, contexts, items, evidence, acts).select(*HEAD, "arrival", "request_hash", "reason"))
+    at = F.struct("arrival", "request_hash")
+    first = admitted.filter("reason IS NULL").groupBy(*HEAD).agg(F.min(at).alias("first"))
+    status = F.when(F.col("first") < at, F.when(F.col("first.request_hash") == F.col("request_hash"), "replay").otherwise("conflict")).otherwise(F.coalesce("reason", F.lit("accepted")))
+    decided = admitted.join(first, HEAD, "left").select(*HEAD, "arrival", status.alias("status"))
+    refused = checked.filter("reason IS NOT NULL").select(*HEAD, "arrival", F.concat(F.lit("invalid:"), "reason").alias("status"))
+    return decided.unionByName(refused).select(
+        *HEAD, "arrival", "status", F.when(F.col("status").isin("accepted", "replay"), refs.delivery_ref()).otherwise("").alias("delivery_ref"))
+
+
+def outcome_job(outcomes: DataFrame, deliveries: DataFrame, links: DataFrame, episodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Outcomes to receipts: validation, idempotency, admission of receipts, sources and payload, episode attachment.
+
+    ``sources`` are the payloads observed before. A refused outcome leaves key and source free. A replay has the receipt of
+    the accepted outcome, with its episode.
+    """
     checked = validate_outcomes(outcomes).withColumn("source_event_ref", F.col("source_ref"))
     # texts end here: later steps see hashes and references
-    checked = cut_lineage(checked.withColumn("request_hash", refs.outcome_hash(
+    checked = in_order(checked.withColumn("payload_hash", payload_hash()).withColumn("request_hash", refs.outcome_hash(
         F.array_sort("receipt_refs"), F.array_sort("related_refs"))).drop("text"))
-    keyed = cut_lineage(first_accept(checked.filter("reason IS NULL").drop("reason"),
-                                     ["tenant_ref", "idempotency_key"], "request_hash"))
-    fresh = admit_outcomes(keyed.filter("status = 'new'"), deliveries, links)
-    attached = fresh.drop("episode_ref").join(episodes.select(*GROUP, "episode_ref"), GROUP, "left")
-    cols = ["tenant_ref", "idempotency_key", "arrival", "status", "episode_ref"]
-    none = F.lit("").alias("episode_ref")
-    return (
-        attached.withColumn("status", F.coalesce("reason", F.lit("accepted"))).withColumn(
-            "episode_ref", F.when(F.col("reason").isNull(), F.coalesce("episode_ref", F.lit(""))).otherwise(""))
-        .select(*cols, refs.outcome_ref().alias("outcome_ref"))
-        .unionByName(keyed.filter("status <> 'new'").select(*cols[:-1], none, refs.outcome_ref().alias("outcome_ref")))
-        .unionByName(checked.filter("reason IS NOT NULL").withColumn(
-            "status", F.concat(F.lit("invalid:"), "reason")).select(
-            *cols[:-1], none, refs.outcome_ref().alias("outcome_ref"))))
+    valid = checked.filter("reason IS NULL").drop("reason")
+    admitted = cut_lineage(admit_outcomes(valid, deliveries, links).select(
+        "row", "at", *GROUP, "source_ref", "source_event_ref", "idempotency_key", "arrival", "request_hash", "payload_hash",
+        F.lit("outcome").alias("role"), F.col("reason").alias("refusal")))
+    status = cut_lineage(admitted.join(settle(admitted, sources.withColumn("payload_hash", payload_hash())), "row"))
+    receipts = status.filter("status = 'accepted'").join(episodes.select(*GROUP, "episode_ref"), GROUP, "left").select(
+        *HEAD, F.coalesce("episode_ref", F.lit("")).alias("episode_ref"), refs.outcome_ref().alias("outcome_ref"))
+    has = F.col("status").isin("accepted", "replay")
+    decided = status.join(receipts, HEAD, "left").select(*HEAD, "arrival", "status", *[
+        F.when(has, F.col(c)).otherwise("").alias(c) for c in ("episode_ref", "outcome_ref")])
+    return decided.unionByName(checked.filter("reason IS NOT NULL").select(
+        *HEAD, "arrival", F.concat(F.lit("invalid:"), "reason").alias("status"), F.lit("").alias("episode_ref"), F.lit("").alias("outcome_ref")))
 
 
 def feedback_chain(contexts: DataFrame, items: DataFrame, delivered: DataFrame, dispositions: DataFrame,

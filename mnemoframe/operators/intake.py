@@ -135,13 +135,13 @@ def first_accept(df: DataFrame, keys: list[str], hash_col: str, order: str = "ar
     """Adds ``status``: the first request of a key is ``new``, an equal one ``replay``, another ``conflict``.
 
     Argmin per key is combined map-side, so a key with very many requests shuffles one row per task; the
-    join back is a plain equi-join that AQE may split.
+    join back is a plain equi-join that AQE may split. Of requests with equal ``order`` the smallest hash is the first.
     """
-    first = df.groupBy(*keys).agg(
-        F.min(order).alias("first_arrival"), F.min_by(hash_col, order).alias("first_hash"))
+    first = df.groupBy(*keys).agg(F.min(F.struct(F.col(order).alias("o"), F.col(hash_col).alias("h"))).alias("first")).select(
+        *keys, F.col("first.o").alias("first_arrival"), F.col("first.h").alias("first_hash"))
     return df.join(first, keys).withColumn(
         "status",
-        F.when(F.col(order) == F.col("first_arrival"), "new")
+        F.when((F.col(order) == F.col("first_arrival")) & (F.col(hash_col) == F.col("first_hash")), "new")
         .when(F.col(hash_col) == F.col("first_hash"), "replay").otherwise("conflict"),
     ).drop("first_hash")
 
@@ -155,11 +155,11 @@ def payload_hash() -> Column:
 def first_source(df: DataFrame) -> DataFrame:
     """Adds ``source_status``: the first payload of a source key is canonical, differing later ones conflict."""
     marked = df.withColumn("__payload", F.col("payload_hash") if "payload_hash" in df.columns else payload_hash())
-    first = marked.groupBy(*SOURCE_KEY).agg(
-        F.min("arrival").alias("source_arrival"), F.min_by("__payload", "arrival").alias("__first"))
+    first = marked.groupBy(*SOURCE_KEY).agg(F.min(F.struct("arrival", "__payload")).alias("first")).select(
+        *SOURCE_KEY, F.col("first.arrival").alias("source_arrival"), F.col("first.__payload").alias("__first"))
     return marked.join(first, SOURCE_KEY).withColumn(
         "source_status",
-        F.when(F.col("arrival") == F.col("source_arrival"), "new")
+        F.when((F.col("arrival") == F.col("source_arrival")) & (F.col("__payload") == F.col("__first")), "new")
         .when(F.col("__payload") == F.col("__first"), "same").otherwise("conflict"),
     ).drop("__payload", "__first")
 
@@ -220,42 +220,83 @@ def backfill_outcomes(outcomes: DataFrame, episodes: DataFrame) -> DataFrame:
         .drop("__episode"))
 
 
+HEAD = ["tenant_ref", "idempotency_key"]
+
+
+def _with(rows: DataFrame, some: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that share a key with some others."""
+    return rows.join(some.select(*on).distinct(), on, "left_semi")
+
+
+def _settled(todo: DataFrame, taken: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(row, status) of each row of ``todo`` if exactly the rows of ``taken`` were accepted.
+
+    A row looks only at what came before it: the first accepted request of its key, the first accepted payload of its source
+    (``known`` ones came before all), its own ``refusal`` if any, and the moment its group was sealed.
+    """
+    key = taken.groupBy(*HEAD).agg(F.min("at").alias("__key"), F.min_by("request_hash", "at").alias("__hash"))
+    payload = taken.groupBy(*SOURCE_KEY).agg(F.min("at").alias("__seen"), F.min_by("payload_hash", "at").alias("__payload"))
+    links = taken.filter("run_ref <> '' AND source_group_ref <> '' AND role <> ''")
+    repeated = links.groupBy(*GROUP, "source_ref", "role").agg(F.min("arrival").alias("__link"))
+    joined = (
+        todo.join(key, HEAD, "left").join(payload, SOURCE_KEY, "left").join(gates(links), GROUP, "left")
+        .join(repeated, [*GROUP, "source_ref", "role"], "left"))
+    clash = (F.col("__seen") < F.col("at")) & (F.col("__payload") != F.col("payload_hash"))
+    if known is not None:
+        joined = joined.join(known.select(*SOURCE_KEY, F.col("payload_hash").alias("__known")), SOURCE_KEY, "left")
+        clash = F.coalesce(clash, F.lit(False)) | (F.col("__known") != F.col("payload_hash"))
+    sealed = (F.col("gate") < F.col("arrival")) & (F.col("role") != "outcome") & ~F.coalesce(F.col("__link") <= F.col("gate"), F.lit(False))
+    return joined.select("row", F.when(F.col("__key") < F.col("at"), F.when(F.col("__hash") == F.col("request_hash"), "replay").otherwise("conflict"))
+                         .when(F.col("refusal").isNotNull(), F.col("refusal")).when(clash, "source_conflict").when(sealed, "sealed").otherwise("accepted").alias("status"))
+
+
+def settle(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(row, status) of requests in arrival order, when a refused request leaves nothing behind: neither key nor source nor link.
+
+    ``rows``: row (unique), at (struct that orders all rows), arrival, tenant and key, request_hash, payload_hash, source,
+    group and role, refusal (NULL, or why the request is refused once its key is free). Decisions start from a guess of what is
+    accepted and are made again for the rows that share a key, a source or a group with a row whose acceptance changed.
+    Since a row depends on earlier ones only, the rounds end with the one outcome that a walk in arrival order has.
+    """
+    first = rows.groupBy(*HEAD).agg(F.min("at").alias("at"))
+    taken = cut_lineage(rows.filter("refusal IS NULL").join(first, [*HEAD, "at"], "left_semi"))
+    todo, decided = rows, None
+    while True:
+        # what decides a row has its key, its source or its group
+        near = taken if decided is None else _with(taken, todo, HEAD).unionByName(_with(taken, todo, SOURCE_KEY)).unionByName(_with(taken, todo, GROUP)).distinct()
+        now = _settled(todo, near, known)
+        decided = cut_lineage(now if decided is None else decided.join(now.select("row"), "row", "left_anti").unionByName(now))
+        accepted = cut_lineage(rows.join(decided.filter("status = 'accepted'"), "row", "left_semi"))
+        moved = cut_lineage(accepted.join(taken, "row", "left_anti").unionByName(taken.join(accepted, "row", "left_anti")))
+        if moved.isEmpty():
+            return decided
+        taken = accepted
+        todo = cut_lineage(_with(rows, moved, HEAD).unionByName(_with(rows, moved, SOURCE_KEY)).unionByName(_with(rows, moved, GROUP)).distinct())
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Adds ``row`` and ``at``: arrival, then the request itself, then the row number of the written table."""
+    numbered = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    return numbered.withColumn("at", F.struct("arrival", "request_hash", "row"))
+
+
 def intake_job(requests: DataFrame) -> DataFrame:
     """Requests to receipts: ``status`` and, once the gate is open, the episode reference.
 
-    A request whose key was first used by a refused request is ``ambiguous``: the service would forget the
-    refused key, which a set-based pass cannot order without replaying it. Texts are read once; later steps
-    see hashes and references only. Every step is used more than once, so its rows are cut from their lineage
-    instead of being recomputed by each use.
+    A request that is refused, because its source has another payload or its group is sealed, frees its key and its source. A
+    replay gets the receipt of the accepted request. Texts are read once; later steps see hashes and references only.
     """
-    checked = cut_lineage(requests.withColumn("reason", F.coalesce(
+    checked = in_order(requests.withColumn("reason", F.coalesce(
         source_reason(), F.when(~binding_state().isin("ok", "none"), binding_state()))).select(
         *GROUP, "source_ref", "role", "idempotency_key", "arrival", "reason",
         refs.observe_hash().alias("request_hash"), payload_hash().alias("payload_hash")))
-    valid = checked.filter("reason IS NULL").drop("reason")
-    keyed = cut_lineage(first_accept(valid, ["tenant_ref", "idempotency_key"], "request_hash"))
-    fresh = cut_lineage(first_source(keyed.filter("status = 'new'")))
-    admitted = fresh.filter("source_status <> 'conflict'")
-    bound = admitted.filter((F.col("run_ref") != "") & (F.col("source_group_ref") != ""))
-    sealed = sealing(bound).withColumn(
-        "episode_ref", F.when(F.col("accepted") & (F.col("arrival") >= F.col("gate")), refs.episode_ref())
-        .otherwise(""))
-    sealed = cut_lineage(sealed.select("tenant_ref", "idempotency_key", "arrival", "accepted", "episode_ref"))
-    loose = admitted.filter((F.col("run_ref") == "") | (F.col("source_group_ref") == ""))
-    head = ["tenant_ref", "idempotency_key"]
-    decided = (
-        sealed.select(*head, "arrival", F.when(F.col("accepted"), "accepted").otherwise("sealed").alias("status"),
-                      "episode_ref")
-        .unionByName(loose.select(*head, "arrival", F.lit("accepted").alias("status"),
-                                  F.lit("").alias("episode_ref")))
-        .unionByName(fresh.filter("source_status = 'conflict'").select(
-            *head, "arrival", F.lit("source_conflict").alias("status"), F.lit("").alias("episode_ref"))))
-    first = decided.select(*head, F.col("status").alias("__s"), F.col("episode_ref").alias("__e"))
-    again = keyed.filter("status <> 'new'").join(first, head).select(
-        *head, "arrival",
-        F.when(F.col("__s") != "accepted", "ambiguous").otherwise(F.col("status")).alias("status"),
-        F.when((F.col("status") == "replay") & (F.col("__s") == "accepted"), F.col("__e")).otherwise("")
-        .alias("episode_ref"))
+    valid = checked.filter("reason IS NULL").withColumn("refusal", F.lit(None).cast("string")).drop("reason")
+    status = valid.join(settle(valid), "row")
+    links = status.filter("status = 'accepted' AND run_ref <> '' AND source_group_ref <> ''")
+    given = links.join(gates(links), GROUP).filter("arrival >= gate").select("row", refs.episode_ref().alias("episode_ref"))
+    receipts = status.filter("status = 'accepted'").join(given, "row", "left").select(*HEAD, F.coalesce("episode_ref", F.lit("")).alias("episode_ref"))
+    decided = status.join(receipts, HEAD, "left").select(
+        *HEAD, "arrival", "status", F.when(F.col("status").isin("accepted", "replay"), F.col("episode_ref")).otherwise("").alias("episode_ref"))
     refused = checked.filter("reason IS NOT NULL").select(
-        *head, "arrival", F.concat(F.lit("invalid:"), "reason").alias("status"), F.lit("").alias("episode_ref"))
-    return decided.unionByName(again).unionByName(refused)
+        *HEAD, "arrival", F.concat(F.lit("invalid:"), "reason").alias("status"), F.lit("").alias("episode_ref"))
+    return decided.unionByName(refused)

@@ -28,16 +28,17 @@ def hash_sample(questions: DataFrame, personas: int, per_persona: int, seed: int
 def persona_split(personas: DataFrame, exposed: DataFrame, salt: str, dev: int, holdout_1: int) -> DataFrame:
     """dev, H1 and H2: exposed personas go to dev, the rest are cut by hash order.
 
-    ``dev`` and ``holdout_1`` are sizes; the exposed count towards dev. Only the list of the first personas is
-    ranked, which a distributed limit bounds by those sizes; everyone else is H2 by absence.
+    ``dev`` and ``holdout_1`` are sizes; the exposed count towards dev, and more of them leave H1 its size. Only the first
+    of the others are ranked, which a distributed limit bounds by those sizes; everyone else is H2 by absence.
     """
     seen = exposed.select("persona_id").distinct().withColumn("__exposed", F.lit(True))
     marked = personas.select("persona_id").distinct().join(seen, "persona_id", "left").withColumn(
         "__h", hash_key(salt, "persona_id"))
-    listed = marked.orderBy(F.coalesce("__exposed", F.lit(False)).desc(), "__h").limit(dev + holdout_1)
-    # one ordered list of at most dev + holdout_1 personas: exposed first, then by hash
-    placed = listed.withColumn("__i", F.row_number().over(W.orderBy(F.coalesce("__exposed", F.lit(False)).desc(), "__h")))
-    named = placed.select("persona_id", F.when(F.col("__exposed") | (F.col("__i") <= dev), "dev").otherwise("H1").alias("split"))
+    free = marked.agg(F.greatest(F.lit(dev) - F.count("__exposed"), F.lit(0)).alias("__free"))
+    # one ordered list of at most dev + holdout_1 personas, and one row with the places that dev has left
+    listed = marked.filter("__exposed IS NULL").orderBy("__h").limit(dev + holdout_1)
+    placed = listed.withColumn("__i", F.row_number().over(W.orderBy("__h"))).crossJoin(F.broadcast(free))
+    named = placed.select("persona_id", F.when(F.col("__i") <= F.col("__free"), "dev").when(F.col("__i") <= F.col("__free") + holdout_1, "H1").alias("split"))
     return marked.select("persona_id", "__exposed").join(named, "persona_id", "left").select(
         "persona_id", F.coalesce("split", F.when(F.col("__exposed"), "dev"), F.lit("H2")).alias("split"))
 

@@ -241,8 +241,8 @@ def episode_evidence(requests: DataFrame, hits: DataFrame, episodes: DataFrame,
                      keys: Sequence[str]) -> DataFrame:
     """Episode evidence per request in (rank, lane) order within the byte budget.
 
-    ``requests``: keys, scope, evidence_bytes, situation refs (array). Texts longer than the budget can never
-    be kept, so they are dropped by their byte length before anything is rendered, and at most the hits of a
+    ``requests``: keys, scope, evidence_bytes, situation refs (array). Texts longer than every budget that wants them
+    can never be kept, so they are dropped by their byte length before anything is rendered, and at most the hits of a
     request's lanes are gathered.
     """
     keys = list(keys)
@@ -253,7 +253,8 @@ def episode_evidence(requests: DataFrame, hits: DataFrame, episodes: DataFrame,
     content = links.join(sources.select(*SCOPE, "source_ref", "actor_kind", "text"), [*SCOPE, "source_ref"]).join(
         wanted.select(*OWNER, "episode_ref").distinct(), [*OWNER, "episode_ref"], "left_semi")
     size = content.groupBy(*SCOPE, "episode_ref").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    small = size.filter(F.col("bytes") <= 16 * 1024).select(*SCOPE, "episode_ref")
+    room = wanted.join(budget.select(*keys, "evidence_bytes"), keys).groupBy(*OWNER, "episode_ref").agg(F.max("evidence_bytes").alias("room"))
+    small = size.join(room, [*OWNER, "episode_ref"]).filter("bytes <= room").select(*SCOPE, "episode_ref")
     rendered = content.join(small, [*SCOPE, "episode_ref"], "left_semi").groupBy(*SCOPE, "episode_ref").agg(
         F.collect_list(F.struct("role", "source_ref", "actor_kind", "text")).alias("s")).select(
         *OWNER, F.struct(*SCOPE).alias("__at"), "episode_ref", render_episode(F.col("s")).alias("text"),

@@ -19,7 +19,8 @@ DRIVER_TABLES = frozenset(
     "labels conversations".split())
 
 # A conversation belongs to the agent itself when conv_id % 7 = 3, else to one of 20 relationships.
-_SCOPE = """'t0' AS tenant_ref,
+# Tenants hold 100 conversations each, so that owners grow with the data.
+_SCOPE = """concat('t', CAST(CAST(floor({c} / 100) AS BIGINT) AS STRING)) AS tenant_ref,
     CASE WHEN {c} % 7 = 3 THEN 'agent' ELSE 'relationship' END AS scope_kind,
     'agent' AS agent_ref,
     CASE WHEN {c} % 7 = 3 THEN '' ELSE concat('rel-', CAST({c} % 20 AS STRING)) END AS relationship_ref"""
@@ -100,7 +101,14 @@ SELECT m.tenant_ref, m.scope_kind, m.agent_ref, m.relationship_ref, m.session_re
     concat('key-', CAST(m.conv_id AS STRING), '-', CAST(m.turn AS STRING)) AS idempotency_key,
     m.arrival * 10 + m.copy AS arrival
 FROM (SELECT *, EACH(0, 1, 2) AS copy FROM {{messages}}) m
-WHERE m.copy = 0 OR (m.copy = 1 AND m.conv_id % 10 = 0) OR (m.copy = 2 AND m.conv_id % 10 = 1)""",
+WHERE m.copy = 0 OR (m.copy = 1 AND m.conv_id % 10 = 0) OR (m.copy = 2 AND m.conv_id % 10 = 1)
+UNION ALL
+SELECT {_SCOPE_COLS}, concat('late-', run_ref), 'user', concat('user-', CAST(conv_id % 20 AS STRING)),
+    CASE step WHEN 0 THEN 'Late situation.' WHEN 3 THEN 'Late situation.' ELSE 'Late situation again' END, '', '',
+    CASE step WHEN 0 THEN run_ref ELSE '' END, CASE step WHEN 0 THEN source_group_ref ELSE '' END, CASE step WHEN 0 THEN 'situation' ELSE '' END,
+    concat('late-key-', run_ref, CASE step WHEN 3 THEN '-other' ELSE '' END), (arrival + 10) * 10 + 5 + step
+FROM (SELECT *, EACH(0, 1, 2, 3) AS step FROM {{turns}} WHERE conv_id % 10 IN (2, 3)) l
+WHERE step <> 1 OR conv_id % 10 = 2""",
     # requests broken in one way each, chosen by conversation and turn
     "dirty_requests": """
 SELECT tenant_ref,
@@ -136,13 +144,15 @@ UNION ALL
 SELECT {_SCOPE_COLS}, run_ref, source_group_ref, user_source, 'situation', arrival + 4 FROM {{turns}} WHERE conv_id % 5 = 0
 UNION ALL
 SELECT {_SCOPE_COLS}, run_ref, source_group_ref, reply_source, 'situation', arrival + 5 FROM {{replies}} WHERE conv_id % 5 = 1""",
-    # --- learned memories -------------------------------------------------------------------------
+    # --- learned memories: dealt to all conversations, so that a conversation has as many at any scale -----
+    "homes": """
+SELECT max(conv_id) + 1 AS n FROM {conversations}""",
     "memory_docs": f"""
-SELECT d.doc_id, d.text, d.lang, d.source, d.doc_id % 100 AS home, {_owner('(d.doc_id % 100)')},
+SELECT d.doc_id, d.text, d.lang, d.source, d.home, {_owner('d.home')},
     CASE WHEN l.toxic = 1 THEN 'superseded' ELSE 'active' END AS status,
     1 + d.doc_id % 3 AS version_number,
-    concat('job-', CAST(d.doc_id % 50 AS STRING)) AS origin_job_ref
-FROM {{documents}} d LEFT JOIN {{labels}} l ON l.doc_id = d.doc_id""",
+    concat('job-', CAST(CAST(floor(d.doc_id / 20) AS BIGINT) AS STRING)) AS origin_job_ref
+FROM (SELECT *, doc_id % (SELECT n FROM {{homes}}) AS home FROM {{documents}}) d LEFT JOIN {{labels}} l ON l.doc_id = d.doc_id""",
     "recollections": f"""
 SELECT {_OWNER_COLS}, concat('recollection_', CAST(doc_id AS STRING)) AS root_ref,
     concat('recollection_', CAST(doc_id AS STRING), '@', CAST(version_number AS STRING)) AS version_ref,
@@ -177,9 +187,10 @@ SELECT {_SCOPE_COLS}, run_ref, concat('context_', CAST(conv_id AS STRING), '_',
     "context_items": """
 SELECT c.tenant_ref, c.context_ref, m.item_kind, m.version_ref AS memory_ref, c.source_ref AS query_source_ref
 FROM {contexts} c JOIN (
-    SELECT home, created_order, version_ref, 'recollection' AS item_kind FROM {recollections}
-    UNION ALL SELECT home, created_order, version_ref, 'disposition' FROM {dispositions}) m
-  ON m.home = c.conv_id AND CAST(floor(m.created_order / 100) AS BIGINT) % 4 = c.user_turn % 4""",
+    SELECT *, CAST(floor(created_order / (SELECT n FROM {homes})) AS BIGINT) % 4 AS slot FROM (
+      SELECT home, created_order, version_ref, 'recollection' AS item_kind FROM {recollections}
+      UNION ALL SELECT home, created_order, version_ref, 'disposition' FROM {dispositions}) x) m
+  ON m.home = c.conv_id AND m.slot = c.user_turn % 4""",
     "context_evidence": """
 SELECT c.tenant_ref, c.context_ref, e.episode_ref
 FROM {contexts} c JOIN {episodes} e ON e.conv_id = c.conv_id AND e.user_turn + 2 = c.user_turn""",
@@ -227,15 +238,15 @@ FROM {{turns}} t JOIN {{turns}} p ON p.conv_id = t.conv_id AND p.user_turn + 2 =
 SELECT home, 'RECOLLECTION' AS kind, version_ref AS ref FROM {recollections}
 UNION ALL SELECT home, 'DISPOSITION', version_ref FROM {dispositions}
 UNION ALL SELECT home, 'NOTE', concat('note-', root_ref) FROM {dispositions}
-UNION ALL SELECT conv_id % 100, 'EPISODE', episode_ref FROM {episodes}""",
+UNION ALL SELECT conv_id, 'EPISODE', episode_ref FROM {episodes}""",
     "index_asks": f"""
 SELECT q.tenant_ref, q.session_ref, q.run_ref, q.query_ref, q.query_index, CASE WHEN q.user_turn >= 2 THEN 2 ELSE 1 END AS n_queries,
     q.lane AS owner_index, q.scope_kind AS request_kind, q.relationship_ref AS request_relationship, q.agent_ref,
     CASE WHEN q.lane = 0 THEN 'agent' ELSE 'relationship' END AS scope_kind,
     CASE WHEN q.lane = 0 THEN '' ELSE q.relationship_ref END AS relationship_ref,
-    CASE WHEN q.lane = 0 THEN ((q.conv_id * 3 + q.query_index) % 14) * 7 + 3 ELSE q.conv_id % 100 END AS home
-FROM (SELECT *, EACH(0, 1) AS lane FROM {{select_queries}}) q
-WHERE q.conv_id % 2 = 0 AND (q.lane = 0 OR q.scope_kind = 'relationship')""",
+    CASE WHEN q.lane = 0 THEN ((q.conv_id * 3 + q.query_index) % q.agent_homes) * 7 + 3 ELSE q.conv_id END AS home
+FROM (SELECT *, EACH(0, 1) AS lane, (SELECT greatest(1, CAST(floor((n + 3) / 7) AS BIGINT)) FROM {{homes}}) AS agent_homes FROM {{select_queries}}) q
+WHERE q.lane = 0 OR q.scope_kind = 'relationship'""",
     "index_hits": """
 SELECT a.tenant_ref, a.session_ref, a.run_ref, a.query_ref, a.query_index, a.n_queries, a.owner_index, a.agent_ref, a.scope_kind, a.relationship_ref,
     i.kind, i.ref, row_number() OVER (PARTITION BY a.session_ref, a.run_ref, a.query_ref, a.owner_index ORDER BY md5(concat(i.ref, a.query_ref)), i.ref) - 1 AS position
@@ -266,7 +277,7 @@ SELECT concat('win-', CAST(conv_id AS STRING)) AS window_ref, conv_id, CASE conv
     WHEN 7 THEN concat('TARGET', n, rec, n, 'APPLICATION', n, app, n, 'CHANGE', n, 'KEEP', n, 'BASIS', n, ep, n, 'TARGET', n, rec, n, 'APPLICATION', n, app, n, 'CHANGE', n, 'KEEP', n, 'BASIS', n, ep)
     ELSE concat('TARGET', n, 'NEW_DISPOSITION', n, 'APPLICATION', n, CASE WHEN conv_id % 7 = 3 THEN 'SELF' ELSE 'RELATION' END, n, 'CHANGE', n, 'ADAPT stay brief', n, 'BASIS', n, ep) END AS output
 FROM (SELECT conv_id, chr(10) AS n, min(episode_ref) AS ep,
-        concat('recollection_', CAST((conv_id % 100) + CASE WHEN (conv_id % 100) % 5 = 0 THEN 100 ELSE 0 END AS STRING), '@', CAST(1 + ((conv_id % 100) + CASE WHEN (conv_id % 100) % 5 = 0 THEN 100 ELSE 0 END) % 3 AS STRING)) AS rec,
+        concat('recollection_', CAST(conv_id + CASE WHEN conv_id % 5 = 0 THEN 100 ELSE 0 END AS STRING), '@', CAST(1 + (conv_id + CASE WHEN conv_id % 5 = 0 THEN 100 ELSE 0 END) % 3 AS STRING)) AS rec,
         CASE conv_id % 4 WHEN 0 THEN 'SELF' WHEN 1 THEN 'OTHER' WHEN 2 THEN 'RELATION' ELSE 'SITUATION' END AS app
       FROM {episodes} GROUP BY conv_id) x""",
     # --- events as arrivals, jobs and index operations -----------------------------------------------
@@ -288,7 +299,7 @@ SELECT *, CASE mode WHEN 'none' THEN 0 WHEN 'full_history' THEN 1 WHEN 'oracle_e
 FROM (SELECT doc_id, EACH('none', 'full_history', 'oracle_episode', 'semantic_top40', 'current_core', 'learned_core') AS mode
       FROM {labels}) x""",
     "results": """
-SELECT concat('row-', CAST(m.doc_id AS STRING)) AS question_ref, concat('persona-', CAST(m.doc_id % 40 AS STRING)) AS persona_id, m.mode,
+SELECT concat('row-', CAST(m.doc_id AS STRING)) AS question_ref, concat('persona-', CAST(CAST(floor(m.doc_id / 25) AS BIGINT) AS STRING)) AS persona_id, m.mode,
     substr(md5(concat(CAST(m.doc_id AS STRING), m.mode)), 1, 1) < substr('3579bd', m.mode_no + 1, 1) AS correct,
     CASE WHEN m.doc_id % 17 = m.mode_no THEN '' ELSE 'A' END AS predicted_option,
     CASE WHEN m.mode = 'none' THEN 0 ELSE d.n_chars % 1000 END AS memory_tokens,
@@ -297,13 +308,13 @@ SELECT concat('row-', CAST(m.doc_id AS STRING)) AS question_ref, concat('persona
     d.lang AS pref_type, d.source AS who
 FROM {graded} m JOIN {documents} d ON d.doc_id = m.doc_id""",
     "diagnostics": """
-SELECT concat('row-', CAST(doc_id AS STRING)) AS question_ref, concat('persona-', CAST(doc_id % 40 AS STRING)) AS persona_id,
+SELECT concat('row-', CAST(doc_id AS STRING)) AS question_ref, concat('persona-', CAST(CAST(floor(doc_id / 25) AS BIGINT) AS STRING)) AS persona_id,
     h < 'e' AS source_available, h < 'b' AS indexed, h < '8' AS selected, h < '6' AS delivered,
     g < '4' AS learned_basis_selected, g < '2' AS learned_basis_delivered,
     substr(md5(concat(CAST(doc_id AS STRING), 'current_core')), 1, 1) < 'b' AS answer_correct
 FROM (SELECT doc_id, substr(md5(CAST(doc_id AS STRING)), 1, 1) AS h, substr(md5(concat('b', CAST(doc_id AS STRING))), 1, 1) AS g FROM {labels}) x""",
     "judged": """
-SELECT concat('inst-', CAST(doc_id AS STRING)) AS instance_ref, concat('persona-', CAST(doc_id % 40 AS STRING)) AS persona_id,
+SELECT concat('inst-', CAST(doc_id AS STRING)) AS instance_ref, concat('persona-', CAST(CAST(floor(doc_id / 25) AS BIGINT) AS STRING)) AS persona_id,
     CASE doc_id % 3 WHEN 0 THEN 'consistent' WHEN 1 THEN 'contrastive' ELSE 'changing' END AS instance_type,
     CASE WHEN quality = 1 THEN 'dev' ELSE 'holdout' END AS split, a.arm,
     1 + CAST(floor((ascii(substr(md5(concat(CAST(doc_id AS STRING), a.arm)), 1, 1)) % 16) * 0.6) AS BIGINT) AS score,
@@ -354,12 +365,7 @@ class Tables:
         return self._made[key]
 
     def _read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        # long texts in one small file would keep all but one core idle; many files need no exchange
-        if name == "documents" and df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, "doc_id")
-        return df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def _ordered(names: tuple[str, ...]) -> list[str]:

@@ -16,10 +16,6 @@ def run_available(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
-    if spark.sparkContext.master.startswith("local"):
-        # one state store per core is enough for one machine; a cluster keeps its own setting
-        cores = spark.sparkContext.defaultParallelism
-        wanted["spark.sql.shuffle.partitions"] = str(min(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():

@@ -104,14 +104,15 @@ def episodes(links: DataFrame) -> DataFrame:
 
 class _Pairs(StatefulProcessor):
     def init(self, handle) -> None:
-        self.state = handle.getValueState("open", "role string, text string, pairs long, user_text string")
+        self.state = handle.getValueState("open", "role string, text string, pairs long")
 
     def handleInputRows(self, key, rows, timerValues):
-        role, text, pairs, user = self.state.get() if self.state.exists() else ("", "", 0, "")
+        role, text, pairs = self.state.get() if self.state.exists() else ("", "", 0)
         out = []
         for r, t, at in _rows(rows, "turn")[["role", "text", "turn"]].itertuples(index=False):
-            if r == "system":
+            if r not in ("user", "assistant"):
                 continue
+            t = "" if pd.isna(t) else t
             if r == "user":
                 text = text + "\n\n" + t if role == "user" else t
                 role = "user"
@@ -120,7 +121,7 @@ class _Pairs(StatefulProcessor):
                 pairs, role, text = pairs + 1, "", ""
             else:
                 out.append((key[0], pairs, "", t, "assistant_first"))
-        self.state.update((role, text, pairs, user))
+        self.state.update((role, text, pairs))
         yield pd.DataFrame(out, columns=["conv_id", "pair_idx", "user_text", "agent_text", "reason"])
 
     def close(self) -> None:
@@ -203,7 +204,8 @@ class _Windows(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         live = self._load()
-        closed = list(live.advance(expiredTimerInfo.getExpiryTimeInMs() * 1000))
+        # all that is quiet by now, also what a first closing leaves
+        closed = list(live.advance(max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000))
         self._save(live)
         yield self._frame(key, closed)
 
@@ -211,8 +213,11 @@ class _Windows(StatefulProcessor):
         pass
 
 
-def windows(arrivals: DataFrame, quiet_seconds: int, max_size: int = 32, overlap: int = 4, delay: str = "0 seconds") -> DataFrame:
-    """Consolidation windows as they close, by count or by a quiet timer in event time."""
+def windows(arrivals: DataFrame, quiet_seconds: int, max_size: int = 32, overlap: int = 4, delay: str = "1 hour") -> DataFrame:
+    """Consolidation windows as they close, by count or by a quiet timer in event time.
+
+    Rows may come late by ``delay``; a window's timer waits as long.
+    """
     timed = arrivals.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return timed.select("owner", "episode_ref", "ts", F.unix_micros("ts").alias("micros")).groupBy("owner").transformWithStateInPandas(
         _Windows(quiet_seconds * 1_000_000, max_size, overlap),
