@@ -40,7 +40,8 @@ def request_lanes(t: Tables):
 
 
 def provider_hits(t: Tables):
-    return lanes(t).withColumns({"tenant_ref": F.lit("t0"), "agent_ref": F.lit("agent")})
+    conversation = F.split("session_ref", "-")[1].cast("bigint")
+    return lanes(t).withColumns({"tenant_ref": F.concat(F.lit("t"), F.floor(conversation / 100).cast("string")), "agent_ref": F.lit("agent")})
 
 
 def activations(t: Tables):
@@ -54,7 +55,7 @@ _OWN = "scope_kind, relationship_ref"
 _V = """v AS (SELECT tenant_ref, scope_kind, agent_ref, relationship_ref, version_ref, text, application_scope, status, created_order, 'recollection' AS kind FROM recollections
   UNION ALL SELECT tenant_ref, scope_kind, agent_ref, relationship_ref, version_ref, text, application_scope, status, created_order, 'disposition' FROM dispositions),
 bs AS (SELECT * FROM recollection_basis UNION ALL SELECT * FROM seed_basis),
-cat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, scope_kind, relationship_ref ORDER BY version_ref) AS owner_rank FROM v WHERE status = 'active') WHERE owner_rank <= 40),
+cat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind, tenant_ref, scope_kind, relationship_ref ORDER BY version_ref) AS owner_rank FROM v WHERE status = 'active') WHERE owner_rank <= 40),
 anc AS (SELECT DISTINCT v.scope_kind, v.relationship_ref, v.version_ref, v.kind, b.role AS basis_role, e.episode_ref, l.source_ref, s.text AS anchor_text
   FROM v JOIN bs b USING (version_ref) JOIN episodes e ON e.episode_ref = b.episode_ref AND e.scope_kind = v.scope_kind AND e.relationship_ref = v.relationship_ref
   JOIN links l ON l.episode_ref = e.episode_ref AND l.role = 'situation' JOIN sources s ON s.session_ref = l.session_ref AND s.source_ref = l.source_ref WHERE v.status = 'active')"""
@@ -101,12 +102,12 @@ def _(t: Tables):
 
 # the whole selection: lanes, bounded catalogue, index hits, paths, inhibition, quotas
 _SELECT = _V + "," + _LANES + f""",
-own AS (SELECT session_ref, run_ref, 'agent' AS scope_kind, '' AS relationship_ref, 1 AS owner_order FROM selects
-  UNION ALL SELECT session_ref, run_ref, 'relationship', relationship_ref, 0 FROM selects WHERE scope_kind = 'relationship'),
+own AS (SELECT tenant_ref, session_ref, run_ref, 'agent' AS scope_kind, '' AS relationship_ref, 1 AS owner_order FROM selects
+  UNION ALL SELECT tenant_ref, session_ref, run_ref, 'relationship', relationship_ref, 0 FROM selects WHERE scope_kind = 'relationship'),
 act AS (SELECT * FROM v WHERE status = 'active' AND text <> ''),
 sup AS (SELECT * FROM anc WHERE basis_role <> 'inhibition'),
 evd AS (SELECT version_ref, scope_kind, relationship_ref, min(row(episode_ref, source_ref, anchor_text)) AS e FROM sup GROUP BY ALL),
-want AS (SELECT o.session_ref, o.run_ref, c.scope_kind, c.relationship_ref, c.kind, c.version_ref FROM own o JOIN cat c USING ({_OWN})
+want AS (SELECT o.session_ref, o.run_ref, c.scope_kind, c.relationship_ref, c.kind, c.version_ref FROM own o JOIN cat c USING (tenant_ref, {_OWN})
   UNION SELECT session_ref, run_ref, scope_kind, relationship_ref, lower(kind), ref FROM lanes WHERE kind <> 'EPISODE'
   UNION SELECT h.session_ref, h.run_ref, v.scope_kind, v.relationship_ref, v.kind, v.version_ref FROM lanes h JOIN bs b ON b.episode_ref = h.ref
     JOIN v ON v.version_ref = b.version_ref AND v.scope_kind = h.scope_kind AND v.relationship_ref = h.relationship_ref WHERE h.kind = 'EPISODE'),
@@ -144,7 +145,7 @@ def _(t: Tables):
 
 
 @query("u02_union_candidates", sql_with(*_VIEWS, extra=_V + "," + _LANES) + f"""SELECT session_ref, run_ref, kind, version_ref, CAST(sum(m) AS BIGINT) AS matches FROM (
- SELECT o.session_ref, o.run_ref, c.kind, c.version_ref, 0 AS m FROM (SELECT session_ref, run_ref, 'agent' AS scope_kind, '' AS relationship_ref FROM selects UNION ALL SELECT session_ref, run_ref, scope_kind, relationship_ref FROM selects WHERE scope_kind = 'relationship') o JOIN cat c USING ({_OWN})
+ SELECT o.session_ref, o.run_ref, c.kind, c.version_ref, 0 AS m FROM (SELECT tenant_ref, session_ref, run_ref, 'agent' AS scope_kind, '' AS relationship_ref FROM selects UNION ALL SELECT tenant_ref, session_ref, run_ref, scope_kind, relationship_ref FROM selects WHERE scope_kind = 'relationship') o JOIN cat c USING (tenant_ref, {_OWN})
  UNION ALL SELECT h.session_ref, h.run_ref, v.kind, v.version_ref, 1 FROM lanes h JOIN v ON v.version_ref = h.ref AND v.scope_kind = h.scope_kind AND v.relationship_ref = h.relationship_ref AND v.status = 'active') GROUP BY ALL""")
 def _(t: Tables):
     canonical = request_lanes(t).join(catalogue(t), selection.OWNER).withColumn("matches", F.lit(0))

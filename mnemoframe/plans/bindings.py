@@ -244,8 +244,8 @@ SELECT q.tenant_ref, q.session_ref, q.run_ref, q.query_ref, q.query_index, CASE
     q.lane AS owner_index, q.scope_kind AS request_kind, q.relationship_ref AS request_relationship, q.agent_ref,
     CASE WHEN q.lane = 0 THEN 'agent' ELSE 'relationship' END AS scope_kind,
     CASE WHEN q.lane = 0 THEN '' ELSE q.relationship_ref END AS relationship_ref,
-    CASE WHEN q.lane = 0 THEN ((q.conv_id * 3 + q.query_index) % q.agent_homes) * 7 + 3 ELSE q.conv_id END AS home
-FROM (SELECT *, EACH(0, 1) AS lane, (SELECT greatest(1, CAST(floor((n + 3) / 7) AS BIGINT)) FROM {{homes}}) AS agent_homes FROM {{select_queries}}) q
+    CASE WHEN q.lane = 0 THEN q.block + (10 - q.block % 7) % 7 + ((q.conv_id * 3 + q.query_index) % 14) * 7 ELSE q.conv_id END AS home
+FROM (SELECT *, EACH(0, 1) AS lane, conv_id - conv_id % 100 AS block FROM {{select_queries}}) q
 WHERE q.lane = 0 OR q.scope_kind = 'relationship'""",
     "index_hits": """
 SELECT a.tenant_ref, a.session_ref, a.run_ref, a.query_ref, a.query_index, a.n_queries, a.owner_index, a.agent_ref, a.scope_kind, a.relationship_ref,
