@@ -182,7 +182,8 @@ def low_branches(rows: DataFrame, importance: float, min_pages: int) -> DataFram
     1 - entropy(p) / log m: one that stands in every page has 0, one that stands in a single page 1. A node's presentation is the
     entropy of its lists of children to the base m. Pages of equal main text count once, so copies are no evidence.
     """
-    once = rows.where("host != ''").mapInArrow(_branches, "host string, print long, node long, kind int, feature long, n long").groupBy("host", "node", "kind", "feature", "print").agg(F.max("n").alias("n"))
+    # numbers only; pages are parsed once for them
+    once = cut_lineage(rows.where("host != ''").mapInArrow(_branches, "host string, print long, node long, kind int, feature long, n long").groupBy("host", "node", "kind", "feature", "print").agg(F.max("n").alias("n")))
     features = once.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("spread"), F.count("*").alias("pages"))
     # every page that has the node has exactly one list of its children; leaves have none, their pages are those with a block
     nodes = once.select("host", "node", "print").distinct().groupBy("host", "node").agg(F.count("*").alias("m")).where(F.col("m") >= min_pages)
