@@ -1,5 +1,6 @@
 """Small literal cases and brute-force comparisons for rules that SQL does not state well."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import answers, text as tx
-from mnemoframe.operators import changes as ch, context, evalstats, evidence as ev, fusion, index_log, intake, lexical, selection, vector, windows
+from mnemoframe.operators import changes as ch, context, evalstats, evidence as ev, fusion, index_log, intake, lexical, sampling, selection, vector, windows
 from mnemoframe.plans import split
 from mnemoframe.sources import readers
 from mnemoframe.streaming import run, state
@@ -288,10 +289,66 @@ def test_reenactment_counts_once_per_run(spark):
     versions = spark.createDataFrame([("disposition", "s", "s@1", 1, "x", "relation", "active", *owner)],
                                      "kind string, root_ref string, version_ref string, version_number int, text string, application_scope string, status string, tenant_ref string, scope_kind string, agent_ref string, relationship_ref string")
     basis = spark.createDataFrame([("t", "s@1", "e0", "reenactment")], "tenant_ref string, version_ref string, episode_ref string, role string")
-    episodes = spark.createDataFrame([("e0", "s1", "r1"), ("e1", "s1", "r1"), ("e2", "s1", "r2"), ("e3", "s1", "r2")], "episode_ref string, session_ref string, run_ref string")
     outcomes = spark.createDataFrame([], "outcome_ref string")
-    got = ch.apply_changes(validated, win, versions, basis, episodes, outcomes)
-    assert rows(got["basis"].select("role", "ref")) == [("reenactment", "e2")] and got["versions"].count() == 0
+    place = "tenant_ref string, scope_kind string, agent_ref string, relationship_ref string, episode_ref string, session_ref string, run_ref string"
+    # a run of the same name under another relationship is another run
+    for other, expected in ((owner, ["e2"]), (("t", "relationship", "a", "r9"), ["e1", "e2"])):
+        episodes = spark.createDataFrame([(*other, "e0", "s1", "r1"), (*owner, "e1", "s1", "r1"), (*owner, "e2", "s1", "r2"), (*owner, "e3", "s1", "r2")], place)
+        got = ch.apply_changes(validated, win, versions, basis, episodes, outcomes)
+        assert rows(got["basis"].select("role", "ref")) == [("reenactment", e) for e in expected] and got["versions"].count() == 0
+
+
+def _requests(spark, *given):
+    """(key, arrival, source, text, role) of one group; an empty role binds nothing."""
+    scope = ("t", "relationship", "a", "r", "s")
+    made = [(*scope, source, "agent" if role == "agent_act" else "user", "a" if role == "agent_act" else "u", text, "", "", "run" if role else "", "group" if role else "", role, key, arrival) for key, arrival, source, text, role in given]
+    return spark.createDataFrame(made, "tenant_ref string, scope_kind string, agent_ref string, relationship_ref string, session_ref string, source_ref string, actor_kind string, actor_ref string, text string, constitution_ref string, constitution_text string, run_ref string, source_group_ref string, role string, idempotency_key string, arrival long")
+
+
+def test_refused_requests_leave_nothing_behind(spark):
+    got = intake.intake_job(_requests(
+        spark, ("k1", 1, "a", "x", "situation"), ("k2", 2, "b", "y", "agent_act"),
+        ("k3", 3, "c", "late", "situation"),  # sealed: its key and its source stay free
+        ("k3", 4, "c", "other", ""), ("k3", 5, "c", "other", ""), ("k3", 6, "c", "third", ""), ("k4", 7, "c", "late", ""),
+        ("k4", 8, "d", "late", ""), ("k5", 9, "b", "y", "agent_act"), ("k1", 10, "a", "x", "situation")))
+    found = {r["arrival"]: r["status"] for r in got.collect()}
+    assert found == {1: "accepted", 2: "accepted", 3: "sealed", 4: "accepted", 5: "replay", 6: "conflict", 7: "source_conflict", 8: "accepted", 9: "accepted", 10: "replay"}
+
+
+def test_a_chain_of_refusals_is_decided_to_its_end(spark):
+    """Each refusal frees the source that the next request needs."""
+    given = [("k0", 0, "s0", "x", "")]
+    for i in range(6):
+        given += [(f"k{i}", 3 * i + 1, f"s{i + 1}", f"wrong{i}", ""), (f"m{i}", 3 * i + 2, f"s{i + 1}", "x", "")]
+        given += [(f"k{i + 1}", 3 * i + 3, f"s{i + 1}", "never", "")]
+    got = {r["arrival"]: r["status"] for r in intake.intake_job(_requests(spark, *given)).collect()}
+
+    keys, sources, expected = {}, {}, {}
+    for key, arrival, source, text, _ in sorted(given, key=lambda g: g[1]):
+        if key in keys:
+            expected[arrival] = "replay" if keys[key] == (source, text) else "conflict"
+        elif sources.get(source, text) != text:
+            expected[arrival] = "source_conflict"
+        else:
+            keys[key], sources[source], expected[arrival] = (source, text), text, "accepted"
+    assert got == expected and "source_conflict" in expected.values()
+
+
+def test_equal_arrivals_have_one_first(spark):
+    df = spark.createDataFrame([("t", "k", 1, "h2"), ("t", "k", 1, "h1"), ("t", "k", 2, "h1")], "tenant_ref string, idempotency_key string, arrival long, request_hash string")
+    got = {(r["arrival"], r["request_hash"]): r["status"] for r in intake.first_accept(df, ["tenant_ref", "idempotency_key"], "request_hash").collect()}
+    assert got == {(1, "h1"): "new", (1, "h2"): "conflict", (2, "h1"): "replay"}
+
+
+def test_exposed_personas_leave_the_holdout_its_size(spark):
+    people = spark.createDataFrame([(f"p{i}",) for i in range(30)], "persona_id string")
+    got = sampling.persona_split(people, people.filter("persona_id < 'p2'"), "salt", 5, 8)
+    count = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    assert count == {"dev": 12, "H1": 8, "H2": 10}
+
+
+def test_poisson_weights_have_no_last_value():
+    assert evalstats.POISSON_1[-1] == 1.0 and abs(evalstats.POISSON_1[0] - math.exp(-1)) < 1e-15
 
 
 def test_snippet_chains(spark):
