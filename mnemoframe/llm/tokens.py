@@ -25,8 +25,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ž"
 _PLAIN = re.compile(f"[!-;=-~{_LETTERS}]+")
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 #: Words, and parts of words, whose ids a worker keeps at once.
-CACHED_WORDS = 500_000
-CACHED_PARTS = 300_000
+CACHED_WORDS = 300_000
+CACHED_PARTS = 200_000
 END = 1
 
 
