@@ -90,10 +90,22 @@ def _(t: Tables):
     return ev.adaptation_basis(basis_rows(t), members(t), ev.episode_flags(rows(t)))
 
 
-@query("p08_size_guard", _E + "SELECT window_ref, CAST(sum(octet_length(encode(text)) + octet_length(encode(er.source_ref)) + octet_length(encode(er.episode_ref))) AS BIGINT) AS bytes, sum(octet_length(encode(text)) + octet_length(encode(er.source_ref)) + octet_length(encode(er.episode_ref))) > 4000 AS noop FROM asm JOIN er USING (episode_ref) GROUP BY 1")
+# what is sent with a window but its text: job, basis, episodes, their sources, outcomes; the limit lies among the windows' sizes
+_SENT = """sent AS (SELECT DISTINCT window_ref, octet_length(encode(window_ref)) AS b, 'job' AS what, '' AS x FROM asm
+ UNION ALL SELECT window_ref, octet_length(encode(episode_ref)), 'basis', episode_ref FROM asm WHERE origin <> 'revision_anchor'
+ UNION ALL SELECT DISTINCT window_ref, octet_length(encode(episode_ref)) + octet_length(encode(session_ref)) + octet_length(encode(origin)), 'episode', episode_ref FROM asm JOIN er USING (episode_ref)
+ UNION ALL SELECT window_ref, octet_length(encode(source_ref)) + octet_length(encode(role)) + octet_length(encode(actor_kind)) + octet_length(encode(actor_ref)) + octet_length(encode(text)), 'source', episode_ref FROM asm JOIN er USING (episode_ref) WHERE role <> 'outcome'
+ UNION ALL SELECT o.window_ref, octet_length(encode(o.outcome_ref)) + octet_length(encode(o.episode_ref)) + octet_length(encode(o.actor_kind)) + octet_length(encode(o.actor_ref)) + octet_length(encode(o.text)), 'outcome', o.outcome_ref FROM window_outcomes o JOIN asm USING (window_ref, episode_ref))"""
+
+
+@query("p08_size_guard", sql_with(*_EV, extra=_ROWS + "," + _SENT) + "SELECT window_ref, CAST(sum(b) AS BIGINT) AS bytes, sum(b) > 9000 AS noop FROM sent GROUP BY 1")
 def _(t: Tables):
-    joined = ev.assemble(members(t)).join(rows(t), "episode_ref")
-    return ev.size_guard(joined, "window_ref", [F.octet_length(c) for c in ("text", "source_ref", "episode_ref")], 4000)
+    m, r = ev.assemble(members(t)), rows(t)
+    sent = m.join(r.select("episode_ref", "session_ref").distinct(), "episode_ref")
+    return ev.size_guard([
+        (m.select("window_ref").distinct().withColumn("job_ref", F.col("window_ref")), ["job_ref"]), (m.filter("origin <> 'revision_anchor'"), ["episode_ref"]),
+        (sent, ["episode_ref", "session_ref", "origin"]), (m.join(r, "episode_ref").filter("role <> 'outcome'"), ["source_ref", "role", "actor_kind", "actor_ref", "text"]),
+        (t("window_outcomes").join(m.select("window_ref", "episode_ref"), ["window_ref", "episode_ref"], "left_semi"), ["outcome_ref", "episode_ref", "actor_kind", "actor_ref", "text"])], limit=9000)
 
 
 _PAIRS = """ok AS (SELECT episode_ref, session_ref FROM fl WHERE formation_roles AND other_situation),
@@ -173,7 +185,8 @@ def _(t: Tables):
 
 def evidence(t: Tables):
     r = rows(t)
-    shortlist = shortlists(t).select(F.concat(F.lit("win-"), F.split("session_ref", "-")[1]).alias("window_ref"), "version_ref")
+    shortlist = shortlists(t).select(F.concat(F.lit("win-"), F.split("session_ref", "-")[1]).alias("window_ref"), "version_ref").join(
+        t("recollections").select("version_ref", "application_scope", "text"), "version_ref")
     return ev.window_evidence(members(t), r, ev.episode_flags(r), t("window_outcomes"), shortlist)
 
 

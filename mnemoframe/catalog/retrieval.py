@@ -123,33 +123,55 @@ def _(t: Tables):
     return t("dispositions").select("version_ref", tx.application_scope("scope_kind").alias("application"))
 
 
-OWN = ["scope_kind", "relationship_ref"]
-_CAT = """cat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope_kind, relationship_ref ORDER BY version_ref) AS owner_rank FROM recollections WHERE status = 'active') WHERE owner_rank <= 40)"""
+OWN = ["tenant_ref", "scope_kind", "relationship_ref"]
+_CAT = """cat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_ref, scope_kind, relationship_ref ORDER BY version_ref) AS owner_rank FROM recollections WHERE status = 'active') WHERE owner_rank <= 40)"""
 
 
 @query("t01_lexical_score", sql_with("messages", "recollections", extra=_CAT + f""",
-q AS (SELECT scope_kind, relationship_ref, source_ref, {terms('text')} AS a FROM messages WHERE role = 'user'),
-c AS (SELECT scope_kind, relationship_ref, version_ref, {terms('text')} AS b FROM cat)""") + f"SELECT source_ref, version_ref, {dice('a', 'b')} AS score FROM q JOIN c USING (scope_kind, relationship_ref)")
+q AS (SELECT tenant_ref, scope_kind, relationship_ref, source_ref, {terms('text')} AS a FROM messages WHERE role = 'user'),
+c AS (SELECT tenant_ref, scope_kind, relationship_ref, version_ref, {terms('text')} AS b FROM cat)""") + f"SELECT * FROM (SELECT source_ref, version_ref, {dice('a', 'b')} AS score FROM q JOIN c USING (tenant_ref, scope_kind, relationship_ref)) WHERE score > 0")
 def _(t: Tables):
     from ..operators.selection import bounded_catalogue
 
-    q = t("messages").filter("role = 'user'").select(*OWN, "source_ref", lexical.features("text").alias("qf"))
-    c = bounded_catalogue(t("recollections")).select(*OWN, "version_ref", lexical.features("text").alias("cf"))
-    return q.join(c, OWN).select("source_ref", "version_ref", lexical.score(F.col("qf"), F.col("cf")).alias("score"))
+    q = t("messages").filter("role = 'user'").select(*OWN, "source_ref", lexical.features("text").alias("features"))
+    c = bounded_catalogue(t("recollections")).select(*OWN, "version_ref", lexical.features("text").alias("features"))
+    return lexical.positive_scores(q, c, OWN, "source_ref", "version_ref").select("source_ref", "version_ref", "score")
 
 
 _GR = r"list_distinct(list_transform(range(1, length({s}) - 1), lambda i: substr({s}, i, 3)))"
 _AN = r"lower(regexp_replace({}, '[^\p{L}\p{N}]', '', 'g'))"
 
 
-@query("t02_ngram_rag", sql_with("turns", extra=f"""h AS (SELECT relationship_ref, scope_kind, run_ref, {_GR.replace('{s}', 's')} AS g, s FROM (SELECT *, {_AN.replace('{}', "concat(user_text, ' ', agent_text)")} AS s FROM turns)),
-q AS (SELECT relationship_ref, scope_kind, run_ref AS query_ref, {_GR.replace('{s}', 's')} AS a FROM (SELECT *, {_AN.replace('{}', 'user_text')} AS s FROM turns)),
-sc AS (SELECT query_ref, run_ref, len(list_intersect(a, g)) AS c, len(a) + len(g) AS n FROM q JOIN h USING (relationship_ref, scope_kind))""") + """
-SELECT query_ref, run_ref, score, rank FROM (SELECT *, c / (n - c) AS score, row_number() OVER (PARTITION BY query_ref ORDER BY c / (n - c) DESC, run_ref) AS rank FROM sc WHERE c > 0) WHERE rank <= 3""")
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_T02 = sql_with("turns", "replies", extra=f"""th AS (SELECT t.*, r.reply_text FROM turns t LEFT JOIN replies r ON r.run_ref = t.run_ref AND r.session_ref = t.session_ref),
+h AS (SELECT tenant_ref, relationship_ref, scope_kind, run_ref, arrival, {_GR.replace('{s}', 's')} AS g, s FROM (SELECT *, {_AN.replace('{}', "concat(user_text, ' ', agent_text, ' ', coalesce(reply_text, ''))")} AS s FROM th)),
+q AS (SELECT tenant_ref, relationship_ref, scope_kind, run_ref AS query_ref, arrival AS now, {_GR.replace('{s}', 's')} AS a FROM (SELECT *, {_AN.replace('{}', 'user_text')} AS s FROM turns)),
+sc AS (SELECT query_ref, run_ref, arrival, len(list_intersect(a, g)) AS c, len(a) + len(g) AS n FROM q JOIN h USING (tenant_ref, relationship_ref, scope_kind) WHERE arrival < now),
+top AS (SELECT query_ref, run_ref, score, rank FROM (SELECT *, c / (n - c) AS score, row_number() OVER (PARTITION BY query_ref ORDER BY c / (n - c) DESC, arrival, run_ref) AS rank FROM sc WHERE c > 0) WHERE rank <= 3)""")
+
+
+def told(t: Tables):
+    """Turns with the message that answers them."""
+    answer = t("replies").select("session_ref", "run_ref", F.col("reply_text").alias("outcome_text"))
+    return t("turns").join(answer, ["session_ref", "run_ref"], "left")
+
+
+def earlier_turns(t: Tables, turns):
+    text = F.concat_ws("\n", "user_text", "agent_text", "outcome_text")
+    q = t("turns").select(*OWN, F.col("run_ref").alias("query_ref"), F.col("user_text").alias("text"), "arrival")
+    return lexical.ngram_neighbours(q, turns.select(*OWN, "run_ref", text.alias("text"), "arrival"), OWN, "query_ref", "run_ref", place="arrival")
+
+
+@query("t02_ngram_rag", _T02 + "SELECT query_ref, run_ref, score, rank FROM top")
+def _(t: Tables):
+    return earlier_turns(t, told(t)).select("query_ref", "run_ref", "score", "rank")
+
+
+@query("t02_render", _T02 + f"""SELECT query_ref, 'EPISODES' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY rank) AS text FROM (SELECT query_ref, rank, concat('SITUATION: ', {_TRIM.replace('{}', 'user_text')}, chr(10), 'AGENT_ACT: ', {_TRIM.replace('{}', 'agent_text')},
+ CASE WHEN {_TRIM.replace('{}', "coalesce(reply_text, '')")} <> '' THEN concat(chr(10), 'OUTCOME: ', {_TRIM.replace('{}', 'reply_text')}) ELSE '' END) AS block FROM top JOIN th USING (run_ref)) GROUP BY 1""")
 def _(t: Tables):
-    h = t("turns").select(*OWN, "run_ref", F.concat("user_text", F.lit(" "), "agent_text").alias("text"))
-    q = t("turns").select(*OWN, F.col("run_ref").alias("query_ref"), F.col("user_text").alias("text"))
-    return lexical.ngram_neighbours(q, h, OWN, "query_ref", "run_ref").select("query_ref", "run_ref", "score", "rank")
+    turns = told(t)
+    return lexical.render_neighbours(earlier_turns(t, turns), turns, OWN, "query_ref", "run_ref").select("query_ref", "text")
 
 
 _CH = """ch AS (SELECT vec_id, CAST(floor(vec_id / 3) AS BIGINT) AS ref, CAST(floor(vec_id / 3) AS BIGINT) % 4 AS owner, CAST(floor(vec_id / 3) AS BIGINT) % 3 AS kind,
@@ -251,9 +273,9 @@ def _(t: Tables):
     return fusion.fuse_ranks(rankings, ["session_ref", "run_ref"], 2, 12).select("session_ref", "run_ref", "ref", "rank")
 
 
-_T07 = f"""wq AS (SELECT scope_kind, relationship_ref, session_ref, {terms("string_agg(trim(text), chr(10) ORDER BY turn)")} AS a FROM messages WHERE role = 'user' GROUP BY 1, 2, 3),
-ac AS (SELECT scope_kind, relationship_ref, version_ref, created_order, {terms('text')} AS b FROM recollections WHERE status = 'active'),
-sc AS (SELECT session_ref, version_ref, row_number() OVER (PARTITION BY session_ref ORDER BY {dice('a', 'b')} DESC, created_order DESC, version_ref) AS r FROM wq JOIN ac USING (scope_kind, relationship_ref))"""
+_T07 = f"""wq AS (SELECT tenant_ref, scope_kind, relationship_ref, session_ref, {terms("string_agg(trim(text), chr(10) ORDER BY turn)")} AS a FROM messages WHERE role = 'user' GROUP BY 1, 2, 3, 4),
+ac AS (SELECT tenant_ref, scope_kind, relationship_ref, version_ref, created_order, {terms('text')} AS b FROM recollections WHERE status = 'active'),
+sc AS (SELECT session_ref, version_ref, row_number() OVER (PARTITION BY session_ref ORDER BY {dice('a', 'b')} DESC, created_order DESC, version_ref) AS r FROM wq JOIN ac USING (tenant_ref, scope_kind, relationship_ref))"""
 
 
 def shortlists(t: Tables, n: int = 64):
@@ -266,7 +288,7 @@ def shortlists(t: Tables, n: int = 64):
 
 
 @query("t07_bounded_targets", sql_with("messages", "recollections", "index_hits", extra=_T07) + """SELECT session_ref, version_ref FROM sc WHERE r <= 16
-UNION SELECT h.session_ref, h.ref FROM index_hits h JOIN ac ON ac.scope_kind = h.scope_kind AND ac.relationship_ref = h.relationship_ref AND ac.version_ref = h.ref WHERE h.kind = 'RECOLLECTION'""")
+UNION SELECT h.session_ref, h.ref FROM index_hits h JOIN ac ON ac.tenant_ref = h.tenant_ref AND ac.scope_kind = h.scope_kind AND ac.relationship_ref = h.relationship_ref AND ac.version_ref = h.ref WHERE h.kind = 'RECOLLECTION'""")
 def _(t: Tables):
     return shortlists(t, 16).select("session_ref", "version_ref")
 

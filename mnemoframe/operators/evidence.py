@@ -180,13 +180,22 @@ def window_evidence(members: DataFrame, sources: DataFrame, flags: DataFrame, ou
                     limit: int = MAX_WINDOW_BYTES) -> DataFrame:
     """One row per window: text, allowed targets and basis, counts, and ``noop`` if it must not be processed.
 
-    ``shortlist``: window_ref, version_ref (bounded). Sizes are summed from byte lengths first; only windows
-    within the limit have their texts gathered, so no oversized window ever meets in one task.
+    ``shortlist``: window_ref, version_ref (bounded), application_scope, text. ``request_bytes`` is the size of everything
+    that would be sent (see ``size_guard``). It is summed from byte lengths without the window's text first; only windows
+    whose other parts fit have their texts gathered, so no oversized window ever meets in one task.
     """
     m = assemble(members)
     rows = m.join(sources, "episode_ref").filter("role IN ('situation', 'agent_act')")
     size = rows.groupBy("window_ref").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    fits = size.filter(F.col("bytes") <= limit).select("window_ref")
+    sent = m.join(sources.select("episode_ref", "session_ref").distinct(), "episode_ref")
+    kept = outcomes.join(m.select("window_ref", "episode_ref"), ["window_ref", "episode_ref"], "left_semi")
+    parts = size_guard([
+        (m.select("window_ref").distinct().withColumn("job_ref", F.col("window_ref")), ["job_ref"]),
+        (sent.filter("origin <> 'revision_anchor'"), ["episode_ref"]), (sent, ["episode_ref", "session_ref", "origin"]),
+        (rows, ["source_ref", "role", "actor_kind", "actor_ref", "text"]), (kept, ["outcome_ref", "episode_ref", "actor_kind", "actor_ref", "text"]),
+        (shortlist, ["version_ref", "version_ref", "application_scope", "text"])], limit=limit)
+    fits = parts.filter("NOT noop").select("window_ref")
+    parts = parts.select("window_ref", F.col("bytes").alias("__parts"))
     src = F.struct("role", "source_ref", "actor_kind", "actor_ref", "text")
     per_episode = rows.join(fits, "window_ref", "left_semi").filter("origin <> 'revision_anchor'").groupBy(
         "window_ref", "episode_ref", "origin", "position", "session_ref").agg(F.collect_list(src).alias("s"))
@@ -213,24 +222,34 @@ def window_evidence(members: DataFrame, sources: DataFrame, flags: DataFrame, ou
     text = F.concat(render_constitution(F.coalesce("constitution_ref", F.lit("")), F.coalesce("constitution_text", F.lit(""))), part("current"),
                     F.when(related != "", F.concat(F.lit("\nRELATED_EPISODES\n"), related)).otherwise(""))
     full = (
-        counts.join(size, "window_ref", "left").join(can, "window_ref").join(n_out, "window_ref", "left")
+        counts.join(size, "window_ref", "left").join(parts, "window_ref").join(can, "window_ref").join(n_out, "window_ref", "left")
         .join(memories, "window_ref", "left").join(const, "window_ref", "left").join(blocks, "window_ref", "left"))
     targets = F.concat(
         F.when(F.col("current") > 0, F.array(F.lit("NEW_RECOLLECTION"))).otherwise(none),
         F.when(F.col("formation_possible") | (F.col("direct") > 0), F.array(F.lit("NEW_DISPOSITION"))).otherwise(none),
         F.coalesce("memory_refs", none))
     collides = F.coalesce(F.array_contains(targets, F.col("constitution_ref")), F.lit(False))
+    made = F.filter(targets, lambda x: x.startswith("NEW_"))
+    request = F.col("__parts") + F.coalesce(F.octet_length(text), F.lit(0)) + F.octet_length(F.array_join(made, ""))
     return full.select(
         "window_ref", "current", "related", "anchors", "direct", "formation_possible",
-        F.coalesce("outcomes", F.lit(0)).alias("outcomes"), targets.alias("targets"), "bytes",
-        ((F.coalesce("bytes", F.lit(0)) > limit) | collides).alias("noop"),
-        F.when(F.col("bytes") <= limit, text).alias("window_text"))
+        F.coalesce("outcomes", F.lit(0)).alias("outcomes"), targets.alias("targets"), "bytes", request.alias("request_bytes"),
+        ((request > limit) | collides).alias("noop"), F.when(request <= limit, text).alias("window_text"))
 
 
-def size_guard(rows: DataFrame, key: str, sizes: Sequence[Column], limit: int = MAX_WINDOW_BYTES) -> DataFrame:
-    """Summed byte lengths per window and whether it must become a no-op."""
-    total = sum(sizes[1:], sizes[0])
-    return rows.groupBy(key).agg(F.sum(total).alias("bytes")).withColumn("noop", F.col("bytes") > limit)
+def size_guard(parts: Sequence[tuple[DataFrame, Sequence[str]]], key: str = "window_ref", limit: int = MAX_WINDOW_BYTES) -> DataFrame:
+    """Bytes of the strings of a worker request per window, and whether the window must become a no-op.
+
+    Each part is a table of rows that are sent with a window and the columns that count; a column may be named twice.
+    """
+    def one(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        lengths = [F.coalesce(F.octet_length(c), F.lit(0)) for c in columns if c in df.columns]
+        return df.select(key, sum(lengths[1:], lengths[0]).cast("long").alias("bytes"))
+
+    rows = one(*parts[0])
+    for part in parts[1:]:
+        rows = rows.unionByName(one(*part))
+    return rows.groupBy(key).agg(F.sum("bytes").alias("bytes")).withColumn("noop", F.col("bytes") > limit)
 
 
 def snippet_alignment(snippets: DataFrame, turns: DataFrame) -> DataFrame:

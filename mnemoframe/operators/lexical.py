@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import alnum_grams, bigram_bag, is_latin, let, squeezed, topic_terms
+from ..functions.text import alnum_grams, bigram_bag, is_latin, let, squeezed, topic_terms, trimmed
 from ..plans.session import cut_lineage
 from ..plans.split import top_n
 
@@ -87,18 +87,34 @@ def positive_scores(queries: DataFrame, texts: DataFrame, keys: Sequence[str], q
 
 
 def ngram_neighbours(queries: DataFrame, history: DataFrame, keys: Sequence[str], query: str, item: str,
-                     k: int = 3, n: int = 3) -> DataFrame:
-    """Top ``k`` history items per query by Jaccard over letter/digit n-gram sets; zero scores never appear."""
+                     k: int = 3, n: int = 3, place: str | None = None) -> DataFrame:
+    """Top ``k`` history items per query by Jaccard over letter/digit n-gram sets; zero scores never appear.
+
+    With ``place``, a column of both, only items before the query's place count and equal scores go by place.
+    """
     keys = list(keys)
+    at = [place] if place else []
 
-    def postings(df: DataFrame, name: str, size: str) -> DataFrame:
+    def postings(df: DataFrame, name: str, size: str, at: str) -> DataFrame:
         return df.withColumn("__g", alnum_grams("text", n)).select(
-            *keys, name, F.size("__g").alias(size), F.explode("__g").alias("gram"))
+            *keys, name, F.size("__g").alias(size), *([F.col(place).alias(at)] if place else []), F.explode("__g").alias("gram"))
 
-    pairs = postings(queries, query, "nq").join(postings(history, item, "nt"), [*keys, "gram"]).groupBy(
-        *keys, query, item).agg(F.count(F.lit(1)).alias("c"), F.max("nq").alias("nq"), F.max("nt").alias("nt"))
+    pairs = postings(queries, query, "nq", "__now").join(postings(history, item, "nt", "__at"), [*keys, "gram"])
+    if place:
+        pairs = pairs.filter("__at < __now")
+    pairs = pairs.groupBy(*keys, query, item).agg(F.count(F.lit(1)).alias("c"), F.max("nq").alias("nq"), F.max("nt").alias("nt"), *[F.max("__at").alias(c) for c in at])
     scored = pairs.withColumn("score", F.col("c") / (F.col("nq") + F.col("nt") - F.col("c")))
-    return top_n(scored.select(*keys, query, item, "score"), [*keys, query], [F.col("score").desc(), item], k)
+    return top_n(scored.select(*keys, query, item, "score", *at), [*keys, query], [F.col("score").desc(), *at, item], k)
+
+
+def render_neighbours(top: DataFrame, turns: DataFrame, keys: Sequence[str], query: str, item: str) -> DataFrame:
+    """(query, text): the turns found for a query (at most k), in order; ``turns`` has user_text, agent_text, outcome_text (NULL: none)."""
+    part = lambda name, c: F.concat(F.lit(f"{name}: "), trimmed(c))
+    outcome = F.when(trimmed(F.coalesce("outcome_text", F.lit(""))) != "", F.concat(F.lit("\n"), part("OUTCOME", "outcome_text"))).otherwise("")
+    block = F.concat(part("SITUATION", "user_text"), F.lit("\n"), part("AGENT_ACT", "agent_text"), outcome)
+    found = top.select(*keys, query, item, "rank").join(turns.select(*keys, item, block.alias("block")), [*keys, item])
+    listed = found.groupBy(*keys, query).agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
+    return listed.select(*keys, query, F.concat(F.lit("EPISODES\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")).alias("text"))
 
 
 def bounded_targets(windows: DataFrame, active: DataFrame, keys: Sequence[str], window: str,

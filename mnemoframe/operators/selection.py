@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -132,9 +132,13 @@ def rank_and_quota(best: DataFrame, keys: Sequence[str], per_kind: int = PER_KIN
 
 
 def select_memories(queries: DataFrame, lanes: DataFrame, catalogue: DataFrame, anchors: DataFrame,
-                    basis: DataFrame, hits: DataFrame, active: DataFrame, keys: Sequence[str]) -> DataFrame:
+                    basis: DataFrame, hits: DataFrame, active: DataFrame, keys: Sequence[str],
+                    ranker: Callable[[Column, Column], Column] = score) -> DataFrame:
     """Ranked activations of every request.
 
+    ``ranker`` scores the ``features`` of a query and a candidate text (0 to 1); another one than the default cannot use the
+    bound on term codes, so all pairs of a request and its bounded candidates are scored.
+
     ``queries``: keys, query_ref, text. ``lanes``: from ``visible_owners``. ``catalogue``/``active``: versions
     with kind, text. ``anchors``: from ``memory_anchors`` for dispositions and recollections. ``hits``: keys,
     owner columns, query_ref, lane_order, rank, kind, ref. A request meets at most the bounded catalogue of
@@ -175,13 +179,14 @@ def select_memories(queries: DataFrame, lanes: DataFrame, catalogue: DataFrame,
     # first pass on codes alone: most pairs cannot reach the minimum, and codes are all they need to show it
     asked_codes = asked.select(*keys, "query_ref", F.struct("qf.codes").alias("qc"))
     text_codes = texts.select(*OWNER, "kind", "version_ref", F.struct("mf.codes").alias("mc"))
+    reach = may_reach if ranker is score else lambda a, b, least: F.lit(True)
     near = candidates.drop("e").join(asked_codes, keys).join(text_codes, [*OWNER, "kind", "version_ref"]).filter(
-        may_reach(F.col("qc"), F.col("mc"), MINIMUM_SCORE)).select(*who, "query_ref")
+        reach(F.col("qc"), F.col("mc"), MINIMUM_SCORE)).select(*who, "query_ref")
     matched = candidates.drop("e").join(direct_hits, who).select(*who, "query_ref", "index_rank", "lane_order")
     to_score = near.withColumns({"index_rank": none, "lane_order": none, "indexed": F.lit(False)}).unionByName(
         matched.withColumn("indexed", F.lit(True)))
     direct = to_score.join(asked, [*keys, "query_ref"]).join(texts, [*OWNER, "kind", "version_ref"]).select(
-        *who, "query_ref", "index_rank", "lane_order", "indexed", clamp(score(F.col("qf"), F.col("mf"))).alias("score"))
+        *who, "query_ref", "index_rank", "lane_order", "indexed", clamp(ranker(F.col("qf"), F.col("mf"))).alias("score"))
     # without an index match a path below the minimum can neither win nor be selected
     direct = direct.filter(F.col("indexed") | (F.col("score") >= MINIMUM_SCORE)).join(
         evidence, [*OWNER, "version_ref"]).select(
@@ -195,7 +200,7 @@ def select_memories(queries: DataFrame, lanes: DataFrame, catalogue: DataFrame,
         [*OWNER, "version_ref", "episode_ref", "source_ref"])
     anchor_codes = support.select(*OWNER, "version_ref", "episode_ref", "source_ref", F.struct("af.codes").alias("ac"))
     near_anchor = seeds.join(asked_codes, keys).join(anchor_codes, [*OWNER, "version_ref"]).filter(
-        may_reach(F.col("qc"), F.col("ac"), MINIMUM_SCORE)).select(*who, "query_ref", "episode_ref", "source_ref")
+        reach(F.col("qc"), F.col("ac"), MINIMUM_SCORE)).select(*who, "query_ref", "episode_ref", "source_ref")
     # an indexed episode speaks through its first live anchor
     first_anchor = support.groupBy(*OWNER, "version_ref", "episode_ref").agg(F.min("source_ref").alias("source_ref"))
     spoken = episode_hits.join(first_anchor, [*OWNER, "episode_ref"]).join(seeds, [*keys, *OWNER, "version_ref"]).select(
@@ -203,13 +208,13 @@ def select_memories(queries: DataFrame, lanes: DataFrame, catalogue: DataFrame,
     anchored = near_anchor.withColumns({"index_rank": none, "lane_order": none, "indexed": F.lit(False)}).unionByName(
         spoken.withColumn("indexed", F.lit(True))).join(asked, [*keys, "query_ref"]).join(
         support, [*OWNER, "version_ref", "episode_ref", "source_ref"]).withColumn(
-        "score", clamp(score(F.col("qf"), F.col("af")))).filter(F.col("indexed") | (F.col("score") >= MINIMUM_SCORE)).select(
+        "score", clamp(ranker(F.col("qf"), F.col("af")))).filter(F.col("indexed") | (F.col("score") >= MINIMUM_SCORE)).select(
         *keys, "kind", "version_ref", "query_ref", "score",
         F.when(F.col("indexed"), F.col("episode_ref")).otherwise(F.col("source_ref")).alias("matched_ref"),
         F.col("episode_ref").alias("evidence_episode"), F.col("source_ref").alias("evidence_source"),
         "index_rank", "lane_order", "indexed", F.lit(False).alias("direct"))
     inhibition = seeds.join(own_anchor.filter("basis_role = 'inhibition'"), [*OWNER, "version_ref"]).join(asked, keys).groupBy(
-        *keys, "kind", "version_ref").agg(F.max(clamp(score(F.col("qf"), F.col("af")))).alias("inhibition"))
+        *keys, "kind", "version_ref").agg(F.max(clamp(ranker(F.col("qf"), F.col("af")))).alias("inhibition"))
     paths = direct.unionByName(anchored)
     scope = candidates.select(*keys, *OWNER, "kind", "version_ref").join(lane_of, [*keys, *OWNER]).join(
         reenactment_count(basis), ["tenant_ref", "version_ref"], "left").select(
@@ -223,12 +228,12 @@ def select_memories(queries: DataFrame, lanes: DataFrame, catalogue: DataFrame,
 def bounded_evidence(items: Column, max_bytes: Column, max_items: int = EVIDENCE_ENTRIES) -> Column:
     """Keep whole texts in order while they fit; skip what does not fit and stop at ``max_items``.
 
-    ``items`` is a short ordered array of structs with ``ref`` and ``text``.
+    ``items`` is a short ordered array of structs with ``ref`` and ``bytes``.
     """
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
 
     def step(acc: Column, item: Column) -> Column:
-        size = F.octet_length(item["text"])
+        size = item["bytes"]
         fits = (F.size(acc["kept"]) < max_items) & (size <= max_bytes - acc["used"])
         return F.when(fits, F.struct((acc["used"] + size).alias("used"),
                                      F.array_append(acc["kept"], item["ref"]).alias("kept"))).otherwise(acc)
@@ -259,15 +264,19 @@ def episode_evidence(requests: DataFrame, hits: DataFrame, episodes: DataFrame,
         F.collect_list(F.struct("role", "source_ref", "actor_kind", "text")).alias("s")).select(
         *OWNER, F.struct(*SCOPE).alias("__at"), "episode_ref", render_episode(F.col("s")).alias("text"),
         F.transform("s", lambda s: s["source_ref"]).alias("inside"))
-    joined = wanted.join(budget, keys).join(rendered, [*OWNER, "episode_ref"])
+    # requests meet lengths; texts join the few that are kept
+    rendered = cut_lineage(rendered.withColumn("bytes", F.octet_length("text")))
+    joined = wanted.join(budget, keys).join(rendered.drop("text"), [*OWNER, "episode_ref"])
     current = (F.col("__scope") == F.col("__at")) & F.arrays_overlap("inside", "situation_refs")
-    offered = joined.filter(~current & (F.octet_length("text") <= F.col("evidence_bytes"))).groupBy(*keys).agg(
+    offered = joined.filter(~current & (F.col("bytes") <= F.col("evidence_bytes"))).groupBy(*keys).agg(
         F.max("evidence_bytes").alias("evidence_bytes"),
-        F.array_sort(F.collect_list(F.struct("at", F.col("episode_ref").alias("ref"), "text"))).alias("items"))
+        F.array_sort(F.collect_list(F.struct("at", F.col("episode_ref").alias("ref"), "bytes", F.struct(*OWNER, "__at").alias("own")))).alias("items"))
     kept = offered.select(*keys, "items", bounded_evidence(F.col("items"), F.col("evidence_bytes")).alias("kept"))
-    return kept.select(*keys, F.posexplode("kept").alias("evidence_order", "episode_ref"), "items").select(
-        *keys, "evidence_order", "episode_ref",
-        F.filter("items", lambda i: i["ref"] == F.col("episode_ref"))[0]["text"].alias("text"))
+    chosen = kept.select(*keys, F.posexplode("kept").alias("evidence_order", "episode_ref"), "items").select(
+        *keys, "evidence_order", "episode_ref", F.filter("items", lambda i: i["ref"] == F.col("episode_ref"))[0]["own"].alias("own"))
+    place = [F.col(f"own.{c}").alias(c) for c in (*OWNER, "__at") if c not in keys]
+    return chosen.select(*keys, "evidence_order", "episode_ref", *place).join(
+        rendered.select(*OWNER, "__at", "episode_ref", "text"), [*OWNER, "__at", "episode_ref"]).select(*keys, "evidence_order", "episode_ref", "text")
 
 
 def context_texts(items: DataFrame, recollections: DataFrame, dispositions: DataFrame) -> DataFrame:

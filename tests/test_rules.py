@@ -213,7 +213,7 @@ def test_zero_inhibition_beats_a_zero_indexed_path(spark):
 
 
 def test_evidence_skips_what_does_not_fit_and_stops_at_the_cap(spark):
-    df = spark.createDataFrame([([("a", "xxxx"), ("b", "é" * 9), ("c", "xx"), ("d", "x"), ("e", "xxxxxx")], 7)], "i array<struct<ref:string,text:string>>, m int")
+    df = spark.createDataFrame([([("a", "xxxx"), ("b", "é" * 9), ("c", "xx"), ("d", "x"), ("e", "xxxxxx")], 7)], "i array<struct<ref:string,text:string>>, m int").withColumn("i", F.expr("transform(i, x -> struct(x.ref as ref, octet_length(x.text) as bytes))"))
     assert df.select(selection.bounded_evidence(F.col("i"), F.col("m"))).first()[0] == ["a", "c", "d"]
     assert df.select(selection.bounded_evidence(F.col("i"), F.col("m"), 2)).first()[0] == ["a", "c"]
 
@@ -347,6 +347,14 @@ def test_exposed_personas_leave_the_holdout_its_size(spark):
     assert count == {"dev": 12, "H1": 8, "H2": 10}
 
 
+def test_size_guard_counts_every_string_and_its_limit_is_allowed(spark):
+    heads = spark.createDataFrame([("w1", "job"), ("w2", "j")], "window_ref string, job_ref string")
+    texts = spark.createDataFrame([("w1", "é", "ab"), ("w1", None, "c"), ("w2", "xyz", "abc")], "window_ref string, text string, ref string")
+    got = {r["window_ref"]: (r["bytes"], r["noop"]) for r in ev.size_guard([(heads, ["job_ref"]), (texts, ["text", "ref", "ref"])], limit=11).collect()}
+    assert got == {"w1": (3 + 2 + 4 + 2, False), "w2": (1 + 3 + 6, False)}
+    assert {r["window_ref"] for r in ev.size_guard([(heads, ["job_ref"]), (texts, ["text", "ref", "ref"])], limit=10).filter("noop").collect()} == {"w1"}
+
+
 def test_poisson_weights_have_no_last_value():
     assert evalstats.POISSON_1[-1] == 1.0 and abs(evalstats.POISSON_1[0] - math.exp(-1)) < 1e-15
 
