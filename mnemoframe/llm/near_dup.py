@@ -23,6 +23,10 @@ SYMBOLS = CHUNKS * CHUNK
 #: Two signatures match if at most so many of their 64 symbols differ. At a similarity of 0.75 the mean is 16 with a deviation of
 #: 3.5; 32 or more differ in one of 100,000 such pairs. By the pigeonhole rule 31 errors leave a chunk of 4 with one error at most.
 ERRORS = 31
+#: The last round also compares signatures of 2048 minima of one bit. At a similarity of 0.75 a bit differs with a chance of 1/8:
+#: 256 of them with a deviation of 15. Pairs that differ in more than 320 bits are no link, but for one in 100,000.
+BITS = 2048
+BIT_ERRORS = 320
 #: Members of a bucket that are compared as one block.
 BLOCK = 256
 #: Pairs for each partition of a small table of pairs.
@@ -33,6 +37,10 @@ WORTH = 10
 
 _A = spans.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _B = spans.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64), salt=77)
+_C = spans.mix(np.arange(1, BITS + 1, dtype=np.uint64), salt=78) | np.uint64(1)
+_D = spans.mix(np.arange(1, BITS + 1, dtype=np.uint64), salt=79)
+#: Shingles that are hashed at once, so that they stay near the processor.
+_NEAR = 1 << 15
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -65,6 +73,24 @@ def signatures(found: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bit_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set of shingles the middle bits of the minima under BITS functions."""
+    for b in batches:
+        sets = b.column("shingles")
+        offsets = sets.offsets.to_numpy().astype(np.int64)
+        found, begin = sets.values.to_numpy(zero_copy_only=False).view(np.uint64), offsets
+        out, at = [], 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(begin, begin[at] + _NEAR, side="right")) - 1)
+            values, first = found[begin[at]:begin[to]], begin[at:to + 1] - begin[at]
+            bits = np.zeros((to - at, BITS), dtype=bool)
+            for k in range(BITS):
+                bits[:, k] = _per_text(values * _C[k] + _D[k], first, np.minimum) >> np.uint64(16) & np.uint64(1)
+            out += [x.tobytes() for x in np.packbits(bits, axis=1)]
+            at = to
+        yield pa.record_batch({"node": b.column("node"), "bits": pa.array(out, pa.binary())})
+
+
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in spans.slices(batches, "t"):
@@ -115,8 +141,9 @@ def _blocks(percent: int):
             for i in range(batch.num_rows):
                 sides = []
                 for side in (left[i].values, right[i].values):
-                    sides.append((side.field("node").to_numpy(), side.field("component").to_numpy(), side.field("n").to_numpy(), _matrix(side.field("sig"))))
-                (an, ac, aw, asig), (bn, bc, bw, bsig) = sides
+                    bits = np.frombuffer(b"".join(side.field("bits").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+                    sides.append((side.field("node").to_numpy(), side.field("component").to_numpy(), side.field("n").to_numpy(), _matrix(side.field("sig")), bits))
+                (an, ac, aw, asig, abits), (bn, bc, bw, bsig, bbits) = sides
                 hits_a, hits_b = [], []
                 for p in range(len(an)):
                     wanted = (bc != ac[p]) & (100 * np.minimum(bw, aw[p]) >= percent * np.maximum(bw, aw[p]))
@@ -133,6 +160,7 @@ def _blocks(percent: int):
                     at = equal[np.arange(len(q)), c]
                     wrong = np.where(at.all(axis=1), 0, at.argmin(axis=1))
                     q = q[c * CHUNK + wrong == key[i] >> 48]
+                    q = q[np.bitwise_count(bbits[q] ^ abits[p]).sum(axis=1) <= BIT_ERRORS]
                     hits_a.append(np.full(len(q), an[p]))
                     hits_b.append(bn[q])
                 if hits_a:
@@ -167,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. rounds in which every member of a bucket is paired with one leader; confirmed pairs join components, so a group of near
        copies costs a few pairs a member and not the square of its size;
     3. a last round over the buckets that still hold several components: all their pairs between different components, compared
-       in blocks of about 256 members; only those under the distance leave the task. So no link that the signatures allow is lost.
+       in blocks of about 256 members; only those under the distance leave the task, and of these only those that a longer
+       signature of 2048 bits can't tell from a similarity of 0.75. So no link that the signatures allow is lost.
 
     Every pair is confirmed on its full sets. Null and empty texts, and those of white space only, have 0 shingles and are alone.
     Equal rows fall into one class. Rows with one doc_id and different texts are judged each by its text under their common
@@ -208,10 +237,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = cut_lineage(components(links))
 
     rest = _open(members, found) if found is not None else members
-    rest = rest.join(live, "node").select("key", "node", F.col("component") if "component" in rest.columns else F.col("node").alias("component"), "n", "sig")
+    own = F.col("component") if "component" in rest.columns else F.col("node")
+    rest = cut_lineage(rest.select("key", "node", own.alias("component")))
+    bits = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_bit_signatures, "node long, bits binary")
+    rest = rest.join(live.join(bits, "node"), "node").select("key", "node", "component", "n", "sig", "bits")
     size = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     blocks = rest.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).groupBy("key", "block")
-    blocks = cut_lineage(blocks.agg(F.collect_list(F.struct("node", "component", "n", "sig")).alias("members")))
+    blocks = cut_lineage(blocks.agg(F.collect_list(F.struct("node", "component", "n", "sig", "bits")).alias("members")))
     left = blocks.select("key", F.col("block").alias("x"), F.col("members").alias("left"))
     right = blocks.select("key", F.col("block").alias("y"), F.col("members").alias("right"))
     pairs = left.join(right, "key").where("x < y or x = y and size(left) > 1").select("key", "left", "right", F.expr("x = y").alias("same"))
