@@ -7,10 +7,11 @@ from mnemoframe.llm.decontaminate import op2_benchmark_decontamination
 from mnemoframe.llm.decreasing_pack import op6_token_matrices
 from mnemoframe.llm.divergence import op3_distribution_divergence
 from mnemoframe.llm.language_mixture import op5_language_mixture
-from mnemoframe.llm.line_dedup import OP7_SQL, op7_line_dedup
+from mnemoframe.llm.line_dedup import op7_line_dedup
 from mnemoframe.llm.near_dup import op8_minhash_near_dedup
 from mnemoframe.llm.quality_model import op9_quality_classifier
 from mnemoframe.llm.site_tree import op10_site_style_tree
+from mnemoframe.llm.sqlchecks import CHECKS
 from mnemoframe.llm.url_filter import op4_url_language_ratio
 
 QUERIES = {f.__name__: f for f in (
@@ -18,4 +19,4 @@ QUERIES = {f.__name__: f for f in (
     op6_token_matrices, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_site_style_tree,
 )}
 
-CHECKS: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+__all__ = ["CHECKS", "QUERIES"]
