@@ -179,9 +179,18 @@ def read_probe_sets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 # --- files --------------------------------------------------------------------------------------------
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file."""
+    """Path below ``path``, size and SHA-256 of every file; a file is read as one value, so files of over 2 GB are refused by Spark."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    root = path.rstrip("/").split("://")[-1].lstrip("/")
+    below = F.substring_index(F.col("path"), f"{root}/", -1)
+    return files.select(below.alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def cohort_digest(manifest: DataFrame) -> DataFrame:
+    """One row: files, bytes and a digest of the manifest's names and hashes in order of names (a line for each file)."""
+    line = F.struct("name", F.concat_ws("  ", "sha256", "name").alias("line"))
+    listed = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    return manifest.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
 
 
 def verify_manifest(actual: DataFrame, frozen: DataFrame) -> DataFrame:

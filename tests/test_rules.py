@@ -407,6 +407,19 @@ def test_streams_over_several_batches_equal_batch(spark, tmp_path):
     assert rows(got.select("idempotency_key", "arrival", "status")) == rows(batch.select("idempotency_key", "arrival", "status"))
 
 
+def test_manifest_keeps_folders_apart(spark, tmp_path):
+    import hashlib
+
+    for folder in ("a", "b"):
+        (tmp_path / "root" / folder).mkdir(parents=True)
+        (tmp_path / "root" / folder / "x.txt").write_text(folder)
+    now = readers.file_manifest(spark, str(tmp_path / "root"))
+    assert rows(now.select("name", "length")) == [("a/x.txt", 1), ("b/x.txt", 1)]
+    lines = "\n".join(f"{hashlib.sha256(n.encode()).hexdigest()}  {n}/x.txt" for n in "ab")
+    assert rows(readers.cohort_digest(now)) == [(2, 2, hashlib.sha256(lines.encode()).hexdigest())]
+    assert rows(readers.verify_manifest(now, now.limit(0))) == [("a/x.txt", "new"), ("b/x.txt", "new")]
+
+
 def test_index_sink_is_repeatable(spark, tmp_path):
     docs = spark.createDataFrame([("EPISODE", "a", "A"), ("EPISODE", "b", "B")], "kind string, ref string, text string")
     log = lambda *r: spark.createDataFrame(r, "kind string, ref string, action string, sequence long")
