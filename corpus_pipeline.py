@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written as Parquet in the cluster's shared folder and read by the next one."""
+    """All stages over `documents`, each written as Parquet in the cluster's shared folder and read by the next one.
+
+    The folder goes at the end: packing has written its pieces to a checkpoint by then.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
@@ -56,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
