@@ -274,6 +274,26 @@ def test_decontamination(spark):
     assert decontaminate.benchmark_matches(brute.documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_spread_edits(spark):
+    draw = random.Random(8)
+    names = [f"v{k}" for k in range(150)]
+    items = [(k, " ".join(draw.choices(names, k=n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 9, 12, 15, 15, 20, 33, 60])]
+    rows = []
+    for k, t in items:
+        for every in (2, 3, 4, 5):
+            for edit in ("change", "drop", "add"):
+                w = [y for j, x in enumerate(t.split(" "), 1) for y in ([x] if j % every else {"change": ["new"], "drop": [], "add": [x, "new"]}[edit])]
+                rows.append((len(rows), " ".join(draw.choices(names, k=draw.randint(0, 30)) + w + draw.choices(names, k=30))))
+    item = items[11][1].split(" ")
+    rows.append((8000, " ".join("new" if j in (5, 10, 15) else x for j, x in enumerate(item, 1))))
+    rows.append((8001, " ".join("new" if j == 5 else x for j, x in enumerate(items[8][1].split(" "), 1))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for ratio in (0.5, 0.7):
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.benchmark_matches(brute.documents(spark, rows), bench, ratio=ratio).collect()}
+        assert got == brute.leaks(rows, items, ratio)
+        assert got[8000, 11] == 22 and got[8001, 8] == 15
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "benchmark"))
     one = {tuple(r) for r in decontaminate.benchmark_matches(docs, bench).collect()}
