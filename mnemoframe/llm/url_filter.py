@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import spans
+from mnemoframe.plans.session import cut_lineage
 
 #: Longest context in bytes, and the logarithm of the number of hashed contexts of each length.
 ORDER = 4
@@ -30,8 +31,20 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Words of hosts that mark a URL as rejected when the models learn.
-REJECTED_WORDS = ("ads", "bets", "casino", "pills", "spam")
+#: Words of hosts that mark a URL as rejected when the models learn: usual names of adult, betting, drug, loan, advert, pirate and malware sites.
+REJECTED_WORDS = tuple("""
+    adult camgirls cams erotic erotica escort escorts fetish hentai milf nsfw nude nudes porn porno pornos sex sexcam sexy webcams xxx
+    baccarat bet bets betting bingo blackjack bookmaker casino casinos gamble gambling jackpot jackpots lotto poker roulette slot slots sportsbook wager
+    cialis meds pharma pharmacy pill pills steroid steroids tramadol viagra xanax
+    cashadvance debt forex loan loans payday
+    ad ads adserver adserv advert adverts adware banners clickbait doubleclick popunder popup popups tracker tracking
+    crack cracked cracks keygen nulled serials torrent torrents warez
+    botnet fakeid hoax malware phish phishing ransomware replica replicas scam scams spam spammer spyware trojan virus
+""".split())
+#: Rejected hosts that must share a word before it marks other hosts.
+SUPPORT = 2
+#: Hosts that are broadcast; more are joined.
+BROADCAST_ROWS = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -119,6 +132,34 @@ def _scored(model):
     return run
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def rejected_hosts(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(host): hosts that share words with rejected ones. rows: host, bad (rejected by its words), fine (a rule allows a URL of it).
+
+    A word (not of the last label, as com) that stands in `support` rejected hosts and in no accepted one marks the hosts that have it and are neither, which are
+    rejected from then on; this goes on until no host is added.
+    """
+    hosts = cut_lineage(rows.where("host != ''").groupBy("host").agg(F.max("bad").alias("bad"), F.max("fine").alias("fine")))
+    words = cut_lineage(hosts.select("host", "bad", (F.col("fine") & ~F.col("bad")).alias("fine"), F.explode(F.array_distinct(F.split(F.regexp_replace("host", r"\.[^.]*$", ""), "[.-]"))).alias("word")).where("word != ''"))
+    # only words of undecided hosts that no accepted host has
+    open_words = cut_lineage(words.groupBy("word").agg(F.max("fine").alias("fine"), F.max(~F.col("bad")).alias("undecided")).where("not fine and undecided").select("word"))
+    words = cut_lineage(words.where("not fine").join(_few(open_words), "word", "left_semi").select("host", "word", "bad"))
+    found = None
+    while True:
+        if found is None:
+            known = words
+        else:
+            known = words.join(_few(found).withColumn("more", F.lit(True)), "host", "left").select("host", "word", (F.col("bad") | F.col("more").isNotNull()).alias("bad"))
+        marks = cut_lineage(known.groupBy("word").agg(F.sum(F.col("bad").cast("int")).alias("n")).where(F.col("n") >= support).select("word"))
+        now = cut_lineage(words.where("not bad").join(_few(marks), "word", "left_semi").select("host").distinct())
+        if now.count() == (0 if found is None else found.count()):
+            return now
+        found = now
+
+
 def threshold(bins: list[tuple[int, bool, int]]) -> float:
     """The lower edge of the score bin from which on URLs are allowed: least sum of both classes' error shares, the lowest of equals."""
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
@@ -136,8 +177,8 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     A rule (allow or block, host, path) fits its host and all subdomains if the URL's path starts with the rule's; the longest
     that fits decides. All other URLs are judged by two byte models with contexts of 0 to 4 bytes, each smoothed by the shorter
-    one. Rejected are, when they learn, all URLs with one of rejected_words as a word of the host, accepted all others that a rule
-    allows. (A blocking rule closes a place on a site and says nothing on the kind of its URLs; models that learned from those
+    one. Rejected are, when they learn, all URLs with one of rejected_words as a word of the host, and those of hosts that rejected
+    ones lead to by further words (see rejected_hosts); accepted all others that a rule allows. (A blocking rule closes a place on a site and says nothing on the kind of its URLs; models that learned from those
     blocked three in five URLs of hosts that no rule names.) One lesson in five (by CRC-32) is left out and calibrates the
     threshold on the mean log ratio for a byte, by the least sum of both error shares. Models are counts in 2^18 hashed places for
     each context length, whatever the size of the table.
@@ -153,7 +194,12 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("ruled", verdict)
     bad_word = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, rejected_words))) if rejected_words else F.lit(False)
-    lessons = rows.where(bad_word | (F.col("ruled") == "allow")).select("url", (~bad_word).alias("good"), (F.crc32("url") % 5 == 0).alias("aside"))
+    fine = F.coalesce(F.col("ruled") == "allow", F.lit(False))
+    also = rejected_hosts(rows.select("host", bad_word.alias("bad"), fine.alias("fine")))
+    # one row a host
+    marked = rows.join(_few(also).withColumn("led", F.lit(True)), "host", "left")
+    bad_word = bad_word | F.col("led").isNotNull()
+    lessons = marked.where(bad_word | (F.col("ruled") == "allow")).select("url", (~bad_word).alias("good"), (F.crc32("url") % 5 == 0).alias("aside"))
     counts = lessons.where("not aside").select("url", "good").mapInArrow(_counted, "kind int, place long, n long").groupBy("kind", "place").agg(F.sum("n").alias("n"))
     # at most 20 x 2^18 rows
     model = Ratio(counts.toArrow())

@@ -376,6 +376,24 @@ def test_url_rules(spark):
     assert [r["verdict"] for r in url_filter.url_verdicts(pages.where("page_id = 8")).collect()] == ["allow"]
 
 
+def test_urls_of_hosts_without_listed_words(spark):
+    """Bad hosts that only words of other bad hosts lead to, some in two steps; and one that a word not among the given hosts' names marks."""
+    draw = random.Random(5)
+    fine = [f"{x}-{y}.net" for x, y in zip(*[["".join(draw.choices("aeiorstnlm", k=7)) for _ in range(40)] for _ in range(2)])]
+    allowed = [x[:-4] + ".org" for x in fine]
+    listed = ["warez-zubqix.com", "warez-zubqix.net", "torrent-zubqix.biz"]
+    led = ["zubqix-wyvokk.com", "zubqix-wyvokk.net", "wyvokk-jugzyf.com"]
+    urls = [f"https://{h}/{draw.choice(['en', 'es'])}/{draw.randint(1, 9999)}" for h in fine + allowed + 3 * (listed + led) for _ in range(5)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {}
+    for r in url_filter.url_verdicts(pages).collect():
+        got.setdefault(r["host"], []).append(r["verdict"])
+    assert {h for h, v in got.items() if "block" in v} == {*listed, *led} and all(set(got[h]) == {"block"} for h in listed + led)
+    rows = spark.createDataFrame([("a-x.net", True, False), ("b-x.net", True, False), ("x-y.com", False, False), ("x-y.biz", False, False), ("y-z.biz", False, False), ("a-q.com", False, False), ("net-x.org", False, False), ("", False, False)], "host string, bad boolean, fine boolean")
+    assert sorted(r["host"] for r in url_filter.rejected_hosts(rows).collect()) == ["net-x.org", "x-y.biz", "x-y.com", "y-z.biz"]
+    assert url_filter.rejected_hosts(rows.union(spark.createDataFrame([("x.org", False, True), ("net.org", False, True)], rows.schema))).count() == 0
+
+
 def test_url_scores_by_plain_counts(monkeypatch):
     """The models' scores against dictionaries of contexts; with so many places that few contexts share one."""
     import pyarrow as pa
