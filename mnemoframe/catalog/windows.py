@@ -290,3 +290,22 @@ def _(t: Tables):
     shift = F.when(c % 4 == 1, 1).when(c % 4 == 2, -2).when(c % 4 == 3, 90).otherwise(-1)
     cited = targets.select("probe_ref", "conv_id", F.explode(F.array(F.col("target_turn") - 2, F.col("target_turn") + shift)).alias("evidence_turn"))
     return history.evidence_violations(cited, targets, t("messages"))
+
+
+_EVERY = """tg AS (SELECT concat('probe-', CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS probe_ref, conv_id, turn AS target_turn, conv_id + turn AS k, sha256(CASE WHEN (conv_id + turn) % 13 = 4 THEN concat(text, '~') ELSE text END) AS target_hash FROM conversations),
+cite AS (SELECT probe_ref, conv_id, target_turn - 2 AS evidence_turn FROM tg UNION ALL SELECT probe_ref, conv_id, target_turn + CASE k % 4 WHEN 1 THEN 1 WHEN 2 THEN -2 WHEN 3 THEN 90 ELSE -1 END FROM tg)"""
+
+
+@query("j17_evidence_of_every_turn", "WITH " + _EVERY + """ SELECT c.probe_ref, c.evidence_turn, CASE WHEN m.turn IS NULL THEN 'missing' WHEN c.n > 1 THEN 'duplicate' ELSE 'not_before' END AS reason
+ FROM (SELECT probe_ref, conv_id, evidence_turn, count(*) AS n FROM cite GROUP BY ALL) c JOIN tg USING (probe_ref) LEFT JOIN conversations m ON m.conv_id = c.conv_id AND m.turn = c.evidence_turn
+ WHERE m.turn IS NULL OR c.n > 1 OR c.evidence_turn >= tg.target_turn
+UNION ALL SELECT tg.probe_ref, target_turn, 'target_changed' FROM tg JOIN conversations m ON m.conv_id = tg.conv_id AND m.turn = tg.target_turn WHERE sha256(m.text) <> target_hash""")
+def _(t: Tables):
+    m = t("conversations").select("conv_id", "turn", "text")
+    k = F.col("conv_id") + F.col("turn")
+    targets = m.select(
+        F.concat(F.lit("probe-"), "conv_id", F.lit("-"), "turn").alias("probe_ref"), "conv_id", F.col("turn").alias("target_turn"), k.alias("k"),
+        F.sha2(F.when(k % 13 == 4, F.concat("text", F.lit("~"))).otherwise(F.col("text")), 256).alias("target_hash"))
+    shift = F.when(F.col("k") % 4 == 1, 1).when(F.col("k") % 4 == 2, -2).when(F.col("k") % 4 == 3, 90).otherwise(-1)
+    cited = targets.select("probe_ref", "conv_id", F.explode(F.array(F.col("target_turn") - 2, F.col("target_turn") + shift)).alias("evidence_turn"))
+    return history.evidence_violations(cited, targets, m)

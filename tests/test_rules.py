@@ -458,3 +458,14 @@ def test_results_do_not_depend_on_partitioning(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_every_turn_is_a_target_of_evidence(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    found = entry.queries()["j17_evidence_of_every_turn"](spark, folder)
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").select(F.concat(F.lit("probe-"), "conv_id", F.lit("-"), "turn").alias("probe_ref"), ((F.col("conv_id") + F.col("turn")) % 4).alias("kind"), "turn")
+    # all but those whose second citation is good have a finding, at the first turns for want of earlier ones, later ones by kind
+    assert turns.where("turn < 2 or kind <> 0").join(found, "probe_ref", "left_anti").count() == 0
+    assert {r["reason"] for r in found.select("reason").distinct().collect()} == {"missing", "duplicate", "not_before", "target_changed"}
