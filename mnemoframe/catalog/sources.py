@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans.session import cut_lineage
 from ..plans.bindings import Tables, sql_with
 from ..sources import readers
 from .registry import query
@@ -98,6 +99,20 @@ def _(t: Tables):
     return readers.file_manifest(t.spark, t.folder, "*.parquet")
 
 
+@query("s09_cohort_digest")
+def _(t: Tables):
+    return readers.cohort_digest(readers.file_manifest(t.spark, t.folder, "*.parquet"))
+
+
+@query("s09_verify_manifest")
+def _(t: Tables):
+    # frozen: some names are others and some hashes are, by the length of the name
+    now = cut_lineage(readers.file_manifest(t.spark, t.folder, "*.parquet"))
+    n = F.length("name") % 3
+    frozen = now.select(F.when(n == 0, F.concat("name", F.lit(".old"))).otherwise(F.col("name")).alias("name"), F.when(n == 1, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
+    return readers.verify_manifest(now, frozen)
+
+
 @query("s13_probe_sets", sql_with("turns") + """SELECT instance_ref, kind FROM (SELECT run_ref || '-' || k AS instance_ref, CASE WHEN conv_id % 6 = 2 AND k = 1 THEN 'leak' ELSE 'probe' END AS kind, conv_id FROM (SELECT *, unnest([0, 1]) AS k FROM turns)) WHERE conv_id % 6 NOT IN (3, 4)
 UNION ALL SELECT run_ref, CASE conv_id % 6 WHEN 3 THEN 'same_disposition' ELSE 'session' END FROM turns WHERE conv_id % 6 IN (3, 4)""")
 def _(t: Tables):

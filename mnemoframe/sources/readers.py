@@ -6,11 +6,22 @@ Rejected rows come back with a reason instead of stopping the job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import trimmed
+from ..plans.session import cut_lineage
+from ..plans.split import number_rows, ranges_of
+
+#: Bytes up to which a file is read as one value.
+WHOLE = 64 << 20
+#: Files whose lines are hashed together.
+RANGE = 65_536
 
 TURN = "struct<role:string,content:string>"
 SCENARIO = ("scenario_ref string, query string, expected_output string, query_outcome string, "
@@ -178,19 +189,56 @@ def read_probe_sets(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 # --- files --------------------------------------------------------------------------------------------
 
-def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path below ``path``, size and SHA-256 of every file; a file is read as one value, so files of over 2 GB are refused by Spark."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each file by blocks of 4 MB; ``path``: a URI that Arrow opens."""
+    for b in batches:
+        digests = []
+        for uri in b.column("uri").to_pylist():
+            # Spark gives file:/a, and encodes some characters only
+            uri = quote(uri if "://" in uri else uri.replace(":/", ":///", 1), safe="%/:?#[]@!$&'()*+,;=~")
+            store, path = pafs.FileSystem.from_uri(uri)
+            digest = hashlib.sha256()
+            with store.open_input_stream(path, compression=None) as file:
+                while block := file.read(4 << 20):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.record_batch({"path": b.column("path"), "length": b.column("length"), "sha256": pa.array(digests, pa.string())})
+
+
+def file_manifest(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """Path below ``path``, size and SHA-256 of every file.
+
+    Files of up to ``whole`` bytes are read by Spark as one value. Larger ones, of any size, are listed without their content and
+    read in blocks through Arrow's file systems (local, HDFS, S3, GCS), a file in a task; a store that only Spark opens refuses them.
+    Spark lists no empty files.
+    """
+    files = lambda: spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    # the filter reaches the reader, which opens no file beyond it
+    small = files().filter(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files().filter(F.col("length") > whole).select("path", "length", F.col("_metadata.file_path").alias("uri"))
+    listed = small.unionByName(large.repartition("path").mapInArrow(_streamed, "path string, length long, sha256 string"))
     root = path.rstrip("/").split("://")[-1].lstrip("/")
     below = F.substring_index(F.col("path"), f"{root}/", -1)
-    return files.select(below.alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    return listed.select(below.alias("name"), "length", "sha256")
 
 
-def cohort_digest(manifest: DataFrame) -> DataFrame:
-    """One row: files, bytes and a digest of the manifest's names and hashes in order of names (a line for each file)."""
-    line = F.struct("name", F.concat_ws("  ", "sha256", "name").alias("line"))
-    listed = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
-    return manifest.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.sha2(F.array_join(listed, "\n"), 256).alias("digest"))
+def cohort_digest(manifest: DataFrame, width: int = RANGE) -> DataFrame:
+    """One row: files, bytes and a digest of the manifest's names and hashes in order of names (a line for each file).
+
+    Up to ``width`` files: SHA-256 of their lines. More: SHA-256 of the hashes, a line each, of ranges of ``width`` files, so that no
+    more than the lines of a range and one hash for each range meet.
+    """
+    m = cut_lineage(manifest.select("name", "length", "sha256"))
+    # names are cut into blocks by quantiles of their order, so that none holds all of them
+    total = m.count()
+    cuts = [r["name"] for r in m.sample(min(1.0, 64 * (total // width + 1) / max(total, 1)), 0).sort("name").collect()][32::64] if total > width else []
+    block = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0).cast("long"), lambda n, c: n + (F.col("name") >= c).cast("long")) if cuts else F.lit(0).cast("long")
+    placed = number_rows(m.withColumn("of", F.lit(0)), ["of"], ["name", "sha256"], block, "at")
+    line = F.struct("at", F.concat_ws("  ", "sha256", "name").alias("line"))
+    joined = lambda x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda v: v["line"]), "\n"), 256)
+    ranges = placed.groupBy(ranges_of(F.col("at") - 1, width).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), joined(line).alias("line"))
+    whole = ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("many"), F.min("line").alias("one"), joined(F.struct("at", "line")).alias("all"))
+    return whole.select("files", "bytes", F.when(F.col("many") == 1, F.col("one")).otherwise(F.col("all")).alias("digest"))
 
 
 def verify_manifest(actual: DataFrame, frozen: DataFrame) -> DataFrame:

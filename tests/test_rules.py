@@ -420,6 +420,31 @@ def test_manifest_keeps_folders_apart(spark, tmp_path):
     assert rows(readers.verify_manifest(now, now.limit(0))) == [("a/x.txt", "new"), ("b/x.txt", "new")]
 
 
+def test_manifest_streams_large_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "f").mkdir()
+    contents = {f"{'x y%é'[k % 5]}{k}.txt": bytes([k]) * (10 * k + 1) for k in range(23)}
+    for name, data in contents.items():
+        (tmp_path / "f" / name).write_bytes(data)
+    # a hole: 2 GB of zeros, which no single value holds
+    with (tmp_path / "f" / "zeros.bin").open("wb") as file:
+        file.truncate(2 << 30)
+    zeros, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2 << 10):
+        zeros.update(block)
+    expected = sorted([(n, len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()] + [("zeros.bin", 2 << 30, zeros.hexdigest())])
+    now = readers.file_manifest(spark, str(tmp_path / "f"), whole=100).localCheckpoint()
+    assert sorted(tuple(r) for r in now.collect()) == expected
+    lines = [f"{h}  {n}" for n, _, h in sorted(expected, key=lambda x: x[0].encode())]
+    whole = lambda x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    by_five = whole([whole(lines[k:k + 5]) for k in range(0, len(lines), 5)])
+    size = sum(n for _, n, _ in expected)
+    for parts in (1, 7):
+        assert rows(readers.cohort_digest(now.repartition(parts), 5)) == [(24, size, by_five)]
+    assert rows(readers.cohort_digest(now)) == [(24, size, whole(lines))]
+
+
 def test_index_sink_is_repeatable(spark, tmp_path):
     docs = spark.createDataFrame([("EPISODE", "a", "A"), ("EPISODE", "b", "B")], "kind string, ref string, text string")
     log = lambda *r: spark.createDataFrame(r, "kind string, ref string, action string, sequence long")
