@@ -104,7 +104,7 @@ def _fit(chance: np.ndarray, counts: np.ndarray, of: np.ndarray, begin: np.ndarr
     return share, np.add.reduceat(counts * np.log(mixed), begin)
 
 
-def mixtures(model: Model, texts: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def mixtures(model: Model, texts: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(texts, languages) proportions, zero outside the chosen set; which texts have a letter; the number of their n-grams.
 
     The single best language is the start. Languages join in the order of their shares under all languages, as long as the
@@ -134,7 +134,7 @@ def mixtures(model: Model, texts: pa.Array, most: int) -> tuple[np.ndarray, np.n
         order = np.argsort(-share, axis=0, kind="stable")
         # no set of languages is more likely than all of them, but for what EM has left to gain
         going = likelihood + 1 - penalty > best
-        for k in range(2, min(most, langs) + 1):
+        for k in range(2, (langs if most is None else min(most, langs)) + 1):
             live = np.flatnonzero(going)
             if not len(live):
                 break
@@ -160,7 +160,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     return Model({x["lang"]: np.frombuffer(bytes(x["counts"]), dtype="<i8") for x in added.collect()})
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, lang_pred, score (its share of the text), languages, shares (the chosen set, largest first)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -190,11 +190,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "id long, lang_pred string, score double, languages array<string>, shares array<double>").withColumnRenamed("id", "doc_id")
 
 
-def language_mixture(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 3) -> DataFrame:
+def language_mixture(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int | None = None) -> DataFrame:
     """Languages of each row of docs, by a model of those rows for which `learn` holds: doc_id, lang_pred, score, languages, shares.
 
     Byte trigrams of the lower-cased whole text, hashed into 2^15 places, are counted for each language over all documents that
-    learn. In each document EM finds the shares of the languages; up to `most` of them are chosen by penalised likelihood.
+    learn. In each document EM finds the shares of the languages; as many as penalised likelihood
+    takes are chosen, up to `most` if it is given.
     lang_pred is the one with the largest share (ties: the first by name), score its share.
 
     Null and empty texts and those without a letter are `und` with score 0 and no languages; a text of letters too short for a

@@ -456,6 +456,19 @@ def test_language_mixture(spark):
     assert [(r["lang_pred"], r["score"]) for r in nothing] == [("und", 0.0)]
 
 
+def test_language_mixture_of_four(spark):
+    d = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pydict()
+    by = defaultdict(list)
+    for t, name in zip(d["text"], d["lang"]):
+        if len(t) > 1500 and "***" not in t and "!!" not in t and "|" not in t:
+            by[name].append(t[:1500])
+    mixed = "\n".join(by[x][-1] for x in ("de", "en", "es", "fr")) + by["es"][-2]
+    rows = list(zip(d["doc_id"], d["text"])) + [(9005, mixed)]
+    found = language_mixture.language_mixture(brute.documents(spark, rows, d["lang"] + [None]), F.lit(True)).where("doc_id = 9005").first()
+    assert set(found["languages"]) == {"de", "en", "es", "fr"} and found["lang_pred"] == "es" and 0.3 < found["score"] < 0.5
+    assert abs(sum(found["shares"]) - 1) < 1e-6
+
+
 def test_language_shares_by_plain_em():
     """The shares of all languages against EM on a single text, one n-gram after the other."""
     draw = np.random.default_rng(1)
