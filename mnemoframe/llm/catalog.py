@@ -12,11 +12,13 @@ from mnemoframe.llm.near_dup import op8_minhash_near_dedup
 from mnemoframe.llm.quality_model import op9_quality_classifier
 from mnemoframe.llm.site_tree import op10_site_style_tree
 from mnemoframe.llm.sqlchecks import CHECKS
+from mnemoframe.llm.token_spans import op12_token_spans
 from mnemoframe.llm.url_filter import op4_url_language_ratio
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_benchmark_decontamination, op3_distribution_divergence, op4_url_language_ratio, op5_language_mixture,
     op6_token_matrices, op7_line_dedup, op8_minhash_near_dedup, op9_quality_classifier, op10_site_style_tree,
+    op12_token_spans,
 )}
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -31,7 +31,7 @@ END = 1
 
 
 @cache
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """Byte-level alphabet: a printable byte stands for itself, the others for the code points from 256 on, in order."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
@@ -80,7 +80,7 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
-            letters = _byte_letters()
+            letters = byte_letters()
             part = "".join(letters[b] for b in part.encode())
         return _bytes([x.id for x in self.model.tokenize(part)])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -113,3 +114,43 @@ def pieces(rows, tokenizer, capacity):
             part = ids[lo:lo + capacity]
             out[i, n] = (lo, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)))
     return out
+
+
+def alignment(text, left, right):
+    """(left ids, right ids, groups, links) of one text by the bytes of whole encodings, or None."""
+    from mnemoframe.llm.tokens import byte_letters
+
+    if not text:
+        return None
+    raw, letters = (" " + text).encode(), {c: b for b, c in byte_letters().items()}
+    a, b = left.encode(" " + text, add_special_tokens=False).ids, right.encode(text)
+    parts = [[bytes(letters[c] for c in left.id_to_token(i)) for i in a],
+             [bytes([int(right.id_to_piece(i)[3:5], 16)]) if right.is_byte(i) else right.id_to_piece(i).replace("▁", " ").encode() for i in b]]
+    if any(b"".join(p) != raw for p in parts):
+        return None
+    ends = [[sum(map(len, p[:k + 1])) for k in range(len(p))] for p in parts]
+    groups, i, j = [], 0, 0
+    for cut in sorted(set(ends[0]) & set(ends[1])):
+        k, l = ends[0].index(cut) + 1, ends[1].index(cut) + 1
+        groups.append((a[i:k], b[j:l]))
+        i, j = k, l
+    starts = [[0, *e[:-1]] for e in ends]
+    links = [(a[x], b[y]) for x in range(len(a)) for y in range(len(b)) if starts[0][x] < ends[1][y] and starts[1][y] < ends[0][x]]
+    return a, b, groups, links
+
+
+def alignment_rows(rows, left, right):
+    found = [(i, alignment(t, left, right)) for i, t in rows]
+    held = Counter(pair for _, d in found if d for pair in set(d[3]))
+    best = defaultdict(int)
+    for (x, _), n in held.items():
+        best[x] = max(best[x], n)
+    out = []
+    for i, d in found:
+        if d is None:
+            out.append((i, 0, 0, 0, 0, 0, 0, ""))
+            continue
+        a, b, groups, links = d
+        digest = hashlib.sha256(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode()).hexdigest()
+        out.append((i, len(a), len(b), len(groups), len(links), sum(held[p] == best[p[0]] for p in links), sum(held[p] for p in links), digest))
+    return out
