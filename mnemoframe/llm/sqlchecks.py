@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mnemoframe.llm import divergence
+from mnemoframe.llm.conversation_repair import OP11_SQL
 from mnemoframe.llm.line_dedup import OP7_SQL
 
 _SPACE = r"[ \t\n\x0B\f\r]"
@@ -83,4 +84,4 @@ from judged
 """
 
 
-CHECKS = {"op3_distribution_divergence": _op3(), "op7_line_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
+CHECKS = {"op3_distribution_divergence": _op3(), "op7_line_dedup": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL}
