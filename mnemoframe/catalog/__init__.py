@@ -26,6 +26,7 @@ wide_checks({
     "c07_parse_outputs": ("change_no",),
     "c07_offered_audit": ("change_no",),
     "c08_validate_changes": ("change_no",),
+    "c08_validate_feedback": ("change_no",),
     "u01_index_documents": ("kind_order",),
     "t15_keyset_page": ("kind_order",),
     "j03_visible_owners": ("owner_order",),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import changes as ch, evidence as ev, fusion, index_log
+from ..operators import changes as ch, evidence as ev, feedback, fusion, index_log
 from ..plans.bindings import Tables, sql_with
 from ..plans.session import cut_lineage
+from .intake import chain as delivered_chain
 from .registry import query
 from .retrieval import shortlists
 from .sqltext import field, hash_blob
@@ -254,35 +255,157 @@ def _(t: Tables):
     return validated(t).select("window_ref", F.col("change_no").cast("bigint").alias("change_no"), "target", "operation", "valid", "window_valid")
 
 
-_APPLY = _TGT + "," + _VALID + f""",
-hd AS (SELECT tenant_ref, scope_kind, agent_ref, relationship_ref, min(conv_id) AS conv_id FROM episodes GROUP BY ALL),
-ap AS (SELECT v.*, h.tenant_ref, h.scope_kind, h.agent_ref, h.relationship_ref, concat('job-', CAST(h.conv_id AS VARCHAR)) AS job FROM vd v JOIN hd h USING (conv_id) WHERE v.valid),
-nv AS (SELECT 'recollection' AS kind, 'recollection_' || substr({hash_blob(field("'recollection-form.v1'"), *[field(x) for x in ("scope_kind", "tenant_ref", "agent_ref", "relationship_ref", "job", "lower(application)", "text", "basis")])}, 1, 32) || '@1' AS version_ref, text, lower(application) AS application_scope, basis, 'formation' AS role FROM ap WHERE target = 'NEW_RECOLLECTION'
- UNION ALL SELECT 'disposition', 'seed_' || substr({hash_blob(field("'seed-form.v1'"), *[field(x) for x in ("scope_kind", "tenant_ref", "agent_ref", "relationship_ref", "job", "text", "basis")])}, 1, 32) || '@1', text, CASE application WHEN 'SELF' THEN 'self' ELSE 'relation' END, basis, 'formation' FROM ap WHERE target = 'NEW_DISPOSITION'
- UNION ALL SELECT 'recollection', r.root_ref || '@' || (r.version_number + 1), a.text, r.application_scope, a.basis, 'revision' FROM ap a JOIN recollections r ON r.version_ref = a.target WHERE a.operation = 'TEXT' AND a.target NOT LIKE 'NEW%')"""
+# --- feedback windows ------------------------------------------------------------------------------
+def twice(df):
+    """Rows of windows, also for the feedback windows of the same conversations."""
+    return df.unionByName(df.withColumn("window_ref", F.concat(F.lit("fb-"), F.substring("window_ref", 5, 1 << 20))))
+
+
+def offered_feedback(t: Tables, m, flags):
+    """(targets, feedback): dispositions that a window may change, and the references that each of them offers."""
+    chain = cut_lineage(delivered_chain(t))
+    current = m.filter("origin = 'current'").select("window_ref", "episode_ref")
+    seen = current.join(chain, "episode_ref")
+    free = feedback.open_feedback(chain, t("seed_basis"))
+    direct = current.join(flags.filter("user_situation").select("episode_ref"), "episode_ref")
+    owner = ["tenant_ref", "scope_kind", "agent_ref", "relationship_ref"]
+    active = t("dispositions").filter("status = 'active'").select(*owner, "version_ref", "home")
+    heads = all_windows(t).withColumn("home", F.col("conv_id"))
+    # shown in the window, or offered to a window in which the user asks for something
+    asked = heads.join(direct.select("window_ref").distinct(), "window_ref").select("window_ref", "home").join(active, "home").select("window_ref", "version_ref")
+    named = seen.select("window_ref", "version_ref").unionByName(asked).distinct()
+    own = heads.select("window_ref", F.struct(*owner).alias("own"))
+    targets = named.join(active.select("version_ref", F.col("scope_kind").alias("target_kind"), F.struct(*owner).alias("owner")), "version_ref").join(own, "window_ref").select(
+        "window_ref", "version_ref", "target_kind", (F.col("own") == F.col("owner")).alias("same_owner"))
+    targets = cut_lineage(targets)
+    row = lambda df, ref, what: df.select("window_ref", "version_ref", F.col(ref).alias("ref"), F.lit(what).alias("what"), "episode_ref").distinct()
+    answered = feedback.attribute_outcomes(free, t("outcome_heads"), t("outcome_deliveries"))
+    anchors = t("seed_basis").filter("role IN ('formation', 'revision')").select("version_ref", "episode_ref")
+    rows_ = (
+        row(current.join(free, "episode_ref"), "episode_ref", "episode").unionByName(row(current.join(answered, "episode_ref"), "outcome_ref", "outcome"))
+        .unionByName(row(targets.join(anchors, "version_ref"), "episode_ref", "anchor"))
+        .unionByName(row(targets.filter("same_owner").join(direct, "window_ref"), "episode_ref", "direct")))
+    return targets, cut_lineage(rows_)
+
+
+def all_windows(t: Tables):
+    """Windows in the order of their owners: by conversation, feedback after what it says."""
+    heads = window_heads(t)
+    fb = heads.withColumn("window_ref", F.concat(F.lit("fb-"), "conv_id")).withColumn("job_ref", F.concat(F.lit("feedback-job-"), "conv_id"))
+    return heads.withColumn("place", F.col("conv_id") * 2).unionByName(fb.withColumn("place", F.col("conv_id") * 2 + 1))
+
+
+def feedback_judge(t: Tables, changes):
+    """A function that validates some of the changes once some versions are no longer active."""
+    r = rows(t)
+    flags = cut_lineage(ev.episode_flags(r))
+    m = cut_lineage(twice(members(t)))
+    outcomes = twice(t("window_outcomes"))
+    targets, offers = offered_feedback(t, m, flags)
+    known = cut_lineage(twice(offered(t)))
+    b = changes.filter("error IS NULL").select("window_ref", "change_no", F.explode("basis_refs").alias("ref"))
+    forms, adapts = cut_lineage(ev.formation_basis(b, m, flags, r, outcomes)), cut_lineage(ev.adaptation_basis(b, m, flags))
+    heads = all_windows(t)
+
+    def judge(some, dead):
+        left = lambda df: df.join(dead, "version_ref", "left_anti")
+        return ch.validate_changes(some, heads, m, left(known), left(targets), left(offers), forms, adapts)
+
+    return judge
+
+
+def all_changes(t: Tables):
+    both = t("model_outputs").select("window_ref", "output").unionByName(t("feedback_outputs").select("window_ref", "output"))
+    return cut_lineage(ch.parse_outputs(both))
+
+
+_FEEDBACK = ("contexts", "context_items", "delivery_heads", "delivery_refs", "outcome_deliveries", "seed_basis", "feedback_changes")
+_FB = """chain AS (SELECT DISTINCT l.episode_ref, s.version_ref, d.receipt_ref
+ FROM contexts c JOIN context_items i ON i.context_ref = c.context_ref AND i.item_kind = 'disposition' JOIN delivery_heads d ON d.context_ref = c.context_ref AND d.run_ref = c.run_ref
+ JOIN delivery_refs r ON r.receipt_ref = d.receipt_ref AND r.memory_ref = i.memory_ref JOIN dispositions s ON s.version_ref = i.memory_ref AND s.status = 'active'
+ JOIN links l ON l.run_ref = c.run_ref AND l.session_ref = c.session_ref AND l.role = 'situation' AND l.source_ref = i.query_source_ref),
+free AS (SELECT * FROM chain c WHERE NOT EXISTS (SELECT 1 FROM seed_basis b WHERE b.version_ref = c.version_ref AND b.episode_ref = c.episode_ref AND b.role IN ('reenactment', 'inhibition'))),
+answered AS (SELECT DISTINCT f.version_ref, o.outcome_ref, o.episode_ref FROM free f JOIN outcome_heads o ON o.episode_ref = f.episode_ref AND o.actor_kind <> 'agent' JOIN outcome_deliveries r ON r.outcome_ref = o.outcome_ref AND r.receipt_ref = f.receipt_ref),
+here AS (SELECT concat('fb-', substr(window_ref, 5)) AS window_ref, episode_ref, origin FROM window_members),
+fq AS (SELECT f.*, d.scope_kind AS target_kind, EXISTS (SELECT 1 FROM here h JOIN chain c USING (episode_ref) WHERE h.window_ref = f.window_ref AND h.origin = 'current' AND c.version_ref = f.target) AS shown,
+  EXISTS (SELECT 1 FROM here h JOIN er ON er.episode_ref = h.episode_ref WHERE h.window_ref = f.window_ref AND h.origin = 'current' AND er.role = 'situation' AND er.actor_kind = 'user') AS asked,
+  list_filter([b1, b2, b3], lambda x : x <> '') AS refs
+ FROM feedback_changes f JOIN dispositions d ON d.version_ref = f.target),
+fr AS (SELECT q.window_ref, q.change_no, q.target, q.ref,
+  EXISTS (SELECT 1 FROM here h JOIN free x USING (episode_ref) WHERE h.window_ref = q.window_ref AND h.origin = 'current' AND x.version_ref = q.target AND x.episode_ref = q.ref) AS fe,
+  EXISTS (SELECT 1 FROM seed_basis b WHERE b.version_ref = q.target AND b.episode_ref = q.ref AND b.role = 'formation') AS fa,
+  (SELECT min(a.episode_ref) FROM answered a JOIN here h USING (episode_ref) WHERE h.window_ref = q.window_ref AND h.origin = 'current' AND a.version_ref = q.target AND a.outcome_ref = q.ref) AS oe,
+  EXISTS (SELECT 1 FROM here h WHERE h.window_ref = q.window_ref AND h.origin <> 'revision_anchor' AND h.episode_ref = q.ref) AS known,
+  EXISTS (SELECT 1 FROM here h JOIN er USING (episode_ref) WHERE h.window_ref = q.window_ref AND h.origin = 'current' AND h.episode_ref = q.ref AND er.role = 'situation' AND er.actor_kind = 'user') AS direct
+ FROM (SELECT *, unnest(refs) AS ref FROM fq) q),
+fs AS (SELECT window_ref, change_no, count(*) AS n, bool_and(fe) AS all_fe, bool_and(fe OR oe IS NOT NULL) AS plain, bool_and(fe OR fa OR oe IS NOT NULL) AS anchored, bool_or(direct) AS direct, bool_and(known) AS known, bool_and(known OR fa) AS known_fa,
+  coalesce(list_sort(list(DISTINCT ref) FILTER (fe)), []) AS cited, coalesce(list_sort(list(DISTINCT oe) FILTER (oe IS NOT NULL AND NOT fe AND NOT fa)), []) AS replied FROM fr GROUP BY 1, 2),
+fv AS (SELECT q.window_ref, q.conv_id, q.change_no, q.target, q.operation, q.text, q.refs, (q.shown OR q.asked) AND q.application = CASE q.target_kind WHEN 'agent' THEN 'SELF' ELSE 'RELATION' END AND CASE q.operation
+  WHEN 'REENACT' THEN s.all_fe WHEN 'INHIBIT' THEN s.plain AND len(s.cited) > 0 AND s.cited = s.replied WHEN 'TEXT' THEN s.anchored AND len(s.cited) > 0 AND s.cited = s.replied
+  ELSE s.n = 1 AND s.direct AND CASE WHEN EXISTS (SELECT 1 FROM here h JOIN free x USING (episode_ref) WHERE h.window_ref = q.window_ref AND h.origin = 'current' AND x.version_ref = q.target) THEN s.known_fa ELSE s.known END END AS valid
+ FROM fq q JOIN fs s USING (window_ref, change_no))"""
+_F = sql_with(*_EV, *_FEEDBACK, extra=_ROWS + "," + _FB)
+
+
+@query("c08_validate_feedback", _F + "SELECT window_ref, change_no, target, operation, valid, bool_and(valid) OVER (PARTITION BY window_ref) AS window_valid FROM fv")
+def _(t: Tables):
+    changes = cut_lineage(ch.parse_outputs(t("feedback_outputs")))
+    none = t("dispositions").select("version_ref").filter("false")
+    return feedback_judge(t, changes)(changes, none).select("window_ref", F.col("change_no").cast("bigint").alias("change_no"), "target", "operation", "valid", "window_valid")
+
+
+# every change of every owner in order; the walk takes one change a step and keeps what an owner has replaced and now holds
+_WALK = _TGT + "," + _VALID + "," + _FB + f""",
+ac AS (SELECT window_ref, conv_id, conv_id * 2 AS place, change_no, target, application, operation, text, basis AS cites, [basis] AS refs, valid FROM vd
+ UNION ALL SELECT window_ref, conv_id, conv_id * 2 + 1, change_no, target, '', operation, text, list_aggregate(refs, 'string_agg', ','), refs, valid FROM fv),
+vs AS (SELECT 'recollection' AS kind, tenant_ref, scope_kind, agent_ref, relationship_ref, version_ref, root_ref, version_number, text, application_scope FROM recollections WHERE status = 'active'
+ UNION ALL SELECT 'disposition', tenant_ref, scope_kind, agent_ref, relationship_ref, version_ref, root_ref, version_number, text, application_scope FROM dispositions WHERE status = 'active'),
+oc AS (SELECT a.*, o.tenant_ref, o.scope_kind, o.agent_ref, o.relationship_ref, v.root_ref, v.version_number, v.text AS old_text,
+  CASE a.target WHEN 'NEW_RECOLLECTION' THEN 'recollection' WHEN 'NEW_DISPOSITION' THEN 'disposition' ELSE v.kind END AS kind,
+  CASE a.target WHEN 'NEW_RECOLLECTION' THEN lower(a.application) WHEN 'NEW_DISPOSITION' THEN CASE a.application WHEN 'SELF' THEN 'self' ELSE 'relation' END ELSE v.application_scope END AS scope,
+  bool_and(a.valid) OVER (PARTITION BY a.window_ref) AS fits, list(a.target) OVER (PARTITION BY a.window_ref) AS all_targets,
+  row_number() OVER (PARTITION BY o.tenant_ref, o.scope_kind, o.agent_ref, o.relationship_ref ORDER BY a.place, a.change_no) AS n, a.change_no = 0 AS starts
+ FROM ac a JOIN (SELECT DISTINCT conv_id, tenant_ref, scope_kind, agent_ref, relationship_ref FROM episodes) o USING (conv_id) LEFT JOIN vs v ON v.version_ref = a.target),
+held AS (SELECT tenant_ref, scope_kind, agent_ref, relationship_ref, list(concat(kind, '|', application_scope, '|', text, '|', version_ref)) AS live FROM vs WHERE text IN (SELECT text FROM ac) GROUP BY ALL),
+walk AS (SELECT o.tenant_ref, o.scope_kind, o.agent_ref, o.relationship_ref, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS dead, coalesce(any_value(h.live), CAST([] AS VARCHAR[])) AS live, false AS ok, '' AS made, false AS applied
+ FROM oc o LEFT JOIN held h ON h.tenant_ref = o.tenant_ref AND h.scope_kind = o.scope_kind AND h.agent_ref = o.agent_ref AND h.relationship_ref = o.relationship_ref GROUP BY 1, 2, 3, 4
+ UNION ALL
+ SELECT tenant_ref, scope_kind, agent_ref, relationship_ref, n, CASE WHEN writes AND target NOT LIKE 'NEW%' THEN list_append(dead, target) ELSE dead END,
+  CASE WHEN writes THEN list_append(list_filter(live, lambda x : NOT ends_with(x, '|' || target)), concat(kind, '|', scope, '|', text, '|', new_ref)) ELSE live END, ok, CASE WHEN writes THEN new_ref ELSE '' END, ok
+ FROM (SELECT *, ok AND operation IN ('TEXT', 'ADAPT') AND text <> '' AND text IS DISTINCT FROM old_text AND len(list_filter(live, lambda x : starts_with(x, concat(kind, '|', scope, '|', text, '|')) AND NOT ends_with(x, '|' || target))) = 0 AS writes
+  FROM (SELECT o.*, w.dead, w.live, CASE WHEN o.starts THEN o.fits AND NOT list_has_any(w.dead, o.all_targets) ELSE w.ok END AS ok,
+   CASE o.target WHEN 'NEW_RECOLLECTION' THEN 'recollection_' || substr({hash_blob(field("'recollection-form.v1'"), *[field("o." + x) for x in ("scope_kind", "tenant_ref", "agent_ref", "relationship_ref")], field("concat('job-', CAST(o.conv_id AS VARCHAR))"), field("o.scope"), field("o.text"), field("o.cites"))}, 1, 32) || '@1'
+    WHEN 'NEW_DISPOSITION' THEN 'seed_' || substr({hash_blob(field("'seed-form.v1'"), *[field("o." + x) for x in ("scope_kind", "tenant_ref", "agent_ref", "relationship_ref")], field("concat('job-', CAST(o.conv_id AS VARCHAR))"), field("o.text"), field("o.cites"))}, 1, 32) || '@1'
+    ELSE o.root_ref || '@' || (o.version_number + 1) END AS new_ref
+   FROM walk w JOIN oc o ON o.tenant_ref = w.tenant_ref AND o.scope_kind = w.scope_kind AND o.agent_ref = w.agent_ref AND o.relationship_ref = w.relationship_ref AND o.n = w.n + 1))),
+dn AS (SELECT o.*, w.made, w.applied FROM walk w JOIN oc o USING (tenant_ref, scope_kind, agent_ref, relationship_ref, n))"""
+_O = sql_with(*_EV, *_FEEDBACK, "recollection_basis", extra=_ROWS + "," + _WALK).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def applied(t: Tables):
-    heads = window_heads(t)
-    first = heads.groupBy("tenant_ref", "scope_kind", "agent_ref", "relationship_ref").agg(F.min("conv_id").alias("conv_id"))
-    windows = heads.join(first, ["tenant_ref", "scope_kind", "agent_ref", "relationship_ref", "conv_id"]).drop("conv_id")
     from .selection import basis, versions
 
-    return ch.apply_changes(validated(t), windows, versions(t), basis(t), t("episodes"), t("outcome_heads").select("outcome_ref"))
+    changes = all_changes(t)
+    return ch.apply_in_order(changes, all_windows(t).drop("conv_id"), feedback_judge(t, changes), versions(t), basis(t), t("episodes"), t("outcome_heads").select("outcome_ref"))
 
 
-@query("c09_apply_changes", sql_with(*_EV, extra=_APPLY) + "SELECT kind, version_ref, text, application_scope FROM nv")
+@query("c09_apply_changes", _O + "SELECT kind, made AS version_ref, text, scope AS application_scope FROM dn WHERE made <> ''")
 def _(t: Tables):
     return applied(t)["versions"].select("kind", "version_ref", "text", "application_scope")
 
 
-@query("c09_basis_rows", sql_with(*_EV, "recollection_basis", extra=_APPLY) + """SELECT version_ref, role, basis AS ref FROM nv
-UNION SELECT a.target, 'support', a.basis FROM ap a WHERE a.operation = 'KEEP' AND NOT EXISTS (SELECT 1 FROM recollection_basis b WHERE b.version_ref = a.target AND b.episode_ref = a.basis AND b.role = 'support')""")
+@query("c09_basis_rows", _O + """, bs AS (SELECT made AS version_ref, CASE WHEN target LIKE 'NEW%' THEN 'formation' ELSE 'revision' END AS role, unnest(refs) AS ref FROM dn WHERE made <> ''
+ UNION ALL SELECT target, 'support', unnest(refs) FROM dn WHERE applied AND operation = 'KEEP' UNION ALL SELECT target, 'inhibition', unnest(refs) FROM dn WHERE applied AND operation = 'INHIBIT'),
+ old AS (SELECT version_ref, episode_ref, role FROM recollection_basis UNION SELECT version_ref, episode_ref, role FROM seed_basis),
+ re AS (SELECT d.target, r.ref FROM (SELECT *, unnest(refs) AS ref FROM dn WHERE applied AND operation = 'REENACT') d JOIN (SELECT target, window_ref, change_no, unnest(refs) AS ref FROM dn WHERE applied AND operation = 'REENACT') r USING (target, window_ref, change_no, ref)
+  WHERE NOT EXISTS (SELECT 1 FROM old b WHERE b.version_ref = d.target AND list_contains(d.refs, b.episode_ref)))
+SELECT version_ref, role, ref FROM bs b WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.version_ref = b.version_ref AND o.episode_ref = b.ref AND o.role = b.role)
+UNION SELECT target, 'reenactment', ref FROM re""")
 def _(t: Tables):
     return applied(t)["basis"].select("version_ref", "role", "ref")
 
 
-@query("c09_index_operations", sql_with(*_EV, extra=_APPLY) + "SELECT kind, version_ref AS document_ref, 'UPSERT' AS action FROM nv UNION ALL SELECT 'recollection', target, 'DELETE' FROM ap WHERE operation = 'TEXT' AND target NOT LIKE 'NEW%'")
+@query("c09_index_operations", _O + "SELECT kind, made AS document_ref, 'UPSERT' AS action FROM dn WHERE made <> '' UNION ALL SELECT kind, target, 'DELETE' FROM dn WHERE made <> '' AND target NOT LIKE 'NEW%'")
 def _(t: Tables):
     return applied(t)["operations"].drop("tenant_ref")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -283,3 +283,62 @@ def apply_changes(validated: DataFrame, windows: DataFrame, versions: DataFrame,
     operations = new_versions.select("tenant_ref", "kind", F.col("version_ref").alias("document_ref"), F.lit("UPSERT").alias("action")).unionByName(
         replaced.select("tenant_ref", "kind", F.col("version_ref").alias("document_ref"), F.lit("DELETE").alias("action")))
     return {"versions": new_versions, "superseded": replaced, "basis": formed.unionByName(added.select(formed.columns)).distinct(), "operations": operations}
+
+
+def conflict_keys(changes: DataFrame, windows: DataFrame, versions: DataFrame) -> DataFrame:
+    """(key, window_ref, place): what a window reads or writes that another window of its owner may change.
+
+    A version that it names, a text that it gives an owner, and the text that a revision sets free.
+    """
+    owner = F.concat_ws("\x1f", *OWNER)
+    named = changes.join(windows, "window_ref").join(
+        versions.select("tenant_ref", F.col("version_ref").alias("target"), F.col("kind").alias("o_kind"), F.col("text").alias("old_text"), F.col("application_scope").alias("old_scope"),
+                        *[F.col(c).alias("o_" + c) for c in OWNER[1:]]), ["tenant_ref", "target"], "left")
+    is_new = F.col("target").isin(*NEW_TARGETS)
+    kind = F.when(F.col("target") == "NEW_RECOLLECTION", "recollection").when(F.col("target") == "NEW_DISPOSITION", "disposition").otherwise(F.col("o_kind"))
+    scope = F.when(kind == "disposition", F.when(F.col("application") == "SELF", "self").otherwise("relation")).when(is_new, F.lower("application")).otherwise(F.col("old_scope"))
+    # a revision belongs to the target's owner, a formation to the window's
+    named = named.withColumns({c: F.when(is_new | F.col("o_kind").isNull(), F.col(c)).otherwise(F.col("o_" + c)) for c in OWNER[1:]})
+    writes = F.col("operation").isin("TEXT", "ADAPT")
+    text = lambda t: F.concat_ws("\x1f", F.lit("text"), owner, kind, scope, F.sha2(t, 256))
+    keys = F.array(
+        F.when(~is_new, F.concat_ws("\x1f", F.lit("version"), "tenant_ref", "target")),
+        F.when(writes, text(trimmed("text"))), F.when(writes & F.col("old_text").isNotNull(), text(F.col("old_text"))))
+    return named.select("window_ref", "place", F.explode(F.array_compact(keys)).alias("key")).distinct()
+
+
+def apply_in_order(changes: DataFrame, windows: DataFrame, validate: Callable[[DataFrame, DataFrame], DataFrame], versions: DataFrame, basis: DataFrame,
+                   episodes: DataFrame, outcome_episodes: DataFrame) -> dict[str, DataFrame]:
+    """What ``apply_changes`` gives when the windows of every owner are applied one after the other, by ``place``.
+
+    ``windows``: owner columns, window_ref, job_ref, place (a total order in each owner). ``validate`` judges changes, given the version_refs that are no
+    longer active. Windows that share no key (``conflict_keys``) don't see each other's effects. So each round takes, of all
+    owners at once, the windows that are first in all their keys, against the state that earlier rounds left; versions, superseded
+    versions and basis rows go from round to round, and a round reads only windows that are still open. There are as many rounds as the longest
+    chain of windows that wait for each other.
+    """
+    changes = cut_lineage(changes.filter("error IS NULL"))
+    versions, basis = cut_lineage(versions), cut_lineage(basis)
+    keys = conflict_keys(changes, windows, versions)
+    shared = keys.groupBy("key").agg(F.min("window_ref").alias("lo"), F.max("window_ref").alias("hi")).filter("lo < hi").select("key")
+    open_ = cut_lineage(keys.join(shared, "key"))
+    ready = changes.select("window_ref").distinct().join(open_.select("window_ref").distinct(), "window_ref", "left_anti")
+    out: dict[str, DataFrame] = {}
+    while True:
+        first = open_.groupBy("key").agg(F.min("place").alias("first"))
+        waits = open_.join(first, "key").groupBy("window_ref").agg(F.max(F.col("place") > F.col("first")).alias("waits"))
+        now = cut_lineage(ready.unionByName(waits.filter("NOT waits").select("window_ref")))
+        dead = out["superseded"].select("version_ref") if out else versions.filter("false").select("version_ref")
+        judged = validate(changes.join(now, "window_ref", "left_semi"), dead)
+        state, known = versions, basis
+        if out:
+            state = versions.select("tenant_ref", *OWNER[1:], "kind", "root_ref", "version_ref", "version_number", "text", "application_scope", "status").unionByName(
+                out["versions"].drop("origin_job_ref")).join(dead, "version_ref", "left_anti")
+            known = basis.select("tenant_ref", "version_ref", "episode_ref", "role").unionByName(
+                out["basis"].select("tenant_ref", "version_ref", F.col("ref").alias("episode_ref"), "role"))
+        made = apply_changes(judged, windows.drop("place"), state, known, episodes, outcome_episodes)
+        out = {name: cut_lineage(out[name].unionByName(df) if out else df) for name, df in made.items()}
+        open_ = cut_lineage(open_.join(now, "window_ref", "left_anti"))
+        if open_.isEmpty():
+            return out
+        ready = now.filter("false")

@@ -280,6 +280,28 @@ FROM (SELECT conv_id, chr(10) AS n, min(episode_ref) AS ep,
         concat('recollection_', CAST(conv_id + CASE WHEN conv_id % 5 = 0 THEN 100 ELSE 0 END AS STRING), '@', CAST(1 + (conv_id + CASE WHEN conv_id % 5 = 0 THEN 100 ELSE 0 END) % 3 AS STRING)) AS rec,
         CASE conv_id % 4 WHEN 0 THEN 'SELF' WHEN 1 THEN 'OTHER' WHEN 2 THEN 'RELATION' ELSE 'SITUATION' END AS app
       FROM {episodes} GROUP BY conv_id) x""",
+    # --- feedback windows: a second window of each conversation that was shown a disposition; its place among 12 forms decides the change
+    "feedback_seeds": """
+SELECT c.conv_id, i.memory_ref AS seed, min(c.user_turn) AS t1, max(c.user_turn) AS t2
+FROM {contexts} c JOIN {context_items} i ON i.tenant_ref = c.tenant_ref AND i.context_ref = c.context_ref AND i.item_kind = 'disposition'
+JOIN {dispositions} d ON d.version_ref = i.memory_ref AND d.status = 'active' GROUP BY c.conv_id, i.memory_ref""",
+    "feedback_changes": """
+SELECT concat('fb-', CAST(conv_id AS STRING)) AS window_ref, conv_id, change_no, seed AS target, CASE WHEN form = 11 THEN 'OTHER' WHEN conv_id % 7 = 3 THEN 'SELF' ELSE 'RELATION' END AS application,
+    CASE WHEN change_no = 1 OR form IN (2, 3, 10) THEN 'INHIBIT' WHEN form IN (4, 5, 11) THEN 'TEXT' WHEN form IN (6, 7) THEN 'ADAPT' ELSE 'REENACT' END AS operation,
+    CASE WHEN form IN (4, 5, 11) THEN concat('calmer ', CAST(conv_id % 2 AS STRING)) WHEN form IN (6, 7) THEN 'short answers' ELSE '' END AS text,
+    CASE WHEN form = 8 THEN 'episode_unknown' ELSE concat('episode_', CAST(conv_id AS STRING), '_', CAST(t1 AS STRING)) END AS b1,
+    CASE WHEN change_no = 1 OR form IN (2, 4, 5, 11) THEN concat('outcome_', CAST(conv_id AS STRING), '_', CAST(t1 AS STRING))
+         WHEN form IN (1, 7) AND t2 <> t1 THEN concat('episode_', CAST(conv_id AS STRING), '_', CAST(t2 AS STRING))
+         WHEN form IN (7, 10) THEN concat('outcome_', CAST(conv_id AS STRING), '_', CAST(t1 + 2 AS STRING)) ELSE '' END AS b2,
+    CASE WHEN form = 5 AND first <> t1 THEN concat('episode_', CAST(conv_id AS STRING), '_', CAST(first AS STRING)) ELSE '' END AS b3
+FROM (SELECT f.*, CASE WHEN f.seed = g.lo THEN 0 ELSE 1 END AS change_no, CAST(floor(f.conv_id / 5) AS BIGINT) % 12 AS form, g.first
+      FROM {feedback_seeds} f JOIN (SELECT s.conv_id, min(s.seed) AS lo, max(s.seed) AS hi, min(e.user_turn) AS first FROM {feedback_seeds} s JOIN {episodes} e ON e.conv_id = s.conv_id GROUP BY s.conv_id) g
+        ON g.conv_id = f.conv_id AND (f.seed = g.lo OR f.seed = g.hi)) x
+WHERE change_no = 0 OR form = 9""",
+    "feedback_outputs": """
+SELECT window_ref, conv_id, concat(max(CASE WHEN change_no = 0 THEN block ELSE '' END), max(CASE WHEN change_no = 1 THEN block ELSE '' END)) AS output
+FROM (SELECT window_ref, conv_id, change_no, concat('TARGET', n, target, n, 'APPLICATION', n, application, n, 'CHANGE', n, operation, ' ', text, n, 'BASIS', n, b1, n, b2, n, b3, n) AS block
+      FROM (SELECT *, chr(10) AS n FROM {feedback_changes}) y) x GROUP BY window_ref, conv_id""",
     # --- events as arrivals, jobs and index operations -----------------------------------------------
     "arrivals": """
 SELECT concat('user-', CAST(user_id AS STRING)) AS owner, concat('ep-', CAST(event_id AS STRING)) AS episode_ref,
