@@ -24,6 +24,8 @@ ERRORS = 3
 LEAF = 8192
 #: Bits by which the tables of nodes and of pairs go down at once.
 STEP = 4
+#: Nodes that are broadcast; more are joined.
+BROADCAST_ROWS = 200_000
 #: Candidates that a task compares at once, and the product of sizes from which on a pair of nodes is compared directly.
 AT_ONCE = 1 << 20
 DIRECT = 48
@@ -205,9 +207,11 @@ def _links(prints: DataFrame, errors: int, first: int, leaf: int) -> DataFrame:
         down = down.where("u != v or uc <= vc").withColumn("differ", F.expr("differ + bit_count(uc ^ vc) - bit_count(u ^ v)").cast("int"))
         pairs = down.where(f"differ <= {budget(lower, errors, first)}").select(F.col("uc").alias("u"), F.col("vc").alias("v"), "differ")
         depth = lower
-    depths = [str(x) for x in range(0, depth + 1, STEP)]
-    nodes = ready.select("depth", F.explode(F.array_distinct(F.array("u", "v"))).alias("node")).distinct()
-    each = prints.select("print", F.explode(F.expr(f"array({', '.join(depths)})")).alias("depth")).withColumn("node", F.expr(_prefix("print", "depth")))
+    nodes = cut_lineage(ready.select("depth", F.explode(F.array_distinct(F.array("u", "v"))).alias("node")).distinct())
+    depths = sorted(str(x["depth"]) for x in nodes.select("depth").distinct().collect())
+    # few nodes meet the fingerprints before these are dealt out: those of larger nodes above them never are
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    each = prints.select("print", F.explode(F.expr(f"cast(array({', '.join(depths)}) as array<int>)")).alias("depth")).withColumn("node", F.expr(_prefix("print", "depth")))
     leaves = each.join(nodes, ["depth", "node"]).groupBy("depth", "node").agg(F.collect_list("print").alias("prints"))
     leaves = cut_lineage(leaves.mapInArrow(_packed, "depth int, node long, prints binary"))
     left = leaves.select("depth", F.col("node").alias("u"), F.col("prints").alias("left"))
