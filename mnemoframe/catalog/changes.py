@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import changes as ch, evidence as ev, feedback, fusion, index_log
+from ..operators import changes as ch, evidence as ev, feedback, fusion, index_log, windows
 from ..plans.bindings import Tables, sql_with
-from ..plans.session import cut_lineage
+from ..plans.session import cut_lineage, shared_folder
+from ..streaming import index_table
 from .intake import chain as delivered_chain
 from .registry import query
 from .retrieval import shortlists
-from .sqltext import field, hash_blob
+from .sqltext import field, hash_blob, list_hex
 
 _EV = ("episodes", "links", "sources", "window_members", "window_outcomes", "outcome_heads", "turns", "model_outputs", "recollections", "dispositions")
 _ROWS = """er AS (SELECT e.episode_ref, e.session_ref, e.agent_ref, l.source_ref, l.role, s.actor_kind, s.actor_ref, s.text, s.constitution_ref, s.constitution_text, s.admission_order
@@ -354,6 +357,39 @@ def _(t: Tables):
     return feedback_judge(t, changes)(changes, none).select("window_ref", F.col("change_no").cast("bigint").alias("change_no"), "target", "operation", "valid", "window_valid")
 
 
+def feedback_state(t: Tables):
+    r = rows(t)
+    flags = cut_lineage(ev.episode_flags(r))
+    m = cut_lineage(twice(members(t)))
+    targets, offers = offered_feedback(t, m, flags)
+    named = targets.filter("window_ref LIKE 'fb-%'").select("window_ref", "version_ref").join(
+        t("dispositions").select("tenant_ref", "scope_kind", "agent_ref", "relationship_ref", "root_ref", "version_ref", "version_number", "text"), "version_ref")
+    current = m.filter("origin = 'current'").select("window_ref", "episode_ref")
+    receipts = current.join(feedback.open_feedback(delivered_chain(t), t("seed_basis")), "episode_ref").select("window_ref", "version_ref", "episode_ref", "receipt_ref").distinct()
+    return windows.feedback_state_hash(named, offers, t("seed_basis"), receipts)
+
+
+_FSTATE = _FB + f""",
+tg AS (SELECT DISTINCT h.window_ref, c.version_ref FROM here h JOIN chain c USING (episode_ref) WHERE h.origin = 'current'
+ UNION SELECT DISTINCT h.window_ref, d.version_ref FROM here h JOIN er USING (episode_ref) JOIN dispositions d ON concat('fb-', CAST(d.home AS VARCHAR)) = h.window_ref AND d.status = 'active' WHERE h.origin = 'current' AND er.role = 'situation' AND er.actor_kind = 'user'),
+di AS (SELECT DISTINCT h.window_ref, h.episode_ref FROM here h JOIN er USING (episode_ref) WHERE h.origin = 'current' AND er.role = 'situation' AND er.actor_kind = 'user'),
+fo AS (SELECT DISTINCT h.window_ref, x.version_ref, x.episode_ref, x.receipt_ref FROM here h JOIN free x USING (episode_ref) WHERE h.origin = 'current'),
+pt AS (SELECT g.window_ref, g.version_ref, 0 AS part, '' AS one, '' AS two, [d.scope_kind, d.tenant_ref, d.agent_ref, d.relationship_ref, d.root_ref, d.version_ref, CAST(d.version_number AS VARCHAR), d.text] AS f FROM tg g JOIN dispositions d USING (version_ref)
+ UNION ALL SELECT window_ref, version_ref, 2 * k, '', '', [['direct-episodes', 'outcomes', 'anchors', 'basis-state'][k]] FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM tg)
+ UNION ALL SELECT DISTINCT window_ref, version_ref, 1, episode_ref, '', [episode_ref] FROM fo
+ UNION ALL SELECT g.window_ref, g.version_ref, 3, i.episode_ref, '', [i.episode_ref] FROM tg g JOIN di i USING (window_ref)
+ UNION ALL SELECT DISTINCT h.window_ref, a.version_ref, 5, a.outcome_ref, '', [a.outcome_ref, a.episode_ref] FROM here h JOIN answered a USING (episode_ref) WHERE h.origin = 'current'
+ UNION ALL SELECT g.window_ref, g.version_ref, 7, b.episode_ref, '', [b.episode_ref] FROM tg g JOIN (SELECT DISTINCT version_ref, episode_ref FROM seed_basis WHERE role = 'formation') b USING (version_ref)
+ UNION ALL SELECT g.window_ref, g.version_ref, 9, concat('episode', chr(0), b.role, chr(0), b.episode_ref), '', [concat('episode', chr(0), b.role, chr(0), b.episode_ref)] FROM tg g JOIN (SELECT DISTINCT version_ref, role, episode_ref FROM seed_basis) b USING (version_ref)
+ UNION ALL SELECT DISTINCT window_ref, version_ref, 10, episode_ref, '', ['receipts', episode_ref] FROM fo
+ UNION ALL SELECT window_ref, version_ref, 10, episode_ref, receipt_ref, [receipt_ref] FROM fo)"""
+
+
+@query("a15_feedback_state_hash", sql_with(*_EV, *_FEEDBACK, extra=_ROWS + "," + _FSTATE) + f"""SELECT window_ref, sha256({field("'feedback-state.v1'")} || unhex(string_agg({list_hex('f')}, '' ORDER BY version_ref, part, one, two))) AS state_hash FROM pt GROUP BY 1""")
+def _(t: Tables):
+    return feedback_state(t)
+
+
 # every change of every owner in order; the walk takes one change a step and keeps what an owner has replaced and now holds
 _WALK = _TGT + "," + _VALID + "," + _FB + f""",
 ac AS (SELECT window_ref, conv_id, conv_id * 2 AS place, change_no, target, application, operation, text, basis AS cites, [basis] AS refs, valid FROM vd
@@ -446,6 +482,36 @@ def _(t: Tables):
     return index_log.apply_index_log(stale, log, d)
 
 
+@query("x05_index_table", sql_with("turns", "replies", "recollections", "dispositions", extra=_DOCS + "," + _LOG) + """SELECT kind, ref, text FROM docs JOIN (SELECT kind, ref, arg_max(action, seq) AS action FROM lg GROUP BY ALL) USING (kind, ref) WHERE action = 'UPSERT'""")
+def _(t: Tables):
+    d = cut_lineage(documents(t))
+    index = index_table.IndexTable(t.spark, f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}", buckets=16)
+    # three batches; the second one comes twice, and number 2 is lost on the way with nothing in it
+    for number, seq in ((0, 1), (1, 2), (1, 2), (3, 3)):
+        index.apply(index_ops(d).filter(F.col("sequence") == seq), number, d)
+    return index.read()
+
+
+def index_ops(d):
+    op = lambda df, action, seq: df.select("kind", "ref", F.lit(action).alias("action"), F.lit(seq).alias("sequence"))
+    return op(d.filter("length(ref) % 2 = 0"), "UPSERT", 1).unionByName(op(d.filter("length(text) % 3 = 0"), "DELETE", 2)).unionByName(op(d.filter("length(text) % 9 = 0"), "UPSERT", 3))
+
+
+# documents change while the index is rebuilt: the snapshot has their first text, later operations the present one
+_TOKENS = "string_split(trim(regexp_replace({}, '\\s+', ' ', 'g')), ' ')"
+_RB = _DOCS + "," + _LOG + f""",
+en AS (SELECT d.kind, d.ref, CASE WHEN x.action = 'UPSERT' THEN d.text WHEN x.action IS NULL THEN concat('first ', d.text) END AS text FROM docs d LEFT JOIN (SELECT kind, ref, arg_max(action, seq) AS action FROM lg WHERE seq > 1 GROUP BY ALL) x USING (kind, ref)),
+tk AS (SELECT kind, ref, {_TOKENS.format('text')} AS tok FROM en WHERE text IS NOT NULL)"""
+
+
+@query("x06_rebuild_under_changes", sql_with("turns", "replies", "recollections", "dispositions", extra=_RB) + """SELECT kind, ref, CAST(i AS BIGINT) AS chunk, array_to_string(tok[i * 188 + 1 : i * 188 + 220], ' ') AS text
+ FROM (SELECT kind, ref, tok, unnest(range(0, CAST(greatest(ceil((len(tok) - 220) / 188.0), 0) AS BIGINT) + 1)) AS i FROM tk)""")
+def _(t: Tables):
+    d = cut_lineage(documents(t).select("kind", "ref", "text"))
+    first = d.withColumn("text", F.concat(F.lit("first "), "text"))
+    return index_log.rebuild_under_changes(first, index_ops(d), d, position=1)
+
+
 @query("x06_rebuild_index", _D + "SELECT kind, ref, text AS semantic_text, sha256(text) AS semantic_sha FROM docs")
 def _(t: Tables):
     return index_log.rebuild_index(documents(t)).select("kind", "ref", "semantic_text", "semantic_sha")

@@ -122,9 +122,20 @@ def _(t: Tables):
     return windows.next_sequence(offered, stored, ranges_of("arrival", 4096)).select("stream_ref", "operation_id", "stream_sequence")
 
 
-@query("w10_query_text", sql_with("messages") + "SELECT scope_kind, relationship_ref, string_agg(trim(text), chr(10) ORDER BY arrival) AS query_text FROM messages WHERE role = 'user' GROUP BY ALL")
+@query("w10_query_text", sql_with("messages") + "SELECT tenant_ref, scope_kind, relationship_ref, string_agg(trim(text), chr(10) ORDER BY arrival) AS query_text FROM messages WHERE role = 'user' GROUP BY ALL")
 def _(t: Tables):
-    return windows.query_text(t("messages").filter("role = 'user'"), ["scope_kind", "relationship_ref"], ["arrival"])
+    return windows.query_text(t("messages").filter("role = 'user'"), ["tenant_ref", "scope_kind", "relationship_ref"], ["arrival"])
+
+
+# one text after the other; a text takes what whole characters the bytes left allow
+_CUT = """tx AS (SELECT tenant_ref, scope_kind, relationship_ref, list(trim(text) ORDER BY arrival) AS texts FROM messages WHERE role = 'user' AND trim(text) <> '' GROUP BY ALL)
+SELECT tenant_ref, scope_kind, relationship_ref, list_reduce(list_prepend('', texts), lambda acc, x : CASE WHEN octet_length(encode(acc)) >= {n} THEN acc
+ ELSE concat(acc, CASE WHEN acc = '' THEN '' ELSE chr(10) END, substr(x, 1, list_max(list_filter(range(0, {n} + 1), lambda i : octet_length(encode(substr(x, 1, i))) <= {n} - octet_length(encode(acc)) - CASE WHEN acc = '' THEN 0 ELSE 1 END)))) END) AS query_text FROM tx"""
+
+
+@query("w10_query_text_cut", sql_with("messages", extra=_CUT.replace("{n}", "301")))
+def _(t: Tables):
+    return windows.query_text(t("messages").filter("role = 'user'"), ["tenant_ref", "scope_kind", "relationship_ref"], ["arrival"], max_bytes=301)
 
 
 @query("a16_consolidation_receipt", sql_with("recollections") + "SELECT origin_job_ref, string_agg(version_ref, ',' ORDER BY version_ref) AS version_refs FROM recollections GROUP BY 1")
@@ -274,6 +285,24 @@ def _(t: Tables):
     return history.visible_history(probes, timeline, ["scope_kind", "relationship_ref"], ranges_of("at", 4096))
 
 
+# one tenant's owner is every second conversation of it, so that a bank is hot
+_BANK = "concat('bank-', tenant_ref, '-', CASE WHEN conv_id % 2 = 0 THEN 'hot' ELSE CAST(conv_id % 20 AS {s}) END)"
+_CUTS = f"""tl AS (SELECT {_BANK.format(s='VARCHAR')} AS bank, session_ref, conv_id * 1000 + turn AS spot, turn, (ascii(substr(md5(session_ref), 1, 1)) * 100 + conv_id) AS date FROM messages),
+pr AS (SELECT bank, session_ref, concat('probe-', session_ref, '-', CAST(turn AS VARCHAR)) AS probe_ref, spot, turn, date FROM tl WHERE turn > 0),
+hi AS (SELECT *, max(date) OVER (PARTITION BY bank ORDER BY spot) AS high FROM tl)"""
+
+
+@query("j16_history_cuts", sql_with("messages", extra=_CUTS) + """SELECT p.probe_ref, 'turn' AS cut, (SELECT max(h.spot) FROM hi h WHERE h.bank = p.bank AND h.spot < p.spot) AS visible_until FROM pr p
+UNION ALL SELECT p.probe_ref, 'session', (SELECT max(h.spot) FROM hi h WHERE h.bank = p.bank AND h.spot < p.spot - p.turn) FROM pr p
+UNION ALL SELECT p.probe_ref, 'date', (SELECT max(h.spot) FROM hi h WHERE h.bank = p.bank AND h.high <= p.date) FROM pr p""")
+def _(t: Tables):
+    bank = F.expr(_BANK.format(s="STRING"))
+    date = (F.ascii(F.substring(F.md5("session_ref"), 1, 1)) * 100 + F.col("conv_id")).cast("bigint")
+    line = t("messages").select(bank.alias("bank"), "session_ref", (F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "turn", date.alias("date"))
+    probes = line.filter("turn > 0").withColumn("probe_ref", F.concat(F.lit("probe-"), "session_ref", F.lit("-"), F.col("turn").cast("string")))
+    return history.history_cuts(probes, line, ["bank"])
+
+
 _PROBE = """tg AS (SELECT concat('probe-', CAST(conv_id AS VARCHAR)) AS probe_ref, conv_id, user_turn AS target_turn, sha256(CASE WHEN conv_id % 13 = 4 THEN concat(user_text, '~') ELSE user_text END) AS target_hash FROM turns WHERE user_turn IN (2, 3)),
 cite AS (SELECT probe_ref, conv_id, target_turn - 2 AS evidence_turn FROM tg UNION ALL SELECT probe_ref, conv_id, target_turn + CASE WHEN conv_id % 4 = 1 THEN 1 WHEN conv_id % 4 = 2 THEN -2 WHEN conv_id % 4 = 3 THEN 90 ELSE -1 END FROM tg)"""
 

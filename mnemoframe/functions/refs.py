@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 SCOPE = ("tenant_ref", "scope_kind", "agent_ref", "relationship_ref", "session_ref")
 OWNER = ("tenant_ref", "scope_kind", "agent_ref", "relationship_ref")
@@ -33,6 +35,41 @@ def digest(parts: Iterable[Column]) -> Column:
     return F.sha2(F.unhex(F.concat(*parts)), 256)
 
 
+def ordered_digest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], fields: str, tag: str, out: str) -> DataFrame:
+    """One row a key (text columns): SHA-256 of ``tag`` and of the ``fields`` arrays of its rows, in order.
+
+    Spark sorts the rows of a key on disk if need be, and they pass one after the other; only the state of the digest
+    is kept, however many rows a key has. Rows of one place must be equal.
+    """
+    keys = list(keys)
+
+    def put(state, text: str) -> None:
+        raw = text.encode()
+        state.update(len(raw).to_bytes(8, "big") + raw)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
+            done = []
+            for *key, parts in zip(*[b.column(c).to_pylist() for c in (*keys, fields)]):
+                if key != now:
+                    if now is not None:
+                        done.append((*now, state.hexdigest()))
+                    now, state = key, hashlib.sha256()
+                    put(state, tag)
+                for text in parts:
+                    put(state, text)
+            yield table(done)
+        yield table([(*now, state.hexdigest())] if now is not None else [])
+
+    def table(done: list) -> pa.RecordBatch:
+        columns = list(zip(*done)) or [()] * (len(keys) + 1)
+        return pa.record_batch([pa.array(c, pa.string()) for c in columns], names=[*keys, out])
+
+    sorted_ = rows.select(*keys, *order, fields).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return sorted_.mapInArrow(run, ", ".join(f"{c} string" for c in (*keys, out)))
+
+
 def stable_hash(tag: str, *fields: str | Column) -> Column:
     return digest([encoded(F.lit(tag)), *[encoded(f) for f in fields]])
 

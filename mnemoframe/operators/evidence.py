@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import MAX_WINDOW_BYTES, quoted_lines, render_constitution, render_window_episode, trimmed
+from ..plans.session import cut_lineage
 from ..plans.split import top_n
 from .intake import GROUP, SCOPE
 
@@ -258,7 +259,8 @@ def snippet_alignment(snippets: DataFrame, turns: DataFrame) -> DataFrame:
     ``snippets``: question_ref, conv_id, pos, role, text; ``turns``: conv_id, idx, user_text, agent_text. A user
     message and the assistant message after it form one group. A group fits a turn if its text is contained
     (whole words); a fitting assistant narrows, if any fits. Strictly increasing chains through the groups are
-    counted up to two. The join is blocked on the group's longest word, which a fitting turn must contain.
+    counted up to two: the chain of the earliest turns and that of the latest ones are minima and maxima, group by group, and no turns are
+    gathered. The join is blocked on the group's longest word, which a fitting turn must contain.
     """
     from ..functions.text import contains_observed, normalize_ws
 
@@ -279,20 +281,36 @@ def snippet_alignment(snippets: DataFrame, turns: DataFrame) -> DataFrame:
     hit = asked.join(words, ["conv_id", "lead", "word"]).filter(
         contains_observed(F.when(F.col("lead") == "user", F.col("u")).otherwise(F.col("a")), "t"))
     hit = hit.withColumn("backed", F.col("reply").isNotNull() & F.coalesce(contains_observed("a", "reply"), F.lit(False)))
-    narrowed = hit.groupBy("question_ref", "g").agg(
-        F.array_sort(F.collect_list("idx")).alias("all"),
-        F.array_sort(F.filter(F.collect_list(F.when(F.col("backed"), F.col("idx"))), lambda x: x.isNotNull())).alias("both"))
-    found = narrowed.select("question_ref", "g", F.when(F.size("both") > 0, F.col("both")).otherwise(F.col("all")).alias("c"))
+    # a fitting assistant narrows its group to the turns that have it
+    hit = cut_lineage(hit.select("question_ref", "g", "idx", "backed").distinct())
+    any_ = hit.groupBy("question_ref", "g").agg(F.max("backed").alias("any"))
+    fits = hit.join(any_, ["question_ref", "g"]).filter("backed OR NOT any").select("question_ref", "g", "idx")
     total = groups.groupBy("question_ref").agg(F.max("g").alias("groups"))
-    lists = total.join(found.groupBy("question_ref").agg(F.array_sort(F.collect_list(F.struct("g", "c"))).alias("l")), "question_ref", "left")
-    # ends: for every turn the number of chains that end there, capped at two
-    start = F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), F.lit(1).alias("n"))).cast("array<struct<at:bigint,n:int>>")
-
-    def extend(ends: Column, item: Column) -> Column:
-        below = lambda i: F.least(F.aggregate(F.filter(ends, lambda e: e["at"] < i), F.lit(0), lambda acc, e: acc + e["n"]), F.lit(2))
-        return F.filter(F.transform(item["c"], lambda i: F.struct(i.cast("bigint").alias("at"), below(i).alias("n"))), lambda e: e["n"] > 0)
-
-    count = F.aggregate(F.aggregate("l", start, extend), F.lit(0), lambda acc, e: acc + e["n"])
-    chains = F.when(F.col("l").isNull() | (F.size("l") < F.col("groups")), 0).otherwise(F.least(count, F.lit(2)))
-    return lists.select("question_ref", F.when(chains == 0, "unmatched").when(chains == 1, "matched").otherwise("ambiguous").alias("status"),
-                        chains.alias("matches"))
+    fits = cut_lineage(fits.join(total, "question_ref"))
+    most = total.agg(F.max("groups")).first()[0] or 0
+    # the chain of earliest turns, and that of latest ones from the end: there is one chain if they are the same
+    early = late = None
+    for step in range(1, most + 1):
+        early = _next_turn(fits, early, step, F.col("g") == step, F.min("idx"), F.col("idx") > F.col("chain"))
+        late = _next_turn(fits, late, step, F.col("g") == F.col("groups") - (step - 1), F.max("idx"), F.col("idx") < F.col("chain"))
+    status, matches = F.lit("unmatched"), F.lit(0)
+    if most:
+        # by number of the group; a chain that stops early has no turn for the last one
+        one = early.withColumn("g", F.col("step"))
+        two = late.join(total, "question_ref").withColumn("g", F.col("groups") - F.col("step") + 1).select("question_ref", "g", F.col("chain").alias("other"))
+        both = one.join(two, ["question_ref", "g"]).groupBy("question_ref").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("chain") != F.col("other")).alias("apart"))
+        total = total.join(both, "question_ref", "left")
+        whole = F.coalesce(F.col("n") == F.col("groups"), F.lit(False))
+        status = F.when(~whole, "unmatched").when(F.col("apart"), "ambiguous").otherwise("matched")
+        matches = F.when(~whole, 0).when(F.col("apart"), 2).otherwise(1)
+    return total.select("question_ref", status.alias("status"), matches.alias("matches"))
+
+
+def _next_turn(fits: DataFrame, chains: DataFrame | None, step: int, group: Column, pick: Column, beyond: Column) -> DataFrame:
+    """(question_ref, step, chain) of all steps so far: the chains that go on, with the turn that the next group adds."""
+    here = fits.filter(group)
+    if chains is None:
+        return cut_lineage(here.groupBy("question_ref").agg(pick.alias("chain")).select("question_ref", F.lit(step).alias("step"), "chain"))
+    last = chains.filter(F.col("step") == step - 1).select("question_ref", "chain")
+    more = here.join(last, "question_ref").filter(beyond).groupBy("question_ref").agg(pick.alias("chain"))
+    return cut_lineage(chains.unionByName(more.select("question_ref", F.lit(step).alias("step"), "chain")))

@@ -121,6 +121,31 @@ def visible_history(probes: DataFrame, timeline: DataFrame, keys: Sequence[str],
     return merged.filter("kind = 1").select(*keys, "probe_ref", "visible_until")
 
 
+def _as_of(probes: DataFrame, line: DataFrame, keys: Sequence[str], before: Column, at: Column, width: int) -> DataFrame:
+    """For every probe the largest place on the line whose ``at`` is below the probe's ``before``."""
+    marks = line.select(*keys, at.alias("__at"), F.lit(1).alias("__kind"), F.col("at").alias("__place"), F.lit("").alias("probe_ref"))
+    # of equal numbers the probe stands first, so that the line's are not below it
+    asks = probes.select(*keys, before.alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("bigint").alias("__place"), "probe_ref")
+    seen = running_max(marks.unionByName(asks), keys, ["__at", "__kind", "probe_ref", "__place"], ranges_of("__at", width), "__place", "visible_until")
+    return seen.filter("__kind = 0").select("probe_ref", "visible_until")
+
+
+def history_cuts(probes: DataFrame, line: DataFrame, keys: Sequence[str], width: int = 65536) -> DataFrame:
+    """(probe_ref, cut, visible_until): the last place of its bank that a probe may see, by three cuts; NULL if there is none.
+
+    ``line``: keys, at (place, whole numbers along the bank), turn, date. ``probes``: the same and probe_ref, each at a place of the line. Cut ``turn``: all before the
+    probe's own turn; ``session``: all before its session; ``date``: the longest prefix of the bank dated up to the probe. Each cut is a merge
+    of probes and line by place or by the running maximum of dates, in blocks of that order, so a bank of any size spreads over many tasks.
+    """
+    keys = list(keys)
+    cut = lambda df, name: df.select("probe_ref", F.lit(name).alias("cut"), "visible_until")
+    turn = _as_of(probes, line, keys, F.col("at"), F.col("at"), width)
+    session = _as_of(probes, line, keys, F.col("at") - F.col("turn"), F.col("at"), width)
+    high = running_max(line, keys, ["at"], ranges_of("at", width), "date", "__high")
+    date = _as_of(probes, high, keys, F.col("date") + 1, F.col("__high"), width)
+    return cut(turn, "turn").unionByName(cut(session, "session")).unionByName(cut(date, "date"))
+
+
 def evidence_violations(evidence: DataFrame, targets: DataFrame, messages: DataFrame) -> DataFrame:
     """Cited evidence must exist, be unique and precede its target; the target text must be unchanged."""
     known = messages.select("conv_id", F.col("turn").alias("evidence_turn"), F.lit(True).alias("__known"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import mask_episode
+from ..functions.text import chunk_tokens, mask_episode, normalize_ws
 
 INDEX_SCOPE = ["tenant_ref", "agent_ref", "relationship_ref"]
 
@@ -53,3 +53,25 @@ def rebuild_index(documents: DataFrame) -> DataFrame:
         "semantic_sha", F.sha2("semantic_text", 256))
 
 
+def chunks(documents: DataFrame) -> DataFrame:
+    """(kind, ref, chunk, text): overlapping pieces of each document's words."""
+    tokens = documents.withColumn("__tok", F.split(normalize_ws("text"), " "))
+    cut = tokens.select("kind", "ref", F.posexplode(chunk_tokens(F.col("__tok"))).alias("chunk", "__c"))
+    return cut.select("kind", "ref", F.col("chunk").cast("bigint").alias("chunk"), F.array_join("__c", " ").alias("text"))
+
+
+def rebuild_under_changes(snapshot: DataFrame, log: DataFrame, documents: DataFrame, position: int) -> DataFrame:
+    """A new index, in chunks, from a snapshot at a place of the log and the operations that came while it was built.
+
+    ``snapshot``: kind, ref, text as of ``position``. ``log``: kind, ref, action, sequence; those up to the position are in the snapshot
+    already. ``documents`` are the texts of now. Of later operations only the last one of a document counts: its chunks are made anew or
+    go. The snapshot's chunks of all other documents are taken as they are, so the large side is cut once and only joined
+    with the few documents that changed. The result is what a replay of the whole log gives.
+    """
+    key = ["kind", "ref"]
+    later = valid_operations(log.filter(F.col("sequence") > position)).filter("reason IS NULL").groupBy(*key).agg(F.max_by("action", "sequence").alias("action"))
+    fresh = documents.join(later.filter("action = 'UPSERT'").select(*key), key, "left_semi")
+    # an UPSERT of a document that is gone keeps what is there
+    gone = later.filter("action = 'DELETE'").select(*key).unionByName(fresh.select(*key))
+    kept = snapshot.filter(F.trim("ref") != "").join(gone, key, "left_anti")
+    return chunks(kept.select(*key, "text")).unionByName(chunks(fresh.select(*key, "text")))

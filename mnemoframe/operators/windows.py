@@ -142,18 +142,43 @@ def consolidation_receipt(versions: DataFrame) -> DataFrame:
 def state_hash(targets: DataFrame, basis: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash of a window's offered memories and their basis; equal hashes mean an unchanged snapshot.
 
-    ``targets`` is a bounded shortlist per key; the basis of a version enters as one encoded text.
+    A memory is one row and each link of its basis another; they pass the digest in order and are never gathered.
     """
-    state = basis.select("tenant_ref", "version_ref", F.concat("role", F.lit("\0"), "episode_ref").alias("s")).distinct()
-    per_version = state.groupBy("tenant_ref", "version_ref").agg(
-        refs.encoded_array(F.sort_array(F.collect_list("s"))).alias("__basis"))
-    body = F.concat(*[refs.encoded(f) for f in (*refs.OWNER_FIELDS, "root_ref", "version_ref")],
-                    refs.encoded(F.col("version_number").cast("string")), refs.encoded("text"),
-                    refs.encoded("application_scope"), F.coalesce("__basis", F.lit("")))
-    rows = targets.join(per_version, ["tenant_ref", "version_ref"], "left").select(*keys, "version_ref", body.alias("b"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("version_ref", "b"))), lambda s: s["b"]), "")
-    return rows.groupBy(*keys).agg(joined.alias("__all")).select(
-        *keys, refs.digest([refs.encoded(F.lit("recollection-state.v1")), F.col("__all")]).alias("state_hash"))
+    fields = F.array(*refs.OWNER_FIELDS, "root_ref", "version_ref", F.col("version_number").cast("string"), "text", "application_scope")
+    heads = targets.select(*keys, "version_ref", F.lit("").alias("link"), fields.alias("fields"))
+    state = basis.select("tenant_ref", "version_ref", F.concat("role", F.lit("\0"), "episode_ref").alias("link")).distinct()
+    links = targets.select(*dict.fromkeys([*keys, "tenant_ref"]), "version_ref").join(state, ["tenant_ref", "version_ref"]).select(*keys, "version_ref", "link", F.array("link").alias("fields"))
+    return refs.ordered_digest(heads.unionByName(links), keys, ["version_ref", "link"], "fields", "recollection-state.v1", "state_hash")
+
+
+def feedback_state_hash(targets: DataFrame, offers: DataFrame, basis: DataFrame, receipts: DataFrame, key: str = "window_ref") -> DataFrame:
+    """Hash of the dispositions that a window may change and of all that speaks for each; equal hashes mean an unchanged snapshot.
+
+    ``targets``: key, owner columns, root_ref, version_ref, version_number, text. ``offers``: key, version_ref, ref, what (episode, direct, outcome,
+    anchor), episode_ref (of an outcome). ``basis``: version_ref, episode_ref, role. ``receipts``: key, version_ref, episode_ref, receipt_ref of
+    episodes that still count.
+    """
+    own = [key, "version_ref"]
+    none = F.lit("")
+
+    def part(df: DataFrame, place: int, one: Column | str, two: Column | str, fields: Column) -> DataFrame:
+        column = lambda c: F.col(c) if isinstance(c, str) else c
+        return df.select(*own, F.lit(place).alias("part"), column(one).alias("one"), column(two).alias("two"), fields.alias("fields")).distinct()
+
+    head = F.array(*refs.OWNER_FIELDS, "root_ref", "version_ref", F.col("version_number").cast("string"), "text")
+    what = lambda name: offers.filter(F.col("what") == name).join(targets.select(*own), own, "left_semi")
+    state = F.concat(F.lit("episode\0"), "role", F.lit("\0"), "episode_ref")
+    held = targets.select(*own).join(basis.select("version_ref", "episode_ref", "role"), "version_ref")
+    rows = part(targets, 0, none, none, head)
+    for place, name in ((2, "direct-episodes"), (4, "outcomes"), (6, "anchors"), (8, "basis-state")):
+        rows = rows.unionByName(part(targets, place, none, none, F.array(F.lit(name))))
+    rows = rows.unionByName(part(what("episode"), 1, "ref", none, F.array("ref"))).unionByName(part(what("direct"), 3, "ref", none, F.array("ref")))
+    rows = rows.unionByName(part(what("outcome"), 5, "ref", none, F.array("ref", "episode_ref"))).unionByName(part(what("anchor"), 7, "ref", none, F.array("ref")))
+    rows = rows.unionByName(part(held, 9, state, none, F.array(state)))
+    got = receipts.join(targets.select(*own), own, "left_semi")
+    rows = rows.unionByName(part(got, 10, "episode_ref", none, F.array(F.lit("receipts"), F.col("episode_ref")))).unionByName(
+        part(got, 10, "episode_ref", "receipt_ref", F.array("receipt_ref")))
+    return refs.ordered_digest(rows, [key], ["version_ref", "part", "one", "two"], "fields", "feedback-state.v1", "state_hash")
 
 
 def stale_guard(computed: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:

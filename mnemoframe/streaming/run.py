@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.index_log import apply_index_log
 from ..plans.session import shared_folder
+from .index_table import IndexTable
 from .state import ROCKSDB
 
 
@@ -39,17 +39,9 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(path + "*")
 
 
-def index_sink(table: str, documents):
-    """``foreachBatch`` function that keeps an index table up to date from a log stream.
+def index_sink(spark: SparkSession, table: str, documents, buckets: int = 256):
+    """``foreachBatch`` function that keeps an index table (``IndexTable``) up to date from a log stream.
 
-    Every batch writes a new version of the index next to the old one, named by the batch, so repeating a batch
-    after a failure gives the same version. ``documents`` returns the current canonical documents.
+    ``documents`` returns the current canonical documents. Only buckets that a batch touches are written.
     """
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        empty = spark.createDataFrame([], "kind string, ref string, text string")
-        old = spark.read.parquet(f"{table}/version={batch_id - 1}") if batch_id else empty
-        apply_index_log(old, batch, documents()).write.mode("overwrite").parquet(f"{table}/version={batch_id}")
-
-    return apply
+    return IndexTable(spark, table, buckets).sink(documents)

@@ -12,7 +12,7 @@ from mnemoframe.functions import answers, text as tx
 from mnemoframe.operators import changes as ch, context, evalstats, evidence as ev, fusion, index_log, intake, lexical, sampling, selection, vector, windows
 from mnemoframe.plans import split
 from mnemoframe.sources import readers
-from mnemoframe.streaming import run, state
+from mnemoframe.streaming import index_table, run, state
 from mnemoframe.streaming.state import LiveWindow
 
 
@@ -445,17 +445,59 @@ def test_manifest_streams_large_files(spark, tmp_path):
     assert rows(readers.cohort_digest(now)) == [(24, size, whole(lines))]
 
 
-def test_index_sink_is_repeatable(spark, tmp_path):
-    docs = spark.createDataFrame([("EPISODE", "a", "A"), ("EPISODE", "b", "B")], "kind string, ref string, text string")
+def test_index_table_survives_lost_and_repeated_batches(spark, tmp_path):
+    docs = spark.createDataFrame([("EPISODE", f"e{k}", f"text {k}") for k in range(200)], "kind string, ref string, text string")
     log = lambda *r: spark.createDataFrame(r, "kind string, ref string, action string, sequence long")
-    sink = run.index_sink(str(tmp_path / "index"), lambda: docs)
-    sink(log(("EPISODE", "a", "UPSERT", 1), ("EPISODE", "zz", "UPSERT", 2)), 0)
-    for _ in range(2):
-        sink(log(("EPISODE", "a", "DELETE", 3), ("EPISODE", "b", "UPSERT", 4)), 1)
-    assert rows(spark.read.parquet(str(tmp_path / "index/version=1")).select("ref", "text")) == [("b", "B")]
+    table = index_table.IndexTable(spark, str(tmp_path / "index"), buckets=32)
+    assert table.read().count() == 0
+    sink = run.index_sink(spark, str(tmp_path / "index"), lambda: docs, buckets=32)
+    sink(log(*[("EPISODE", f"e{k}", "UPSERT", k) for k in range(200)], ("EPISODE", "unknown", "UPSERT", 900)), 0)
+    whole = table.manifest()
+    sizes = lambda: sum(f.stat().st_size for f in (tmp_path / "index/data").rglob("*.parquet"))
+    before = sizes()
+    one = log(("EPISODE", "e7", "DELETE", 1000), ("EPISODE", "e7", "UPSERT", 1001), ("EPISODE", "e8", "DELETE", 1002))
+    # numbers 1 to 4 are lost; the batch comes twice
+    assert 1 <= len(table.apply(one, 5, docs)) <= 2
+    written = sizes() - before
+    assert table.apply(one, 5, docs) == [] and table.apply(one, 3, docs) == [] and sizes() == before + written
+    assert written < before / 4
+    # a batch that dies before the pointer is swapped leaves the table as it is, and comes again
+    dying = index_table.IndexTable(spark, str(tmp_path / "index"), buckets=32)
+    dying._swap = lambda manifest: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        dying.apply(log(("EPISODE", "e9", "DELETE", 2000)), 6, docs)
+    assert {r.ref for r in table.read().collect()} == {f"e{k}" for k in range(200)} - {"e8"}
+    table.apply(log(("EPISODE", "e9", "DELETE", 2000)), 6, docs)
+    assert {(r.ref, r.text) for r in table.read().collect()} == {(f"e{k}", f"text {k}") for k in range(200) if k not in (8, 9)}
+    # who opened the first manifest still reads it
+    assert table._rows(list(whole["buckets"].values())).count() == 200
     assert index_log.valid_operations(log(("NOTE", "a", "UPSERT", 1))).first().reason == "kind"
 
 
+def test_windows_wait_for_those_that_share_a_version_or_a_text(spark):
+    owner = "t string, scope_kind string, agent_ref string, relationship_ref string"
+    own = ("t", "relationship", "a", "r")
+    windows = spark.createDataFrame([(*own, f"w{k}", f"job-{k}", k) for k in range(6)], f"{owner}, window_ref string, job_ref string, place long").withColumnRenamed("t", "tenant_ref")
+    versions = spark.createDataFrame([(*own, "recollection", "rec", "rec@1", 1, "old", "other", "active")], f"{owner}, kind string, root_ref string, version_ref string, version_number int, text string, application_scope string, status string").withColumnRenamed("t", "tenant_ref")
+    change = [("w0", 0, "rec@1", "OTHER", "TEXT", "new", ["e0"], None), ("w1", 0, "rec@1", "OTHER", "KEEP", "", ["e1"], None), ("w2", 0, "NEW_RECOLLECTION", "OTHER", "TEXT", "new", ["e2"], None),
+              ("w3", 0, "NEW_RECOLLECTION", "OTHER", "TEXT", "old", ["e3"], None), ("w4", 0, "NEW_RECOLLECTION", "SELF", "TEXT", "new", ["e4"], None), ("w5", 0, "NEW_RECOLLECTION", "OTHER", "TEXT", "old", ["e5"], None)]
+    changes = spark.createDataFrame(change, ch.CHANGE_SCHEMA)
+    basis = spark.createDataFrame([], "tenant_ref string, version_ref string, episode_ref string, role string")
+    episodes = spark.createDataFrame([(*own, "s", f"run{k}", f"e{k}") for k in range(6)], f"{owner}, session_ref string, run_ref string, episode_ref string").withColumnRenamed("t", "tenant_ref")
+    asked = []
+
+    def validate(some, dead):
+        asked.append({r.window_ref for r in some.collect()})
+        gone = {r.version_ref for r in dead.collect()}
+        return some.withColumn("window_valid", ~F.col("target").isin(*gone, "")).withColumn("valid", F.col("window_valid"))
+
+    out = ch.apply_in_order(changes, windows, validate, versions, basis, episodes, spark.createDataFrame([], "outcome_ref string"))
+    # w1 names a version that w0 replaced, w2 a text that is taken; w3 takes the text that w0 set free, before w5
+    assert sorted((r.text, r.application_scope, r.origin_job_ref) for r in out["versions"].collect()) == [("new", "other", "job-0"), ("new", "self", "job-4"), ("old", "other", "job-3")]
+    assert sorted((r.version_ref[:3], r.role, r.ref) for r in out["basis"].collect()) == [("rec", "formation", "e3"), ("rec", "formation", "e4"), ("rec", "revision", "e0")]
+    assert asked[0] == {"w0", "w4"} and set().union(*asked) == {f"w{k}" for k in range(6)} and sum(map(len, asked)) == 6
+
+
 def test_plans_have_no_cartesian_product_and_no_row_udf(spark):
     import __spark_entry__ as entry
 
