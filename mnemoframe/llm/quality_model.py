@@ -173,20 +173,15 @@ def _examples(posterior: dict[str, float]):
     return run
 
 
-def train(examples: list) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by adaptive gradient steps, in a fixed order; rows of (goal, features, counts)."""
+def train(goals: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by adaptive gradient steps, in a fixed order; features and their counts for each text."""
     weights, seen = np.zeros(1 << LOG_FEATURES), np.full(1 << LOG_FEATURES, 1e-6)
     bias = 0.0
-    if not examples:
-        return weights, bias
-    goals = np.array([x["goal"] for x in examples])
-    ids = [np.frombuffer(x["features"], dtype=np.uint32).astype(np.int64) for x in examples]
-    counts = [np.frombuffer(x["counts"], dtype=np.float32).astype(np.float64) for x in examples]
     order = np.random.default_rng(7)
     total = 1e-6
     for _ in range(EPOCHS):
         for k in order.permutation(len(goals)):
-            f, x = ids[k], counts[k]
+            f, x = ids[k].astype(np.int64), counts[k].astype(np.float64)
             step = 1 / (1 + np.exp(-np.clip(weights[f] @ x + bias, -50, 50))) - goals[k]
             grad = step * x + 1e-6 * weights[f]
             seen[f] += grad ** 2
@@ -196,6 +191,18 @@ def train(examples: list) -> tuple[np.ndarray, float]:
     return weights, bias
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the weights that are not zero, from the examples of the single task that this runs in, about TRAIN_ROWS."""
+    goals, ids, counts = [], [], []
+    for b in batches:
+        goals += b.column("goal").to_pylist()
+        ids += [np.frombuffer(x, dtype=np.uint32) for x in b.column("features").to_pylist()]
+        counts += [np.frombuffer(x, dtype=np.float32) for x in b.column("counts").to_pylist()]
+    weights, bias = train(np.array(goals), ids, counts)
+    at = np.flatnonzero(weights)
+    yield pa.record_batch({"n": pa.array([len(goals)], pa.int64()), "bias": pa.array([bias], pa.float64()), "at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "weights": pa.array([weights[at].tobytes()], pa.binary())})
+
+
 def scores(model: tuple[np.ndarray, float], texts: Texts) -> np.ndarray:
     """Chance that each text is good; 0 for a text without words."""
     weights, bias = model
@@ -218,12 +225,23 @@ def fit(rows: DataFrame, train_rows: int) -> tuple[dict[str, float], Broadcast]:
     """Posteriors of the vote patterns of rows (id, t, h), and the scorer that learned them."""
     patterns = {x["votes"]: x["count"] for x in rows.select("id", "t").mapInArrow(_vote_rows, "id long, votes string").groupBy("votes").count().orderBy("votes").collect()}
     posterior, _ = expectation_maximisation(patterns)
-    share = int(min(1.0, train_rows / max(1, sum(patterns.values()))) * 1_000_000)
-    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < share).select("id", "t")
-    examples = drawn.mapInArrow(_examples(posterior), "id long, goal double, features binary, counts binary")
-    # equal texts teach once; about train_rows rows
-    examples = examples.select("goal", "features", "counts").distinct().orderBy("goal", F.xxhash64("features", "counts"))
-    return posterior, rows.sparkSession.sparkContext.broadcast(train(examples.collect()))
+    total = sum(patterns.values())
+    share = min(1.0, train_rows / max(1, total))
+    while True:
+        # a text's hash without its sign is below a bound of 63 bits, so that any share is more than nothing
+        drawn = rows.where(F.expr("shiftrightunsigned(h, 1)") <= F.lit(min((1 << 63) - 1, int(share * (1 << 63))))).select("id", "t")
+        examples = drawn.mapInArrow(_examples(posterior), "id long, goal double, features binary, counts binary")
+        # equal texts teach once; one task fits them, in a fixed order, and only the weights reach the driver
+        examples = examples.select("goal", "features", "counts").distinct().repartition(1).sortWithinPartitions("goal", F.xxhash64("features", "counts"), "features", "counts")
+        found = examples.mapInArrow(_trained, "n long, bias double, at binary, weights binary").first()
+        if found is not None and found["n"] or share >= 1.0:
+            break
+        # no text with words was drawn
+        share = min(1.0, 64 * share)
+    weights = np.zeros(1 << LOG_FEATURES)
+    if found is not None:
+        weights[np.frombuffer(found["at"], dtype=np.int32)] = np.frombuffer(found["weights"])
+    return posterior, rows.sparkSession.sparkContext.broadcast((weights, found["bias"] if found is not None else 0.0))
 
 
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -232,7 +250,7 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Seven heuristics vote good, bad or nothing on each text. Expectation-maximisation over the counts of all vote patterns (at
     most 3^7, whatever the size of the table) estimates each labeller's accuracy and each pattern's posterior. Posteriors
     are the labels of a logistic scorer on 2^18 hashed features (words, and their shapes), fitted on about train_rows documents
-    drawn by hash; its score in every document, from the whole text, decides: kept if score >= threshold.
+    drawn by hash (more, where these hold no word); its score in every document, from the whole text, decides: kept if score >= threshold.
 
     Null and empty texts and those without words have score 0 and are rejected; null doc_ids and repeated rows get rows of their own
     like others. Without any text with words nothing is learned and every score is 0. Columns other than the two named ones are
