@@ -129,7 +129,7 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(near))
 
 
-def _blocks(percent: int):
+def _blocks(percent: int, bit_errors: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of two blocks of one bucket that are in different components, under the signature distance and of fitting sizes.
 
@@ -160,7 +160,7 @@ def _blocks(percent: int):
                     at = equal[np.arange(len(q)), c]
                     wrong = np.where(at.all(axis=1), 0, at.argmin(axis=1))
                     q = q[c * CHUNK + wrong == key[i] >> 48]
-                    q = q[np.bitwise_count(bbits[q] ^ abits[p]).sum(axis=1) <= BIT_ERRORS]
+                    q = q[np.bitwise_count(bbits[q] ^ abits[p]).sum(axis=1) <= bit_errors]
                     hits_a.append(np.full(len(q), an[p]))
                     hits_b.append(bn[q])
                 if hits_a:
@@ -184,7 +184,7 @@ def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.where(F.expr(f"100 * common >= {percent} * (size(as) + size(bs) - common)")).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bit_errors: int = BIT_ERRORS) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, class_id, component_id (all long), kept boolean.
 
     Texts are sets of shingles of `words` words (ASCII white space separates, A-Z count as a-z); two texts are linked if
@@ -196,7 +196,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        copies costs a few pairs a member and not the square of its size;
     3. a last round over the buckets that still hold several components: all their pairs between different components, compared
        in blocks of about 256 members; only those under the distance leave the task, and of these only those that a longer
-       signature of 2048 bits can't tell from a similarity of 0.75. So no link that the signatures allow is lost.
+       signature of 2048 bits can't tell from a similarity of 0.75: of pairs of exactly that similarity one in 100,000 differs in
+       more than `bit_errors` bits and is not confirmed. With bit_errors = 2048 all pairs under the first distance are confirmed.
 
     Every pair is confirmed on its full sets. Null and empty texts, and those of white space only, have 0 shingles and are alone.
     Equal rows fall into one class. Rows with one doc_id and different texts are judged each by its text under their common
@@ -242,12 +243,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_bit_signatures, "node long, bits binary")
     rest = rest.join(live.join(bits, "node"), "node").select("key", "node", "component", "n", "sig", "bits")
     size = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = rest.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).groupBy("key", "block")
+    blocks = rest.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).groupBy("key", "block", "blocks")
     blocks = cut_lineage(blocks.agg(F.collect_list(F.struct("node", "component", "n", "sig", "bits")).alias("members")))
-    left = blocks.select("key", F.col("block").alias("x"), F.col("members").alias("left"))
+    # a block goes to each later one of its bucket: the pairs of a large bucket spread over its blocks
+    left = blocks.select("key", F.col("block").alias("x"), F.col("members").alias("left"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("y"))
     right = blocks.select("key", F.col("block").alias("y"), F.col("members").alias("right"))
-    pairs = left.join(right, "key").where("x < y or x = y and size(left) > 1").select("key", "left", "right", F.expr("x = y").alias("same"))
-    pairs = pairs.mapInArrow(_blocks(percent), "a long, b long").distinct()
+    pairs = left.join(right, ["key", "y"]).where("x < y or size(left) > 1").select("key", "left", "right", F.expr("x = y").alias("same"))
+    pairs = pairs.mapInArrow(_blocks(percent, bit_errors), "a long, b long").distinct()
     pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
     found = components(links.union(_confirmed(sets, pairs, percent)))
     named = classes.join(found, "node", "left").select("n", "f1", "f2", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
