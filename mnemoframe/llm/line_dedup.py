@@ -17,9 +17,15 @@ MIN_CHARS = 10
 #: Each filter has 2 ** LOG_SEGMENTS segments of 2 ** log_bits bits; a key has HASHES bits in one segment.
 LOG_SEGMENTS = 6
 HASHES = 4
-#: Bits for each line, as long as a filter stays within MAX_BYTES, which is what one task holds and what is broadcast.
+#: Bits for each line. The second filter is broadcast while it stays within MAX_BYTES; beyond that filters stay where they are
+#: built, in so many segments that each has about 2 ** SEGMENT_BITS bits.
 BITS_A_KEY = 10
 MAX_BYTES = 64 << 20
+SEGMENT_BITS = 23
+
+#: Byte values of a second hash of a line.
+_OTHER = spans.mix(spans.FOLDED, 11)
+_SIGNS = spans.SPACES.decode()
 
 
 def _keys(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,19 +117,93 @@ def _suspects(min_chars: int, log_bits: int, packed):
     return run
 
 
-def _rewrite(text_col: str, drop_col: str, counts: bool):
+def _line_hashes(min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, h, hash, second, lines): each key of a text by two hashes, with the numbers of its lines."""
+        for b in spans.slices(batches, "t"):
+            data, starts, ends, values, text, number = _keys(b.column("t"), min_chars)
+            at = np.lexsort((number, values, text))
+            v, t = values[at], text[at]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
+            head = np.flatnonzero(new)
+            second = spans.hashes(data, starts, ends, _OTHER)[at[head]]
+            yield pa.record_batch({
+                "id": b.column("id").take(pa.array(t[head])), "h": b.column("h").take(pa.array(t[head])), "hash": pa.array(v[head].view(np.int64)), "second": pa.array(second.view(np.int64)),
+                "lines": pa.ListArray.from_arrays(pa.array(np.append(head, len(at)), pa.int32()), pa.array(number[at].astype(np.int32))),
+            })
+    return run
+
+
+def _slice_hashes(min_chars: int, log_segments: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each slice of texts its hashes by segment; one that several texts of the slice hold stands there twice."""
+        for b in spans.slices(batches, "t", 16 << 20):
+            values, text = _keys(b.column("t"), min_chars)[3:5]
+            found, n = np.unique(values[_once_a_text(values, text)], return_counts=True)
+            found = np.repeat(found, np.minimum(n, 2))
+            segment = (found >> np.uint64(64 - log_segments)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(segment, prepend=-1))
+            bodies = [found[i:j].tobytes() for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(found)])]
+            yield pa.record_batch({"segment": pa.array(segment[edges]), "hashes": pa.array(bodies, pa.binary())})
+    return run
+
+
+def _segment_suspects(log_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of a segment that its second filter holds, once each; rows are sorted by segment."""
+        now, bodies = None, []
+        for b in batches:
+            for segment, body in zip(b.column("segment").to_pylist(), b.column("hashes").to_pylist()):
+                if segment != now:
+                    yield from _tested(bodies, log_bits)
+                    now, bodies = segment, []
+                bodies.append(body)
+        yield from _tested(bodies, log_bits)
+    return run
+
+
+def _tested(bodies: list[bytes], log_bits: int) -> Iterator[pa.RecordBatch]:
+    once, twice = (np.zeros(1 << log_bits, dtype=bool) for _ in "12")
+    for body in bodies:
+        found, n = np.unique(np.frombuffer(body, dtype=np.uint64), return_counts=True)
+        bits = _bits(spans.mix(found), log_bits)
+        twice[bits[:, once[bits].all(axis=0) | (n > 1)]] = True
+        once[bits] = True
+    for body in bodies:
+        found = np.unique(np.frombuffer(body, dtype=np.uint64))
+        found = found[twice[_bits(spans.mix(found), log_bits)].all(axis=0)]
+        yield pa.record_batch({"hash": pa.array(found.view(np.int64))})
+
+
+def _segmented(rows: DataFrame, keys: int, min_chars: int, bits_a_key: int) -> DataFrame:
+    """(id, h, hash, second, lines): the keys that the second filter holds, with filters that stay in the tasks that build them."""
+    log_segments = int(max(LOG_SEGMENTS, np.ceil(np.log2(keys * bits_a_key)) - SEGMENT_BITS))
+    log_bits = int(np.ceil(np.log2(max(1024, keys * bits_a_key / 2 ** log_segments))))
+    hashes = rows.mapInArrow(_slice_hashes(min_chars, log_segments), "segment long, hashes binary")
+    suspects = hashes.repartition("segment").sortWithinPartitions("segment").mapInArrow(_segment_suspects(log_bits), "hash long").distinct()
+    lines = rows.mapInArrow(_line_hashes(min_chars), "id long, h long, hash long, second long, lines array<int>")
+    return cut_lineage(lines.join(suspects, "hash", "left_semi"))
+
+
+def _rewrite(text_col: str, drop_col: str, counts: bool, emptied: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows with their texts less the lines named in drop_col; counts: with the lines before and the lines that went."""
+        """The rows with their texts less the lines named in drop_col; counts: with the lines before and the lines that went.
+
+        Without emptied, rows go of whose text only white space stays.
+        """
         for b in spans.slices(batches, text_col):
-            texts, n, lost = b.column(text_col).to_pylist(), [], []
+            texts, n, lost, stay = b.column(text_col).to_pylist(), [], [], []
             for k, drop in enumerate(b.column(drop_col).to_pylist()):
                 gone = set(drop or ())
                 n.append((texts[k] or "").count("\n") + 1)
                 lost.append(len(gone))
                 if gone:
                     texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in gone)
+                stay.append(emptied or not gone or bool(texts[k].strip(_SIGNS)))
             out = {name: b.column(name) for name in b.schema.names if name != drop_col} | {text_col: pa.array(texts, pa.string())}
-            yield pa.record_batch(out | ({"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(lost, pa.int64())} if counts else {}))
+            out |= {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(lost, pa.int64())} if counts else {}
+            yield pa.record_batch(out).filter(pa.array(stay, pa.bool_()))
     return run
 
 
@@ -133,13 +213,18 @@ def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS, bits_a_key: int
     packed = cut_lineage(rows.mapInArrow(_segments(min_chars), "segment int, low binary"))
     keys = packed.agg(F.sum(F.length("low")) / 4).first()[0] or 0
     need = max(1024, keys * bits_a_key / 2 ** LOG_SEGMENTS)
-    log_bits = int(min(np.ceil(np.log2(need)), np.log2(max_bytes * 8) - LOG_SEGMENTS))
-    filters = packed.repartition("segment").mapInArrow(_filters(log_bits), "segment int, twice binary")
-    # 2 ** LOG_SEGMENTS rows, max_bytes together
-    twice = spark.sparkContext.broadcast({int(x["segment"]): bytes(x["twice"]) for x in filters.collect()})
-    found = cut_lineage(rows.mapInArrow(_suspects(min_chars, log_bits, twice), "id long, h long, key binary, lines array<int>"))
-    firsts = found.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    return found.join(firsts, "key").where("id != first").groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
+    if need * 2 ** LOG_SEGMENTS <= max_bytes * 8:
+        log_bits = int(np.ceil(np.log2(need)))
+        filters = packed.repartition("segment").mapInArrow(_filters(log_bits), "segment int, twice binary")
+        # 2 ** LOG_SEGMENTS rows, 2 * max_bytes together
+        twice = spark.sparkContext.broadcast({int(x["segment"]): bytes(x["twice"]) for x in filters.collect()})
+        found = cut_lineage(rows.mapInArrow(_suspects(min_chars, log_bits, twice), "id long, h long, key binary, lines array<int>"))
+        twice.destroy()
+        key = ["key"]
+    else:
+        found, key = _segmented(rows, int(keys), min_chars, bits_a_key), ["hash", "second"]
+    firsts = found.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(*key, "first")
+    return found.join(firsts, key).where("id != first").groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -151,8 +236,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The hashes of lines, 4 bytes a line and document, build two Bloom filters in segments: a key whose bits all stand in the
     first filter is set in the second one. Each task then tests its own lines against the second filter; only keys that it holds
-    are shuffled, as whole keys, for the exact count and the first document. A filter has 10 bits a line up to max_bytes; beyond
-    that more keys are suspects by mistake and are shuffled too, and the result is the same.
+    are shuffled, as whole keys, for the exact count and the first document. A filter has 10 bits a line. Up to max_bytes the second
+    filter is broadcast. Beyond that it stays where it is built, in segments of a fixed size whose number grows with the lines:
+    each segment's task names the hashes that its filter holds, lines are joined with these by their hashes (8 bytes and the
+    document, no text), and 128 bits of two hashes stand for the key.
 
     Null text counts as empty, one empty line, and comes back as null; rows with null doc_id lose no line and make none repeated;
     rows with one doc_id are one document for the rule, so a line that only they share stays in each. Columns of docs other than
@@ -165,14 +252,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.col("t").alias("text"), "n_lines", "n_dropped")
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the texts of line_dedup in text_col and all other columns as they are; null texts stay null."""
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, emptied: bool = True) -> DataFrame:
+    """docs with the texts of line_dedup in text_col and all other columns as they are; null texts stay null.
+
+    Without `emptied`, a document goes that lost lines and has nothing but white space left: all it held stands in earlier ones.
+    """
     drop = repeated_lines(documents(docs, id_col, text_col).withColumn("h", F.xxhash64("t")).where("id is not null"), min_chars)
     of, h, lines = (fresh(docs, x) for x in ("of", "h", "lines"))
     drop = drop.select(F.col("id").alias(of), F.col("h").alias(h), F.col("drop").alias(lines))
     text = docs.withColumn(text_col, F.col(text_col).cast("string"))
     joined = text.join(drop, (F.col(id_col).cast("long") == F.col(of)) & (F.xxhash64(text_col) == F.col(h)), "left").drop(of, h)
-    return joined.mapInArrow(_rewrite(text_col, lines, False), text.schema)
+    return joined.mapInArrow(_rewrite(text_col, lines, False, emptied), text.schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
