@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand in an earlier document; n_chars follows the text."""
-    kept = line_dedup.without_repeated_lines(docs)
+    """Documents without lines that stand in an earlier document; n_chars follows the text. Documents that have nothing else go."""
+    kept = line_dedup.without_repeated_lines(docs, emptied=False)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept
@@ -50,15 +50,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet in the cluster's shared folder and read by the next one.
 
-    The folder goes at the end: packing has written its pieces to a checkpoint by then.
+    The folder goes at the end, also when a stage fails: packing has written its pieces to a checkpoint by then.
     """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs.write.parquet(f"{folder}/{name}")
+                docs = spark.read.parquet(f"{folder}/{name}")
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
