@@ -16,6 +16,8 @@ COMMON_WORDS: dict[str, tuple[str, ...]] = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "sur", "pas"),
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para"),
 }
+#: Languages whose references are broadcast; more are joined.
+BROADCAST_ROWS = 10_000
 #: Limits of the divergence (0 to 1) from the language's reference, and the fewest words at which it counts.
 CHAR_LIMIT = 0.06
 WORD_LIMIT = 0.06
@@ -55,14 +57,20 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
     """n_repeat_words: words in runs of three that occur twice or more in the text.
 
     Runs are 64-bit hashes. Texts whose runs are all different need no more; in others hashes are sorted with their places in
-    the low bits (as many as the text's length needs), so that equal runs stand side by side, and the places of the repeated
-    ones and of the two words after them are counted once.
+    the low bits (as many as the text's length needs), so that equal runs stand side by side. Neighbours that agree in the bits
+    left are compared by their words, so runs that only share a hash are no repeats. The places of the repeated ones and of the
+    two words after them are counted once.
     """
     hashed = rows.withColumn("hw", F.expr("transform(words, x -> xxhash64(x))"))
     runs = hashed.withColumn("runs", F.expr("if(n_words < 3, array(), transform(slice(hw, 1, greatest(0, cast(n_words as int) - 2)), (x, i) -> xxhash64(x, hw[i + 1], hw[i + 2])))")).drop("hw")
     some = runs.withColumn("again", F.expr("size(runs) > size(array_distinct(runs))")).withColumn("low", F.expr("shiftleft(1L, cast(ceil(log2(n_words + 2)) as int)) - 1"))
     keyed = some.withColumn("keyed", F.expr("if(again, sort_array(transform(runs, (x, i) -> (x & ~low) | cast(i as long))), cast(array() as array<bigint>))")).drop("runs")
-    found = keyed.withColumn("found", F.expr("transform(filter(keyed, (x, i) -> (x & ~low) <=> (get(keyed, i + 1) & ~low) or (x & ~low) <=> (get(keyed, i - 1) & ~low)), x -> x & low)")).drop("keyed", "again", "low")
+
+    def same(other: str) -> str:
+        word = "get(words, cast(({x} & low) as int) + {k})".format
+        return f"((x & ~low) <=> ({other} & ~low) and " + " and ".join(f"{word(x='x', k=k)} <=> {word(x=other, k=k)}" for k in range(3)) + ")"
+
+    found = keyed.withColumn("found", F.expr(f"transform(filter(keyed, (x, i) -> {same('get(keyed, i + 1)')} or {same('get(keyed, i - 1)')}), x -> x & low)")).drop("keyed", "again", "low")
     return found.withColumn("n_repeat_words", F.expr("cast(size(array_distinct(concat(found, transform(found, x -> x + 1), transform(found, x -> x + 2)))) as bigint)")).drop("found")
 
 
@@ -107,9 +115,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns = ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *BINS, *bins]
     counted = cut_lineage(counted.select(*columns, rest.alias("w_rest")))
     bins.append("w_rest")
-    reference = counted.groupBy(F.col("lang").alias("of")).agg(*[F.sum(n).alias(f"r_{n}") for n in (*BINS, *bins)])
-    # one row for each language
-    judged = counted.join(F.broadcast(reference), F.col("lang").eqNullSafe(F.col("of")))
+    reference = cut_lineage(counted.groupBy(F.col("lang").alias("of")).agg(*[F.sum(n).alias(f"r_{n}") for n in (*BINS, *bins)]))
+    # one row for each language; a column with very many values is joined by shuffling
+    reference = F.broadcast(reference) if reference.count() <= BROADCAST_ROWS else reference
+    judged = counted.join(reference, F.col("lang").eqNullSafe(F.col("of")))
     judged = _jensen_shannon(judged, BINS, [f"r_{n}" for n in BINS], "js_chars")
     judged = _jensen_shannon(judged, bins, [f"r_{n}" for n in bins], "js_words")
     judged = judged.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
