@@ -43,6 +43,8 @@ REJECTED_WORDS = tuple("""
 """.split())
 #: Rejected hosts that must share a word before it marks other hosts.
 SUPPORT = 2
+#: Share of URLs that a threshold may misjudge where only one class is known.
+ALONE = 0.005
 #: Hosts that are broadcast; more are joined.
 BROADCAST_ROWS = 200_000
 
@@ -109,7 +111,6 @@ class Ratio:
     def __init__(self, counts: pa.Table):
         self.counts = np.zeros(((ORDER + 1) * 4, PLACES), dtype=np.float32)
         self.counts[counts.column("kind").to_numpy(), counts.column("place").to_numpy()] = counts.column("n").to_numpy()
-        self.taught = bool(self.counts[1].sum() and self.counts[2 * (ORDER + 1) + 1].sum())
 
     def scores(self, urls: pa.Array) -> np.ndarray:
         pairs, alone, offsets = _codes(urls)
@@ -161,17 +162,33 @@ def rejected_hosts(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
 
 
 def threshold(bins: list[tuple[int, bool, int]]) -> float:
-    """The lower edge of the score bin from which on URLs are allowed: least sum of both classes' error shares, the lowest of equals."""
+    """The lower edge of the score bin from which on URLs are allowed: least sum of both classes' error shares, the lowest of equals.
+
+    With one class only, the edge that ALONE of its URLs miss; without any, the lowest one.
+    """
     good, bad = np.zeros(BINS + 1), np.zeros(BINS + 1)
     for k, accepted, n in bins:
         (good if accepted else bad)[k] += n
-    if not good.sum() or not bad.sum():
-        return 0.0
+    if not bad.sum():
+        k = int((np.cumsum(good) > ALONE * good.sum()).argmax()) if good.sum() else 0
+        return k * 2 * SPAN / BINS - SPAN if k else -np.inf
+    if not good.sum():
+        return float((BINS - int((np.cumsum(bad[::-1]) > ALONE * bad.sum()).argmax()) + 1) * 2 * SPAN / BINS - SPAN)
     lost = np.concatenate([[0], np.cumsum(good)[:-1]]) / good.sum()
     passed = (bad.sum() - np.concatenate([[0], np.cumsum(bad)[:-1]])) / bad.sum()
     return float(int((lost + passed).argmin()) * 2 * SPAN / BINS - SPAN)
 
 
+def _aside(lessons: DataFrame) -> Column:
+    """Which lessons calibrate: those of whole hosts, so that no host is both learned and tested."""
+    by_host = F.pmod(F.crc32("host"), F.lit(5)) == 0
+    sides = lessons.groupBy("good", by_host.alias("aside")).agg(F.count("*").alias("n")).collect()
+    whole = {(x["good"], x["aside"]) for x in sides}
+    if all((good, aside) in whole for good, _ in whole for aside in (True, False)):
+        return by_host
+    return F.pmod(F.crc32("url"), F.lit(5)) == 0
+
+
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, rejected_words: Sequence[str] = REJECTED_WORDS) -> DataFrame:
     """One row for each row of pages: page_id, host, path, rule, verdict, score.
 
@@ -179,12 +196,14 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     that fits decides. All other URLs are judged by two byte models with contexts of 0 to 4 bytes, each smoothed by the shorter
     one. Rejected are, when they learn, all URLs with one of rejected_words as a word of the host, and those of hosts that rejected
     ones lead to by further words (see rejected_hosts); accepted all others that a rule allows. (A blocking rule closes a place on a site and says nothing on the kind of its URLs; models that learned from those
-    blocked three in five URLs of hosts that no rule names.) One lesson in five (by CRC-32) is left out and calibrates the
-    threshold on the mean log ratio for a byte, by the least sum of both error shares. Models are counts in 2^18 hashed places for
+    blocked three in five URLs of hosts that no rule names.) The lessons of one host in five (by CRC-32; one URL in five, if a class
+    then has hosts on one side only) are left out and calibrate the threshold on the mean log ratio for a byte, by the least sum of
+    both error shares. With lessons of one class only, the other model knows nothing (all bytes are as likely), and the threshold
+    leaves 99.5 % of that class on its side. Models are counts in 2^18 hashed places for
     each context length, whatever the size of the table.
 
     Null URLs and those without :// have empty host and path, fit no rule and are blocked; an empty path fits only rules without a
-    path. Without URLs of both kinds nothing is learned, and what no rule decides is allowed. Null page_ids and repeated rows are rows
+    path. Without any lesson all scores are equal, and what no rule decides is allowed. Null page_ids and repeated rows are rows
     like others; columns other than the two named ones are not looked at; an empty table gives no rows.
     """
     spark = pages.sparkSession
@@ -199,14 +218,15 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # one row a host
     marked = rows.join(_few(also).withColumn("led", F.lit(True)), "host", "left")
     bad_word = bad_word | F.col("led").isNotNull()
-    lessons = marked.where(bad_word | (F.col("ruled") == "allow")).select("url", (~bad_word).alias("good"), (F.crc32("url") % 5 == 0).alias("aside"))
+    lessons = marked.where(bad_word | (F.col("ruled") == "allow")).select("host", "url", (~bad_word).alias("good"))
+    lessons = lessons.withColumn("aside", _aside(lessons))
     counts = lessons.where("not aside").select("url", "good").mapInArrow(_counted, "kind int, place long, n long").groupBy("kind", "place").agg(F.sum("n").alias("n"))
     # at most 20 x 2^18 rows
     model = Ratio(counts.toArrow())
     shared = spark.sparkContext.broadcast(model)
     edge = F.least(F.greatest(F.floor((F.col("score") + SPAN) / (2 * SPAN / BINS)), F.lit(0)), F.lit(BINS)).cast("int")
     tested = lessons.where("aside").select("url", "good").mapInArrow(_scored(shared), "url string, good boolean, score double")
-    least = threshold([(x["k"], x["good"], x["n"]) for x in tested.groupBy(edge.alias("k"), "good").agg(F.count("*").alias("n")).collect()]) if model.taught else -1e9
+    least = threshold([(x["k"], x["good"], x["n"]) for x in tested.groupBy(edge.alias("k"), "good").agg(F.count("*").alias("n")).collect()])
     scored = rows.mapInArrow(_scored(shared), "id long, url string, host string, path string, rule string, ruled string, score double")
     learned = F.when(F.coalesce(F.instr("url", "://"), F.lit(0)) == 0, "block").when(F.col("score") >= least, "allow").otherwise("block")
     return scored.select(F.col("id").alias("page_id"), "host", "path", "rule", F.coalesce("ruled", learned).alias("verdict"), "score")
