@@ -76,6 +76,15 @@ def _(t: Tables):
     return ev.poisson_bootstrap(ev.cluster_stats(differences(t)), SAMPLES)
 
 
+# draws have no SQL; the interval must hold the point estimate, which is exact
+@query("a07_tree_bootstrap", sql_with("results", extra=_diff() + "," + _STATS) + "SELECT comparison, count(*) AS personas, round(sum(s) / sum(n), 9) AS difference, true AS held, true AS apart FROM st GROUP BY 1")
+def _(t: Tables):
+    stats = ev.cluster_stats(differences(t))
+    point = stats.groupBy("comparison").agg(F.count(F.lit(1)).alias("personas"), F.round(F.sum("s") / F.sum("n"), 9).alias("difference"))
+    return point.join(ev.tree_bootstrap(stats, 400), "comparison").select(
+        "comparison", "personas", "difference", F.col("difference").between(F.col("ci_low"), F.col("ci_high")).alias("held"), (F.col("ci_low") < F.col("ci_high")).alias("apart"))
+
+
 @query("a08_persona_weighted", sql_with("results", extra=_diff() + "," + _STATS + ", pw AS (SELECT comparison, persona_id, s / n AS s, 1 AS n FROM st)," + _boot("pw")) + "SELECT comparison, round(avg(s), 9) AS difference, min(ci_low) AS ci_low, min(ci_high) AS ci_high FROM pw JOIN boot USING (comparison) GROUP BY 1")
 def _(t: Tables):
     pw = ev.persona_weighted(ev.cluster_stats(differences(t)))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.answers import pair_consensus
@@ -123,6 +126,56 @@ def poisson_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digi
     return _interval(means.filter("m IS NOT NULL"), digits)
 
 
+def _node_draws(*name) -> np.random.Generator:
+    """The random numbers of one node, the same in every task."""
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(hashlib.sha256(repr(name).encode()).digest()[:16], "little")))
+
+
+def block_counts(name: str, k: int, number: int, size: int, samples: int, seed: int = 0) -> np.ndarray:
+    """How many of the ``k`` draws of each sample fall on the members of one block of ``size`` numbers.
+
+    The draws are split down a binary tree of blocks: of the draws of a node, those of its left half are binomial. A node's random numbers
+    come from its name, so any two tasks split it alike and no task sees more of the tree than the way to its own block.
+    """
+    lo, hi = 0, -(-k // size)
+    here = np.full(samples, k, dtype=np.int64)
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        left = middle * size - lo * size
+        took = _node_draws(seed, name, lo, hi).binomial(here, left / (min(hi * size, k) - lo * size))
+        here, lo, hi = (took, lo, middle) if number < middle else (here - took, middle, hi)
+    return here
+
+
+def tree_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digits: int = 9, size: int = 256) -> DataFrame:
+    """The interval of ``cluster_bootstrap``, exact draws of ``k`` personas with replacement, without a row for each draw.
+
+    How often each persona is drawn in a sample is multinomial. Personas are numbered in hash order and gathered in blocks of ``size``; a block finds its own
+    share of each sample's draws (``block_counts``) and splits it among its members. Each task adds up its blocks, so
+    it sends ``samples`` sums for each comparison, whatever the number of personas.
+    """
+    keyed = stats.withColumn("__h", F.md5("persona_id"))
+    numbered = number_rows(keyed, ["comparison"], ["__h", "persona_id"], F.conv(F.substring("__h", 1, 3), 16, 10).cast("bigint"), "idx")
+    sizes = stats.groupBy("comparison").agg(F.count(F.lit(1)).alias("k"))
+    blocks = numbered.withColumn("block", F.floor((F.col("idx") - 1) / size).cast("bigint")).groupBy("comparison", "block").agg(
+        F.array_sort(F.collect_list(F.struct("idx", F.col("s").cast("double").alias("s"), F.col("n").cast("double").alias("n")))).alias("m")).join(sizes, "comparison")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for name, number, members, k in zip(*[b.column(c).to_pylist() for c in ("comparison", "block", "m", "k")]):
+                counts = block_counts(name, k, number, size, samples, seed)
+                share = _node_draws(seed, name, "members", number).multinomial(counts, np.full(len(members), 1 / len(members)))
+                values = np.array([(x["s"], x["n"]) for x in members])
+                sums[name] = sums.get(name, 0) + share @ values
+        for name, x in sums.items():
+            yield pa.record_batch({"comparison": pa.array([name] * samples), "b": pa.array(range(samples), pa.int32()), "s": pa.array(x[:, 0]), "n": pa.array(x[:, 1])})
+
+    parts = blocks.select("comparison", "block", "m", "k").mapInArrow(run, "comparison string, b int, s double, n double")
+    means = parts.groupBy("comparison", "b").agg((F.sum("s") / F.sum("n")).alias("m"))
+    return _interval(means, digits)
+
+
 def persona_weighted(stats: DataFrame) -> DataFrame:
     """Statistics in which every persona counts once with its mean."""
     return stats.select("comparison", "persona_id", (F.col("s") / F.col("n")).alias("s"), F.lit(1).alias("n"))

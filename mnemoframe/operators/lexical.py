@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import alnum_grams, bigram_bag, is_latin, let, squeezed, topic_terms, trimmed
 from ..plans.session import cut_lineage
@@ -68,7 +68,12 @@ def positive_scores(queries: DataFrame, texts: DataFrame, keys: Sequence[str], q
 
     shared = terms(q, query, "nq").join(terms(t, item, "nt"), [*keys, "term"]).groupBy(*keys, query, item).agg(
         F.count(F.lit(1)).alias("common"), F.max("nq").alias("nq"), F.max("nt").alias("nt"))
+    both = shared.unionByName(_gram_pairs(q, t, keys, query, item))
+    return both.select(*keys, query, item, (2.0 * F.col("common") / (F.col("nq") + F.col("nt"))).alias("score"))
+
 
+def _gram_pairs(q: DataFrame, t: DataFrame, keys: list[str], query: str, item: str) -> DataFrame:
+    """Common bigrams of pairs that are not both Latin."""
     def grams(df: DataFrame, name: str, size: str, latin: str) -> DataFrame:
         bag = F.coalesce("features.bag", bigram_bag("features.text"))
         return df.withColumn("__bag", bag).select(
@@ -78,12 +83,59 @@ def positive_scores(queries: DataFrame, texts: DataFrame, keys: Sequence[str], q
     foreign = lambda df: df.filter("NOT features.latin").select(*keys).distinct()
     near = lambda df, other: df.filter("NOT features.latin").unionByName(
         df.filter("features.latin").join(foreign(other), keys, "left_semi"))
-    gram_pairs = (
+    return (
         grams(near(q, t), query, "nq", "ql").join(grams(near(t, q), item, "nt", "tl"), [*keys, "gram"])
         .filter("NOT (ql AND tl)").groupBy(*keys, query, item).agg(
             F.count(F.lit(1)).alias("common"), F.max("nq").alias("nq"), F.max("nt").alias("nt")))
-    both = shared.unionByName(gram_pairs)
-    return both.select(*keys, query, item, (2.0 * F.col("common") / (F.col("nq") + F.col("nt"))).alias("score"))
+
+
+#: A query's rarest terms are probed first, until their postings hold so many times k items.
+FIRST = 4
+_EPS = 1e-9
+
+
+def best_overlaps(queries: DataFrame, items: DataFrame, keys: Sequence[str], query: str, item: str, k: int,
+                  jaccard: bool = False, place: str | None = None) -> DataFrame:
+    """(keys, query, item, score, place): all pairs above zero that can be among the ``k`` best of a query, with exact scores.
+
+    ``queries`` and ``items`` hold ``terms``, arrays of different terms; scores are Dice or Jaccard. With ``place``, a column of both, only items before
+    the query's place count. A query's terms are put in order of how many items have them. Its rarest terms give the first
+    candidates and a k-th best score. A better pair must share so many terms that, by pigeonhole, one of them is among the query's
+    first ones up to a place that follows from that score; only those are probed, and only items of fitting sizes. A term
+    that stands in every text comes last and is probed only if nothing rarer gives k items.
+    """
+    keys, own = list(keys), [*keys, query]
+    at = [place] if place else []
+    q = cut_lineage(queries.select(*own, "terms", F.size("terms").alias("nq"), *[F.col(c).alias("__now") for c in at]))
+    t = cut_lineage(items.select(*keys, item, "terms", F.size("terms").alias("nt"), *[F.col(c).alias("__at") for c in at]))
+    postings = t.select(*keys, item, "nt", *["__at" for _ in at], F.explode("terms").alias("term"))
+    asked = q.select(*own, "nq", *["__now" for _ in at], F.explode("terms").alias("term"))
+    common = asked.select(*keys, "term").distinct().join(postings.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df")), [*keys, "term"])
+    # at most one row for each term of a query
+    order = F.row_number().over(W.partitionBy(*own).orderBy("df", "term"))
+    before = F.sum("df").over(W.partitionBy(*own).orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1))
+    ranked = asked.join(common, [*keys, "term"]).withColumn("pos", order).withColumn("first", F.coalesce(before, F.lit(0)) < FIRST * k).withColumn(
+        "m", F.count(F.lit(1)).over(W.partitionBy(*own)))
+    ranked = cut_lineage(ranked)
+
+    def met(terms: DataFrame) -> DataFrame:
+        rows = terms.join(postings, [*keys, "term"])
+        return rows.filter("__at < __now") if place else rows
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(q.select(*own, "nq", F.col("terms").alias("__q")), own).join(t.withColumnRenamed("terms", "__t"), [*keys, item])
+        c = F.size(F.array_intersect("__q", "__t"))
+        score = c / (F.col("nq") + F.col("nt") - c) if jaccard else 2.0 * c / (F.col("nq") + F.col("nt"))
+        return both.select(*own, item, score.alias("score"), *[F.col("__at").alias(c) for c in at])
+
+    one = cut_lineage(scored(met(ranked.filter("first")).select(*own, item).distinct()))
+    bound = top_n(one.select(*own, "score"), own, [F.col("score").desc()], k, "__r").filter(F.col("__r") == k).select(*own, F.col("score").alias("least"))
+    least = F.coalesce("least", F.lit(0.0))
+    need = F.greatest(F.ceil((least * F.col("nq") if jaccard else least * F.col("nq") / (2 - least)) - _EPS), F.lit(1))
+    fit = F.least("nq", "nt") / F.greatest("nq", "nt") if jaccard else 2.0 * F.least("nq", "nt") / (F.col("nq") + F.col("nt"))
+    more = ranked.filter("NOT first").join(bound, own, "left").withColumn("least", least).filter(F.col("pos") <= F.col("m") - need + 1)
+    two = met(more).filter(fit >= F.col("least") - _EPS).select(*own, item).distinct().join(one.select(*own, item), [*own, item], "left_anti")
+    return one.unionByName(scored(two))
 
 
 def ngram_neighbours(queries: DataFrame, history: DataFrame, keys: Sequence[str], query: str, item: str,
@@ -94,16 +146,8 @@ def ngram_neighbours(queries: DataFrame, history: DataFrame, keys: Sequence[str]
     """
     keys = list(keys)
     at = [place] if place else []
-
-    def postings(df: DataFrame, name: str, size: str, at: str) -> DataFrame:
-        return df.withColumn("__g", alnum_grams("text", n)).select(
-            *keys, name, F.size("__g").alias(size), *([F.col(place).alias(at)] if place else []), F.explode("__g").alias("gram"))
-
-    pairs = postings(queries, query, "nq", "__now").join(postings(history, item, "nt", "__at"), [*keys, "gram"])
-    if place:
-        pairs = pairs.filter("__at < __now")
-    pairs = pairs.groupBy(*keys, query, item).agg(F.count(F.lit(1)).alias("c"), F.max("nq").alias("nq"), F.max("nt").alias("nt"), *[F.max("__at").alias(c) for c in at])
-    scored = pairs.withColumn("score", F.col("c") / (F.col("nq") + F.col("nt") - F.col("c")))
+    grams = lambda df, name: df.select(*keys, name, *at, alnum_grams("text", n).alias("terms"))
+    scored = best_overlaps(grams(queries, query), grams(history, item), keys, query, item, k, jaccard=True, place=place)
     return top_n(scored.select(*keys, query, item, "score", *at), [*keys, query], [F.col("score").desc(), *at, item], k)
 
 
@@ -123,15 +167,20 @@ def bounded_targets(windows: DataFrame, active: DataFrame, keys: Sequence[str],
 
     ``windows`` hold ``features`` of the window's query text, ``active`` of the memory text. Memories without
     any overlap score zero and follow in (newest, reference) order, which is the same for all windows of an
-    owner: its first ``n`` always hold enough of them. So no window is paired with the whole catalogue.
+    owner: its first ``n`` always hold enough of them. So no window is paired with the whole catalogue, nor with all that share a
+    common term with it (``best_overlaps``).
     """
     keys = list(keys)
     tail = [F.col("created_order").desc(), "version_ref"] if newest_first else ["version_ref"]
     newest = top_n(active.select(*keys, "version_ref", "created_order"), keys, tail, n, "__fill")
     filler = windows.select(*keys, window).join(newest, keys).select(
         *keys, window, "version_ref", "created_order", F.lit(0.0).alias("score"))
-    hits = positive_scores(windows, active, keys, window, "version_ref").join(
-        active.select(*keys, "version_ref", "created_order"), [*keys, "version_ref"])
+    w, a = cut_lineage(windows.select(*keys, window, "features")), cut_lineage(active.select(*keys, "version_ref", "features"))
+    latin = lambda df, name: df.filter("features.latin").select(*keys, name, F.col("features.terms").alias("terms"))
+    foreign = _gram_pairs(w, a, keys, window, "version_ref")
+    scores = best_overlaps(latin(w, window), latin(a, "version_ref"), keys, window, "version_ref", n).unionByName(
+        foreign.select(*keys, window, "version_ref", (2.0 * F.col("common") / (F.col("nq") + F.col("nt"))).alias("score")))
+    hits = scores.join(active.select(*keys, "version_ref", "created_order"), [*keys, "version_ref"])
     pool = hits.select(filler.columns).unionByName(filler).groupBy(*keys, window, "version_ref", "created_order").agg(
         F.max("score").alias("score"))
     best = top_n(pool, [*keys, window], [F.col("score").desc(), *tail], n).select(*keys, window, "version_ref")

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -536,3 +537,65 @@ def test_every_turn_is_a_target_of_evidence(spark):
     # all but those whose second citation is good have a finding, at the first turns for want of earlier ones, later ones by kind
     assert turns.where("turn < 2 or kind <> 0").join(found, "probe_ref", "left_anti").count() == 0
     assert {r["reason"] for r in found.select("reason").distinct().collect()} == {"missing", "duplicate", "not_before", "target_changed"}
+
+
+# --- bounded search and draws -----------------------------------------------------------------------
+@pytest.mark.parametrize("jaccard", [False, True])
+def test_best_overlaps_equal_all_pairs_and_stay_few(spark, jaccard):
+    draw = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)] + [f"rare{k}" for k in range(2000)]
+    text = lambda: sorted({"everywhere", *draw.choices(vocabulary[:60], k=4), *draw.choices(vocabulary[60:], k=3)})
+    items = [("o", f"i{k:04}", text(), draw.randrange(50)) for k in range(1500)]
+    queries = [("o", f"q{k}", text() if k else ["everywhere"], draw.randrange(50)) for k in range(40)]
+    q = spark.createDataFrame(queries, "owner string, q string, terms array<string>, at long")
+    t = spark.createDataFrame(items, "owner string, i string, terms array<string>, at long")
+    for place in (None, "at"):
+        got = defaultdict(dict)
+        for r in lexical.best_overlaps(q, t, ["owner"], "q", "i", 5, jaccard=jaccard, place=place).collect():
+            assert r.i not in got[r.q]
+            got[r.q][r.i] = r.score
+        pairs = 0
+        for _, name, terms, now in queries:
+            score = {}
+            for _, item, other, at in items:
+                c = len(set(terms) & set(other))
+                if c and (place is None or at < now):
+                    score[item] = c / (len(terms) + len(other) - c) if jaccard else 2 * c / (len(terms) + len(other))
+            best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+            found = sorted(got[name].items(), key=lambda x: (-x[1], x[0]))[:5]
+            assert [(a, round(b, 12)) for a, b in found] == [(a, round(b, 12)) for a, b in best]
+            pairs += len(got[name]) if name != "q0" else 0
+        # the term that every text has would make 39 x 1500 pairs
+        assert pairs < 39 * 400
+
+
+def test_tree_draws_add_up_and_are_uniform():
+    k, size, samples = 1000, 64, 300
+    counts = np.stack([evalstats.block_counts("c", k, b, size, samples) for b in range(-(-k // size))])
+    assert (counts.sum(axis=0) == k).all()
+    share = counts.sum(axis=1) / (k * samples)
+    assert np.allclose(share, [min(size, k - size * b) / k for b in range(len(share))], atol=0.003)
+    # as spread as draws are
+    assert np.allclose(counts[0].var(), k * 0.064 * 0.936, rtol=0.3)
+
+
+def test_tree_bootstrap_near_the_drawn_one(spark):
+    draw = random.Random(4)
+    stats = spark.createDataFrame([("c", f"p{k}", float(draw.randint(-5, 9)), draw.randint(5, 15)) for k in range(700)] + [("d", f"p{k}", 1.0, 2) for k in range(3)], "comparison string, persona_id string, s double, n long")
+    tree = {r.comparison: r for r in evalstats.tree_bootstrap(stats, 1000).collect()}
+    plain = {r.comparison: r for r in evalstats.cluster_bootstrap(stats, 1000).collect()}
+    width = plain["c"].ci_high - plain["c"].ci_low
+    assert abs(tree["c"].ci_low - plain["c"].ci_low) < 0.1 * width and abs(tree["c"].ci_high - plain["c"].ci_high) < 0.1 * width
+    assert (tree["d"].ci_low, tree["d"].ci_high) == (0.5, 0.5)
+    again = {r.comparison: r for r in evalstats.tree_bootstrap(stats.repartition(7), 1000).collect()}
+    assert all(abs(again[x].ci_low - tree[x].ci_low) < 1e-9 for x in tree)
+
+
+def test_snippet_chains_of_many_turns(spark):
+    """One snippet text that fits very many turns: chains are counted without gathering them."""
+    turns = spark.createDataFrame([(1, k, "same words" if k % 2 else f"word{k}", "yes") for k in range(3000)] + [(2, k, x, "ok") for k, x in enumerate("abcab")], "conv_id long, idx long, user_text string, agent_text string")
+    ask = lambda q, conv, *texts: [(q, conv, p, "user", x) for p, x in enumerate(texts)]
+    snippets = spark.createDataFrame(ask("q1", 1, "same words") + ask("q2", 1, "word2998", "same words") + ask("q3", 2, "c", "b") + ask("q4", 2, "a", "b") + ask("q5", 2, "b", "c", "a", "b") + ask("q6", 2, "c", "c") + ask("q7", 2, "zzz"),
+                                     "question_ref string, conv_id long, pos long, role string, text string")
+    got = {r.question_ref: (r.status, r.matches) for r in ev.snippet_alignment(snippets, turns).collect()}
+    assert got == {"q1": ("ambiguous", 2), "q2": ("matched", 1), "q3": ("matched", 1), "q4": ("ambiguous", 2), "q5": ("matched", 1), "q6": ("unmatched", 0), "q7": ("unmatched", 0)}
