@@ -280,23 +280,36 @@ def in_order(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("at", F.struct("arrival", "request_hash", "row"))
 
 
-def intake_job(requests: DataFrame) -> DataFrame:
-    """Requests to receipts: ``status`` and, once the gate is open, the episode reference.
-
-    A request that is refused, because its source has another payload or its group is sealed, frees its key and its source. A
-    replay gets the receipt of the accepted request. Texts are read once; later steps see hashes and references only.
-    """
-    checked = in_order(requests.withColumn("reason", F.coalesce(
+def hashed_requests(requests: DataFrame) -> DataFrame:
+    """Requests without their texts: keys, order, hashes, and the reason why a request is malformed."""
+    return in_order(requests.withColumn("reason", F.coalesce(
         source_reason(), F.when(~binding_state().isin("ok", "none"), binding_state()))).select(
         *GROUP, "source_ref", "role", "idempotency_key", "arrival", "reason",
         refs.observe_hash().alias("request_hash"), payload_hash().alias("payload_hash")))
-    valid = checked.filter("reason IS NULL").withColumn("refusal", F.lit(None).cast("string")).drop("reason")
-    status = valid.join(settle(valid), "row")
+
+
+def well_formed(checked: DataFrame) -> DataFrame:
+    return checked.filter("reason IS NULL").withColumn("refusal", F.lit(None).cast("string")).drop("reason")
+
+
+def request_receipts(status: DataFrame, checked: DataFrame) -> DataFrame:
+    """``status`` of every request and, once the gate is open, the episode reference."""
     links = status.filter("status = 'accepted' AND run_ref <> '' AND source_group_ref <> ''")
     given = links.join(gates(links), GROUP).filter("arrival >= gate").select("row", refs.episode_ref().alias("episode_ref"))
     receipts = status.filter("status = 'accepted'").join(given, "row", "left").select(*HEAD, F.coalesce("episode_ref", F.lit("")).alias("episode_ref"))
     decided = status.join(receipts, HEAD, "left").select(
-        *HEAD, "arrival", "status", F.when(F.col("status").isin("accepted", "replay"), F.col("episode_ref")).otherwise("").alias("episode_ref"))
+        "row", *HEAD, "arrival", "status", F.when(F.col("status").isin("accepted", "replay"), F.col("episode_ref")).otherwise("").alias("episode_ref"))
     refused = checked.filter("reason IS NOT NULL").select(
-        *HEAD, "arrival", F.concat(F.lit("invalid:"), "reason").alias("status"), F.lit("").alias("episode_ref"))
+        "row", *HEAD, "arrival", F.concat(F.lit("invalid:"), "reason").alias("status"), F.lit("").alias("episode_ref"))
     return decided.unionByName(refused)
+
+
+def intake_job(requests: DataFrame) -> DataFrame:
+    """Requests to receipts: ``status`` and, once the gate is open, the episode reference.
+
+    A request that is refused, because its source has another payload or its group is sealed, frees its key and its source. A
+    replay gets the receipt of the accepted request. Texts are read once; later steps see hashes and references only.
+    """
+    checked = hashed_requests(requests)
+    valid = well_formed(checked)
+    return request_receipts(valid.join(settle(valid), "row"), checked).drop("row")

@@ -12,17 +12,11 @@ from ..operators.index_log import apply_index_log, valid_operations
 SCHEMA = "kind string, ref string, text string"
 
 
-class IndexTable:
-    """kind, ref, text, by hash in a fixed number of buckets.
-
-    A batch writes new files of the buckets that it touches, then a manifest that names the files of every bucket, and renames the
-    pointer to it as the last step. A batch that failed before that leaves files that no manifest names; a batch that is
-    repeated finds its number in the manifest and does nothing; numbers may be missing, as no batch looks for the one before. Readers hold on to the manifest
-    that they opened.
-    """
+class PointedFolder:
+    """A folder whose content is what a manifest names; the pointer to the manifest is renamed as the last step of a change."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 256):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -45,13 +39,12 @@ class IndexTable:
         return text
 
     def manifest(self) -> dict:
-        """batch: the last number applied; buckets: the folder of each bucket's files, none for an empty one."""
         name = self._get("current")
-        return json.loads(self._get(f"manifests/{name.strip()}")) if name else {"batch": -1, "buckets": {}}
+        return json.loads(self._get(f"manifests/{name.strip()}")) if name else {}
 
-    def _swap(self, manifest: dict) -> None:
-        name = f"{manifest['batch']}-{uuid.uuid4().hex}"
-        self._put(f"manifests/{name}", json.dumps(manifest))
+    def swap(self, manifest: str) -> None:
+        name = uuid.uuid4().hex
+        self._put(f"manifests/{name}", manifest)
         self._put(f"current.{name}", name)
         fs = self.spark._jvm.org.apache.hadoop.fs
         options = self.spark._sc._gateway.new_array(getattr(fs, "Options$Rename"), 1)
@@ -59,6 +52,24 @@ class IndexTable:
         context = fs.FileContext.getFileContext(self._path("current").toUri(), self.spark._jsc.hadoopConfiguration())
         context.rename(self._path(f"current.{name}"), self._path("current"), options)
 
+
+class IndexTable(PointedFolder):
+    """kind, ref, text, by hash in a fixed number of buckets.
+
+    A batch writes new files of the buckets that it touches, then a manifest that names the files of every bucket, and renames the
+    pointer to it as the last step. A batch that failed before that leaves files that no manifest names; a batch that is
+    repeated finds its number in the manifest and does nothing; numbers may be missing, as no batch looks for the one before. Readers hold on to the manifest
+    that they opened.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 256):
+        super().__init__(spark, folder)
+        self.buckets = buckets
+
+    def manifest(self) -> dict:
+        """batch: the last number applied; buckets: the folder of each bucket's files, none for an empty one."""
+        return super().manifest() or {"batch": -1, "buckets": {}}
+
     def _bucket(self):
         return F.pmod(F.xxhash64("kind", "ref"), F.lit(self.buckets)).cast("int")
 
@@ -89,7 +100,7 @@ class IndexTable:
                 buckets.pop(str(b), None)
                 if f"bucket={b}" in written:
                     buckets[str(b)] = f"{name}/bucket={b}"
-        self._swap({"batch": batch, "buckets": buckets})
+        self.swap(json.dumps({"batch": batch, "buckets": buckets}))
         return touched
 
     def sink(self, documents):

@@ -464,7 +464,7 @@ def test_index_table_survives_lost_and_repeated_batches(spark, tmp_path):
     assert written < before / 4
     # a batch that dies before the pointer is swapped leaves the table as it is, and comes again
     dying = index_table.IndexTable(spark, str(tmp_path / "index"), buckets=32)
-    dying._swap = lambda manifest: (_ for _ in ()).throw(OSError("lost"))
+    dying.swap = lambda manifest: (_ for _ in ()).throw(OSError("lost"))
     with pytest.raises(OSError):
         dying.apply(log(("EPISODE", "e9", "DELETE", 2000)), 6, docs)
     assert {r.ref for r in table.read().collect()} == {f"e{k}" for k in range(200)} - {"e8"}
