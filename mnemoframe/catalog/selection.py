@@ -9,6 +9,7 @@ from ..operators import context, selection
 from ..plans.bindings import Tables, sql_with
 from .registry import query
 from .retrieval import _LANES, dice, lanes, terms
+from .sqltext import SCOPE_FIELDS, hash_sql
 
 REQUEST = ["session_ref", "run_ref"]
 
@@ -206,6 +207,34 @@ def evidence(t: Tables):
     return selection.episode_evidence(requests, provider_hits(t), t("episodes"), t("links"), t("sources"), REQUEST)
 
 
+# the whole job: activations, evidence, what both and the constitution claim, and the context that is frozen
+_JOB = _SELECT + "," + _EV + _FOLD.replace("RECURSIVE_FOLD", "fold") + """,
+ask AS (SELECT s.session_ref, s.run_ref, s.conv_id, CASE WHEN s.conv_id % 12 = 0 THEN coalesce(x.version_ref, s.constitution_ref) ELSE s.constitution_ref END AS constitution_ref, {hash} AS h FROM selects s LEFT JOIN sel x ON x.session_ref = s.session_ref AND x.run_ref = s.run_ref AND x.item_order = 0),
+say AS (SELECT session_ref, run_ref, constitution_ref AS ref, 'constitution' AS kind FROM ask WHERE constitution_ref <> '' UNION SELECT session_ref, run_ref, version_ref, kind FROM sel UNION SELECT session_ref, run_ref, episode_ref, 'episode_evidence' FROM fold WHERE kept),
+cl AS (SELECT session_ref, run_ref, count(*) AS claims, bool_or(kinds > 1) AS ambiguous FROM (SELECT session_ref, run_ref, ref, count(DISTINCT kind) AS kinds FROM say GROUP BY 1, 2, 3) GROUP BY 1, 2),
+iv AS (SELECT session_ref, run_ref, count(*) AS items, string_agg(version_ref, ',' ORDER BY item_order) AS memory_refs FROM sel GROUP BY 1, 2),
+ie AS (SELECT session_ref, run_ref, count(*) AS episodes FROM fold WHERE kept GROUP BY 1, 2)
+SELECT a.session_ref, a.run_ref, 'context_' || substr(a.h, 1, 32) AS context_ref, coalesce(iv.memory_refs, '') AS memory_refs, coalesce(iv.items, 0) AS items, coalesce(ie.episodes, 0) AS episodes, coalesce(cl.claims, 0) AS claims,
+ CASE WHEN a.conv_id % 5 = 1 THEN 'conflict' WHEN a.conv_id % 5 = 0 THEN 'replay' WHEN coalesce(cl.ambiguous, false) THEN 'ambiguous' ELSE 'frozen' END AS status
+FROM ask a LEFT JOIN iv USING (session_ref, run_ref) LEFT JOIN ie USING (session_ref, run_ref) LEFT JOIN cl USING (session_ref, run_ref)"""
+_ASKED = [*[f"s.{x}" for x in (*SCOPE_FIELDS, "run_ref", "constitution_ref", "constitution_text")], "s.source_ref"]
+_SELECT_HASH = (f"CASE WHEN s.evidence_bytes = 0 THEN {hash_sql('memory-context-request.v2', *_ASKED)} "
+                f"ELSE {hash_sql('memory-context-request.episode-evidence.v1', 'CAST(s.evidence_bytes AS VARCHAR)', chr(39) + 'memory-context-request.v2' + chr(39), *_ASKED)} END")
+
+
+@query("c10_frozen_contexts", sql_with(*_VIEWS, extra=_JOB.replace("{hash}", _SELECT_HASH)).replace("WITH ", "WITH RECURSIVE ", 1))
+def _(t: Tables):
+    items = t.once("activations", lambda: activations(t).select(*REQUEST, "kind", "version_ref", "item_order"))
+    shown = t.once("evidence", lambda: evidence(t).select(*REQUEST, "episode_ref"))
+    asked = t("selects").withColumn("request_hash", refs.select_hash(F.array("source_ref"), F.col("evidence_bytes")))
+    # some constitutions reuse the name of a memory
+    head = items.filter("item_order = 0").select(*REQUEST, F.col("version_ref").alias("first"))
+    asked = asked.join(head, REQUEST, "left").withColumn("constitution_ref", F.when(
+        F.col("conv_id") % 12 == 0, F.coalesce("first", "constitution_ref")).otherwise(F.col("constitution_ref")))
+    store = asked.filter("conv_id % 5 < 2").select(*REQUEST, F.when(F.col("conv_id") % 5 == 0, F.col("request_hash")).otherwise("old").alias("request_hash"))
+    return selection.freeze_contexts(asked, items, shown, store, REQUEST)
+
+
 _CT = "SELECT i.context_ref, i.memory_ref, i.item_kind, coalesce(r.text, d.text) AS text, coalesce(r.application_scope, CASE d.scope_kind WHEN 'agent' THEN 'self' ELSE 'relation' END) AS application_scope FROM context_items i LEFT JOIN recollections r ON i.item_kind = 'recollection' AND r.version_ref = i.memory_ref LEFT JOIN dispositions d ON i.item_kind = 'disposition' AND d.version_ref = i.memory_ref"
 
 

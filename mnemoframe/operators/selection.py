@@ -304,3 +304,25 @@ def freeze(requests: DataFrame, frozen: DataFrame, run: Sequence[str]) -> DataFr
     return joined.withColumn("status", F.when(F.col("request_hash") != holder, "conflict").when(
         F.col("__stored").isNull() & (F.col("arrival") == F.col("__at")), "frozen").otherwise("replay")).drop(
         "__stored", "__first", "__at")
+
+
+def freeze_contexts(requests: DataFrame, items: DataFrame, evidence: DataFrame, frozen: DataFrame, run: Sequence[str]) -> DataFrame:
+    """The end of a selection: one row per request with its context, what it shows, and whether it is frozen.
+
+    ``requests``: run columns, arrival, request_hash, constitution_ref. ``items``: run columns, kind, version_ref, item_order (few per request). ``evidence``: run
+    columns, episode_ref. A run that has a context replays it or conflicts; else a reference that a context would show as two kinds refuses it.
+    """
+    run = list(run)
+    shown = items.select(*run, F.col("version_ref").alias("ref"), "kind").unionByName(
+        requests.filter("constitution_ref <> ''").select(*run, F.col("constitution_ref").alias("ref"), F.lit("constitution").alias("kind"))).unionByName(
+        evidence.select(*run, F.col("episode_ref").alias("ref"), F.lit("episode_evidence").alias("kind")))
+    claims = shown.groupBy(*run, "ref").agg((F.min("kind") != F.max("kind")).alias("ambiguous")).groupBy(*run).agg(
+        F.count(F.lit(1)).alias("claims"), F.max("ambiguous").alias("ambiguous"))
+    listed = items.groupBy(*run).agg(F.count(F.lit(1)).alias("items"), F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("item_order", "version_ref"))), lambda x: x["version_ref"]), ",").alias("memory_refs"))
+    episodes = evidence.groupBy(*run).agg(F.count(F.lit(1)).alias("episodes"))
+    status = freeze(requests, frozen, run)
+    joined = status.join(listed, run, "left").join(episodes, run, "left").join(claims, run, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return joined.select(*run, refs.context_ref(F.col("request_hash")).alias("context_ref"), F.coalesce("memory_refs", F.lit("")).alias("memory_refs"), zero("items"), zero("episodes"), zero("claims"),
+                         F.when((F.col("status") == "frozen") & F.coalesce("ambiguous", F.lit(False)), "ambiguous").otherwise(F.col("status")).alias("status"))
