@@ -13,7 +13,7 @@ from ..plans.session import cut_lineage, shared_folder
 from ..streaming import index_table
 from .intake import chain as delivered_chain
 from .registry import query
-from .retrieval import shortlists
+from .retrieval import _T07, shortlists
 from .sqltext import field, hash_blob, list_hex
 
 _EV = ("episodes", "links", "sources", "window_members", "window_outcomes", "outcome_heads", "turns", "model_outputs", "recollections", "dispositions")
@@ -178,13 +178,32 @@ _WTEXT = """wt AS (SELECT a.window_ref, a.origin, a.position, a.episode_ref, con
 cn AS (SELECT a.window_ref, arg_max(er.constitution_ref, er.admission_order) AS cr, arg_max(er.constitution_text, er.admission_order) AS ct FROM asm a JOIN er USING (episode_ref) WHERE a.origin = 'current' AND er.role = 'situation' GROUP BY 1)"""
 
 
-@query("c04_window_evidence", sql_with(*_EV, extra=_ROWS + "," + _WTEXT) + """SELECT c.window_ref, (SELECT count(*) FROM asm x WHERE x.window_ref = c.window_ref AND origin = 'current') AS current, (SELECT count(*) FROM asm x WHERE x.window_ref = c.window_ref AND origin = 'related') AS related,
+_BASE = """bs0 AS (SELECT c.window_ref, (SELECT count(*) FROM asm x WHERE x.window_ref = c.window_ref AND origin = 'current') AS current, (SELECT count(*) FROM asm x WHERE x.window_ref = c.window_ref AND origin = 'related') AS related,
  (SELECT count(*) FROM asm x WHERE x.window_ref = c.window_ref AND origin = 'revision_anchor') AS anchors, CAST((SELECT sum(octet_length(encode(er.text))) FROM asm x JOIN er USING (episode_ref) WHERE x.window_ref = c.window_ref AND er.role <> 'outcome') AS BIGINT) AS bytes,
  concat(CASE WHEN cr = '' THEN concat('CONSTITUTION', chr(10), 'UNKNOWN', chr(10), chr(10)) ELSE concat('CONSTITUTION', chr(10), 'MEMORY_REF ', cr, chr(10), '> ', ct, chr(10), 'END_CONSTITUTION', chr(10), chr(10)) END,
   (SELECT string_agg(block, chr(10) ORDER BY position) FROM wt WHERE wt.window_ref = c.window_ref AND origin = 'current'),
-  coalesce((SELECT chr(10) || 'RELATED_EPISODES' || chr(10) || string_agg(block, chr(10) ORDER BY position) FROM wt WHERE wt.window_ref = c.window_ref AND origin = 'related'), '')) AS window_text FROM cn c""")
+  coalesce((SELECT chr(10) || 'RELATED_EPISODES' || chr(10) || string_agg(block, chr(10) ORDER BY position) FROM wt WHERE wt.window_ref = c.window_ref AND origin = 'related'), '')) AS window_text FROM cn c)"""
+_WHOLE = _WTEXT + "," + _SENT + "," + _BASE + "," + _T07 + """,
+sl AS (SELECT DISTINCT concat('win-', split_part(x.session_ref, '-', 2)) AS window_ref, r.version_ref, r.application_scope, r.text FROM (SELECT session_ref, version_ref FROM sc WHERE r <= 64
+  UNION SELECT h.session_ref, h.ref FROM index_hits h JOIN ac ON ac.tenant_ref = h.tenant_ref AND ac.scope_kind = h.scope_kind AND ac.relationship_ref = h.relationship_ref AND ac.version_ref = h.ref WHERE h.kind = 'RECOLLECTION') x JOIN recollections r USING (version_ref)),
+sb AS (SELECT window_ref, list(version_ref ORDER BY version_ref) AS memories, sum(2 * octet_length(encode(version_ref)) + octet_length(encode(application_scope)) + octet_length(encode(text))) AS b FROM sl GROUP BY 1),
+fm AS (SELECT w.window_ref, EXISTS (SELECT 1 FROM window_members a JOIN fl x ON x.episode_ref = a.episode_ref, window_members b JOIN fl y ON y.episode_ref = b.episode_ref
+ WHERE a.window_ref = w.window_ref AND b.window_ref = w.window_ref AND a.origin = 'current' AND b.origin <> 'revision_anchor' AND x.formation_roles AND x.other_situation AND NOT x.repeats AND y.formation_roles AND y.other_situation AND NOT y.repeats AND x.session_ref <> y.session_ref) AS formation_possible
+ FROM (SELECT DISTINCT window_ref FROM window_members) w),
+dr AS (SELECT window_ref, count_if(user_situation) AS direct FROM asm JOIN fl USING (episode_ref) WHERE origin = 'current' GROUP BY 1),
+oo AS (SELECT o.window_ref, count(DISTINCT o.outcome_ref) AS outcomes FROM window_outcomes o JOIN fl USING (episode_ref) JOIN asm a ON a.window_ref = o.window_ref AND a.episode_ref = o.episode_ref AND a.origin <> 'revision_anchor'
+ JOIN fm ON fm.window_ref = o.window_ref AND fm.formation_possible WHERE o.actor_kind NOT IN ('agent', '') AND fl.formation_roles AND fl.other_situation GROUP BY 1),
+wh AS (SELECT b.*, coalesce(dr.direct, 0) AS direct, fm.formation_possible, coalesce(oo.outcomes, 0) AS outcomes, cn.cr,
+ list_concat(CASE WHEN b.current > 0 THEN ['NEW_RECOLLECTION'] ELSE [] END, CASE WHEN fm.formation_possible OR coalesce(dr.direct, 0) > 0 THEN ['NEW_DISPOSITION'] ELSE [] END) AS made, coalesce(sb.memories, []) AS memories,
+ (SELECT sum(x.b) FROM sent x WHERE x.window_ref = b.window_ref) + coalesce(sb.b, 0) + octet_length(encode(b.window_text)) AS parts
+ FROM bs0 b JOIN fm USING (window_ref) JOIN cn USING (window_ref) LEFT JOIN dr USING (window_ref) LEFT JOIN oo USING (window_ref) LEFT JOIN sb USING (window_ref))
+SELECT window_ref, current, related, anchors, bytes, CASE WHEN size <= {limit} THEN window_text END AS window_text, direct, formation_possible, outcomes, array_to_string(targets, ',') AS targets, CAST(size AS BIGINT) AS request_bytes,
+ size > {limit} OR list_contains(targets, cr) AS noop FROM (SELECT *, list_concat(made, memories) AS targets, parts + coalesce(octet_length(encode(array_to_string(made, ''))), 0) AS size FROM wh)"""
+
+
+@query("c04_window_evidence", sql_with(*_EV, "messages", "index_hits", extra=_ROWS + "," + _WHOLE.replace("{limit}", str(tx.MAX_WINDOW_BYTES))))
 def _(t: Tables):
-    return evidence(t).select("window_ref", "current", "related", "anchors", "bytes", "window_text")
+    return evidence(t).withColumn("targets", F.array_join("targets", ","))
 
 
 def evidence(t: Tables):
