@@ -247,6 +247,24 @@ def test_line_dedup_with_full_filters(spark):
     assert small == large
 
 
+@pytest.mark.parametrize("bits", [5, 8, 23])
+def test_line_dedup_in_segments(spark, monkeypatch, bits):
+    """Beyond the bound of the broadcast, filters of any number of segments give the same lines."""
+    rows = some_documents(80)
+    monkeypatch.setattr(line_dedup, "MAX_BYTES", 16)
+    monkeypatch.setattr(line_dedup, "SEGMENT_BITS", bits)
+    docs = brute.documents(spark, rows).selectExpr("doc_id as id", "text as t", "xxhash64(text) as h").where("id is not null")
+    got = {(r["id"], r["h"], tuple(sorted(r["drop"]))) for r in line_dedup.repeated_lines(docs.repartition(3), max_bytes=16).collect()}
+    want = {(r["id"], r["h"], tuple(sorted(r["drop"]))) for r in line_dedup.repeated_lines(docs).collect()}
+    assert got == want and got
+
+
+def test_emptied_documents_may_go(spark):
+    rows = [(1, "a first line here\na second line here"), (2, "A second line here \n \n"), (3, "a first line here\nmine"), (4, None), (5, ""), (6, " \n")]
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(brute.documents(spark, rows), emptied=False).collect()}
+    assert kept == {1: rows[0][1], 3: "mine", 4: None, 5: "", 6: " \n"}
+
+
 # leaks -----------------------------------------------------------------------------------------------------------------------
 
 def test_decontamination(spark):
@@ -348,6 +366,34 @@ def test_quality_rules_keep_clean_texts(spark):
     assert kept[1] > 0.97 and kept.get(0, 0) < 0.2
 
 
+def test_repeated_runs_of_very_long_texts(spark):
+    draw = random.Random(6)
+    once = [f"w{k}" for k in range(120_000)]
+    many = [f"v{draw.randrange(30)}" for _ in range(20_000)]
+    rows = [(1, " ".join(once)), (2, " ".join(once + many)), (3, " ".join(once[:70_000] + ["a", "b", "c"] + once[70_000:] + ["a", "b", "c"])), (4, "x y " * 40_000)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in divergence.quality_rules(brute.documents(spark, rows)).collect()}
+    assert got == {i: brute.rule_counts(t)[4] for i, t in rows}
+
+
+def test_thresholds_of_one_class():
+    bins = [(k, True, 100) for k in range(100, 300)]
+    edge = url_filter.threshold(bins)
+    place = (edge + url_filter.SPAN) / (2 * url_filter.SPAN / url_filter.BINS)
+    # half a per cent of 200 bins is one bin
+    assert round(place) in (100, 101)
+    high = url_filter.threshold([(k, False, 100) for k in range(100, 300)])
+    assert round((high + url_filter.SPAN) / (2 * url_filter.SPAN / url_filter.BINS)) in (299, 300)
+    assert url_filter.threshold([]) == -np.inf
+
+
+def test_calibration_hosts_are_not_learned(spark):
+    lessons = spark.createDataFrame([(f"h{k % 50}.org", f"http://h{k % 50}.org/{k}", k % 2 == 0) for k in range(400)], "host string, url string, good boolean")
+    split = lessons.withColumn("aside", url_filter._aside(lessons)).select("host", "aside").distinct().collect()
+    assert len(split) == 50 and 0 < sum(r["aside"] for r in split) < 25
+    few = lessons.where("host = 'h1.org' or good")
+    assert few.withColumn("aside", url_filter._aside(few)).where("not good").select("aside").distinct().count() == 2
+
+
 def test_url_rules(spark):
     urls = ["http://x.example.org/es/1", "https://example.org/en/12?a=1", "http://a.ORG/", "http://a.org", "http://aorg/es/", "http://b.com/fr/2#x", "http://b.com/de/3", "http://b.com/en/4", "http://n.net/", None, "", "no address", "://x.org/es/", "ftp://u@h.org:80/a", "http://h.org?x=/es/", "http://example.org/es/?y://z", "a\n://k.com/de/", "http://casino-win.example.com/en/1", "http://cheap-pills.example.net/en/2"] * 2
     pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").select("*", *[F.lit("z").alias(c) for c in ("host", "path", "rule", "id", "score", "ruled", "good", "aside")])
