@@ -223,7 +223,8 @@ def repeated_lines(rows: DataFrame, min_chars: int = MIN_CHARS, bits_a_key: int
         key = ["key"]
     else:
         found, key = _segmented(rows, int(keys), min_chars, bits_a_key), ["hash", "second"]
-    firsts = found.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(*key, "first")
+    # a table of its own: lines of a very common key can then be dealt to several tasks of the join
+    firsts = cut_lineage(found.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(*key, "first"))
     return found.join(firsts, key).where("id != first").groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
 
 
