@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import refs
 from ..plans.bindings import Tables, sql_with
-from ..streaming import run, state
+from ..plans.session import cut_lineage, shared_folder
+from ..streaming import run, state, window_table
 from .intake import _FIRST, _REQ_HASH, _gates
 from .registry import query
 from .sqltext import EPISODE_REF, GROUP
@@ -68,7 +71,11 @@ def _(t: Tables):
 _QUIET = 6 * 3600 * 1_000_000
 
 
-def _walk_windows() -> str:
+_STEPS = f"""steps AS (SELECT owner, episode_ref AS ref, epoch_us(CAST(ts AS TIMESTAMP)) AS tm, row_number() OVER (PARTITION BY owner ORDER BY ts, episode_ref) AS n FROM arrivals
+ UNION ALL SELECT owner, NULL, max(epoch_us(CAST(ts AS TIMESTAMP))) + 30 * {_QUIET}, count(*) + 1 FROM arrivals GROUP BY owner)"""
+
+
+def _walk_windows(rows: str = _STEPS) -> str:
     def closing(cond: str, pe: str, ta: str, to: str, out: str, now: str) -> str:
         window = f"(list_concat({ta}, {pe}))[1:32]"
         return (f"CASE WHEN {cond} THEN {window} ELSE [] END AS {out}, CASE WHEN {cond} THEN {pe}[len({window}) - len({ta}) + 1:] ELSE {pe} END AS pe{to}, "
@@ -80,8 +87,7 @@ def _walk_windows() -> str:
     new = "ref IS NOT NULL AND NOT list_contains(pe2, ref)"
     add = f"CASE WHEN {new} THEN list_append(pe2, ref) ELSE pe2 END AS pe3, CASE WHEN {new} THEN tm ELSE cl2 END AS cl3, {new} AS came"
     three = closing("came AND len(pe3) >= 32", "pe3", "ta2", "4", "w3", "CASE WHEN came AND len(pe3) >= 32 THEN tm ELSE cl3 END")
-    return f"""steps AS (SELECT owner, episode_ref AS ref, epoch_us(CAST(ts AS TIMESTAMP)) AS tm, row_number() OVER (PARTITION BY owner ORDER BY ts, episode_ref) AS n FROM arrivals
- UNION ALL SELECT owner, NULL, max(epoch_us(CAST(ts AS TIMESTAMP))) + 30 * {_QUIET}, count(*) + 1 FROM arrivals GROUP BY owner),
+    return rows + f""",
 walk AS (SELECT DISTINCT owner, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS pe, CAST([] AS VARCHAR[]) AS ta, CAST(0 AS BIGINT) AS cl, CAST([] AS VARCHAR[]) AS w1, CAST([] AS VARCHAR[]) AS w2, CAST([] AS VARCHAR[]) AS w3 FROM steps
  UNION ALL SELECT owner, n, pe4, ta4, cl4, w1, w2, w3 FROM (SELECT owner, n, w1, w2, {three} FROM (SELECT owner, n, tm, ta2, w1, w2, {add} FROM (
   SELECT owner, n, ref, tm, w1, {two} FROM (SELECT owner, n, ref, tm, {one} FROM (
@@ -98,3 +104,27 @@ def _(t: Tables):
     last = t("arrivals").agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).first()["ts"]
     end = live.filter(F.col("ts") == F.lit(last)).select(F.lit("~end").alias("owner"), "episode_ref", (F.col("ts") + F.expr("interval 30 days")).alias("ts"))
     return run.run_available(state.windows(live.unionByName(end), 6 * 3600)).filter("owner <> '~end'")
+
+
+# four batches by time, with rows that come one or two batches after their time; those behind the watermark are late
+_LATE = f"""ev AS (SELECT owner, episode_ref, epoch_us(CAST(ts AS TIMESTAMP)) AS tm, event_id FROM arrivals), ex AS (SELECT min(tm) AS lo, max(tm) AS hi FROM ev),
+bt AS (SELECT e.*, least(3, CAST(floor((tm - lo) * 4.0 / (hi - lo + 1)) AS BIGINT) + CASE WHEN event_id % 10 = 0 THEN 1 WHEN event_id % 40 = 7 THEN 2 ELSE 0 END) AS b, CAST(floor((hi - lo) / 8) AS BIGINT) AS delay FROM ev e, ex),
+mx AS (SELECT b, max(max(tm)) OVER (ORDER BY b) AS latest, any_value(delay) AS delay FROM bt GROUP BY b),
+lt AS (SELECT t.*, m.latest IS NOT NULL AND t.tm < m.latest - m.delay AS late FROM bt t LEFT JOIN mx m ON m.b = t.b - 1),
+steps AS (SELECT owner, ref, tm, row_number() OVER (PARTITION BY owner ORDER BY b, last, tm, ref) AS n FROM (SELECT owner, episode_ref AS ref, tm, b, 0 AS last FROM lt WHERE NOT late
+ UNION ALL SELECT o.owner, NULL, CASE WHEN m.b = 3 THEN m.latest + 30 * {_QUIET} ELSE m.latest - m.delay END, m.b, 1 FROM mx m, (SELECT DISTINCT owner FROM lt WHERE NOT late) o))"""
+
+
+@query("x04_late_rows", sql_with("arrivals", extra=_walk_windows(_LATE)).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT 'window' AS what, owner, window_no, CAST(p - 1 AS BIGINT) AS position, w[p] AS episode_ref FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM named)
+UNION ALL SELECT 'late', owner, NULL, NULL, episode_ref FROM lt WHERE late""")
+def _(t: Tables):
+    rows = t("arrivals").select("owner", "episode_ref", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    lo, hi = rows.agg(F.min("micros"), F.max("micros")).first()
+    behind = F.when(F.col("event_id") % 10 == 0, 1).when(F.col("event_id") % 40 == 7, 2).otherwise(0)
+    number = F.least(F.lit(3), F.floor((F.col("micros") - lo) * 4.0 / (hi - lo + 1)) + behind)
+    dealt = cut_lineage(rows.withColumn("b", number))
+    table = window_table.WindowTable(t.spark, f"{shared_folder(t.spark)}/windows-{uuid.uuid4().hex}", _QUIET, (hi - lo) // 8)
+    # the third batch comes twice
+    for k in (0, 1, 2, 2, 3):
+        table.apply(dealt.filter(F.col("b") == k), k, end=k == 3)
+    return table.answers()
