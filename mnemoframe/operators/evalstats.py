@@ -72,6 +72,10 @@ def paired_difference(differences: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), (F.sum("diff") / F.count(F.lit(1))).alias("difference"))
 
 
+#: Draws that are made from one row.
+_DRAWS = 16384
+
+
 def _draw(*parts) -> Column:
     """Integer below 16**15 from the md5 digits of the joined parts."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("bigint")
@@ -91,17 +95,22 @@ def cluster_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digi
     """95 % interval of the weighted mean when whole personas are resampled with replacement.
 
     Personas are numbered in hash order, blocked by the hash's first digits. The j-th draw of sample b takes
-    number ``md5(seed:b:j) mod k``: repeatable on any partitioning. Samples are spread before the draws are made; only ``samples`` means per comparison are sorted.
+    number ``md5(seed:b:j) mod k``: repeatable on any partitioning, and the same for all comparisons of k personas, so it is made
+    once for each k. Samples are spread in ranges of draws before the draws are made. Only statistics are hashed for the join: Spark
+    cannot see how many draws a sample stands for and would broadcast them. Only ``samples`` means per comparison are sorted.
     """
     keyed = stats.withColumn("__h", F.md5("persona_id"))
     numbered = number_rows(keyed, ["comparison"], ["__h", "persona_id"],
                            F.conv(F.substring("__h", 1, 3), 16, 10).cast("bigint"), "idx")
-    numbered = numbered.select("comparison", "s", "n", (F.col("idx") - 1).alias("idx"))
     sizes = stats.groupBy("comparison").agg(F.count(F.lit(1)).alias("k"))
-    each = sizes.select("comparison", "k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")).repartition("b")
-    draws = each.select("comparison", "k", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("j"))
-    draws = draws.select("comparison", "b", (_draw(F.lit(str(seed)), "b", "j") % F.col("k")).alias("idx"))
-    means = draws.join(numbered, ["comparison", "idx"]).groupBy("comparison", "b").agg(
+    numbered = numbered.join(sizes, "comparison").select("comparison", "s", "n", "k", (F.col("idx") - 1).alias("idx"))
+    each = sizes.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")).select(
+        "k", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1, F.lit(_DRAWS))).alias("lo"))
+    # a number of partitions, as AQE would put so few rows into one task
+    each = each.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "b", "lo")
+    draws = each.select("k", "b", F.explode(F.sequence("lo", F.least(F.col("lo") + _DRAWS, F.col("k")) - 1)).alias("j"))
+    draws = draws.select("k", "b", (_draw(F.lit(str(seed)), "b", "j") % F.col("k")).alias("idx"))
+    means = draws.join(numbered.hint("shuffle_hash"), ["k", "idx"]).groupBy("comparison", "b").agg(
         (F.sum("s") / F.sum("n")).alias("m"))
     return _interval(means, digits)
 

@@ -32,7 +32,7 @@ def question_checks(results: DataFrame, diagnostics: DataFrame) -> DataFrame:
     reason = F.when((F.col("rows") != len(MODES)) | (F.col("modes") != len(MODES)) | F.col("foreign"), "incomplete").when(
         F.col("leak"), "oracle_leak").when(F.col("failed"), "failed").when(F.col("__d").isNull(), "no_diagnostic").when(
         F.col("__d") != F.col("core"), "diagnostic_mismatch")
-    return per.join(d, key, "left").select(*key, reason.alias("reason"))
+    return per.join(d.hint("merge"), key, "left").select(*key, reason.alias("reason"))
 
 
 def effects(differences: DataFrame, samples: int) -> DataFrame:
@@ -46,7 +46,7 @@ def effect_differences(results: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Differences of the plain comparisons and of the stage effects on their conditioned questions."""
     flags = diagnostics.select("persona_id", "question_ref", "source_available", "indexed", "delivered")
     pairs = tuple(dict.fromkeys((*COMPARISONS, *[(a, b) for a, b, _, _ in STAGES])))
-    all_of = question_differences(results, pairs).join(flags, ["persona_id", "question_ref"])
+    all_of = question_differences(results, pairs).join(flags.hint("merge"), ["persona_id", "question_ref"])
     plain = [f"{a}-minus-{b}" for a, b in COMPARISONS]
     named = F.array_compact(F.array(
         F.when(F.col("comparison").isin(*plain), F.col("comparison")),
@@ -79,7 +79,7 @@ def effect_report(results: DataFrame, diagnostics: DataFrame, samples: int = 200
     """Rejected questions, arm summaries, effects and the located bottleneck."""
     checks = cut_lineage(question_checks(results, diagnostics))
     good = checks.filter("reason IS NULL").select("persona_id", "question_ref")
-    kept = results.join(good, ["persona_id", "question_ref"], "left_semi")
+    kept = results.join(good.hint("merge"), ["persona_id", "question_ref"], "left_semi")
     rows = cut_lineage(effects(effect_differences(kept, diagnostics), samples))
     return {"rejects": checks.filter("reason IS NOT NULL"), "modes": mode_summary(kept, ["pref_type"]),
             "effects": rows, "decision": bottleneck(rows)}
