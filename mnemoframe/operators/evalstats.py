@@ -15,11 +15,24 @@ from ..functions.text import trimmed
 from ..plans.split import number_rows, running_sum
 
 
-def recall_at_k(rankings: DataFrame, gold: DataFrame, question: Sequence[str], ks: Sequence[int]) -> DataFrame:
-    """Mean share of gold items within the first k, and the share of questions with any, for several k."""
-    question = list(question)
-    per_question = gold.join(rankings.select(*question, "ref", "rank"), [*question, "ref"], "left").groupBy(*question).agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks])
+def recall_at_k(rankings: DataFrame, gold: DataFrame, question: Sequence[str], ks: Sequence[int],
+                asked: DataFrame | None = None, same: Sequence[str] = ()) -> DataFrame:
+    """Mean share of gold items within the first k, and the share of questions with any, for several k.
+
+    ``gold``: question, ref, each pair once. With ``asked`` (question and the class columns ``same``, each question once) ``gold`` holds ``same`` and
+    ref, and the gold items of a question are those of its class: they are counted by class and only ranked items are looked up, so
+    that no question is paired with all its gold items.
+    """
+    question, same = list(question), list(same)
+    hits = [F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks]
+    ranks = rankings.select(*question, "ref", "rank")
+    if asked is None:
+        per_question = gold.join(ranks, [*question, "ref"], "left").groupBy(*question).agg(F.count(F.lit(1)).alias("n"), *hits)
+    else:
+        sizes = gold.groupBy(*same).agg(F.count(F.lit(1)).alias("n"))
+        of_class = asked.select(*question, *[c for c in same if c not in question])
+        found = ranks.join(of_class, question).join(gold.select(*same, "ref"), [*same, "ref"], "left_semi").groupBy(*question).agg(*hits)
+        per_question = of_class.join(sizes, same).join(found, question, "left").na.fill(0, [f"h{k}" for k in ks])
     rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.col(f"h{k}").alias("hits")) for k in ks])
     return per_question.select("n", F.explode(rows).alias("r")).groupBy("r.k").agg(
         F.count(F.lit(1)).alias("questions"), F.avg(F.col("r.hits") / F.col("n")).alias("recall"),

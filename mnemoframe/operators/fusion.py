@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import trimmed
+from ..plans.session import cut_lineage
 from ..plans.split import top_n
 from .intake import stable_tight
 
@@ -64,9 +65,10 @@ def fuse_ranks(rankings: DataFrame, keys: Sequence[str], views: int = 2, limit:
 def kind_topk(ranking: DataFrame, documents: DataFrame, keys: Sequence[str], kind: str, n: int) -> tuple[DataFrame, DataFrame]:
     """First ``n`` documents of one kind from a mixed ranking, and the reasons why a ranking is invalid.
 
-    ``ranking``: keys, query_ref, position, kind, ref; ``documents``: keys, kind, ref.
+    ``ranking``: keys, query_ref, position, kind, ref; ``documents``: keys, kind, ref. The ranking is read by each check and made once.
     """
     keys = list(keys)
+    ranking = cut_lineage(ranking)
     ask = [*keys, "query_ref"]
     of_kind = ranking.filter(F.col("kind") == kind)
     docs = documents.filter(F.col("kind") == kind).select(*keys, "ref")

@@ -37,3 +37,75 @@ def test_results_do_not_pass_the_driver(spark, tmp_path):
     assert "BroadcastHashJoin" not in t("results")._jdf.queryExecution().executedPlan().toString()
     checked = reports.question_checks(t("results"), t("diagnostics"))
     assert "Broadcast" not in checked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_documents_send_their_best_together(spark):
+    import numpy as np
+
+    from mnemoframe.operators import vector
+
+    def number_made(df, node):
+        """Rows that the plan's node made."""
+        rows, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            p = todo.pop()
+            name = p.nodeName()
+            if name == node:
+                rows += p.metrics().apply("pythonNumRowsReceived").value()
+            if name == "AdaptiveSparkPlan":
+                todo.append(p.executedPlan())
+            elif name.endswith("QueryStage"):
+                todo.append(p.plan())
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+        return rows
+
+    rng = np.random.default_rng(5)
+    docs = [(i % 2, i % 3, i // 2 * 2 + i % 2, f"s{i % 4}", [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(160)]
+    docs += [(0, 1, 900, "s1", [0.0] * 6), (0, None, 901, "s1", [1.0] * 6), (None, 1, 902, "s1", [1.0] * 6)]
+    asks = [(i % 2, i // 4 * 2 + i % 2, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(40)] + [(0, None, [1.0] * 6)]
+    chunks = spark.createDataFrame(docs, "owner int, kind int, ref int, semantic_sha string, embedding array<float>")
+    queries = spark.createDataFrame(asks, "owner int, query_ref int, embedding array<float>")
+    out = vector.cosine_topk(chunks, queries, ["owner"], 5, block_rows=9, query_rows=3)
+    got = sorted(tuple(r[c] for c in ("owner", "query_ref", "rank", "kind", "ref", "distance")) for r in out.collect())
+    unit = lambda x: np.array(x) / (np.linalg.norm(x) or np.nan)
+    want = []
+    for owner, ask in sorted({(o, a) for o, a, _ in asks if a is not None}):
+        seen = {}
+        for o, kind, ref, sha, e in docs:
+            if o == owner and kind is not None and any(e):
+                near = [round(float(1 - np.clip(unit(e) @ unit(v), -1, 1)), 9) + 0.0 for p, a, v in asks if (p, a) == (owner, ask) and any(v)]
+                seen[sha, kind, ref] = min([*near, seen.get((sha, kind, ref), 9.0)])
+        for rank, (d, (sha, kind, ref)) in enumerate(sorted((d, k) for k, d in seen.items())[:5], 1):
+            want.append((owner, ask, rank, kind, ref, d))
+    assert got == want
+    # about nine blocks of documents for each owner; without a span each would send five rows for a query
+    asked = len({(o, a) for o, a, _ in asks if a is not None})
+    assert 0 < number_made(out, "MapInArrow") <= 5 * asked * 3
+
+
+def test_mixed_ranking_is_made_once(spark):
+    from mnemoframe.operators import fusion
+
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    ranking = spark.createDataFrame([(1, 1, p, "1", p) for p in range(8)], "owner int, query_ref int, position int, kind string, ref int")
+    docs = spark.createDataFrame([(1, "1", p) for p in range(7)], "owner int, kind string, ref int")
+    top, bad = fusion.kind_topk(ranking.mapInArrow(one, ranking.schema), docs, ["owner"], "1", 3)
+    assert top.unionByName(bad, allowMissingColumns=True).count() == 4 and made.value == 8
+
+
+def test_gold_is_counted_by_class(spark):
+    from mnemoframe.operators.evalstats import recall_at_k
+
+    asked = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (2, 12, 0), (2, 13, 7)], "owner int, q int, m int")
+    gold = spark.createDataFrame([(1, 0, 100), (1, 0, 101), (1, 1, 102), (2, 0, 103)], "owner int, m int, ref int")
+    ranks = spark.createDataFrame([(1, 10, 100, 1), (1, 10, 102, 2), (1, 10, 101, 3), (1, 11, 100, 1), (2, 12, 103, 2)], "owner int, q int, ref int, rank int")
+    pairs = asked.join(gold, ["owner", "m"]).drop("m")
+    got = recall_at_k(ranks, gold, ["owner", "q"], (1, 2, 3), asked, ["owner", "m"])
+    assert sorted(got.collect()) == sorted(recall_at_k(ranks, pairs, ["owner", "q"], (1, 2, 3)).collect())
+    assert {r["k"]: (r["questions"], r["recall"], r["hit_rate"]) for r in got.collect()}[2] == (3, 0.5, 2 / 3)
