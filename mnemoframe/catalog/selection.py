@@ -149,7 +149,7 @@ def _(t: Tables):
  SELECT o.session_ref, o.run_ref, c.kind, c.version_ref, 0 AS m FROM (SELECT tenant_ref, session_ref, run_ref, 'agent' AS scope_kind, '' AS relationship_ref FROM selects UNION ALL SELECT tenant_ref, session_ref, run_ref, scope_kind, relationship_ref FROM selects WHERE scope_kind = 'relationship') o JOIN cat c USING (tenant_ref, {_OWN})
  UNION ALL SELECT h.session_ref, h.run_ref, v.kind, v.version_ref, 1 FROM lanes h JOIN v ON v.version_ref = h.ref AND v.scope_kind = h.scope_kind AND v.relationship_ref = h.relationship_ref AND v.status = 'active') GROUP BY ALL""")
 def _(t: Tables):
-    canonical = request_lanes(t).join(catalogue(t), selection.OWNER).withColumn("matches", F.lit(0))
+    canonical = selection.offered(request_lanes(t), catalogue(t), REQUEST).withColumn("matches", F.lit(0))
     active = versions(t).filter("status = 'active'").select(*selection.OWNER, "version_ref", F.col("kind").alias("k"))
     indexed = provider_hits(t).withColumnRenamed("ref", "version_ref").drop("kind").join(active, [*selection.OWNER, "version_ref"]).withColumn("matches", F.lit(1)).withColumnRenamed("k", "kind")
     return selection.union_candidates(canonical, indexed, REQUEST)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.answers import pair_consensus
 from ..functions.text import trimmed
-from ..plans.split import number_rows, running_sum
+from ..plans.split import number_rows, running_sum, spread
 
 
 def recall_at_k(rankings: DataFrame, gold: DataFrame, question: Sequence[str], ks: Sequence[int],
@@ -119,9 +119,7 @@ def cluster_bootstrap(stats: DataFrame, samples: int = 2000, seed: int = 0, digi
     numbered = numbered.join(sizes, "comparison").select("comparison", "s", "n", "k", (F.col("idx") - 1).alias("idx"))
     each = sizes.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("b")).select(
         "k", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1, F.lit(_DRAWS))).alias("lo"))
-    # a number of partitions, as AQE would put so few rows into one task
-    each = each.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "b", "lo")
-    draws = each.select("k", "b", F.explode(F.sequence("lo", F.least(F.col("lo") + _DRAWS, F.col("k")) - 1)).alias("j"))
+    draws = spread(each, "k", "b", "lo").select("k", "b", F.explode(F.sequence("lo", F.least(F.col("lo") + _DRAWS, F.col("k")) - 1)).alias("j"))
     draws = draws.select("k", "b", (_draw(F.lit(str(seed)), "b", "j") % F.col("k")).alias("idx"))
     means = draws.join(numbered.hint("shuffle_hash"), ["k", "idx"]).groupBy("comparison", "b").agg(
         (F.sum("s") / F.sum("n")).alias("m"))

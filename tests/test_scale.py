@@ -109,3 +109,16 @@ def test_gold_is_counted_by_class(spark):
     got = recall_at_k(ranks, gold, ["owner", "q"], (1, 2, 3), asked, ["owner", "m"])
     assert sorted(got.collect()) == sorted(recall_at_k(ranks, pairs, ["owner", "q"], (1, 2, 3)).collect())
     assert {r["k"]: (r["questions"], r["recall"], r["hit_rate"]) for r in got.collect()}[2] == (3, 0.5, 2 / 3)
+
+
+def test_lanes_meet_their_catalogue_in_all_partitions(spark):
+    from mnemoframe.operators import selection
+
+    owner = lambda i: ("t%d" % (i % 3), "agent", "agent", "")
+    lanes = spark.createDataFrame([(f"s{i}", f"r{i}", *owner(i)) for i in range(60)], ["session_ref", "run_ref", *selection.OWNER]).withColumn("agent_ref", F.lit("agent"))
+    none = spark.createDataFrame([("s", "r", "t0", None, "agent", "")], "session_ref string, run_ref string, tenant_ref string, scope_kind string, agent_ref string, relationship_ref string")
+    held = spark.createDataFrame([("kind", f"v{i}", *owner(i)) for i in range(9)], ["kind", "version_ref", *selection.OWNER])
+    out = selection.offered(lanes.unionByName(none), held.unionByName(held.limit(1).withColumn("scope_kind", F.lit(None).cast("string"))), ["session_ref", "run_ref"])
+    assert out.groupBy("tenant_ref").count().collect() and out.count() == 60 * 3 == out.distinct().count()
+    # AQE put so few rows into one task
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
