@@ -122,3 +122,17 @@ def test_lanes_meet_their_catalogue_in_all_partitions(spark):
     assert out.groupBy("tenant_ref").count().collect() and out.count() == 60 * 3 == out.distinct().count()
     # AQE put so few rows into one task
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_bags_are_made_after_the_joins_that_spare_them(spark):
+    from mnemoframe.operators import lexical
+    from mnemoframe.plans.session import cut_lineage
+
+    words = ["warm tea", "cold tea", "茶が好き", "", "tea!"]
+    q = spark.createDataFrame([(i % 2, i, w) for i, w in enumerate(words * 2)], "o int, q int, text string").select("o", "q", lexical.features("text").alias("features"))
+    t = spark.createDataFrame([(i % 2, i, w) for i, w in enumerate(words)], "o int, i int, text string").select("o", "i", lexical.features("text").alias("features"))
+    pairs = lexical._gram_pairs(cut_lineage(q), cut_lineage(t), ["o"], "q", "i")
+    assert pairs.count() > 0
+    # a test of the bag in a filter makes bags of texts that no other text needs
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "ascii(" in line]
