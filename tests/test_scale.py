@@ -136,3 +136,40 @@ def test_bags_are_made_after_the_joins_that_spare_them(spark):
     # a test of the bag in a filter makes bags of texts that no other text needs
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "ascii(" in line]
+
+
+def test_selection_moves_texts_only_where_scripts_meet(spark, monkeypatch):
+    from mnemoframe.operators import lexical, selection
+
+    own = lambda i: (f"t{i}", "agent", "agent", "")
+    cols, keys = "tenant_ref string, scope_kind string, agent_ref string, relationship_ref string", ["run_ref"]
+    said = [("r0", "q0", "green tea with milk"), ("r1", "q1", "绿茶 with 牛奶好吗"), ("r1", "q2", "green river")]
+    queries = spark.createDataFrame(said, "run_ref string, query_ref string, text string")
+    lanes = spark.createDataFrame([("r0", *own(0), 1), ("r1", *own(1), 1)], f"run_ref string, {cols}, owner_order int")
+    texts = [(*own(i % 2), "recollection", f"v{i}", x) for i, x in enumerate(["green tea", "green tea", "绿茶 tea", "绿茶好", "word " * 3 + " ".join(f"w{k}" for k in range(90)) + " tea", "river"])]
+    active = spark.createDataFrame(texts, f"{cols}, kind string, version_ref string, text string")
+    anchors = spark.createDataFrame([(*v[:4], v[5], "support", "e", "s", "x") for v in texts], f"{cols}, version_ref string, basis_role string, episode_ref string, source_ref string, anchor_text string")
+    basis = spark.createDataFrame([], "tenant_ref string, version_ref string, episode_ref string, role string")
+    hits = spark.createDataFrame([("r1", *own(1), "q1", 0, 0, "RECOLLECTION", "v1")], f"run_ref string, {cols}, query_ref string, lane_order int, rank int, kind string, ref string")
+    seen, cut = [], selection.cut_lineage
+    monkeypatch.setattr(selection, "cut_lineage", lambda df: seen.append(cut(df)) or seen[-1])
+    got = {(r.run_ref, r.version_ref): (r.support, r.indexed) for r in selection.select_memories(queries, lanes, active, anchors, basis, hits, active, keys).collect()}
+    moved = {r.version_ref: r.text for df in seen if "mf" in df.columns for r in df.select("version_ref", "mf.text").collect()}
+    # a Latin text stands beside its terms only where a query in another script may meet it
+    assert moved["v0"] is None and moved["v1"] == "green tea" and moved["v5"] == "river"
+    full = queries.join(lanes, keys).withColumn("qf", lexical.features("text")).drop("text").join(active.withColumn("mf", lexical.features("text")), selection.OWNER)
+    want = {}
+    for r in full.select("run_ref", "query_ref", "version_ref", lexical.score(F.col("qf"), F.col("mf")).alias("s")).collect():
+        at, indexed = (r.run_ref, r.version_ref), (r.query_ref, r.version_ref) == ("q1", "v1")
+        if indexed or r.s >= 0.2:
+            want[at] = max(want.get(at, (-1.0, False)), (r.s, indexed), key=lambda x: (x[1], x[0]))
+    assert got == want and len(got) >= 4
+
+
+def test_numbers_of_terms_never_drop_a_reaching_pair(spark):
+    from mnemoframe.operators import lexical
+
+    said = ["", "tea", "green tea", "the of", "绿茶", "绿茶 tea", " ".join(f"w{k}" for k in range(30)) + " tea"]
+    pairs = spark.createDataFrame([(a, b) for a in said for b in said], "a string, b string").select(lexical.features("a").alias("x"), lexical.features("b").alias("y"))
+    fit = lexical.may_fit(lexical.known_terms("x"), lexical.known_terms("y"), 0.2)
+    assert pairs.filter(~fit & (lexical.score(F.col("x"), F.col("y")) >= 0.2)).count() == 0 < pairs.filter(~fit).count()
