@@ -274,11 +274,14 @@ def snippet_alignment(snippets: DataFrame, turns: DataFrame) -> DataFrame:
     sized = F.transform(F.split("t", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
     asked = groups.withColumn("word", F.array_max(sized)["w"])
     said = turns.withColumn("u", normalize_ws("user_text")).withColumn("a", normalize_ws("agent_text"))
-    words = said.select("conv_id", "idx", "u", "a", F.explode(F.array_distinct(F.concat(
+    words = said.select("conv_id", "idx", F.explode(F.array_distinct(F.concat(
         F.transform(F.array_distinct(F.split("u", " ")), lambda x: F.struct(F.lit("user").alias("lead"), x.alias("word"))),
         F.transform(F.array_distinct(F.split("a", " ")), lambda x: F.struct(F.lit("assistant").alias("lead"), x.alias("word")))))).alias("k")).select(
-        "conv_id", "idx", "u", "a", "k.lead", "k.word")
-    hit = asked.join(words, ["conv_id", "lead", "word"]).filter(
+        "conv_id", "idx", "k.lead", "k.word").distinct()
+    # words meet without texts; texts join the pairs that share a group's word
+    place = F.struct("conv_id", "idx")
+    met = asked.join(words, ["conv_id", "lead", "word"]).withColumn("__at", place)
+    hit = met.join(said.select(place.alias("__at"), "u", "a"), "__at").filter(
         contains_observed(F.when(F.col("lead") == "user", F.col("u")).otherwise(F.col("a")), "t"))
     hit = hit.withColumn("backed", F.col("reply").isNotNull() & F.coalesce(contains_observed("a", "reply"), F.lit(False)))
     # a fitting assistant narrows its group to the turns that have it

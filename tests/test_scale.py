@@ -173,3 +173,18 @@ def test_numbers_of_terms_never_drop_a_reaching_pair(spark):
     pairs = spark.createDataFrame([(a, b) for a in said for b in said], "a string, b string").select(lexical.features("a").alias("x"), lexical.features("b").alias("y"))
     fit = lexical.may_fit(lexical.known_terms("x"), lexical.known_terms("y"), 0.2)
     assert pairs.filter(~fit & (lexical.score(F.col("x"), F.col("y")) >= 0.2)).count() == 0 < pairs.filter(~fit).count()
+
+
+def test_words_meet_snippets_without_texts(spark, monkeypatch):
+    from mnemoframe.operators import evidence
+
+    plans, cut = [], evidence.cut_lineage
+    monkeypatch.setattr(evidence, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    turns = spark.createDataFrame([("c", None, "green tea", "with milk"), ("c", 1, "green tea", "with milk"), ("c", 1, "green tea", "with milk"), ("c", 2, "red tea", "no")],
+                                  "conv_id string, idx int, user_text string, agent_text string")
+    asked = spark.createDataFrame([("q", "c", 0, "user", "green tea"), ("q", "c", 1, "assistant", "with milk"), ("p", "c", 0, "user", "red  tea"), ("n", "c", 0, "user", "blue")],
+                                  "question_ref string, conv_id string, pos int, role string, text string")
+    got = {r.question_ref: (r.status, r.matches) for r in evidence.snippet_alignment(asked, turns).collect()}
+    assert got == {"q": ("matched", 1), "p": ("matched", 1), "n": ("unmatched", 0)}
+    words = [line for line in plans[0].splitlines() if ".lead AS lead" in line]
+    assert words and not any(" u#" in line or "[u#" in line for line in words)
