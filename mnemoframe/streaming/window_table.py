@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.session import cut_lineage
+from ..plans.split import spread
 from .index_table import PointedFolder
 from .state import LiveWindow
 
 _STATE = "owner string, tail string, pending string, clock long, number long"
+_FLUSH = 8192
 _OUT = "what string, owner string, window_no long, position long, episode_ref string, tail string, pending string, clock long, number long"
 
 
@@ -55,7 +58,11 @@ class WindowTable(PointedFolder):
             name = f"data/{batch}-{uuid.uuid4().hex}"
             if latest is not None:
                 now = (1 << 62) if end else latest - self.delay
-                done = state.groupBy("owner").cogroup(timely.groupBy("owner")).applyInPandas(self._walk(now), _OUT)
+                # an owner's state, then its rows in order: owners pass a task one after the other, none is gathered
+                held = state.select("owner", F.lit(False).alias("new"), "tail", "pending", "clock", "number", F.lit(None).cast("long").alias("micros"), F.lit(None).cast("string").alias("episode_ref"))
+                came = timely.filter("micros IS NOT NULL").withColumn("new", F.lit(True))
+                steps = spread(held.unionByName(came, allowMissingColumns=True), "owner").sortWithinPartitions("owner", "new", "micros", "episode_ref")
+                done = steps.mapInArrow(self._walk(now), _OUT)
                 none = [F.lit(None).cast(t).alias(c) for c, t in (("window_no", "long"), ("position", "long"))]
                 rest = [F.lit(None).cast(t).alias(c) for c, t in (("tail", "string"), ("pending", "string"), ("clock", "long"), ("number", "long"))]
                 done = done.unionByName(late.select(F.lit("late").alias("what"), "owner", *none, "episode_ref", *rest))
@@ -68,18 +75,38 @@ class WindowTable(PointedFolder):
     def _walk(self, now: int):
         rule = (self.quiet, self.max_size, self.overlap)
 
-        def walk(key, held: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            live = LiveWindow(*rule)
-            if len(held):
-                x = held.iloc[0]
-                live = LiveWindow(*rule, json.loads(x["tail"]), json.loads(x["pending"]), int(x["clock"]), int(x["number"]))
-            closed = []
-            for at, ref in sorted(zip(rows["micros"].tolist(), rows["episode_ref"].tolist())):
-                closed += live.add(ref, at)
-            closed += live.advance(now)
-            out = [("window", key[0], number, place, ref, None, None, None, None) for number, window in closed for place, ref in enumerate(window)]
-            out.append(("state", key[0], None, None, None, json.dumps(live.tail), json.dumps(live.pending), live.clock, live.number))
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-            return frame.astype({c: "Int64" for c in ("window_no", "position", "clock", "number")})
+        fields = [x.split() for x in _OUT.split(", ")]
+        schema = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in fields])
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({f.name: list(column) for f, column in zip(schema, zip(*out))}, schema=schema)
+
+        def answers(owner, closed) -> list[tuple]:
+            return [("window", owner, number, place, ref, None, None, None, None) for number, window in closed for place, ref in enumerate(window)]
+
+        def end(owner, live: LiveWindow) -> list[tuple]:
+            out = answers(owner, live.advance(now))
+            return out + [("state", owner, None, None, None, json.dumps(live.tail), json.dumps(live.pending), live.clock, live.number)]
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            owner, live, out = None, None, []
+            for rows in batches:
+                columns = rows.to_pydict()
+                for who, new, tail, pending, clock, number, at, ref in zip(*(columns[c] for c in ("owner", "new", "tail", "pending", "clock", "number", "micros", "episode_ref"))):
+                    if live is None or who != owner:
+                        if live is not None:
+                            out += end(owner, live)
+                        owner, live = who, LiveWindow(*rule)
+                    if new:
+                        out += answers(who, live.add(ref, at))
+                    else:
+                        live = LiveWindow(*rule, json.loads(tail), json.loads(pending), clock, number)
+                    if len(out) >= _FLUSH:
+                        yield batch(out)
+                        out = []
+            if live is not None:
+                out += end(owner, live)
+            if out:
+                yield batch(out)
 
         return walk

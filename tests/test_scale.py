@@ -188,3 +188,28 @@ def test_words_meet_snippets_without_texts(spark, monkeypatch):
     assert got == {"q": ("matched", 1), "p": ("matched", 1), "n": ("unmatched", 0)}
     words = [line for line in plans[0].splitlines() if ".lead AS lead" in line]
     assert words and not any(" u#" in line or "[u#" in line for line in words)
+
+
+def test_owners_pass_a_task_one_after_the_other(spark, tmp_path):
+    import random
+    from mnemoframe.streaming import window_table
+    from mnemoframe.streaming.state import LiveWindow
+
+    rnd = random.Random(3)
+    batches = [[(rnd.choice(["a", "b", None, "c"]), f"e{rnd.randrange(60)}", k * 1000 + rnd.randrange(1000)) for _ in range(300)] for k in range(3)]
+    table = window_table.WindowTable(spark, str(tmp_path / "w"), 40, 5000, max_size=6, overlap=2)
+    for k, rows in enumerate(batches):
+        table.apply(spark.createDataFrame(rows, "owner string, episode_ref string, micros long"), k, end=k == 2)
+    want, live, latest = [], {}, None
+    for k, rows in enumerate(batches):
+        latest = max([x for x in (latest,) if x is not None] + [r[2] for r in rows])
+        for owner in sorted({r[0] for r in rows} | set(live), key=str):
+            at = live.setdefault(owner, LiveWindow(40, 6, 2))
+            closed = []
+            for micros, ref in sorted((r[2], r[1]) for r in rows if r[0] == owner):
+                closed += at.add(ref, micros)
+            closed += at.advance((1 << 62) if k == 2 else latest - 5000)
+            want += [("window", owner, n, p, ref) for n, window in closed for p, ref in enumerate(window)]
+    assert sorted(map(tuple, table.answers().collect()), key=str) == sorted(want, key=str)
+    plan = table.answers()  # the walk reads no whole group: its source has no cogroup
+    assert plan.count() == len(want) and not hasattr(window_table, "pd")
