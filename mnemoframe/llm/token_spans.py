@@ -95,7 +95,7 @@ class Aligner:
 
     def aligned(self, units: list[str]) -> "Aligned":
         text = " ".join(units)
-        return Aligned(self, units, self.left.encode(" " + text, add_special_tokens=False), self.right.encode(text, return_type="proto"))
+        return Aligned(self, units, text, self.left.encode(" " + text, add_special_tokens=False))
 
     def learn(self, units: list[str]) -> None:
         """Aligns units: those that may stand side by side in one text by one call for many, the others alone."""
@@ -146,28 +146,36 @@ class Aligner:
 class Aligned:
     """The alignment of units (each with a space before it), all at once; arrays run over the units' tokens in order.
 
-    Ends of the tokenizers' spans are the coarse cuts: characters for the left side, bytes for the right one. A character of several
+    Where the tokens' bytes are the text's, their lengths say where each ends and no spans are asked for. Else one odd unit must not
+    move the others: ends of the tokenizers' spans are the coarse cuts: characters for the left side, bytes for the right one. A character of several
     bytes may hold many tokens whose spans all end with it; there the tokens' own bytes say where each ends.
     """
 
-    def __init__(self, aligner: Aligner, units: list[str], left, right):
+    def __init__(self, aligner: Aligner, units: list[str], text: str, left):
         raw = "".join(" " + u for u in units).encode()
         data = np.frombuffer(raw, dtype=np.uint8)
         heads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         self.digits, self.width = aligner.digits, aligner.width
         self.start = heads[np.concatenate([[0], np.cumsum([len(u) + 1 for u in units])])]
+        a, b = left.ids, aligner.right.encode(text)
+        self.a, self.b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        if b"".join(map(aligner.left_bytes.__getitem__, a)) == raw == b"".join(map(aligner.right_bytes.__getitem__, b)):
+            self.a_end, self.b_end = np.cumsum(aligner.left_size[self.a]), np.cumsum(aligner.right_size[self.b])
+        else:
+            self._by_spans(aligner, left, aligner.right.encode(text, return_type="proto"), heads, len(data))
+        self.a_cut, self.b_cut = np.isin(self.a_end, self.b_end), np.isin(self.b_end, self.a_end)
+        self.a_first, self.b_first = (np.searchsorted(x, self.start, side="right") for x in (self.a_end, self.b_end))
+        self.same = self._as_bytes(aligner.left_bytes, aligner.left_size, self.a, self.a_first, raw) & self._as_bytes(aligner.right_bytes, aligner.right_size, self.b, self.b_first, raw)
+
+    def _by_spans(self, aligner: Aligner, left, right, heads: np.ndarray, size: int) -> None:
         pieces = list(right.pieces)
-        self.a, self.b = np.array(left.ids, dtype=np.int64), np.array([p.id for p in pieces], dtype=np.int64)
         begin, end = np.array([p.begin for p in pieces], dtype=np.int64), np.array([p.end for p in pieces], dtype=np.int64)
         # the spans of a character's bytes are empty but for the last one
         whole = np.flatnonzero(~(aligner.right_byte[self.b] & (begin == end)))
         if len(whole):
             end = end[whole[np.minimum(np.searchsorted(whole, np.arange(len(end))), len(whole) - 1)]]
         self.a_end = _refined(heads[np.array([e for _, e in left.offsets], dtype=np.int64)], aligner.left_size[self.a])
-        self.b_end = _refined(np.minimum(end + 1, len(data)), aligner.right_size[self.b])
-        self.a_cut, self.b_cut = np.isin(self.a_end, self.b_end), np.isin(self.b_end, self.a_end)
-        self.a_first, self.b_first = (np.searchsorted(x, self.start, side="right") for x in (self.a_end, self.b_end))
-        self.same = self._as_bytes(aligner.left_bytes, aligner.left_size, self.a, self.a_first, raw) & self._as_bytes(aligner.right_bytes, aligner.right_size, self.b, self.b_first, raw)
+        self.b_end = _refined(np.minimum(end + 1, size), aligner.right_size[self.b])
 
     def _as_bytes(self, table, sizes: np.ndarray, ids: np.ndarray, first: np.ndarray, raw: bytes) -> np.ndarray:
         """For each unit whether the bytes of its tokens are the unit's."""

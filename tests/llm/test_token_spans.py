@@ -71,3 +71,15 @@ def test_units_are_forgotten_and_learned_again(sides, monkeypatch):
 
 def test_empty_table(spark, sides):
     assert token_spans.alignment_summary(brute.documents(spark, [(1, "a")]).limit(0), *sides[0]).collect() == []
+
+
+def test_spans_are_asked_for_only_where_bytes_differ(sides, monkeypatch):
+    aligner = token_spans.Aligner(*sides[0])
+    asked, spans = [], token_spans.Aligned._by_spans
+    monkeypatch.setattr(token_spans.Aligned, "_by_spans", lambda self, *a: asked.append(1) or spans(self, *a))
+    plain = ["plain", "text,", "é🜁", "乌龙茶"]
+    by_bytes = aligner.aligned(plain).units()
+    assert not asked and None not in by_bytes
+    # one odd unit asks for spans and leaves the others as they are
+    mixed = aligner.aligned([*plain[:2], "a▁b", *plain[2:]]).units()
+    assert asked and mixed[2] is None and [*mixed[:2], *mixed[3:]] == by_bytes
