@@ -23,3 +23,17 @@ def test_terms_are_ranked_and_met_as_numbers(spark, monkeypatch):
     code = F.xxhash64
     monkeypatch.setattr(lexical.F, "xxhash64", lambda *c: F.pmod(code(*c), F.lit(2)).cast("bigint"))
     assert found() == want
+
+
+def test_texts_of_an_owner_with_few_memories_are_not_scored(spark, monkeypatch):
+    windows = spark.createDataFrame([("few", "w1", "red apple"), ("many", "w2", "red apple"), ("many", "w3", "зима")], "owner string, window string, text string").select(
+        "owner", "window", lexical.features("text").alias("features"))
+    rows = [("few", "f1", 1, "green pear"), ("few", "f2", 2, "red apple"), ("many", "m1", 1, "red apple"), ("many", "m2", 2, "green pear"), ("many", "m3", 3, "зима"), ("none", "n1", 1, "x")]
+    active = spark.createDataFrame(rows, "owner string, version_ref string, created_order int, text string").select(
+        "owner", "version_ref", "created_order", lexical.features("text").alias("features"))
+    scored = []
+    real = lexical.best_overlaps
+    monkeypatch.setattr(lexical, "best_overlaps", lambda q, t, *a, **k: scored.append((q, t)) or real(q, t, *a, **k))
+    got = {(r.window, r.version_ref) for r in lexical.bounded_targets(windows, active, ["owner"], "window", n=2).collect()}
+    assert got == {("w1", "f1"), ("w1", "f2"), ("w2", "m1"), ("w2", "m3"), ("w3", "m3"), ("w3", "m2")}
+    assert [{r.owner for r in df.collect()} for df in scored[0]] == [{"many"}, {"many"}]
