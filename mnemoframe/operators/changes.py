@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import refs
@@ -191,27 +193,37 @@ _DECISIONS = "window_ref string, change_no int, applied boolean"
 
 
 def _decide(frame: pd.DataFrame) -> pd.DataFrame:
-    """Which formations and revisions of one window take effect, in order (a window is one bounded output).
+    """Which formations and revisions of each window take effect, in order (a window is one bounded output).
 
     A text is taken while an active version of the owner holds it: one from before that this window has not
     replaced, or one that this window made.
     """
-    replaced: set[str] = set()
-    made: set[tuple[str, str, str]] = set()
+    replaced: dict[str | None, set[str]] = defaultdict(set)
+    made: dict[str | None, set[tuple[str, str, str]]] = defaultdict(set)
     done = []
     for row in frame.sort_values("change_no").itertuples():
+        gone, new = replaced[row.window_ref], made[row.window_ref]
         name = (row.kind, row.scope, row.new_text)
-        holders = set(row.holders) - replaced - {row.replaces}
-        applied = not holders and name not in made and row.new_text != "" and row.new_text != row.old_text
+        holders = set(row.holders) - gone - {row.replaces}
+        applied = not holders and name not in new and row.new_text != "" and row.new_text != row.old_text
         if applied:
-            made.add(name)
+            new.add(name)
             if row.replaces:
-                replaced.add(row.replaces)
-                made.discard((row.kind, row.scope, row.old_text))
+                gone.add(row.replaces)
+                new.discard((row.kind, row.scope, row.old_text))
         done.append((row.window_ref, row.change_no, applied))
     return pd.DataFrame(done, columns=["window_ref", "change_no", "applied"])
 
 
+def _decide_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_decide`` for many whole windows at once: a row holds the ``changes`` of one window."""
+    schema = pa.schema([("window_ref", pa.string()), ("change_no", pa.int32()), ("applied", pa.bool_())])
+    for batch in batches:
+        rows = [{"window_ref": row["window_ref"], **change} for row in batch.to_pylist() for change in row["changes"]]
+        if rows:
+            yield pa.RecordBatch.from_pandas(_decide(pd.DataFrame(rows)), schema=schema, preserve_index=False)
+
+
 def apply_changes(validated: DataFrame, windows: DataFrame, versions: DataFrame, basis: DataFrame, episodes: DataFrame,
                   outcome_episodes: DataFrame) -> dict[str, DataFrame]:
     """New versions, superseded versions, basis rows and index operations of all valid windows.
@@ -243,8 +255,10 @@ def apply_changes(validated: DataFrame, windows: DataFrame, versions: DataFrame,
         F.coalesce("old_text", F.lit("")).alias("old_text"),
         F.when(F.col("target").isin(*NEW_TARGETS), "").otherwise(F.col("target")).alias("replaces"),
         F.coalesce("holders", F.array().cast("array<string>")).alias("holders"))
-    decided = asked.groupBy("window_ref").applyInPandas(_decide, _DECISIONS)
-    done = writes.join(decided.filter("applied"), key)
+    # many windows a batch, decided once
+    listed = asked.groupBy("window_ref").agg(F.collect_list(F.struct("change_no", "kind", "scope", "new_text", "old_text", "replaces", "holders")).alias("changes"))
+    decided = cut_lineage(listed.mapInArrow(_decide_batches, _DECISIONS).filter("applied"))
+    done = writes.join(decided, key)
     # cited outcomes are told from episodes by lookup
     cited = done.select(*key, F.explode("basis_refs").alias("ref")).join(outcome_episodes.select(F.col("outcome_ref").alias("ref"), F.lit(True).alias("is_outcome")), "ref", "left")
     split = cited.groupBy(*key).agg(
@@ -307,6 +321,18 @@ def conflict_keys(changes: DataFrame, windows: DataFrame, versions: DataFrame) -
     return named.select("window_ref", "place", F.explode(F.array_compact(keys)).alias("key")).distinct()
 
 
+def concerned(changes: DataFrame, versions: DataFrame) -> DataFrame:
+    """Versions that a change names, and those whose text it may write: no other one is read by any round.
+
+    Texts meet by 64 bits, which may keep a few versions more.
+    """
+    known = cut_lineage(versions.select("version_ref", F.xxhash64("text").alias("code")))
+    named = changes.select(F.col("target").alias("version_ref")).distinct()
+    written = changes.filter("operation IN ('TEXT', 'ADAPT')").select(F.xxhash64(trimmed("text")).alias("code")).distinct()
+    some = known.join(named, "version_ref", "left_semi").unionByName(known.join(written, "code", "left_semi")).select("version_ref").distinct()
+    return versions.join(some, "version_ref", "left_semi")
+
+
 def apply_in_order(changes: DataFrame, windows: DataFrame, validate: Callable[[DataFrame, DataFrame], DataFrame], versions: DataFrame, basis: DataFrame,
                    episodes: DataFrame, outcome_episodes: DataFrame) -> dict[str, DataFrame]:
     """What ``apply_changes`` gives when the windows of every owner are applied one after the other, by ``place``.
@@ -318,7 +344,7 @@ def apply_in_order(changes: DataFrame, windows: DataFrame, validate: Callable[[D
     chain of windows that wait for each other.
     """
     changes = cut_lineage(changes.filter("error IS NULL"))
-    versions, basis = cut_lineage(versions), cut_lineage(basis)
+    versions, basis = cut_lineage(concerned(changes, versions)), cut_lineage(basis)
     keys = conflict_keys(changes, windows, versions)
     shared = keys.groupBy("key").agg(F.min("window_ref").alias("lo"), F.max("window_ref").alias("hi")).filter("lo < hi").select("key")
     open_ = cut_lineage(keys.join(shared, "key"))

@@ -8,6 +8,17 @@ from mnemoframe.operators import changes as ch, lexical
 from mnemoframe.streaming import state
 
 
+def test_many_windows_are_decided_in_one_call():
+    row = lambda w, n, new, replaces="", holders=(): dict(window_ref=w, change_no=n, kind="recollection", scope="o", new_text=new, old_text="", replaces=replaces, holders=list(holders))
+    rows = [row("v", 0, "a"), row("w", 0, "a"), row("w", 1, "a"), row("v", 1, "b", "m@1"), row("w", 2, "c", holders=["m@1"]), row("v", 2, "c", holders=["m@1"])]
+    want = {("v", 0): True, ("v", 1): True, ("v", 2): True, ("w", 0): True, ("w", 1): False, ("w", 2): False}
+    done = ch._decide(pd.DataFrame(rows))
+    assert {(r.window_ref, r.change_no): r.applied for r in done.itertuples()} == want
+    batch = pa.RecordBatch.from_pylist([{"window_ref": w, "changes": [{k: v for k, v in r.items() if k != "window_ref"} for r in rows if r["window_ref"] == w]} for w in "vw"])
+    got = [x for b in ch._decide_batches(iter([batch])) for x in b.to_pylist()]
+    assert {(x["window_ref"], x["change_no"]): x["applied"] for x in got} == want
+
+
 def test_terms_are_ranked_and_met_as_numbers(spark, monkeypatch):
     q = spark.createDataFrame([("o", "q1", ["x", "y", "z"]), ("p", "q1", ["x"]), (None, "q3", ["x"])], "owner string, q string, terms array<string>")
     t = spark.createDataFrame([("o", "i1", ["x", "y"]), ("o", "i2", ["v", "w"]), ("o", "i3", ["z", "w"]), ("p", "i4", ["y"]), (None, "i5", ["x"])], "owner string, i string, terms array<string>")
@@ -37,3 +48,10 @@ def test_texts_of_an_owner_with_few_memories_are_not_scored(spark, monkeypatch):
     got = {(r.window, r.version_ref) for r in lexical.bounded_targets(windows, active, ["owner"], "window", n=2).collect()}
     assert got == {("w1", "f1"), ("w1", "f2"), ("w2", "m1"), ("w2", "m3"), ("w3", "m3"), ("w3", "m2")}
     assert [{r.owner for r in df.collect()} for df in scored[0]] == [{"many"}, {"many"}]
+
+
+def test_rounds_read_only_versions_that_changes_concern(spark):
+    rows = [("m@1", "old text"), ("m@2", "new text"), ("m@3", "another"), ("m@4", None), (None, "another")]
+    versions = spark.createDataFrame([("recollection", v, t) for v, t in rows], "kind string, version_ref string, text string")
+    changes = spark.createDataFrame([("w", 0, "m@1", "SELF", "TEXT", " new text ", ["e"], None), ("w", 1, "m@9", "SELF", "KEEP", "another", ["e"], None)], ch.CHANGE_SCHEMA)
+    assert {r.version_ref for r in ch.concerned(changes, versions).collect()} == {"m@1", "m@2"}
