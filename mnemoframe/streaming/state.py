@@ -10,7 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions import refs
@@ -24,22 +24,28 @@ def _rows(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
     return pd.concat(frames, ignore_index=True).sort_values(list(order), kind="stable")
 
 
+def _in_order(rows: Iterator[Row], by: str) -> list[Row]:
+    return sorted(rows, key=lambda row: (row[by] is None, row[by] or 0))
+
+
 class _Admit(StatefulProcessor):
     def init(self, handle) -> None:
         self.first = handle.getValueState("first", "request_hash string")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = _rows(rows, "arrival")
-        held = self.first.get()[0] if self.first.exists() else None
-        status = []
-        for value in frame["request_hash"]:
+        state = self.first.get()
+        known = held = state[0] if state is not None else None
+        answer = Row("tenant_ref", "idempotency_key", "arrival", "status")
+        for row in _in_order(rows, "arrival"):
+            value = row["request_hash"]
             if held is None:
                 held = value
-                self.first.update((value,))
-                status.append("new")
+                status = "new"
             else:
-                status.append("replay" if value == held else "conflict")
-        yield pd.DataFrame({"tenant_ref": key[0], "idempotency_key": key[1], "arrival": frame["arrival"], "status": status})
+                status = "replay" if value == held else "conflict"
+            yield answer(key[0], key[1], row["arrival"], status)
+        if held != known:
+            self.first.update((held,))
 
     def close(self) -> None:
         pass
@@ -48,46 +54,48 @@ class _Admit(StatefulProcessor):
 def admit(requests: DataFrame) -> DataFrame:
     """Online ``first_accept``: ``requests`` carry request_hash and arrival."""
     return requests.select("tenant_ref", "idempotency_key", "arrival", "request_hash").groupBy(
-        "tenant_ref", "idempotency_key").transformWithStateInPandas(
+        "tenant_ref", "idempotency_key").transformWithState(
         _Admit(), "tenant_ref string, idempotency_key string, arrival long, status string", "Append", "None")
 
 
 class _Episodes(StatefulProcessor):
-    """State: the links that got in, the open sets until the gate opens, then only a flag."""
+    """State: the links that got in, the open sets until the gate opens, then only the gate.
+
+    Every call to the state is a message to the JVM, so a group is read and written once a batch, and the links of a new group are not looked up.
+    """
 
     def init(self, handle) -> None:
         self.links = handle.getMapState("links", "source_ref string, role string", "arrival long")
-        self.open = handle.getValueState("open", "situations string, acts string")
-        self.sealed = handle.getValueState("sealed", "gate long")
+        self.group = handle.getValueState("group", "situations string, acts string, gate long")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = _rows(rows, "arrival")
-        sealed = self.sealed.exists()
-        situations, acts = (set(json.loads(x)) for x in self.open.get()) if self.open.exists() else (set(), set())
-        out = []
-        for source, role, arrival in zip(frame["source_ref"], frame["role"], frame["arrival"]):
-            known = self.links.containsKey((source, role))
-            if sealed and not known and role != "outcome":
-                out.append((*key, source, role, int(arrival), "sealed"))
+        state = self.group.get()
+        situations, acts = (set(json.loads(x)) for x in state[:2]) if state is not None else (set(), set())
+        gate = state[2] if state is not None else None
+        before = (situations.copy(), acts.copy(), gate)
+        event = Row(*GROUP, "source_ref", "role", "arrival", "event")
+        seen = set()
+        for row in _in_order(rows, "arrival"):
+            source, role, arrival = row["source_ref"], row["role"], row["arrival"]
+            known = (source, role) in seen or (state is not None and self.links.containsKey((source, role)))
+            if gate is not None and not known and role != "outcome":
+                yield event(*key, source, role, arrival, "sealed")
                 continue
             if not known:
-                self.links.updateValue((source, role), (int(arrival),))
-            if sealed:
+                self.links.updateValue((source, role), (arrival,))
+            seen.add((source, role))
+            if gate is not None:
                 # a new outcome of a finished episode sends it to consolidation again
-                out.append((*key, source, role, int(arrival), "requeued" if role == "outcome" and not known else "accepted"))
+                yield event(*key, source, role, arrival, "requeued" if role == "outcome" and not known else "accepted")
                 continue
             (situations if role == "situation" else acts if role == "agent_act" else set()).add(source)
             if situations and acts and len(situations | acts) > 1:
-                sealed = True
-                self.sealed.update((int(arrival),))
-                out.append((*key, source, role, int(arrival), "materialized"))
+                gate, situations, acts = arrival, set(), set()
+                yield event(*key, source, role, arrival, "materialized")
             else:
-                out.append((*key, source, role, int(arrival), "accepted"))
-        if sealed:
-            self.open.clear()
-        else:
-            self.open.update((json.dumps(sorted(situations)), json.dumps(sorted(acts))))
-        yield pd.DataFrame(out, columns=[*GROUP, "source_ref", "role", "arrival", "event"])
+                yield event(*key, source, role, arrival, "accepted")
+        if state is None or (situations, acts, gate) != before:
+            self.group.update((json.dumps(sorted(situations)), json.dumps(sorted(acts)), gate))
 
     def close(self) -> None:
         pass
@@ -97,7 +105,7 @@ def episodes(links: DataFrame) -> DataFrame:
     """Online gate and sealing. ``event``: accepted, materialized (the episode appears here), sealed (refused),
     requeued (late outcome of a finished episode). Outcomes that come before wait in the state of their group."""
     schema = ", ".join(f"{c} string" for c in (*GROUP, "source_ref", "role")) + ", arrival long, event string"
-    done = links.select(*GROUP, "source_ref", "role", "arrival").groupBy(*GROUP).transformWithStateInPandas(
+    done = links.select(*GROUP, "source_ref", "role", "arrival").groupBy(*GROUP).transformWithState(
         _Episodes(), schema, "Append", "None")
     return done.withColumn("episode_ref", F.when(F.col("event").isin("materialized", "requeued"), refs.episode_ref()).otherwise(""))
 
@@ -107,22 +115,21 @@ class _Pairs(StatefulProcessor):
         self.state = handle.getValueState("open", "role string, text string, pairs long")
 
     def handleInputRows(self, key, rows, timerValues):
-        role, text, pairs = self.state.get() if self.state.exists() else ("", "", 0)
-        out = []
-        for r, t, at in _rows(rows, "turn")[["role", "text", "turn"]].itertuples(index=False):
+        role, text, pairs = self.state.get() or ("", "", 0)
+        pair = Row("conv_id", "pair_idx", "user_text", "agent_text", "reason")
+        for row in _in_order(rows, "turn"):
+            r, t = row["role"], row["text"] or ""
             if r not in ("user", "assistant"):
                 continue
-            t = "" if pd.isna(t) else t
             if r == "user":
                 text = text + "\n\n" + t if role == "user" else t
                 role = "user"
             elif role == "user":
-                out.append((key[0], pairs, text, t, ""))
+                yield pair(key[0], pairs, text, t, "")
                 pairs, role, text = pairs + 1, "", ""
             else:
-                out.append((key[0], pairs, "", t, "assistant_first"))
+                yield pair(key[0], pairs, "", t, "assistant_first")
         self.state.update((role, text, pairs))
-        yield pd.DataFrame(out, columns=["conv_id", "pair_idx", "user_text", "agent_text", "reason"])
 
     def close(self) -> None:
         pass
@@ -130,7 +137,7 @@ class _Pairs(StatefulProcessor):
 
 def pairs(messages: DataFrame) -> DataFrame:
     """User and assistant pairs as soon as they are complete; user messages before an answer merge."""
-    return messages.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithStateInPandas(
+    return messages.select("conv_id", "turn", "role", "text").groupBy("conv_id").transformWithState(
         _Pairs(), "conv_id long, pair_idx long, user_text string, agent_text string, reason string", "Append", "None")
 
 

@@ -8,6 +8,76 @@ from mnemoframe.operators import changes as ch, lexical
 from mnemoframe.streaming import state
 
 
+class _Handle:
+    """State of one key that counts the calls."""
+
+    def __init__(self):
+        self.values, self.maps, self.calls = {}, {}, []
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def get(self):
+                handle.calls.append("get")
+                return handle.values.get(name)
+
+            def update(self, value):
+                handle.calls.append("update")
+                handle.values[name] = value
+
+        return Value()
+
+    def getMapState(self, name, key, value):
+        handle = self
+
+        class Map:
+            def containsKey(self, k):
+                handle.calls.append("containsKey")
+                return k in handle.maps
+
+            def updateValue(self, k, v):
+                handle.calls.append("updateValue")
+                handle.maps[k] = v
+
+        return Map()
+
+
+def _events(processor, *links):
+    rows = [Row(source_ref=s, role=r, arrival=a) for s, r, a in links]
+    return [(row["source_ref"], row["event"]) for row in processor.handleInputRows(tuple("trgsxyz"), iter(rows), None)]
+
+
+def test_a_group_of_a_stream_is_read_and_written_once_a_batch():
+    handle, processor = _Handle(), state._Episodes()
+    processor.init(handle)
+    # in the order of arrival, whatever order they come in
+    assert _events(processor, ("b", "agent_act", 2), ("a", "situation", 1), ("a", "situation", 3)) == [("a", "accepted"), ("b", "materialized"), ("a", "accepted")]
+    assert sorted(handle.calls) == ["get", "update", "updateValue", "updateValue"]
+    handle.calls.clear()
+    assert _events(processor, ("c", "situation", 4), ("d", "outcome", 5), ("d", "outcome", 6), ("b", "agent_act", 7)) == [
+        ("c", "sealed"), ("d", "requeued"), ("d", "accepted"), ("b", "accepted")]
+    assert sorted(handle.calls) == ["containsKey"] * 3 + ["get", "updateValue"]
+
+
+def test_a_key_of_a_stream_is_written_only_when_it_is_new():
+    handle, processor = _Handle(), state._Admit()
+    processor.init(handle)
+    ask = lambda *rows: [r["status"] for r in processor.handleInputRows(("t", "k"), iter([Row(request_hash=h, arrival=a) for h, a in rows]), None)]
+    assert ask(("y", 2), ("x", 1), ("x", 3)) == ["new", "conflict", "replay"]
+    assert handle.calls == ["get", "update"]
+    assert ask(("x", 4)) == ["replay"]
+    assert handle.calls == ["get", "update", "get"]
+
+
+def test_pairs_go_on_in_the_next_batch():
+    handle, processor = _Handle(), state._Pairs()
+    processor.init(handle)
+    say = lambda *rows: [tuple(r) for r in processor.handleInputRows((7,), iter([Row(role=r, text=t, turn=n) for n, r, t in rows]), None)]
+    assert say((2, "user", None), (1, "user", "a")) == []
+    assert say((3, "assistant", "b"), (4, "assistant", "c")) == [(7, 0, "a\n\n", "b", ""), (7, 1, "", "c", "assistant_first")]
+
+
 def test_many_windows_are_decided_in_one_call():
     row = lambda w, n, new, replaces="", holders=(): dict(window_ref=w, change_no=n, kind="recollection", scope="o", new_text=new, old_text="", replaces=replaces, holders=list(holders))
     rows = [row("v", 0, "a"), row("w", 0, "a"), row("w", 1, "a"), row("v", 1, "b", "m@1"), row("w", 2, "c", holders=["m@1"]), row("v", 2, "c", holders=["m@1"])]
