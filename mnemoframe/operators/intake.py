@@ -263,15 +263,17 @@ def settle(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     todo, decided = rows, None
     while True:
         # what decides a row has its key, its source or its group
-        near = taken if decided is None else _with(taken, todo, HEAD).unionByName(_with(taken, todo, SOURCE_KEY)).unionByName(_with(taken, todo, GROUP)).distinct()
-        now = _settled(todo, near, known)
-        decided = cut_lineage(now if decided is None else decided.join(now.select("row"), "row", "left_anti").unionByName(now))
-        accepted = cut_lineage(rows.join(decided.filter("status = 'accepted'"), "row", "left_semi"))
-        moved = cut_lineage(accepted.join(taken, "row", "left_anti").unionByName(taken.join(accepted, "row", "left_anti")))
+        near = taken if decided is None else _with(taken, todo, HEAD).unionByName(_with(taken, todo, SOURCE_KEY)).unionByName(_with(taken, todo, GROUP)).dropDuplicates(["row"])
+        now = cut_lineage(_settled(todo, near, known))
+        decided = now if decided is None else cut_lineage(decided.join(now.select("row"), "row", "left_anti").unionByName(now))
+        # only what was decided in this round can move
+        was = taken.select("row", F.lit(True).alias("__was"))
+        moved = cut_lineage(todo.join(now.select("row", (F.col("status") == "accepted").alias("__is")), "row").join(was, "row", "left").filter(
+            F.col("__is") != F.coalesce("__was", F.lit(False))).drop("__was"))
         if moved.isEmpty():
             return decided
-        taken = accepted
-        todo = cut_lineage(_with(rows, moved, HEAD).unionByName(_with(rows, moved, SOURCE_KEY)).unionByName(_with(rows, moved, GROUP)).distinct())
+        taken = cut_lineage(taken.join(moved.select("row"), "row", "left_anti").unionByName(moved.filter("__is").drop("__is")))
+        todo = cut_lineage(_with(rows, moved, HEAD).unionByName(_with(rows, moved, SOURCE_KEY)).unionByName(_with(rows, moved, GROUP)).dropDuplicates(["row"]))
 
 
 def in_order(rows: DataFrame) -> DataFrame:
