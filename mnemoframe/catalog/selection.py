@@ -45,10 +45,14 @@ def provider_hits(t: Tables):
     return lanes(t).withColumns({"tenant_ref": F.concat(F.lit("t"), F.floor(conversation / 100).cast("string")), "agent_ref": F.lit("agent")})
 
 
+def shared_hits(t: Tables):
+    return t.once("provider_hits", lambda: provider_hits(t))
+
+
 def activations(t: Tables):
     queries = t("select_queries").select(*REQUEST, "query_ref", "text")
     active = versions(t).filter("status = 'active'")
-    return selection.select_memories(queries, request_lanes(t), catalogue(t), anchors(t), basis(t), provider_hits(t), active, REQUEST)
+    return selection.select_memories(queries, request_lanes(t), catalogue(t), anchors(t), basis(t), shared_hits(t), active, REQUEST)
 
 
 _VIEWS = ("recollections", "dispositions", "recollection_basis", "seed_basis", "episodes", "links", "sources", "selects", "select_queries", "index_hits")
@@ -202,9 +206,9 @@ def _(t: Tables):
     return evidence(t).select(*REQUEST, "episode_ref", F.col("evidence_order").cast("bigint").alias("evidence_order"), "text")
 
 
-def evidence(t: Tables):
+def evidence(t: Tables, hits=None):
     requests = t("selects").withColumn("situation_refs", F.array("source_ref"))
-    return selection.episode_evidence(requests, provider_hits(t), t("episodes"), t("links"), t("sources"), REQUEST)
+    return selection.episode_evidence(requests, provider_hits(t) if hits is None else hits, t("episodes"), t("links"), t("sources"), REQUEST)
 
 
 # the whole job: activations, evidence, what both and the constitution claim, and the context that is frozen
@@ -225,7 +229,7 @@ _SELECT_HASH = (f"CASE WHEN s.evidence_bytes = 0 THEN {hash_sql('memory-context-
 @query("c10_frozen_contexts", sql_with(*_VIEWS, extra=_JOB.replace("{hash}", _SELECT_HASH)).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(t: Tables):
     items = t.once("activations", lambda: activations(t).select(*REQUEST, "kind", "version_ref", "item_order"))
-    shown = t.once("evidence", lambda: evidence(t).select(*REQUEST, "episode_ref"))
+    shown = t.once("evidence", lambda: evidence(t, shared_hits(t)).select(*REQUEST, "episode_ref"))
     asked = t("selects").withColumn("request_hash", refs.select_hash(F.array("source_ref"), F.col("evidence_bytes")))
     # some constitutions reuse the name of a memory
     head = items.filter("item_order = 0").select(*REQUEST, F.col("version_ref").alias("first"))

@@ -213,3 +213,93 @@ def test_owners_pass_a_task_one_after_the_other(spark, tmp_path):
     assert sorted(map(tuple, table.answers().collect()), key=str) == sorted(want, key=str)
     plan = table.answers()  # the walk reads no whole group: its source has no cogroup
     assert plan.count() == len(want) and not hasattr(window_table, "pd")
+
+
+def _exchanged(df):
+    """Column names of every shuffle of the plan."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.inputPlan())
+        if p.nodeName() == "Exchange":
+            found.append({p.output().apply(i).name() for i in range(p.output().size())})
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_requests_and_versions_meet_without_a_shuffle_of_pairs(spark, monkeypatch):
+    from mnemoframe.operators import lexical, selection
+
+    a, b = ("t", "agent", "agent", ""), ("t", "relationship", "agent", "x")
+    own, keys = "tenant_ref string, scope_kind string, agent_ref string, relationship_ref string", ["run_ref"]
+    said = [("r0", "q0", "green tea with milk"), ("r1", "q1", "green tea"), ("r1", "q2", "red wine"), ("r2", "q3", "old river"), ("r3", "q4", "blue door"), ("r4", "q5", "red wine old"), (None, "q6", "green tea"), ("r5", "", "green tea")]
+    lanes = [(f"r{i}", *a, 1) for i in range(6)] + [("r1", *b, 0), ("r2", *a, 1), (None, *a, 1)]
+    rows = [(*a, "recollection", "a1", "green tea"), (*a, "recollection", "a2", "old river bank"), (*a, "recollection", "a2", "old river bank"), (*a, "disposition", "d1", "stay calm"), (*a, "disposition", "d2", "red wine"),
+            (*b, "recollection", "b1", "red wine"), (*b, "recollection", "a1", "the of"), (*a, "recollection", "x1", "nothing alike"), (*a, "recollection", "x2", "blue door key"), (*a, "recollection", "x3", "blue door key")]
+    listed = [r for r in rows if r[5][0] != "x"]
+    behind = [(*r[:4], r[5], "support", f"e-{r[5]}", "s", "unlike") for r in rows if r[5] != "d1"] + [
+        (*a, "d1", "support", "e1", "s2", "green tea leaves"), (*a, "d1", "support", "e1", "s1", "red door"), (*a, "d2", "inhibition", "e2", "s3", "red wine old"), (*a, "d2", "inhibition", "e3", "s3", "stone")]
+    cited = [("t", "x2", "e9", "support"), ("t", "d1", "e1", "reenactment"), ("t", "d1", "e5", "reenactment"), ("t", "a1", "e9", "support")]
+    found = [("r0", *a, "q0", 0, 3, "RECOLLECTION", "x1"), ("r0", *a, "q0", 1, 2, "RECOLLECTION", "x1"), ("r3", *a, "q4", 0, 1, "EPISODE", "e9"), ("r3", *a, "q4", 0, 2, "EPISODE", "e1"), ("r4", *b, "q5", 0, 0, "RECOLLECTION", "b1"), ("r4", *a, "q5", 0, 0, "RECOLLECTION", "gone"), ("r2", *a, "q3", 0, 5, "DISPOSITION", "d2")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    active, catalogue = (frame(r, f"{own}, kind string, version_ref string, text string") for r in (rows, listed))
+    args = [frame(said, "run_ref string, query_ref string, text string"), frame(lanes, f"run_ref string, {own}, owner_order int"), catalogue,
+            frame(behind, f"{own}, version_ref string, basis_role string, episode_ref string, source_ref string, anchor_text string"),
+            frame(cited, "tenant_ref string, version_ref string, episode_ref string, role string"),
+            frame(found, f"run_ref string, {own}, query_ref string, lane_order int, rank int, kind string, ref string"), active, keys]
+
+    texts = sorted({r[2] for r in said} | {r[6] for r in rows} | {x[8] for x in behind})
+    one = frame([(x,) for x in texts], "t string").withColumn("f", lexical.features("t"))
+    score = {(r.t, r.u): r.s for r in one.crossJoin(one.select(F.col("t").alias("u"), F.col("f").alias("g"))).select("t", "u", lexical.score(F.col("f"), F.col("g")).alias("s")).collect()}
+    want = []
+    for run in sorted({r for r, *_ in said if r}):
+        asked = [(q, x) for r, q, x in said if r == run and q]
+        owners = [x[1:5] for x in lanes if x[0] == run]
+        mine = [h for h in found if h[0] == run]
+        met = {r[:6] for r in listed if r[:4] in owners} | {(*h[1:5], h[8].lower(), h[9]) for h in mine if h[8] != "EPISODE"} | {
+            r[:6] for h in mine if h[8] == "EPISODE" for c in cited if c[2] == h[9] for r in rows if r[5] == c[1] and r[:4] == h[1:5]}
+        paths, inhibited = {}, {}
+        for r in (r for r in rows if r[:6] in met):
+            at = (r[4], r[5])
+            for q, x in asked:
+                hit = sorted((h[7], h[6]) for h in mine if (h[1:5], h[5], h[8].lower(), h[9]) == (r[:4], q, *at))
+                if hit or score[x, r[6]] >= 0.2:
+                    paths.setdefault(at, []).append((not hit, *(hit[0] if hit else (0, 0)), -score[x, r[6]], False, q, r[5]))
+                for v in (v for v in behind if r[4] == "disposition" and v[:5] == (*r[:4], r[5])):
+                    s = score[x, v[8]]
+                    if v[5] == "inhibition":
+                        inhibited[at] = max(inhibited.get(at, 0.0), s)
+                        continue
+                    first = v[7] == min(w[7] for w in behind if w[:7] == v[:7])
+                    hit = sorted((h[7], h[6]) for h in mine if first and (h[1:5], h[5], h[8], h[9]) == (r[:4], q, "EPISODE", v[6]))
+                    if hit or s >= 0.2:
+                        paths.setdefault(at, []).append((not hit, *(hit[0] if hit else (0, 0)), -s, True, q, v[6] if hit else v[7]))
+        for at, some in paths.items():
+            best = min(some)
+            if at not in inhibited or -best[3] > inhibited[at]:
+                want += [(run, *at, best[5], best[6], not best[0], round(-best[3], 6), order, 2 if at[1] == "d1" else 0)
+                         for r in rows if r[:6] in met and (r[4], r[5]) == at for x in lanes if x[0] == run and x[1:5] == r[:4] for order in [x[5]]]
+    got = {}
+    for part in (1, 2, 128):
+        monkeypatch.setattr(selection, "_PART", part)
+        out = selection.select_memories(*args)
+        got[part] = sorted((r.run_ref, r.kind, r.version_ref, r.query_ref, r.matched_ref, r.indexed, round(r.support, 6), r.owner_order, r.availability) for r in out.collect())
+    assert got[1] == got[2] == got[128] == sorted(want)
+    # an index match without a common word, a memory linked by an episode, an episode that speaks, a version twice, one reference of two owners, an inhibited one
+    assert {(w[0], w[2]) for w in want} >= {("r0", "x1"), ("r3", "x2"), ("r3", "d1"), ("r2", "a2"), ("r1", "a1"), ("r1", "d2")} and ("r4", "d2") not in {(w[0], w[2]) for w in want}
+    # what says a text goes to its owner's requests, a query to its owners, and pairs stay where both meet
+    assert not [c for c in _exchanged(out) if {"version_ref", "query_ref"} <= c]
+
+
+def test_packed_features_are_the_same_unpacked(spark):
+    from mnemoframe.operators import lexical
+
+    df = spark.createDataFrame([(x,) for x in ("green tea", "the of", "", "12 3", "绿茶 with 牛奶好吗", "tea tea TEA", "ключ и дверь", "naïve café")], "t string").withColumn("f", lexical.features("t"))
+    both = df.withColumn("p", lexical.packed(F.col("f"), F.lit(False))).withColumn("g", lexical.unpacked(F.col("p")))
+    assert both.filter("f.latin").count() >= 3 and both.filter("NOT f.latin AND p.text IS NOT NULL").count() >= 3
+    for c in ("latin", "terms", "codes", "bag"):
+        assert both.filter(~F.col(f"f.{c}").eqNullSafe(F.col(f"g.{c}"))).count() == 0, c
+    assert both.filter("f.latin AND p.text IS NOT NULL").count() == 0
+    kept = df.withColumn("g", lexical.unpacked(lexical.packed(F.col("f"), F.lit(True))))
+    assert kept.filter("g.text = t").count() == df.count()
